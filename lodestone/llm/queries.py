@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import documents
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.common import scratch_path
+    from lodestone.llm.token_files import read_digests, write_tokens
+
+    return read_digests(write_tokens(documents(spark, sf_dir), scratch_path(spark, "token_files")))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.exact_dedup import duplicate_groups
 
@@ -33,6 +40,12 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.packing import pack_documents
+
+    return pack_documents(documents(spark, sf_dir)).drop("ids")
+
+
 SQL_EXACT_DEDUP = r"""
 WITH t AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents
@@ -48,10 +61,12 @@ FROM h
 
 def queries() -> dict:
     return {
+        "op1_token_files": op1_token_files,
         "op2_exact_dedup": op2_exact_dedup,
         "op3_source_mixing": op3_source_mixing,
         "op5_secret_scan": op5_secret_scan,
         "op9_url_filter": op9_url_filter,
+        "op10_packing": op10_packing,
     }
 
 
