@@ -16,7 +16,7 @@ from lodestone.llm.common import WORD, materialize, word_count
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_EPOCHS = 2
-ROWS_PER_RANGE = 20_000
+ROWS_PER_RANGE = 2_000
 RANGES_PER_BLOCK = 1_000
 SEED = 20_240_229
 
