@@ -34,6 +34,18 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(documents(spark, sf_dir), owner=F.col("source"), repository=repository)
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.quality import quality_report
+
+    return quality_report(documents(spark, sf_dir))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.toxicity import toxicity
+
+    return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.urls import judged
 
@@ -65,6 +77,8 @@ def queries() -> dict:
         "op2_exact_dedup": op2_exact_dedup,
         "op3_source_mixing": op3_source_mixing,
         "op5_secret_scan": op5_secret_scan,
+        "op6_quality_rules": op6_quality_rules,
+        "op7_toxicity": op7_toxicity,
         "op9_url_filter": op9_url_filter,
         "op10_packing": op10_packing,
     }
