@@ -46,6 +46,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op8_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.shingle_join import similar_components
+
+    return similar_components(documents(spark, sf_dir))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.urls import judged
 
@@ -79,6 +85,7 @@ def queries() -> dict:
         "op5_secret_scan": op5_secret_scan,
         "op6_quality_rules": op6_quality_rules,
         "op7_toxicity": op7_toxicity,
+        "op8_shingle_join": op8_shingle_join,
         "op9_url_filter": op9_url_filter,
         "op10_packing": op10_packing,
     }
