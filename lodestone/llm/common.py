@@ -62,3 +62,16 @@ def salted_lookup(
     """
     pairs = rows.select(*keys, salt).distinct()
     return rows.join(pairs.join(entries, keys), [*keys, salt], how)
+
+
+def row_key(id_col: str, digest: Column) -> Column:
+    """A string that tells rows apart by identifier, null included, and by a digest of the text."""
+    return F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("-")), digest.cast("string"))
+
+
+def staying_rows(df: DataFrame, key: Column, entries: DataFrame) -> DataFrame:
+    """df joined with entries (_row, ...) on key; rows with one key are alike and one of them stays.
+
+    The texts are dealt out once: the rows of a key lie together for the join and for the choice.
+    """
+    return df.withColumn("_row", key).join(entries, "_row").dropDuplicates(["_row"])

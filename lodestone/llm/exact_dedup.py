@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialize, squeezed
+from lodestone.llm.common import materialize, row_key, squeezed, staying_rows
 
 FAN_IN = 8
 _KEY = ["_digest", "_length", "_check"]
@@ -72,13 +72,6 @@ def drop_duplicates(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = FAN_IN
 ) -> DataFrame:
     """The rows of df that stay, with all its columns; of fully repeated rows one stays."""
-    kept = (
-        duplicate_groups(df, id_col, text_col, fan_in)
-        .where("kept")
-        .select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
-    )
-    tagged = df.withColumn("_sha", F.sha2(squeezed(F.col(text_col)), 256))
-    staying = tagged.join(
-        kept, F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha")), "left_semi"
-    )
-    return staying.dropDuplicates([id_col, "_sha"]).select(*df.columns)
+    groups = duplicate_groups(df, id_col, text_col, fan_in).where("kept")
+    kept = groups.select(row_key("doc_id", F.col("text_sha256")).alias("_row")).distinct()
+    return staying_rows(df, row_key(id_col, F.sha2(squeezed(F.col(text_col)), 256)), kept).select(*df.columns)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import WORD, materialize, word_count
+from lodestone.llm.common import materialize, row_key, staying_rows, word_count
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -128,29 +128,23 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The mix itself, with df's columns: whole documents once per epoch that takes them, and the
     document at a source's cut with its first words only. Documents of which nothing is taken go;
     an n_chars column is set anew for the cut text."""
+    row = row_key(id_col, F.xxhash64(text_col))
+    # Alike rows share what is taken from all of them; one of them carries it.
     takes = (
         mixture(df, id_col, text_col, source_col, **options)
-        .groupBy(F.col("doc_id").alias("_id"), F.col("_tie").alias("_text_hash"), "size")
-        .agg(F.sum("taken").alias("_taken"), F.count(F.lit(1)).alias("_alike"))
+        .groupBy(row_key("doc_id", F.col("_tie")).alias("_row"))
+        .agg(F.sum("taken").alias("_taken"), F.max("size").alias("_size"))
         .where("_taken > 0")
+        .withColumn("_whole", F.floor(F.col("_taken") / F.col("_size")))
+        .withColumn("_rest", F.col("_taken") - F.col("_whole") * F.col("_size"))
     )
-    lengths = F.when(F.col("_whole") > 0, F.array_repeat("size", F.col("_whole").cast("int"))).otherwise(F.array().cast("array<bigint>"))
+    whole = F.array_repeat("_size", F.col("_whole").cast("int"))
     rest = F.when(F.col("_rest") > 0, F.array("_rest")).otherwise(F.array().cast("array<bigint>"))
-    # Alike rows share what is taken from all of them; one of them carries it.
-    one = df.withColumn("_text_hash", F.xxhash64(F.col(text_col)))
-    alone = takes.withColumn("_whole", F.floor(F.col("_taken") / F.col("size"))).withColumn(
-        "_rest", F.col("_taken") - F.col("_whole") * F.col("size")
-    ).withColumn("_words", F.concat(lengths, rest)).select("_id", "_text_hash", "size", "_words", "_alike")
-    joined = one.join(
-        alone.withColumnRenamed("_text_hash", "_th"),
-        F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_th")),
-    )
-    single = joined.where("_alike = 1")
-    several = joined.where("_alike > 1").dropDuplicates([id_col, "_text_hash"])
-    pieces = single.unionByName(several).withColumn("_take", F.explode("_words"))
+    takes = takes.select("_row", "_size", F.concat(whole, rest).alias("_words"))
+    pieces = staying_rows(df, row, takes).withColumn("_take", F.explode("_words"))
     # Pieces that each begin at a word's start; the first may hold leading space.
     word_ends = F.split(F.col(text_col), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    cut = F.when(F.col("_take") >= F.col("size"), F.col(text_col)).otherwise(
+    cut = F.when(F.col("_take") >= F.col("_size"), F.col(text_col)).otherwise(
         F.array_join(F.slice(word_ends, F.lit(1), F.col("_take").cast("int")), "")
     )
     out = pieces.withColumn(text_col, cut)

@@ -64,6 +64,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir)).drop("ids")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 SQL_EXACT_DEDUP = r"""
 WITH t AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents
@@ -88,6 +94,7 @@ def queries() -> dict:
         "op8_shingle_join": op8_shingle_join,
         "op9_url_filter": op9_url_filter,
         "op10_packing": op10_packing,
+        "pipeline": pipeline,
     }
 
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialize, salted_lookup
+from lodestone.llm.common import materialize, row_key, salted_lookup, staying_rows
 
 WORDS = 5
 SIMILARITY = 75  # in hundredths
@@ -92,12 +92,11 @@ def _slices(batches, size: int = 256) -> Iterator[list[list]]:
 def _sizes(words: int):
     def run(batches):
         shingle = Shingler(words)
-        for docs, texts in _slices(batches):
+        for docs, ties, texts in _slices(batches):
             sets = [shingle(t) for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(docs, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(node_key, sets), pa.binary(), size=len(sets))],
-                names=["doc_id", "n_shingles", "key"],
-            )
+            sizes, keys = [len(s) for s in sets], [node_key(s) for s in sets]
+            columns = [pa.array(c, pa.int64()) for c in (docs, ties, sizes)] + [pa.array(keys, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tie", "n_shingles", "key"])
 
     return run
 
@@ -310,7 +309,7 @@ def _open_buckets(postings: DataFrame, nodes: DataFrame) -> DataFrame:
     return placed.join(undone, "hash")
 
 
-def candidate_rounds(open_: DataFrame, similarity: int) -> list:
+def candidate_rounds(similarity: int) -> list:
     """Functions of the open postings that give candidates, cheap ones first, all of them last."""
     fits = lambda x, y: 100 * F.least(x, y) >= similarity * F.greatest(x, y)
 
@@ -336,7 +335,7 @@ def candidate_rounds(open_: DataFrame, similarity: int) -> list:
     return [by_pivot, by_size, rest]
 
 
-def similar_components(
+def similar_groups(
     df: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -344,14 +343,10 @@ def similar_components(
     similarity: int = SIMILARITY,
     hashes_per_range: int = HASHES_PER_RANGE,
 ) -> DataFrame:
-    """Per row of df: doc_id, n_shingles, component_id.
-
-    Null and empty texts have no shingles, are linked with nothing and are their own component.
-    Rows with one identifier are rows of their own; null identifiers count as larger than others, so
-    a component of them alone has a null id. An empty table gives no rows.
-    """
-    texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sizes = materialize(texts.mapInArrow(_sizes(words), "doc_id long, n_shingles long, key binary"), "sizes")
+    """Per row of df: doc_id, tie (a hash of the text), n_shingles, first: the (doc_id, tie) that comes
+    first in the row's component, null identifiers last."""
+    texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
+    sizes = materialize(texts.mapInArrow(_sizes(words), "doc_id long, tie long, n_shingles long, key binary"), "sizes")
     total = sizes.agg(F.sum("n_shingles")).first()[0] or 0
     ranges = max(LEAST_RANGES, 1 << max(0, (-(-total // hashes_per_range) - 1).bit_length()))
     blocks = texts.select("text").mapInArrow(_blocks(words, ranges), "range int, payload binary")
@@ -362,7 +357,7 @@ def similar_components(
     nodes = sets.select("node", "key", F.col("node").alias("label"))
     postings = sets.select("node", "n", "own", F.explode("prefix").alias("hash"))
     tested = None
-    for generate in candidate_rounds(postings, similarity):
+    for generate in candidate_rounds(similarity):
         pairs = _different(generate(_open_buckets(postings, nodes)))
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -374,11 +369,34 @@ def similar_components(
         to = lambda x: nodes.select(F.col("node").alias(x), F.col("label").alias(f"_{x}"))  # noqa: E731, B023
         between = links.join(to("a"), "a").join(to("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
         nodes = materialize(_relabelled(nodes, between), "nodes")
-    # Smallest identifier of each key, then of each component; copies meet their key by salted pairs.
-    by_key = sizes.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("_least"))
-    placed = by_key.join(nodes.select("key", "label"), "key", "left")
-    by_label = placed.where("label is not null").groupBy("label").agg(F.min("_least").alias("_smallest"))
-    entries = placed.join(by_label, "label", "left").select("key", F.coalesce("_smallest", "_least").alias("component_id"))
+    # The first row of each key, then of each component; copies meet their key by salted pairs.
     full = sizes.where("n_shingles > 0").withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(_SALTS)))
-    out = salted_lookup(full, ["key"], entries, "_salt").select("doc_id", "n_shingles", "component_id")
-    return out.unionByName(sizes.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    me = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie")
+    by_key = full.groupBy("key").agg(F.min(me).alias("_first"))
+    placed = by_key.join(nodes.select("key", "label"), "key", "left")
+    by_label = placed.where("label is not null").groupBy("label").agg(F.min("_first").alias("_least"))
+    entries = placed.join(by_label, "label", "left").select("key", F.coalesce("_least", "_first").alias("first"))
+    columns = ["doc_id", "tie", "n_shingles", "first"]
+    return salted_lookup(full, ["key"], entries, "_salt").select(*columns).unionByName(
+        sizes.where("n_shingles = 0").withColumn("first", me).select(*columns)
+    )
+
+
+def similar_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Per row of df: doc_id, n_shingles, component_id.
+
+    Null and empty texts have no shingles, are linked with nothing and are their own component.
+    Rows with one identifier are rows of their own; null identifiers count as larger than others, so
+    a component of them alone has a null id. An empty table gives no rows.
+    """
+    groups = similar_groups(df, id_col, text_col, **options)
+    return groups.select("doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"))
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of df, with all its columns, that come first in their component; of fully repeated
+    rows one stays. Texts without words stay."""
+    groups = similar_groups(df, id_col, text_col, **options)
+    first = (F.col("doc_id").eqNullSafe(F.col("first.doc_id"))) & (F.col("tie") == F.col("first.tie"))
+    kept = groups.where(first).select(row_key("doc_id", F.col("tie")).alias("_row")).distinct()
+    return staying_rows(df, row_key(id_col, F.xxhash64(text_col)), kept).select(*df.columns)
