@@ -11,7 +11,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterable, Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 
@@ -42,6 +42,35 @@ def segments(text: str, size: int = _SEGMENT) -> Iterator[str]:
     yield text[begin:]
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable bytes stand for
+    themselves, the others for the characters from 256 on, in order."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return {b: chr(b if b in own else next(others)) for b in range(256)}
+
+
+_LETTERS = _byte_letters()
+_MARKS = ".,;:!?"
+
+
+class _Index(dict):
+    """Numbers keys as they are first asked for, and lists the new ones."""
+
+    def __init__(self, known=()):
+        super().__init__(known)
+        self.new: list = []
+
+    def __missing__(self, key) -> int:
+        self[key] = n = len(self)
+        self.new.append(key)
+        return n
+
+
+#: Letters below this character are letters in all versions of Unicode: a word of them is one pre-token.
+_AGREED = "\u0530"
+
+
 class Encoder:
     """Encodes texts to uint32 arrays; special tokens' strings in a text are ordinary text."""
 
@@ -51,7 +80,9 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.index: dict = {}
+        self.model = self.library.model
+        self.line, self.marks = self._pre_token("\n"), {m: self._pre_token(m) for m in _MARKS}
+        self.index = _Index()
         self.characters = self.used = 0
         self.flat = np.empty(1 << 18, np.uint32)
         self.starts, self.lengths = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64)
@@ -61,31 +92,64 @@ class Encoder:
         return self.library.get_vocab_size()
 
     def forget(self) -> None:
-        self.index = dict(islice(self.index.items(), _KEPT))
-        self.characters = sum(map(len, self.index))
+        kept = list(islice(self.index.items(), _KEPT))
+        self.characters = sum(len(k) for k, _ in kept)
         if self.characters > _CHARACTERS // 2:
-            self.index, self.characters = {}, 0
-        k = len(self.index)
+            kept, self.characters = [], 0
+        self.index = _Index(kept)
+        k = len(kept)
         self.used = int(self.starts[k - 1] + self.lengths[k - 1]) if k else 0
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list) -> None:
-        for i in range(0, len(pieces), 1024):
-            part = pieces[i : i + 1024]
-            texts = [p[0] if type(p) is tuple else p if p[:1] == "\n" else " " + p for p in part]
-            for piece, ids in zip(part, self._whole(texts)):
-                n, k = len(ids), len(self.index)
-                while self.used + n > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-                if k == len(self.starts):
-                    self.starts, self.lengths = (np.concatenate([x, np.empty_like(x)]) for x in (self.starts, self.lengths))
-                self.flat[self.used : self.used + n] = ids
-                self.starts[k], self.lengths[k] = self.used, n
-                self.index[piece] = k
-                self.used += n
-                self.characters += len(piece)
+    def _pre_token(self, text: str) -> list[int]:
+        """Ids of one pre-token, by the library's model itself."""
+        return [t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(_LETTERS))]
+
+    def _ids(self, pieces: list) -> list[list[int]]:
+        out, rest = [], []
+        tokenize, marks, space = self.model.tokenize, self.marks, _LETTERS[32]
+        for piece in pieces:
+            if type(piece) is tuple:
+                before, word = "", piece[0]
+            elif piece[:1] == "\n":
+                before, word = "\n", piece[1:]
+            else:
+                before, word = " ", piece
+            mark = marks.get(word[-1:])
+            core = word if mark is None else word[:-1]
+            if core.isalpha() and (core.isascii() or max(core) < _AGREED):
+                letters = core if core.isascii() else core.encode().decode("latin-1").translate(_LETTERS)
+                ids = [t.id for t in tokenize(space + letters if before == " " else letters)]
+                if before == "\n":
+                    ids = self.line + ids
+                out.append(ids if mark is None else ids + mark)
+            else:
+                rest.append((len(out), before + word))
+                out.append([])
+        for i in range(0, len(rest), 1024):
+            part = rest[i : i + 1024]
+            for (at, _), ids in zip(part, self._whole([t for _, t in part])):
+                out[at] = ids
+        return out
+
+    def _learn(self) -> None:
+        new, self.index.new = self.index.new, []
+        if not new:
+            return
+        found = self._ids(new)
+        k, sizes = len(self.index) - len(new), [len(x) for x in found]
+        total = sum(sizes)
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while len(self.index) > len(self.starts):
+            self.starts, self.lengths = (np.concatenate([x, np.empty_like(x)]) for x in (self.starts, self.lengths))
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
+        self.lengths[k : k + len(new)] = sizes
+        self.starts[k : k + len(new)] = self.used + np.cumsum(sizes) - sizes
+        self.used += total
+        self.characters += sum(map(len, new))
 
     def _gather(self, at: np.ndarray) -> np.ndarray:
         n = self.lengths[at]
@@ -95,23 +159,22 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.index) > _WORDS or self.characters > _CHARACTERS:
             self.forget()
-        get, jobs, missing = self.index.get, [], {}
+        number, jobs = self.index.__getitem__, []
         for owner, text in enumerate(texts):
             for part in segments(text) if text else ():
                 if _ADJACENT.search(part):
                     jobs.append((owner, part))
                     continue
-                pieces = part.replace("\n", " \n").split(" ")
+                pieces: list = part.replace("\n", " \n").split(" ")
                 pieces[0] = (pieces[0],)
-                jobs.append((owner, pieces))
-                missing.update(dict.fromkeys(p for p in pieces if get(p) is None))
-        self._learn(list(missing))
+                jobs.append((owner, np.fromiter(map(number, pieces), np.int64, len(pieces))))
+        self._learn()
         out: list[list[np.ndarray]] = [[] for _ in texts]
         for owner, job in jobs:
             if type(job) is str:
                 ids = np.array(self._whole([job])[0], np.uint32)
             else:
-                ids = self._gather(np.fromiter(map(get, job), np.int64, len(job)))
+                ids = self._gather(job)
             out[owner].append(ids)
         empty = np.empty(0, np.uint32)
         return [x[0] if len(x) == 1 else np.concatenate(x) if x else empty for x in out]
