@@ -10,8 +10,9 @@
    two, and the sizes, before the sets themselves are intersected.
 4. Only links between different components matter for the components, so a bucket is done when its
    nodes are in one. Rounds: every node against the least unusual node of its buckets; neighbours by
-   size; at last all remaining pairs of different components within a bucket, which makes the
-   result exact. Copies and groups of near copies thus cost pairs in proportion to their members.
+   size; then all that remains, which makes the result exact: in small buckets the pairs of different
+   components, and where large buckets overlap, each node outside the main component against all
+   others there, block by block, with no row for a pair.
 
 Hashes travel as packed blocks, not as rows: five bytes a hash and sixteen a node and range.
 """
@@ -36,6 +37,8 @@ LEAST_RANGES = 8
 _BLOCK_HASHES, _BLOCK_NODES, _MEMORY = 1_000_000, 4_096, 400_000
 _LOW = 40
 _SALTS = 64
+#: Buckets up to so many nodes give their remaining pairs as rows; larger ones are compared in blocks.
+SMALL_BUCKET, BLOCK = 32, 512
 _MULTIPLIERS = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64
 )
@@ -326,13 +329,78 @@ def candidate_rounds(similarity: int) -> list:
             "node", "label", F.col("_p.node").alias("other"), F.col("_p.label").alias("other_label")
         )
 
-    def rest(p: DataFrame) -> DataFrame:
+    def small(p: DataFrame) -> DataFrame:
+        few = p.groupBy("hash").count().where(F.col("count") <= SMALL_BUCKET).select("hash")
+        p = p.join(few, "hash")
         other = p.select("hash", F.col("node").alias("other"), F.col("label").alias("other_label"), F.col("n").alias("_n"))
         return p.join(other, "hash").where((F.col("node") < F.col("other")) & (F.col("label") != F.col("other_label")) & fits(F.col("n"), F.col("_n"))).select(
             "node", "label", "other", "other_label"
         )
 
-    return [by_pivot, by_size, rest]
+    return [by_pivot, by_size, small]
+
+
+def _dense(sets: list[np.ndarray], tokens: np.ndarray) -> np.ndarray:
+    """0/1 matrix of the sets over some ascending tokens."""
+    out = np.zeros((len(sets), len(tokens)), np.float32)
+    for i, s in enumerate(sets):
+        part = s[np.searchsorted(s, tokens[0]) : np.searchsorted(s, tokens[-1], "right")]
+        out[i, np.searchsorted(tokens, part)] = 1
+    return out
+
+
+def _compare(similarity: int):
+    """Links between the labels of asking and other nodes of a block, from products of 0/1 matrices."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        asks = np.array(table.column("asks").to_pylist(), bool)
+        label, n = (np.array(table.column(c).to_pylist(), np.int64) for c in ("label", "n"))
+        sets = [np.frombuffer(h, "<u8") for h in table.column("hashes").to_pylist()]
+        q, o = np.flatnonzero(asks), np.flatnonzero(~asks)
+        found: set[tuple[int, int]] = set()
+        if len(q) and len(o):
+            mine, theirs = [sets[i] for i in q], [sets[i] for i in o]
+            tokens = np.intersect1d(np.unique(np.concatenate(mine)), np.unique(np.concatenate(theirs)), assume_unique=True)
+            both = np.zeros((len(q), len(o)), np.float32)
+            for i in range(0, len(tokens), 8192):
+                part = tokens[i : i + 8192]
+                keep = lambda x, part=part: x[np.isin(x, part, assume_unique=True)]
+                both += _dense(list(map(keep, mine)), part) @ _dense(list(map(keep, theirs)), part).T
+            shared = both.astype(np.int64)
+            hit = (100 * shared >= similarity * (n[q][:, None] + n[o][None, :] - shared)) & (label[q][:, None] != label[o][None, :])
+            for i, j in zip(*np.nonzero(hit)):
+                x, y = int(label[q[i]]), int(label[o[j]])
+                found.add((min(x, y), max(x, y)))
+        rows = sorted(found)
+        return pa.table({"a": pa.array([r[0] for r in rows], pa.int64()), "b": pa.array([r[1] for r in rows], pa.int64())})
+
+    return run
+
+
+def links_in_blocks(open_: DataFrame, nodes: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Links (a, b) between labels of nodes that large open buckets join, all of them.
+
+    Nodes of overlapping large buckets make a cluster. Of two nodes with different labels one at
+    least is outside the cluster's commonest label: those ask, all answer. Both are dealt into
+    blocks of about BLOCK nodes, and every block of askers meets every block of the cluster.
+    """
+    many = open_.groupBy("hash").agg(F.count(F.lit(1)).alias("_n"), F.min("node").alias("a")).where(F.col("_n") > SMALL_BUCKET)
+    stars = open_.join(many, "hash").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    cluster = components(stars).select("node", F.col("label").alias("cluster"))
+    members = materialize(cluster.join(nodes.select("node", "label"), "node"), "clusters")
+    by_label = members.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("_n"))
+    main = by_label.groupBy("cluster").agg(
+        F.max_by("label", F.struct("_n", "label")).alias("_main"), F.sum("_n").alias("_size"), (F.sum("_n") - F.max("_n")).alias("_asking")
+    ).where("_asking > 0")
+    parts = lambda c: F.ceil(F.col(c) / BLOCK)
+    at = lambda c: F.pmod(F.xxhash64("node"), parts(c))
+    all_ = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), parts(c) - 1))
+    placed = members.join(main, "cluster").join(sets.select("node", "n", "hashes"), "node")
+    columns = ["cluster", "label", "n", "hashes"]
+    answers = placed.select(*columns, F.lit(False).alias("asks"), at("_size").alias("block"), all_("_asking").alias("askers"))
+    asking = placed.where("label <> _main").select(*columns, F.lit(True).alias("asks"), at("_asking").alias("askers"), all_("_size").alias("block"))
+    return asking.unionByName(answers).groupBy("cluster", "block", "askers").applyInArrow(_compare(similarity), "a long, b long").distinct()
+
 
 
 def similar_groups(
@@ -369,6 +437,7 @@ def similar_groups(
         to = lambda x: nodes.select(F.col("node").alias(x), F.col("label").alias(f"_{x}"))  # noqa: E731, B023
         between = links.join(to("a"), "a").join(to("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
         nodes = materialize(_relabelled(nodes, between), "nodes")
+    nodes = _relabelled(nodes, links_in_blocks(_open_buckets(postings, nodes), nodes, sets, similarity))
     # The first row of each key, then of each component; copies meet their key by salted pairs.
     full = sizes.where("n_shingles > 0").withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(_SALTS)))
     me = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie")
