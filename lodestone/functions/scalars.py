@@ -27,19 +27,19 @@ def in_domain(value: Column, domain: str) -> Column:
     return value.rlike(DOMAINS[domain])
 
 
-@F.pandas_udf("string")
-def new_ulid(seed: pd.Series) -> pd.Series:
-    """Time-ordered identifiers, one for each row; not repeatable by intent."""
+def _ulids(seed: pd.Series) -> pd.Series:
     now = int(time.time() * 1000)
 
     def one() -> str:
         n = now << 80 | int.from_bytes(os.urandom(10), "big")
         return "".join(ALPHABET[n >> 5 * i & 31] for i in range(25, -1, -1))
 
-    return pd.Series([one() for _ in range(len(seed))])
+    return pd.Series([one() for _ in range(len(seed))], dtype=object)
 
 
-new_ulid = new_ulid.asNondeterministic()
+def new_ulid(seed: Column) -> Column:
+    """Time-ordered identifiers, one for each row; not repeatable by intent."""
+    return F.pandas_udf(_ulids, "string").asNondeterministic()(seed)
 
 
 def ulid_millis(ulid: Column) -> Column:
