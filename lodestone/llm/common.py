@@ -75,3 +75,15 @@ def staying_rows(df: DataFrame, key: Column, entries: DataFrame) -> DataFrame:
     The texts are dealt out once: the rows of a key lie together for the join and for the choice.
     """
     return df.withColumn("_row", key).join(entries, "_row").dropDuplicates(["_row"])
+
+
+def hash_sample(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """At most `rows` rows, those with the smallest hash of the keys.
+
+    A hash threshold leaves little more than that many before they are ordered, so what meets in one
+    task is bounded by `rows` and not by the number of partitions.
+    """
+    share = min(1.0, 1.2 * rows / max(df.count(), 1) + 1e-6)
+    order = F.xxhash64(F.lit(7), *keys)
+    part = df.where(F.pmod(order, F.lit(1_000_000_000)) < int(share * 1_000_000_000)) if share < 1 else df
+    return part.orderBy(order, *keys).limit(rows)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialize
+from lodestone.llm.common import hash_sample, materialize
 
 #: At most so many labelled rows give the lexicons, and so many documents train the classifier:
 #: those with the smallest hash of their identifier.
@@ -186,13 +186,13 @@ def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     learn = F.coalesce(fold(), F.lit(HELD_OUT)) != HELD_OUT
-    marked = (
+    marked = hash_sample(
         labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic"))
         .where(F.col("toxic").isNotNull() & learn)
         .groupBy("doc_id")
-        .agg(F.max("toxic").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(LABELLED_ROWS)
+        .agg(F.max("toxic").alias("toxic")),
+        LABELLED_ROWS,
+        "doc_id",
     )
     # At most LABELLED_ROWS rows of two numbers: small enough to broadcast by construction.
     known = texts.join(F.broadcast(marked), "doc_id").select("text", "toxic")
@@ -231,11 +231,10 @@ def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 names=["mask", "features"],
             )
 
-    n_texts = int(counts.sum())
-    # A hash threshold picks about TRAIN_ROWS learning rows; the limit makes the bound exact.
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, 1.2 * TRAIN_ROWS / max(n_texts, 1)) + 1)
-    chosen = texts.where(learn & part).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(TRAIN_ROWS).select("text")
-    trained = chosen.mapInArrow(examples, "mask int, features array<int>").collect()
+    # The texts stay behind while identifiers are drawn.
+    chosen_ids = hash_sample(texts.where(learn).select("doc_id").distinct(), TRAIN_ROWS, "doc_id")
+    chosen = texts.join(F.broadcast(chosen_ids), "doc_id").select("text")
+    trained = chosen.mapInArrow(examples, "mask int, features array<int>").limit(TRAIN_ROWS).collect()
     target = model.posterior(bits(np.array([r["mask"] for r in trained], np.int64), voters.count)) if trained else np.empty(0)
     weights, bias = fit_linear([r["features"] for r in trained], target, len(features)) if trained else (np.zeros(len(features)), -20.0)
     weight = {t: float(weights[i]) for t, i in features.items()}
