@@ -49,6 +49,12 @@ def source_targets(
     ).select("source", "source_size", "n_docs", "weight", "target")
 
 
+def hash_key(identifier, seed: int):
+    """Sixty bits of the MD5 of seed and identifier, as a long; a null identifier hashes as empty."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(identifier.cast("string"), F.lit(""))))
+    return F.conv(F.substr(digest, F.lit(1), F.lit(15)), 16, 10).cast("long")
+
+
 def mixture(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -73,17 +79,17 @@ def mixture(
             F.col(source_col).alias("source"),
             word_count(F.col(text_col)).alias("size"),
             F.xxhash64(F.col(text_col)).alias("_tie"),
-        ).withColumn("_key", F.xxhash64(F.lit(seed), F.col("doc_id"))),
+        ).withColumn("_key", hash_key(F.col("doc_id"), seed)),
         "sizes",
     )
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     targets = source_targets(totals, weights, share, max_epochs)
-    # Ranges of the hash: the unsigned top 31 bits, in as many equal parts as the source's rows need.
+    # Ranges of the hash: its top 31 bits, in as many equal parts as the source's rows need.
     n_ranges = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / rows_per_range))
     ranged = (
         rows.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
         .drop("_source")
-        .withColumn("_unit", F.shiftrightunsigned(F.col("_key").bitwiseXOR(F.lit(-(2**63))), 33))
+        .withColumn("_unit", F.shiftright("_key", 29))
         .withColumn("_range", F.floor(F.col("_unit") * n_ranges / F.lit(2**31)))
         .withColumn("_block", F.floor(F.col("_range") / RANGES_PER_BLOCK))
     )

@@ -83,6 +83,84 @@ FROM h
 """
 
 
+_LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+SQL_SOURCE_MIXING = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         ('0x' || substr(md5('20240229:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS k FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         CASE (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS w FROM d GROUP BY source
+), r AS (
+  SELECT *, 2.0 * source_size AS cap, 2.0 * source_size / w AS ratio FROM s
+), l AS (
+  SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+         / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r WINDOW o AS (ORDER BY ratio, source IS NULL, source)
+), t AS (
+  SELECT source, source_size, (CASE WHEN ratio <= level THEN cap ELSE w * (SELECT level FROM l WHERE ratio > level ORDER BY ratio LIMIT 1) END)::DOUBLE AS target FROM l
+), b AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target)::BIGINT AS budget,
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target, (CASE WHEN source_size = 0 THEN 0 ELSE
+  budget // source_size * size + least(size, greatest(0, budget % source_size - start)) END)::BIGINT AS taken FROM b
+"""
+
+SQL_SECRET_SCAN = r"""
+WITH d AS (SELECT doc_id, source AS owner, concat_ws('/', source, lang) AS repo, coalesce(text, '') AS t FROM documents),
+p(rank, kind, pat) AS (VALUES
+  (0, 'assign', '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+'),
+  (1, 'access', 'AKIA[A-Z0-9]+'), (2, 'hex', '[0-9a-f]+'), (3, 'opaque', '[A-Za-z0-9+/_=-]{20,}')),
+m AS (SELECT doc_id, owner, repo, rank, kind, regexp_extract_all(t, pat) AS hits, string_split_regex(t, pat) AS gaps FROM d, p WHERE regexp_matches(t, pat)),
+u AS (SELECT doc_id, owner, repo, rank, kind, unnest(range(1, len(hits) + 1)) AS pos, unnest(hits) AS hit, unnest(gaps[1:len(hits)]) AS gap FROM m),
+e AS (SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, rank ORDER BY pos) AS fin,
+        CASE rank WHEN 0 THEN regexp_extract(hit, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1) ELSE hit END AS value FROM u),
+s AS (SELECT doc_id, owner, repo, rank, kind, (fin - length(hit))::BIGINT AS start, fin::BIGINT AS fin, value FROM e
+      WHERE CASE rank WHEN 0 THEN length(value) >= 6 WHEN 1 THEN length(value) >= 20 WHEN 2 THEN length(value) >= 24
+            ELSE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[a-z]') END),
+v AS (SELECT value, CASE WHEN count(DISTINCT owner) >= 3 OR count(DISTINCT (owner, repo)) >= 6 THEN 'example' ELSE 'live' END AS verdict FROM s GROUP BY value),
+k AS (SELECT s.*, verdict, kind || ':' || start || ':' || fin AS lbl FROM s JOIN v USING (value)
+      WHERE rank < 3 OR verdict = 'live' AND NOT EXISTS (SELECT 1 FROM s b WHERE b.doc_id = s.doc_id AND b.rank < 3 AND b.start < s.fin AND b.fin > s.start)),
+g AS (SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+        coalesce(string_agg(lbl, ',' ORDER BY start, rank) FILTER (rank < 3), '') AS base, string_agg(lbl, ',' ORDER BY start, rank) AS spans,
+        count(*) FILTER (verdict = 'live') AS n_live, count(*) FILTER (verdict = 'example') AS n_example FROM k GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+       coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example FROM d LEFT JOIN g USING (doc_id)
+"""
+
+SQL_QUALITY_RULES = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)
+      WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+x AS (SELECT doc_id, i, w[i:i + 4] AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+r AS (SELECT doc_id, i FROM x QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1),
+c AS (SELECT doc_id, count(DISTINCT i + o) AS n_repeat_words FROM r, range(0, 5) AS s(o) GROUP BY doc_id),
+y AS (SELECT doc_id, count(*) AS n_stutters FROM (SELECT doc_id, w, unnest(range(2, len(w) + 1)) AS i FROM d) WHERE w[i] = w[i - 1] GROUP BY doc_id),
+m AS (SELECT d.doc_id, t, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+        (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines,
+        coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_stutters, 0) AS n_stutters, length(t) - length(regexp_replace(t, '[!?]', '', 'g')) AS marks,
+        length(regexp_replace(t, '[^\p{Lu}]', '', 'g')) AS upper, length(regexp_replace(t, '[^\p{L}]', '', 'g')) AS letters
+      FROM d LEFT JOIN l USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN y USING (doc_id)),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 10 * n_symbols > n_words OR 2 * marks > n_words OR 2 * upper > letters OR 2 * n_dup_lines > n_lines OR 5 * n_stutters > n_words
+            OR word_chars < 2 * n_words OR word_chars > 20 * n_words) AS kept FROM f
+"""
+
+SQL_SHINGLE_JOIN = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LETTERS}), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS sh FROM d),
+u AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n
+      HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reach(doc, other) AS (SELECT a, b FROM p UNION SELECT r.doc, p.b FROM reach r JOIN p ON r.other = p.a)
+SELECT doc_id, len(sh)::BIGINT AS n_shingles, least(doc_id, coalesce((SELECT min(other) FROM reach WHERE doc = doc_id), doc_id)) AS component_id FROM s
+"""
+
+
 def queries() -> dict:
     return {
         "op1_token_files": op1_token_files,
@@ -99,4 +177,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": SQL_EXACT_DEDUP}
+    return {
+        "op2_exact_dedup": SQL_EXACT_DEDUP,
+        "op3_source_mixing": SQL_SOURCE_MIXING,
+        "op5_secret_scan": SQL_SECRET_SCAN,
+        "op6_quality_rules": SQL_QUALITY_RULES,
+        "op8_shingle_join": SQL_SHINGLE_JOIN,
+    }
