@@ -27,6 +27,12 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.pii import pseudonym_report
+
+    return pseudonym_report(documents(spark, sf_dir), key="lodestone")
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.secrets import secret_report
 
@@ -166,6 +172,7 @@ def queries() -> dict:
         "op1_token_files": op1_token_files,
         "op2_exact_dedup": op2_exact_dedup,
         "op3_source_mixing": op3_source_mixing,
+        "op4_pseudonyms": op4_pseudonyms,
         "op5_secret_scan": op5_secret_scan,
         "op6_quality_rules": op6_quality_rules,
         "op7_toxicity": op7_toxicity,

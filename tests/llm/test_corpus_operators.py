@@ -439,3 +439,37 @@ def test_scratch_needs_a_shared_folder_off_local_masters():
     with pytest.raises(ValueError):
         scratch_root(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")))
     assert F is not None
+
+
+def test_pseudonyms(spark):
+    from lodestone.llm import pii
+
+    valid = [
+        ("card", "4709559030084884"), ("card", "4709-5590-3008-4884"), ("phone", "+1 (583) 555-8469"), ("phone", "583-555-8469"), ("ip", "39.197.112.39"),
+        ("date", "2024-02-29"), ("date", "29.02.2024"), ("ssn", "123-45-6789"), ("iban", "GB82 WEST 1234 5698 7654 32"), ("iban", "DE89370400440532013000"),
+        ("email", "bosbt.42@mail8.example.com"), ("phone", "+44 20 7946 0958"),
+    ]
+    invalid = ["4709559030084885", "256.1.1.1", "2023-02-29", "666-45-6789", "DE89370400440532013001", "18945874088f67dc", "1.2.3", "a@b", "", None]
+    rows = [(i, v, "s") for i, (_, v) in enumerate(valid)] + [(100 + i, v, "s") for i, v in enumerate(invalid)]
+    rows += [(200, f"é𝄞 {valid[0][1]}, {valid[4][1]}. {valid[0][1]}", "s"), (201, f"again {valid[0][1]}\n", "s"), (None, "plain", None)]
+    got = {r.doc_id: r for r in pii.pseudonym_report(frame(spark, rows), "k").collect()}
+    shape = lambda t: re.sub("[a-z]", "a", re.sub("[0-9]", "9", t))
+    for i, (kind, value) in enumerate(valid):
+        assert got[i].text != value and got[i].spans == f"{kind}:0:{len(value)}" and got[i][f"n_{kind}"] == 1
+        assert kind == "ip" or shape(got[i].text) == shape(value)
+    for i, value in enumerate(invalid):
+        assert got[100 + i].text == value and got[100 + i].spans == ""
+    card, ip = got[0].text, got[4].text
+    assert got[200].text == f"é𝄞 {card}, {ip}. {card}" and got[201].text == f"again {card}\n" and got[None].text == "plain"
+    digits = [int(c) for c in card]
+    assert sum(d if i % 2 else d * 2 - 9 * (d > 4) for i, d in enumerate(digits)) % 10 == 0
+    other = {r.doc_id: r.text for r in pii.pseudonym_report(frame(spark, rows), "another key").collect()}
+    assert other[0] != card and pii.pseudonym_report(frame(spark, []), "k").count() == 0
+
+
+def test_feistel_permutes(spark):
+    from lodestone.llm import pii
+
+    df = spark.range(229 * 40).select(pii.feistel(F.floor(F.col("id") / 229), F.pmod("id", F.lit(229)), F.lit(40), F.lit(229), "k", "t").alias("o")).select("o.*")
+    got = {(r.x, r.y) for r in df.collect()}
+    assert len(got) == 229 * 40 and max(got)[0] == 39 and {y for _, y in got} == set(range(229))
