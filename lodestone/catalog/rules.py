@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from lodestone.catalog import query
 from lodestone.catalog.data import TIER, rounded, tiered
 from lodestone.functions import scalars
-from lodestone.operators import constraints, governance, likeness, units
+from lodestone.operators import constraints, drift, governance, likeness, units
+from lodestone.plans import flows
 from lodestone.session import table
 from lodestone.streaming import monitors
 
@@ -304,3 +305,33 @@ def rate_limit(spark, d):
 @query("SELECT event_id, (props::JSON ->> 'k')::BIGINT AS k FROM events")
 def json_property(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+
+
+@query("""WITH a AS (SELECT l_quantity AS v, count(*) FILTER (l_orderkey % 2 = 0) AS a, count(*) FILTER (l_orderkey % 2 = 1 AND l_linenumber < 4) AS b FROM lineitem GROUP BY 1),
+c AS (SELECT abs(sum(a) OVER w / sum(a) OVER () - sum(b) OVER w / sum(b) OVER ()) AS d FROM a WINDOW w AS (ORDER BY v ROWS UNBOUNDED PRECEDING)) SELECT round(max(d), 6) AS ks FROM c""")
+def drift_distance(spark, d):
+    lines = table(spark, d, "lineitem")
+    return rounded(drift.kolmogorov_smirnov(lines.where("l_orderkey % 2 = 0"), lines.where("l_orderkey % 2 = 1 and l_linenumber < 4"), "l_quantity"), "ks")
+
+
+@query("""SELECT CASE WHEN doc_id % 2 = 0 THEN 'old' ELSE 'new' END AS release, count(*) AS n, round(avg((n_chars IS NULL)::INT), 6) AS null_rate, round(avg((lang = 'en')::INT), 6) AS positive_rate
+FROM documents GROUP BY 1""")
+def drift_summary(spark, d):
+    docs = table(spark, d, "documents").withColumn("y", (F.col("lang") == "en").cast("int"))
+    return rounded(drift.release_summary(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1"), "n_chars", "y"), "null_rate", "positive_rate")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F' AND l_linenumber <> 2")
+def endpoint_view(spark, d):
+    rows = table(spark, d, "lineitem").withColumn("gone", F.col("l_linenumber") == 2)
+    kinds = spark.createDataFrame([("R", "returned"), ("A", "accepted"), ("N", "none")], "l_returnflag string, kind string")
+    flows.endpoint_views(rows.where("l_linestatus = 'F'"), kinds, {"returned_lines": "returned", "accepted_lines": "accepted"}, "l_returnflag", "kind", "gone")
+    return spark.table("returned_lines").select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT count(*) AS n FROM events WHERE event_type <> 'view' AND event_id % 3 = 0 AND user_id % 10 = 8 AND event_id % 7 <> 0")
+def cross_species_anomalies(spark, d):
+    e = table(spark, d, "events")
+    cell = F.when(F.col("event_id") % 3 != 0, "cell")
+    hit = flows.cross_species(F.col("event_type"), cell, F.col("user_id") % 10, F.col("event_id") % 7 == 0, "view")
+    return e.where(hit).agg(F.count(F.lit(1)).alias("n"))

@@ -47,3 +47,25 @@ def envelope(scored: DataFrame, p: str, p_one: str, p_zero: str, verdict: str, s
         )
     )
     return out.withColumn("predicted", (F.col(p) >= 0.5).cast("int")).withColumn("warnings", warnings)
+
+
+def endpoint_views(measurements: DataFrame, endpoints: DataFrame, classes: dict[str, str], endpoint: str, kind: str, deleted: str) -> list[str]:
+    """One temporary view for each endpoint class, without deleted rows; returns the views' names."""
+    joined = measurements.where(~F.col(deleted)).join(endpoints, endpoint)
+    for view, name in classes.items():
+        joined.where(F.col(kind) == name).createOrReplaceTempView(view)
+    return list(classes)
+
+
+def cross_species(organism: Column, cell_type: Column, confidence: Column, flagged: Column, expected: str = "human") -> Column:
+    """Assays of another organism, of no stated cell type and middling confidence, not flagged yet."""
+    return organism.isNotNull() & (organism != expected) & cell_type.isNull() & (confidence == 8) & ~flagged
+
+
+def started_run(run: Column, at: Column) -> Column:
+    return F.struct(run.alias("run_id"), F.lit("started").alias("state"), at.alias("at"))
+
+
+def completed_run(run: Column, at: Column, parsed: Column, imported: Column) -> Column:
+    """An event of its own: the latest event of a run is its state."""
+    return F.struct(run.alias("run_id"), F.lit("completed").alias("state"), at.alias("at"), parsed.alias("parsed"), imported.alias("imported"))
