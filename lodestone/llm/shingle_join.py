@@ -32,10 +32,10 @@ from lodestone.llm.common import materialize, row_key, salted_lookup, staying_ro
 
 WORDS = 5
 SIMILARITY = 75  # in hundredths
-HASHES_PER_RANGE = 4_000_000
+HASHES_PER_RANGE = 2_000_000
 LEAST_RANGES = 8
-_BLOCK_HASHES, _BLOCK_NODES, _MEMORY = 1_000_000, 4_096, 400_000
-_LOW = 40
+_BLOCK_HASHES, _BLOCK_NODES, _MEMORY = 1_000_000, 4_096, 200_000
+_LOW, _NODE_BITS = 40, 24
 _SALTS = 64
 #: Buckets up to so many nodes give their remaining pairs as rows; larger ones are compared in blocks.
 SMALL_BUCKET, BLOCK = 32, 512
@@ -144,8 +144,8 @@ def _blocks(words: int, ranges: int):
     return run
 
 
-def _parsed(payload: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = int.from_bytes(payload[:4], "little")
+def _parsed(payload, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(payload, "<u4", 1)[0])
     keys = np.frombuffer(payload, "V16", n, 4)
     counts = np.frombuffer(payload, "<u4", n, 4 + 16 * n)
     return keys, counts.astype(np.int64), np.frombuffer(payload, np.uint8, -1, 4 + 20 * n).reshape(-1, width)
@@ -168,24 +168,30 @@ def _shared(buckets: int):
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         at = key[0].as_py()
-        parsed = [_parsed(p, 5) for p in table.column("payload").to_pylist()]
-        names = np.concatenate([p[0] for p in parsed])
-        counts = np.concatenate([p[1] for p in parsed])
-        low = _wide(np.concatenate([p[2] for p in parsed]))
-        first = np.unique(names, return_index=True)[1]  # a set in several blocks is one node
-        use = np.zeros(len(names), bool)
-        use[first] = True
-        keep = np.repeat(use, counts)
-        owner = np.repeat(np.arange(len(names)), counts)[keep]
-        low = low[keep]
-        order = np.argsort(low, kind="stable")
-        ordered = low[order]
-        begins = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.empty(0, np.int64)
-        runs = np.diff(np.append(begins, len(ordered)))
-        many = np.empty(len(low), np.int64)
-        many[order] = np.repeat(runs, runs)
-        pick = many > 1
-        owner, low, code = owner[pick], low[pick], _code(many[pick])
+        # A hash's low bits and its node's number share a word, so one sort in place does it all.
+        seen: dict[bytes, None] = {}
+        parts = []
+        for payload in table.column("payload"):
+            keys, counts, low = _parsed(payload.as_buffer(), 5)
+            first = np.empty(len(keys), np.int64)
+            for i, k in enumerate(keys.tolist()):
+                first[i] = -1 if k in seen else len(seen)  # a set in several blocks is one node
+                seen.setdefault(k)
+            owner = np.repeat(first, counts)
+            own = owner >= 0
+            parts.append(_wide(low[own]) << np.uint64(_NODE_BITS) | owner[own].astype(np.uint64))
+        if len(seen) >= 1 << _NODE_BITS:
+            raise ValueError("more nodes in a range than its numbers can tell apart; lower hashes_per_range")
+        both = np.concatenate(parts)
+        del parts
+        both.sort()
+        low = both >> np.uint64(_NODE_BITS)
+        begins = np.flatnonzero(np.append(True, low[1:] != low[:-1])) if len(low) else np.empty(0, np.int64)
+        runs = np.diff(np.append(begins, len(low)))
+        pick = np.repeat(runs > 1, runs)
+        code = np.repeat(_code(runs[runs > 1]), runs[runs > 1])
+        owner, low = (both[pick] & np.uint64((1 << _NODE_BITS) - 1)).astype(np.int64), low[pick]
+        names = np.frombuffer(b"".join(seen), "V16")
         raw = names.view(np.uint8).reshape(-1, 16)
         home = (raw[:, 0].astype(np.int64) << 16 | raw[:, 1].astype(np.int64) << 8 | raw[:, 2]) % buckets
         rows, to = [], []
@@ -214,8 +220,8 @@ def _survivors(similarity: int):
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         names, counts, hashes, codes = [], [], [], []
-        for at, payload in zip(table.column("range").to_pylist(), table.column("payload").to_pylist()):
-            k, c, raw = _parsed(payload, 6)
+        for at, payload in zip(table.column("range").to_pylist(), table.column("payload")):
+            k, c, raw = _parsed(payload.as_buffer(), 6)
             names.append(k)
             counts.append(c)
             hashes.append(_wide(raw[:, :5]) | np.uint64(at << _LOW))
