@@ -449,8 +449,9 @@ def similar_groups(
     me = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie")
     by_key = full.groupBy("key").agg(F.min(me).alias("_first"))
     placed = by_key.join(nodes.select("key", "label"), "key", "left")
-    by_label = placed.where("label is not null").groupBy("label").agg(F.min("_first").alias("_least"))
-    entries = placed.join(by_label, "label", "left").select("key", F.coalesce("_least", "_first").alias("first"))
+    linked, alone = placed.where("label is not null"), placed.where("label is null")
+    by_label = linked.groupBy("label").agg(F.min("_first").alias("first"))
+    entries = linked.join(by_label, "label").select("key", "first").unionByName(alone.select("key", F.col("_first").alias("first")))
     columns = ["doc_id", "tie", "n_shingles", "first"]
     return salted_lookup(full, ["key"], entries, "_salt").select(*columns).unionByName(
         sizes.where("n_shingles = 0").withColumn("first", me).select(*columns)
