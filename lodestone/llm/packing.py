@@ -27,7 +27,7 @@ WINDOW = 2048
 OPEN_WINDOWS = 64
 #: Smaller gaps are padded rather than filled by the head of a document.
 LEAST_CUT = 24
-FAN_IN = 32
+FAN_IN = 8
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
     "ids binary, open boolean, group long"
