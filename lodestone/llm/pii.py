@@ -14,13 +14,38 @@ from pyspark.sql import functions as F
 KINDS = ("email", "iban", "ssn", "date", "ip", "phone", "card")
 _LEFT, _RIGHT = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
-IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
+#: Countries by the length of their IBAN.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST",
+    26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD", 28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_form(length: int) -> str:
+    fours, rest = divmod(length - 4, 4)
+    return f"(?:{IBAN_LENGTHS[length].replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{fours}}}" + (f" ?[A-Z0-9]{{{rest}}}" if rest else "")
+
+
+#: The country's length, so that a word after it stays out; other codes and lengths in one word only.
+IBAN = rf"(?=[A-Z]{{2}}[0-9]{{2}})(?:{'|'.join(map(_iban_form, IBAN_LENGTHS))})|[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{8,31}}"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
-DATE = r"(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}([./])[0-9]{1,2}\1(?:19|20)[0-9]{2}"
+DATE = r"(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}(?:\.[0-9]{1,2}\.|/[0-9]{1,2}/)(?:19|20)[0-9]{2}"
 IP = r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}"
 NANP = r"(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\)[ .-]?|[2-9][0-9]{2}[.-])[2-9][0-9]{2}[ .-][0-9]{4}"
-ABROAD = r"\+[2-9][0-9]{0,2}(?:[ .-]?\(?[0-9]{2,4}\)?){2,5}"
-CARD = r"[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}"
+SPACED_CARD = r"[0-9]{4}(?:[ -][0-9]{4}){3}(?:[ -][0-9]{3}(?![./-]?[0-9]))?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}"
+CARD = rf"[0-9]{{13,19}}|{SPACED_CARD}"
+#: Country codes by the number of digits after them, where all or nearly all numbers have it.
+PLANS = {8: "45|47|65|852", 9: "27|31|33|34|41|48|61|351|420", 10: "7|30|44|52|90|91"}
+#: After a space no group of a phone number begins another value.
+_CARD_NEXT = r"(?:[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}(?:-[0-9]{4}){3})(?![ -][0-9]{4}(?![0-9]))|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}"
+_GAP = rf"(?: (?!(?:{DATE}|{SSN}|{IP}|{_CARD_NEXT}){_RIGHT})|[.-])?"
+_NEXT = rf"{_GAP}\(?[0-9]{{2,4}}\)?"
+ABROAD = (
+    "|".join(rf"\+(?:{codes})(?=[ .(-]|[0-9]{{{n}}}{_RIGHT})(?:{_GAP}\(?[0-9]\)?){{{n}}}" for n, codes in PLANS.items())
+    + rf"|\+[2-9][0-9]{{0,2}}(?:{_NEXT}){{2}}(?:(?! (?:{NANP}){_RIGHT}){_NEXT}){{0,3}}"
+)
 ANY = (
     f"{EMAIL}|{_LEFT}(?:{IBAN}){_RIGHT}|{_LEFT}(?<!-)(?:{SSN})(?!-){_RIGHT}|{_LEFT}(?<![./-])(?:{DATE})(?![./-][0-9]){_RIGHT}"
     f"|{_LEFT}(?<!\\.)(?:{IP})(?!\\.[0-9]){_RIGHT}|{_LEFT}(?:{NANP}|{ABROAD}){_RIGHT}|{_LEFT}(?:{CARD}){_RIGHT}"
@@ -214,6 +239,15 @@ def kind_of(m: Column) -> Column:
     )
 
 
+def shortened(m: Column) -> Column:
+    """The part of a match that can be valid: of a phone number the groups up to 15 digits, and of a card of
+    19 digits in groups without a right check digit the first 16."""
+    digits = F.regexp_replace(m, "[^0-9]", "")
+    phone = m.startswith(F.lit("+")) & (F.length(digits) > 15)
+    card = m.rlike("^[0-9]{4}(?:[ -][0-9]{4}){3}[ -][0-9]{3}$") & (F.pmod(luhn_sum(digits), F.lit(10)) != 0)
+    return F.when(phone, F.regexp_extract(m, rf"^\+(?:[ .()-]*[0-9]){{1,15}}\)?{_RIGHT}", 0)).when(card, F.left(m, F.lit(19))).otherwise(m)
+
+
 def pseudonym(m: Column, kind: Column, key: str) -> Column:
     """The value's pseudonym, or null where it isn't valid for its kind."""
     makers = {"email": _email, "iban": _iban, "ssn": _ssn, "date": _date, "ip": _ip, "phone": _phone, "card": _card}
@@ -231,11 +265,17 @@ def pseudonymised(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     pass through.
     """
     text = F.col(text_col)
-    none = F.array().cast("array<struct<gap:string,value:string,kind:string,new:string>>")
+    none = F.array().cast("array<struct<gap:string,value:string,kind:string,new:string,rest:string>>")
     pieces, values = F.split(text, ANY), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
-    hits = F.zip_with(F.slice(pieces, F.lit(1), F.size(values)), values, lambda gap, m: F.struct(gap.alias("gap"), m.alias("value"), kind_of(m).alias("kind")))
+    hits = F.zip_with(
+        F.slice(pieces, F.lit(1), F.size(values)), values, lambda gap, m: F.struct(gap.alias("gap"), shortened(m).alias("value"), m.alias("all"), kind_of(m).alias("kind"))
+    )
     hits = F.transform(
-        hits, lambda h: F.struct(h["gap"].alias("gap"), h["value"].alias("value"), h["kind"].alias("kind"), pseudonym(h["value"], h["kind"], key).alias("new"))
+        hits,
+        lambda h: F.struct(
+            h["gap"].alias("gap"), h["value"].alias("value"), h["kind"].alias("kind"), pseudonym(h["value"], h["kind"], key).alias("new"),
+            F.substr(h["all"], F.length(h["value"]) + 1).alias("rest"),
+        ),
     )
     some = text.rlike(ANY)
     out = df.withColumn("_hits", F.when(some, hits).otherwise(none)).withColumn("_tail", F.when(some, F.element_at(pieces, -1)))
@@ -244,7 +284,7 @@ def pseudonymised(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
         "_hits",
         start,
         lambda s, h: F.struct(
-            (s["at"] + F.length(h["gap"]) + F.length(h["value"])).alias("at"),
+            (s["at"] + F.length(h["gap"]) + F.length(h["value"]) + F.length(h["rest"])).alias("at"),
             F.when(
                 h["new"].isNotNull(),
                 F.array_append(
@@ -255,7 +295,7 @@ def pseudonymised(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
         ),
         lambda s: s["found"],
     )
-    new = F.concat(F.array_join(F.transform("_hits", lambda h: F.concat(h["gap"], F.coalesce(h["new"], h["value"]))), ""), "_tail")
+    new = F.concat(F.array_join(F.transform("_hits", lambda h: F.concat(h["gap"], F.coalesce(h["new"], h["value"]), h["rest"])), ""), "_tail")
     return out.withColumn("_found", found).withColumn(text_col, F.when(F.size("_hits") > 0, new).otherwise(text)).drop("_hits", "_tail")
 
 

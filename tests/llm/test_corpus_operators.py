@@ -467,6 +467,28 @@ def test_pseudonyms(spark):
     assert other[0] != card and pii.pseudonym_report(frame(spark, []), "k").count() == 0
 
 
+def test_pseudonyms_with_neighbours(spark):
+    from lodestone.llm import pii
+
+    iban = ["ES91 2100 0418 4502 0005 1332", "ES9121000418450200051332", "AT611904300234573201", "BE68 5390 0754 7034", "GB82 WEST 1234 5698 7654 32"]
+    cards = ["3782 822463 10005", "3782-822463-10005", "4709 5590 3008 4884", "4709559030084884", "6304 0000 0000 0000 000"]
+    values = [("iban", v) for v in iban] + [("card", v) for v in cards]
+    values += [("phone", "+44 20 7946 0958"), ("phone", "+49 30 1234 5678"), ("phone", "+1 (583) 555-8469"), ("ssn", "123-45-6789"), ("date", "2024-02-28")]
+    words, others = [" BIC", " NOW", ", 12", " is 2024", "\n"], [("date", "2024-02-29"), ("ssn", "123-45-6780"), ("ip", "39.197.112.39"), ("card", "4709-5590-3008-4884"), ("card", "3782 822463 10005")]
+    cases = [(v, w, None) for v in values for w in words] + [(v, " ", o) for v in values for o in others]
+    cases += [(("phone", "+44 20 7946 0958"), " 12", None), (("card", "4709 5590 3008 4884"), " 123", None), (("card", "4709 5590 3008 4884"), " 2024", None)]
+    cases += [(("phone", "+49 30 1234 5678"), " 5555", None), (("phone", "+33 1 23 45 67 89"), " 10", None)]
+    cases += [(("iban", v), w, None) for v in iban[:4] for w in (" 2024", " 12", " A1")]
+    got = pii.pseudonym_report(frame(spark, [(i, v[1] + gap + (o[1] if o else ""), "s") for i, (v, gap, o) in enumerate(cases)]), "k").collect()
+    assert len(got) == len(cases)
+    for r in got:
+        (kind, value), gap, other = cases[r.doc_id]
+        at = len(value) + len(gap)
+        assert r.spans == f"{kind}:0:{len(value)}" + (f",{other[0]}:{at}:{at + len(other[1])}" if other else ""), (value, gap, other, r.spans)
+        assert not r.text.startswith(value) and r.text[len(value) : at] == gap
+        assert other is None or other[1] not in r.text
+
+
 def test_feistel_permutes(spark):
     from lodestone.llm import pii
 
