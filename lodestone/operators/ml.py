@@ -23,10 +23,10 @@ def balanced_weight(df: DataFrame, label: str, out: str = "weight") -> DataFrame
     return df.join(F.broadcast(sizes.crossJoin(total)), label).withColumn(out, F.col("_all") / (2 * F.col("_n"))).drop("_n", "_all")
 
 
-def candidates(label: str, weight: str, seed: int = 42, trees: tuple[int, ...] = (50,), depths: tuple[int, ...] = (8,)) -> dict:
+def candidates(label: str, weight: str, seed: int = 42, trees: tuple[int, ...] = (50,), depths: tuple[int, ...] = (8,), rounds: int = 10) -> dict:
     common = {"featuresCol": "features", "labelCol": label, "weightCol": weight}
     found = {f"rf_{t}_{d}": RandomForestClassifier(numTrees=t, maxDepth=min(d, 30), seed=seed, **common) for t in trees for d in depths}
-    return found | {"gbm": GBTClassifier(maxIter=10, maxDepth=3, seed=seed, **common), "lr": LogisticRegression(regParam=0.01, **common)}
+    return found | {"gbm": GBTClassifier(maxIter=rounds, maxDepth=3, seed=seed, **common), "lr": LogisticRegression(regParam=0.01, **common)}
 
 
 def scored(model, df: DataFrame, out: str = "p") -> DataFrame:
