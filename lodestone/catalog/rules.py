@@ -236,6 +236,11 @@ def redact_text(spark, d):
     return table(spark, d, "nation").where("n_name not like '% %'").select("n_nationkey", scalars.redact(text).alias("safe"))
 
 
+@query()
+def redact_documents(spark, d):
+    return table(spark, d, "documents").select("doc_id", scalars.redact(F.col("text")).alias("safe"))
+
+
 @query("""SELECT p_partkey, substr('01ARZ3NDEKTSV4RRFFQ69G5FAV', 1, 26) AS ulid, 1469922850259::BIGINT AS millis, 'cmp_01ARZ3NDEKTSV4RRFFQ69G5FAV' AS public, 'cmp' AS prefix, left('ABCDEFGHIJKLMN-OPQ', 14) AS skeleton, 'C6H6' AS formula FROM part""")
 def identifiers(spark, d):
     u = F.lit("01ARZ3NDEKTSV4RRFFQ69G5FAV")
@@ -264,6 +269,11 @@ def unit_conversion(spark, d):
     return table(spark, d, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_linenumber", scalars.canonical_value(F.col("l_extendedprice"), F.lit("0.001")).cast("double").alias("canonical"))
 
 
+@query("SELECT l_orderkey, l_linenumber, (l_extendedprice::DECIMAL(18,6) * 0.001)::DOUBLE AS canonical FROM lineitem")
+def unit_conversion_lines(spark, d):
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", scalars.canonical_value(F.col("l_extendedprice"), F.lit("0.001")).cast("double").alias("canonical"))
+
+
 @query("SELECT p_partkey, round(greatest(0.6931471805599453 * p_size / 5 / 3, 3 / (0.6931471805599453 * p_size / 5)), 6) AS fold, round((p_size / 50.0 * 0.6 + 0.5 * 0.4), 6) AS score FROM part")
 def consistency_scores(spark, d):
     return table(spark, d, "part").select(

@@ -108,23 +108,32 @@ def toolchain_id(tool: Column, python: Column, pipeline: Column) -> Column:
     return F.concat(F.lit("chem-"), tool, F.lit("__python-"), python, F.lit("__stdpipe-"), pipeline)
 
 
+#: Bracket atoms, rings closed beside aromatic atoms, explicit bonds and branches.
+EVIDENCE = r"\[[A-Za-z][A-Za-z0-9@+\-]{0,8}\]|[bcnops]{2,}[0-9]|[0-9][bcnops]{2,}|[A-Z][=#][A-Za-z(\[]|\)[=#]?[A-Z]|\([=#][A-Z]"
+
+
 def redact(text: Column) -> Column:
-    """Structure keys, structure strings and long structure-like tokens replaced by a mark."""
-    text = F.regexp_replace(text, r"InChI=[^ ]+", "[REDACTED]")
-    text = F.regexp_replace(text, r"[A-Z]{14}-[A-Z]{10}-[A-Z]", "[REDACTED]")
-    return F.array_join(F.transform(F.split(text, " "), lambda w: F.when(looks_like_structure(w), "[REDACTED]").otherwise(w)), " ")
+    """Structure keys, structure strings and structure-like tokens replaced by a mark; a token may end in punctuation."""
+    mark = "[REDACTED]"
+    text = F.regexp_replace(text, r"InChI=1S?/[^\s\"']+", mark)
+    text = F.regexp_replace(text, r"\b[A-Z]{14}-[A-Z]{10}-[A-Z]\b", mark)
+
+    def replaced(w: Column) -> Column:
+        body = F.regexp_replace(w, "[.,;:!?\"']+$", "")
+        found = F.when(looks_like_structure(w), mark).when(looks_like_structure(body), F.concat(F.lit(mark), F.substr(w, F.length(body) + 1)))
+        return F.when(~w.rlike(EVIDENCE) | F.contains(w, F.lit(mark)), w).otherwise(F.coalesce(found, w))
+
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"(?U)\S+|\s+"), F.lit(0)), replaced), "")
 
 
 def looks_like_structure(word: Column) -> Column:
     """A line notation of a structure: of its alphabet, with evidence of bonds, rings or branches, and
     none of the things that only look like one (identifiers, digests, paths, times)."""
     n = F.length(word)
-    letters = F.length(F.regexp_replace(word, "[^A-Za-z]", ""))
-    slashes = F.length(F.regexp_replace(word, "[^/]", ""))
+    count = lambda kept: F.length(F.regexp_replace(word, kept, ""))
     return (
-        n.between(6, 5000) & ~F.contains(word, F.lit(":")) & ~word.rlike("^[0-9a-f]{12,}$") & ~in_domain(word, "ulid")
-        & (slashes <= 1) & (letters >= 3) & word.rlike(r"^[A-Za-z0-9@+\-\[\]()=#/\\.%]+$") & word.rlike(r"[()=#\[\]@]|[a-zA-Z][0-9]")
-        & word.rlike(r"[cCnNoOsS]")
+        n.between(6, 5000) & word.rlike(r"^[A-Za-z0-9@+\-\[\]()=#$/\\.%]+$") & ~word.rlike("^[0-9a-f]{12,}$") & ~in_domain(word, "ulid")
+        & (count("[^/]") <= 1) & (count(r"[^\\]") <= 1) & (count("[^A-Za-z]") >= 3) & word.rlike(EVIDENCE)
     )
 
 

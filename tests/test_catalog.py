@@ -67,3 +67,43 @@ def test_models_have_the_references_parameters(spark, monkeypatch):
     QUERIES["y_scramble"](spark, FOLDER)
     grid = {f"rf_{t}_{d}": (t, d) for t in (200, 500) for d in (30, 20)} | {"gbm": 100}
     assert seen == [grid, grid, ("LogisticRegression", 10)]
+
+
+def redacted(text):
+    """The reference's rules, word by word."""
+    import re
+
+    def structure(t):
+        return (
+            6 <= len(t) <= 5000 and re.fullmatch(r"[A-Za-z0-9@+\-\[\]()=#$:/\\.%]+", t) and ":" not in t and not re.fullmatch("[0-9a-f]{12,}", t)
+            and not re.fullmatch("[0-9A-HJKMNP-TV-Z]{26}", t) and t.count("/") <= 1 and t.count("\\") <= 1 and sum(c.isalpha() for c in t) >= 3
+            and re.search(r"\[[A-Za-z][A-Za-z0-9@+\-]{0,8}\]|[bcnops]{2,}\d|\d[bcnops]{2,}|[A-Z][=#][A-Za-z(\[]|\)[=#]?[A-Z]|\([=#][A-Z]", t)
+        )
+
+    def one(m):
+        t = m.group()
+        body = t.rstrip(".,;:!?\"'")
+        if "[REDACTED]" in t:
+            return t
+        return "[REDACTED]" if structure(t) else "[REDACTED]" + t[len(body) :] if structure(body) else t
+
+    text = re.sub(r"InChI=1S?/[^\s\"']+", "[REDACTED]", text)
+    return re.sub(r"\S+", one, re.sub(r"\b[A-Z]{14}-[A-Z]{10}-[A-Z]\b", "[REDACTED]", text))
+
+
+@needs_tables
+def test_redaction_of_documents(spark, db, tmp_path):
+    texts = [
+        "one\nCC(=O)Oc1ccccc1C(=O)O\ttwo", "see CC(=O)Oc1ccccc1, then (c1ccccc1).", "f(x) is A[0]; utf8 abc123 covid19", "InChI=1S/CH4/h1H4\nnext line",
+        "'ABCDEFGHIJKLMN-OPQRSTUVWX-Y' xABCDEFGHIJKLMN-OPQRSTUVWX-Y", "C=O C#N [nH]cc C[C@@H](N)C 0123456789abcdef a/b/c(=O)C t:C=OCCC", "  \n ", "", None,
+    ]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.safe for r in QUERIES["redact_documents"](spark, str(tmp_path)).collect()}
+    assert got == {i: t if t is None else redacted(t) for i, t in enumerate(texts)} and got[0] == "one\n[REDACTED]\ttwo"
+    want = {k: t if t is None else redacted(t) for k, t in db.execute("SELECT doc_id, text FROM documents").fetchall()}
+    assert {r.doc_id: r.safe for r in QUERIES["redact_documents"](spark, FOLDER).collect()} == want
+
+
+@needs_tables
+def test_unit_conversion_of_every_line(spark, db):
+    assert QUERIES["unit_conversion_lines"](spark, FOLDER).count() == db.execute("SELECT count(*) FROM lineitem").fetchone()[0]
