@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own_root: list[str] = []
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -29,13 +26,17 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+_own_root: list[str] = []
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a local one only where the master is local."""
+    """The folder that driver and executors share, as the session names it. Where it names none and
+    the master is a single local process, a temporary folder; on a cluster that is an error."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own_root:
         _own_root.append("file://" + tempfile.mkdtemp(prefix="spark-lodestone-"))
     return _own_root[0]
@@ -52,6 +53,32 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one job in a folder of its own; those that later ones replace are dropped."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.paths = spark, scratch_path(spark, "job"), {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """df as a written table; of earlier tables of this name only the last is kept."""
+        earlier = self.paths.setdefault(name, [])
+        path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        for old in earlier[:-1]:
+            self._delete(old)
+        self.paths[name] = [*earlier[-1:], path]
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Tables that no later plan reads."""
+        for path in (p for n in names for p in self.paths.pop(n, [])):
+            self._delete(path)
+
+    def _delete(self, path: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def salted_lookup(
     rows: DataFrame, keys: list[str], entries: DataFrame, salt: str, how: str = "inner"
 ) -> DataFrame:
@@ -64,17 +91,28 @@ def salted_lookup(
     return rows.join(pairs.join(entries, keys), [*keys, salt], how)
 
 
-def row_key(id_col: str, digest: Column) -> Column:
-    """A string that tells rows apart by identifier, null included, and by a digest of the text."""
-    return F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("-")), digest.cast("string"))
+def row_key(*parts: str | Column) -> Column:
+    """A string that tells rows apart by the parts, nulls included."""
+    text = [(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts]
+    return F.concat_ws("|", *[F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in text])
+
+
+def quoted(df: DataFrame) -> list[Column]:
+    """df's columns, whatever their names are."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
-def staying_rows(df: DataFrame, key: Column, entries: DataFrame) -> DataFrame:
-    """df joined with entries (_row, ...) on key; rows with one key are alike and one of them stays.
+def staying_rows(df: DataFrame, key: Column, entries: DataFrame, *extra: str) -> DataFrame:
+    """df's rows whose key is in entries (_row, ...), with the extra columns of the entries.
 
-    The texts are dealt out once: the rows of a key lie together for the join and for the choice.
+    Of rows with one key the one with the smallest hash of the whole row stays, so reruns agree. df's
+    columns travel as one struct, so their names clash with none; the texts are dealt out once, as
+    the rows of a key lie together for the join and for the choice. With extra columns the result
+    is that struct, _df, and them.
     """
-    return df.withColumn("_row", key).join(entries, "_row").dropDuplicates(["_row"])
+    rows = df.select(F.struct(*quoted(df)).alias("_df"), key.alias("_row"), F.xxhash64(*quoted(df)).alias("_tie"))
+    one = rows.join(entries, "_row").groupBy("_row").agg(F.min_by("_df", "_tie").alias("_df"), *[F.first(c).alias(c) for c in extra])
+    return one.select("_df", *extra) if extra else one.select("_df.*")
 
 
 def hash_sample(df: DataFrame, rows: int, *keys: str) -> DataFrame:

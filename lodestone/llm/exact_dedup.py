@@ -73,5 +73,5 @@ def drop_duplicates(
 ) -> DataFrame:
     """The rows of df that stay, with all its columns; of fully repeated rows one stays."""
     groups = duplicate_groups(df, id_col, text_col, fan_in).where("kept")
-    kept = groups.select(row_key("doc_id", F.col("text_sha256")).alias("_row")).distinct()
-    return staying_rows(df, row_key(id_col, F.sha2(squeezed(F.col(text_col)), 256)), kept).select(*df.columns)
+    kept = groups.select(row_key("doc_id", "text_sha256").alias("_row")).distinct()
+    return staying_rows(df, row_key(id_col, F.sha2(squeezed(F.col(text_col)), 256)), kept)

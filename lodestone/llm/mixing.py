@@ -133,12 +133,16 @@ def mixture(
 def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself, with df's columns: whole documents once per epoch that takes them, and the
     document at a source's cut with its first words only. Documents of which nothing is taken go;
-    an n_chars column is set anew for the cut text."""
-    row = row_key(id_col, F.xxhash64(text_col))
+    an n_chars column is set anew for the cut text.
+
+    Rows that agree in identifier, text and source, nulls included, share what is taken from all of
+    them, and the one with the smallest hash of the whole row carries it. Null and empty texts have no
+    words, so nothing of them is taken. An empty table gives no rows; df's names clash with none.
+    """
     # Alike rows share what is taken from all of them; one of them carries it.
     takes = (
         mixture(df, id_col, text_col, source_col, **options)
-        .groupBy(row_key("doc_id", F.col("_tie")).alias("_row"))
+        .groupBy(row_key("doc_id", "_tie", "source").alias("_row"))
         .agg(F.sum("taken").alias("_taken"), F.max("size").alias("_size"))
         .where("_taken > 0")
         .withColumn("_whole", F.floor(F.col("_taken") / F.col("_size")))
@@ -147,13 +151,13 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     whole = F.array_repeat("_size", F.col("_whole").cast("int"))
     rest = F.when(F.col("_rest") > 0, F.array("_rest")).otherwise(F.array().cast("array<bigint>"))
     takes = takes.select("_row", "_size", F.concat(whole, rest).alias("_words"))
-    pieces = staying_rows(df, row, takes).withColumn("_take", F.explode("_words"))
+    row = row_key(id_col, F.xxhash64(text_col), source_col)
+    pieces = staying_rows(df, row, takes, "_size", "_words").withColumn("_take", F.explode("_words"))
+    own = lambda c: F.col("_df").getField(c)
     # Pieces that each begin at a word's start; the first may hold leading space.
-    word_ends = F.split(F.col(text_col), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    cut = F.when(F.col("_take") >= F.col("_size"), F.col(text_col)).otherwise(
+    word_ends = F.split(own(text_col), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    cut = F.when(F.col("_take") >= F.col("_size"), own(text_col)).otherwise(
         F.array_join(F.slice(word_ends, F.lit(1), F.col("_take").cast("int")), "")
     )
-    out = pieces.withColumn(text_col, cut)
-    if "n_chars" in df.columns:
-        out = out.withColumn("n_chars", F.length(text_col).cast("long"))
-    return out.select(*df.columns)
+    changed = {text_col: cut} | ({"n_chars": F.length(cut).cast("long")} if "n_chars" in df.columns else {})
+    return pieces.select(*[changed.get(c, own(c)).alias(c) for c in df.columns])
