@@ -46,11 +46,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/lodestone/{uuid.uuid4().hex}/{name}"
 
 
+#: Rows of an Arrow batch while a table of ours is written: texts may be long, and a batch lies in the
+#: executor and in its Python worker.
+BATCH_ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """df as a Parquet table at path, read back: lineage ends there."""
+    spark = df.sparkSession
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(int(before) if int(before) > 0 else BATCH_ROWS, BATCH_ROWS)))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df as a table in the shared folder and read it back."""
+    return written(df, scratch_path(df.sparkSession, name))
 
 
 class Scratch:
@@ -59,15 +75,16 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.folder, self.paths = spark, scratch_path(spark, "job"), {}
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        """df as a written table; of earlier tables of this name only the last is kept."""
+    def write(self, df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+        """df as a written table, in so many files at most; of earlier tables of this name only the
+        last is kept."""
         earlier = self.paths.setdefault(name, [])
         path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        out = written(df.coalesce(files) if files else df, path)
         for old in earlier[:-1]:
             self._delete(old)
         self.paths[name] = [*earlier[-1:], path]
-        return self.spark.read.schema(df.schema).parquet(path)
+        return out
 
     def drop(self, *names: str) -> None:
         """Tables that no later plan reads."""

@@ -38,7 +38,9 @@ WORDS = 5
 SIMILARITY = 75  # in hundredths
 HASHES_PER_RANGE = 2_000_000
 LEAST_RANGES = 8
-_BLOCK_HASHES, _BLOCK_NODES, _MEMORY = 1_000_000, 4_096, 100_000
+_BLOCK_HASHES, _BLOCK_NODES, _MEMORY = 500_000, 4_096, 100_000
+#: Nodes to a file of narrow rows (node, label): some dozen bytes each.
+_NODES_PER_FILE = 500_000
 #: Bytes of a hash that travel; the range holds the first bits.
 _WIDTH = 7
 _SALTS = 64
@@ -466,21 +468,21 @@ def _asked(similarity: int):
     return run
 
 
-def components(links: DataFrame, scratch: Scratch) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch, files: int) -> DataFrame:
     """(node, label) for the nodes of links (a, b): label is the smallest node of its component.
 
     Rounds of the smallest neighbouring label and of label-of-label, each a written table; a round's
     table replaces the one before. Hubs are join keys of one row against many, which adaptive
     execution splits, and are pre-aggregated before they are shuffled.
     """
-    both = scratch.write(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
+    both = scratch.write(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links", files)
     labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label"))
-    labels = scratch.write(labels, "labels")
+    labels = scratch.write(labels, "labels", files)
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("m"))
         hooked = labels.join(near, labels.node == near.a).select("node", F.col("label").alias("was"), F.least("label", "m").alias("to"))
         up = labels.select(F.col("node").alias("to"), F.col("label").alias("top"))
-        moved = scratch.write(hooked.join(up, "to").select("node", "was", F.col("top").alias("label")), "labels")
+        moved = scratch.write(hooked.join(up, "to").select("node", "was", F.col("top").alias("label")), "labels", files)
         labels = moved.select("node", "label")
         if not moved.where("was <> label").limit(1).count():
             scratch.drop("links")
@@ -509,22 +511,22 @@ def _prefixes(order: int, similarity: int):
 class _Clusters:
     """Members (node, label, n) of components of candidates, apart by whether a component fits a task."""
 
-    def __init__(self, members: DataFrame, scratch: Scratch, turn: int = 0):
+    def __init__(self, members: DataFrame, scratch: Scratch, files: int, turn: int = 0):
         size = members.groupBy("label").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("hashes")).where("nodes > 1")
         large = (F.col("nodes") > CLUSTER_NODES) | (F.col("hashes") > CLUSTER_HASHES)
-        placed = scratch.write(members.join(size, "label").withColumn("large", large), f"members-{turn}")
+        placed = scratch.write(members.join(size, "label").withColumn("large", large), f"members-{turn}", files)
         self.small, self.large = placed.where("not large"), placed.where("large")
         self.count = self.large.select("label").distinct().count()
 
 
-def _cut(members: DataFrame, sets: DataFrame, order: int, similarity: int, scratch: Scratch) -> DataFrame:
+def _cut(members: DataFrame, sets: DataFrame, order: int, similarity: int, scratch: Scratch, files: int) -> DataFrame:
     """members (node, label, n) with their components cut by the prefixes under an order."""
     tokens = members.select("node", "label").join(sets.drop("key"), "node").mapInArrow(_prefixes(order, similarity), "node long, label long, hash long")
-    parts = components(scratch.write(stars(tokens, ["label", "hash"]), "stars"), scratch).withColumnRenamed("label", "_new")
+    parts = components(scratch.write(stars(tokens, ["label", "hash"]), "stars", files), scratch, files).withColumnRenamed("label", "_new")
     return members.select("node", "n").join(parts, "node").select("node", F.col("_new").alias("label"), "n")
 
 
-def _in_blocks(members: DataFrame, sets: DataFrame, similarity: int, scratch: Scratch) -> DataFrame:
+def _in_blocks(members: DataFrame, sets: DataFrame, similarity: int, scratch: Scratch, files: int) -> DataFrame:
     """(node, label) of the nodes of large components, exactly.
 
     Each block of a component finds its own components together with some pivots, nodes that all its
@@ -541,9 +543,9 @@ def _in_blocks(members: DataFrame, sets: DataFrame, similarity: int, scratch: Sc
     block = F.xxhash64("cluster", "_part").alias("block")
     grouped = dealt.select("node", block).join(sets.drop("key"), "node").repartition("block").sortWithinPartitions("block")
     local = scratch.write(grouped.mapInArrow(_labelled("block", similarity), LABELS).where("node <> label").distinct(), "stars")
-    found = components(local.select(F.col("label").alias("a"), F.col("node").alias("b")), scratch)
+    found = components(local.select(F.col("label").alias("a"), F.col("node").alias("b")), scratch, files)
     placed = members.select("node", cluster, "n", "nodes", "hashes").join(found, "node", "left")
-    placed = scratch.write(placed.withColumn("label", F.coalesce("label", "node")), "blocks")
+    placed = scratch.write(placed.withColumn("label", F.coalesce("label", "node")), "blocks", files)
     by_label = placed.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("_k"), F.sum("n").alias("_n"))
     main = by_label.groupBy("cluster").agg(
         F.max_by("label", F.struct("_k", "label")).alias("_main"), F.sum("_k").alias("_all"),
@@ -556,20 +558,21 @@ def _in_blocks(members: DataFrame, sets: DataFrame, similarity: int, scratch: Sc
     asking = open_.where("label <> _main").select("node", "label", "cluster", F.lit(True).alias("asks"), at("_sides").alias("side"), every("_parts").alias("block"))
     both = asking.unionByName(answers).join(sets.drop("key"), "node")
     links = scratch.write(both.groupBy("cluster", "block", "side").applyInArrow(_asked(similarity), "a long, b long").distinct(), "stars")
-    moved = components(links, scratch).select(F.col("node").alias("label"), F.col("label").alias("_new"))
+    moved = components(links, scratch, files).select(F.col("node").alias("label"), F.col("label").alias("_new"))
     return placed.join(moved, "label", "left").select("node", F.coalesce("_new", "label").alias("label"))
 
 
 def linked_nodes(sets: DataFrame, similarity: int, scratch: Scratch) -> DataFrame:
     """(node, label) of the nodes that may have partners; label is the same for linked nodes."""
+    files = -(-sets.count() // _NODES_PER_FILE) or 1
     first = sets.select("node", F.explode("prefix").alias("hash"))
-    maybe = components(scratch.write(stars(first, ["hash"]), "stars"), scratch)
-    clusters = _Clusters(maybe.join(sets.select("node", "n"), "node"), scratch)
+    maybe = components(scratch.write(stars(first, ["hash"]), "stars", files), scratch, files)
+    clusters = _Clusters(maybe.join(sets.select("node", "n"), "node"), scratch, files)
     small, turn, stable = [clusters.small], 0, 0
     while clusters.count and stable < 2:
         turn, before = turn + 1, clusters.count
         members = clusters.large.select("node", "label", "n")
-        clusters = _Clusters(_cut(members, sets, turn % 3, similarity, scratch), scratch, turn)
+        clusters = _Clusters(_cut(members, sets, turn % 3, similarity, scratch, files), scratch, files, turn)
         small.append(clusters.small)
         shrunk = clusters.large.count() < members.count() or clusters.count != before
         stable = 0 if shrunk else stable + 1
@@ -578,7 +581,7 @@ def linked_nodes(sets: DataFrame, similarity: int, scratch: Scratch) -> DataFram
         groups = groups.unionByName(more)
     placed = groups.select("node", "label").join(sets.drop("key"), "node").repartition("label").sortWithinPartitions("label")
     found = scratch.write(placed.mapInArrow(_labelled("label", similarity), LABELS), "found")
-    return found.unionByName(_in_blocks(clusters.large, sets, similarity, scratch)) if clusters.count else found
+    return found.unionByName(_in_blocks(clusters.large, sets, similarity, scratch, files)) if clusters.count else found
 
 
 def similar_groups(
