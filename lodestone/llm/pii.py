@@ -2,8 +2,15 @@
 
 Candidates are found by pattern and validated (checksums, calendar, number plans). A valid value is
 permuted within its format by a keyed Feistel network: a card stays a card with a right check digit, a
-date a date, an address an address. The permutation depends on the value and the key alone, so equal
-values stay linked across documents with no table of values, no shuffle and no driver.
+date a date of the same digits and order, an address an address. The permutation depends on the value and
+the key alone, so equal values stay linked across documents with no table of values, no shuffle and no
+driver. The domain of an e-mail address, the country of an IBAN and the first digit of a card stay as
+they are.
+
+Every repetition of a group in the patterns is bounded, so neither the matcher's stack nor its time depends
+on what a text repeats: a local part has at most 64 characters and a domain at most 127 labels of 63, the
+limits of the mail standard, an IBAN 34 characters, a number 19 digits. What is longer is no valid value
+and stays.
 """
 
 from __future__ import annotations
@@ -11,9 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import quoted
+
 KINDS = ("email", "iban", "ssn", "date", "ip", "phone", "card")
 _LEFT, _RIGHT = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z0-9-]{1,63}(?![A-Za-z0-9-])"
 #: Countries by the length of their IBAN.
 IBAN_LENGTHS = {
     15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
@@ -165,31 +174,60 @@ def _ssn(m: Column, key: str) -> Column:
     return F.when(valid, refilled(m, digits))
 
 
+#: Steps in which a date's permutation is walked until a date of the same form comes: a form holds a
+#: fifth of all days at least, so a walk is longer once in 10**26 values.
+WALK = 256
+
+
 def _date(m: Column, key: str) -> Column:
-    """Years first, else days first where that is a date, else months first."""
+    """Years first, else days first where that is a date, else months first. The form stays: one digit
+    where one stood, and a date that can only be read months first stays one."""
     number = lambda i: F.regexp_extract(m, "([0-9]+)[^0-9]+([0-9]+)[^0-9]+([0-9]+)", i)
     iso = m.rlike("^[0-9]{4}-")
     as_date = lambda y, mo, d: F.try_to_date(F.concat_ws("-", y, F.lpad(mo, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
     days_first, months_first = as_date(number(3), number(2), number(1)), as_date(number(3), number(1), number(2))
     day = F.when(iso, as_date(number(1), number(2), number(3))).otherwise(F.coalesce(days_first, months_first))
-    n = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
+    first = iso | days_first.isNotNull()
+    long_day = iso | (F.length(F.when(first, number(1)).otherwise(number(2))) == 2)
+    long_month = iso | (F.length(F.when(first, number(2)).otherwise(number(1))) == 2)
     a, b = DAYS
-    out = feistel(F.floor(n / b), F.pmod(n, F.lit(b)), F.lit(a), F.lit(b), key, "date")
-    new = F.date_add(F.lit(FIRST_DAY).cast("date"), (out["x"] * b + out["y"]).cast("int"))
-    separator = F.regexp_extract(m, "[^0-9]", 0)
-    part = lambda c, old: F.when(F.length(old) == 2, F.lpad(c.cast("string"), 2, "0")).otherwise(c.cast("string"))
-    d, mo, y = F.day(new), F.month(new), F.year(new).cast("string")
-    other = F.when(days_first.isNotNull(), F.concat_ws("", part(d, number(1)), separator, part(mo, number(2)), separator, y)).otherwise(
-        F.concat_ws("", part(mo, number(1)), separator, part(d, number(2)), separator, y)
+    at = lambda n: F.date_add(F.lit(FIRST_DAY).cast("date"), n.cast("int"))
+
+    def step(s: Column) -> Column:
+        out = feistel(F.floor(s["n"] / b), F.pmod(s["n"], F.lit(b)), F.lit(a), F.lit(b), key, "date")
+        n = (out["x"] * b + out["y"]).cast("int")
+        d, mo = F.day(at(n)), F.month(at(n))
+        fits = (s["long_day"] | (d < 10)) & (s["long_month"] | (mo < 10)) & (s["first"] | (d > 12))
+        return F.struct(n.alias("n"), fits.alias("done"), s["first"].alias("first"), s["long_day"].alias("long_day"), s["long_month"].alias("long_month"))
+
+    start = F.struct(
+        F.datediff(day, F.lit(FIRST_DAY).cast("date")).alias("n"), F.lit(False).alias("done"), first.alias("first"), long_day.alias("long_day"), long_month.alias("long_month")
     )
-    return F.when(day.isNotNull(), F.when(iso, F.date_format(new, "yyyy-MM-dd")).otherwise(other))
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), start, lambda s, _: F.when(s["done"], s).otherwise(step(s)))
+    separator = F.regexp_extract(m, "[^0-9]", 0)
+
+    def write(s: Column) -> Column:
+        d, mo, y = (f(at(s["n"])).cast("string") for f in (F.day, F.month, F.year))
+        padded = lambda c, i: F.lpad(c, F.length(number(i)), F.lit("0"))
+        parts = F.when(s["first"], F.concat(padded(d, 1), separator, padded(mo, 2))).otherwise(F.concat(padded(mo, 1), separator, padded(d, 2)))
+        return F.when(iso, F.date_format(at(s["n"]), "yyyy-MM-dd")).otherwise(F.concat(parts, separator, y))
+
+    written = F.transform(F.array(end), write)
+    return F.when(day.isNotNull(), written[0])
 
 
 def _ip(m: Column, key: str) -> Column:
-    octets = F.transform(F.split(m, r"\."), lambda x: x.cast("int"))
-    out = feistel(octets[0] * 256 + octets[1], octets[2] * 256 + octets[3], F.lit(65_536), F.lit(65_536), key, "ip")
-    text = lambda v: F.concat_ws(".", F.floor(v / 256).cast("string"), F.pmod(v, F.lit(256)).cast("string"))
-    return F.when(~F.exists(octets, lambda x: x > 255), F.concat_ws(".", text(out["x"]), text(out["y"])))
+    """Each octet keeps its number of digits; one with a leading zero isn't valid."""
+    octets = F.split(m, r"\.")
+    size = lambda i: F.when(F.length(octets[i]) == 1, 10).when(F.length(octets[i]) == 2, 90).otherwise(156)
+    least = lambda i: F.when(F.length(octets[i]) == 1, 0).when(F.length(octets[i]) == 2, 10).otherwise(100)
+    at = lambda i: octets[i].cast("int") - least(i)
+    out = feistel(at(0) * size(1) + at(1), at(2) * size(3) + at(3), size(0) * size(1), size(2) * size(3), key, "ip")
+    text = lambda v, i: F.concat_ws(
+        ".", (F.floor(v / size(i + 1)) + least(i)).cast("string"), (F.pmod(v, size(i + 1)) + least(i + 1)).cast("string")
+    )
+    new = F.transform(F.array(out), lambda o: F.concat_ws(".", text(o["x"], 0), text(o["y"], 2)))[0]
+    return F.when(~F.exists(octets, lambda x: (x.cast("int") > 255) | x.rlike("^0[0-9]")), new)
 
 
 def _phone(m: Column, key: str) -> Column:
@@ -208,20 +246,22 @@ def _phone(m: Column, key: str) -> Column:
 
 
 def _email(m: Column, key: str) -> Column:
-    """The local part's letters and digits shift by noise of the other half; the domain stays."""
+    """The local part's letters and digits shift by noise of the other half: one keyed digest a round
+    has four hex digits for each of its characters, 32 at most. The domain stays."""
     local, domain = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
     n = F.length(local)
     a = F.floor(n / 2).cast("int")
 
     def shifted(half: Column, other: Column, i: Column) -> Column:
-        stream = F.concat_ws("|", F.lit(key), F.lit("email"), i.cast("string"), F.lower(domain), F.lower(other))
+        digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), i.cast("string"), F.lower(domain), F.lower(other)), 512)
 
-        def one(c: Column, at: Column) -> Column:
-            noise = F.conv(F.substr(F.sha2(F.concat_ws("|", stream, at.cast("string")), 256), F.lit(1), F.lit(8)), 16, 10).cast("long")
-            turn = lambda first, size: F.char(F.pmod(F.ascii(c) - first + noise, F.lit(size)) + first)
+        def one(c: Column, at: Column, noise: Column) -> Column:
+            by = F.conv(F.substr(noise, 4 * at + 1, F.lit(4)), 16, 10).cast("int")
+            turn = lambda first, size: F.char(F.pmod(F.ascii(c) - first + by, F.lit(size)) + first)
             return F.when(c.rlike("[a-z]"), turn(97, 26)).when(c.rlike("[A-Z]"), turn(65, 26)).when(c.rlike("[0-9]"), turn(48, 10)).otherwise(c)
 
-        return F.array_join(F.transform(characters(half), one), "")
+        # The array holds the digest, so it is made once and not for each character.
+        return F.transform(F.array(digest), lambda noise: F.array_join(F.transform(characters(half), lambda c, at: one(c, at, noise)), ""))[0]
 
     start = F.struct(F.substr(local, F.lit(1), a).alias("x"), F.substr(local, a + 1, n - a).alias("y"))
     out = F.aggregate(
@@ -257,14 +297,30 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
     return out
 
 
-def pseudonymised(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """df with the text's valid personal values replaced, and _found: array<struct<kind, start, end>>.
+def running_sums(numbers: Column, chunk: int = 256) -> Column:
+    """Before each of the numbers, the sum of those before it. Within chunks, then over them, so that
+    appending to an array doesn't cost the square of its length."""
+    sums = lambda x, first: F.aggregate(x, F.array(first), lambda s, n: F.array_append(s, F.element_at(s, -1) + n))
+    parts = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(numbers) / chunk).cast("int") - 1)), lambda i: F.slice(numbers, i * chunk + 1, F.lit(chunk))
+    )
+    totals = F.transform(parts, lambda x: F.aggregate(x, F.lit(0), lambda a, n: a + n))
+    within = F.zip_with(parts, F.slice(sums(totals, F.lit(0)), F.lit(1), F.size(parts)), lambda x, first: F.slice(sums(x, first), F.lit(1), F.size(x)))
+    return F.flatten(within)
+
+
+def pseudonymised(df: DataFrame, key: str, text_col: str = "text", found_col: str = "_found") -> DataFrame:
+    """df with the text's valid personal values replaced, and found_col: array<struct<kind, start, end>>.
 
     Offsets are code points of the text before. A null text stays null and has found nothing; a text
     without valid values stays as it is, to the byte; other columns, repeated rows and empty tables
-    pass through.
+    pass through. Where df has a column named found_col, the new one's name gets underscores until
+    it is its own.
     """
-    text = F.col(text_col)
+    while found_col.lower() in {c.lower() for c in df.columns}:
+        found_col += "_"
+    rows = df.select(F.struct(*quoted(df)).alias("_df"), F.col(text_col).alias("_text"))
+    text = F.col("_text")
     none = F.array().cast("array<struct<gap:string,value:string,kind:string,new:string,rest:string>>")
     pieces, values = F.split(text, ANY), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
     hits = F.zip_with(
@@ -278,25 +334,20 @@ def pseudonymised(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
         ),
     )
     some = text.rlike(ANY)
-    out = df.withColumn("_hits", F.when(some, hits).otherwise(none)).withColumn("_tail", F.when(some, F.element_at(pieces, -1)))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,start:int,end:int>>").alias("found"))
-    found = F.aggregate(
+    out = rows.withColumn("_hits", F.when(some, hits).otherwise(none)).withColumn("_tail", F.when(some, F.element_at(pieces, -1)))
+    lengths = F.transform("_hits", lambda h: F.length(h["gap"]) + F.length(h["value"]) + F.length(h["rest"]))
+    spans = F.zip_with(
         "_hits",
-        start,
-        lambda s, h: F.struct(
-            (s["at"] + F.length(h["gap"]) + F.length(h["value"]) + F.length(h["rest"])).alias("at"),
-            F.when(
-                h["new"].isNotNull(),
-                F.array_append(
-                    s["found"],
-                    F.struct(h["kind"].alias("kind"), (s["at"] + F.length(h["gap"])).alias("start"), (s["at"] + F.length(h["gap"]) + F.length(h["value"])).alias("end")),
-                ),
-            ).otherwise(s["found"]).alias("found"),
+        running_sums(lengths),
+        lambda h, at: F.when(
+            h["new"].isNotNull(),
+            F.struct(h["kind"].alias("kind"), (at + F.length(h["gap"])).alias("start"), (at + F.length(h["gap"]) + F.length(h["value"])).alias("end")),
         ),
-        lambda s: s["found"],
     )
+    found = F.filter(spans, lambda x: x.isNotNull())
     new = F.concat(F.array_join(F.transform("_hits", lambda h: F.concat(h["gap"], F.coalesce(h["new"], h["value"]), h["rest"])), ""), "_tail")
-    return out.withColumn("_found", found).withColumn(text_col, F.when(F.size("_hits") > 0, new).otherwise(text)).drop("_hits", "_tail")
+    out = out.select("_df", F.when(F.size("_hits") > 0, new).otherwise(text).alias("_new"), found.alias("_spans"))
+    return out.select(*[(F.col("_new") if c == text_col else F.col("_df").getField(c)).alias(c) for c in df.columns], F.col("_spans").alias(found_col))
 
 
 def pseudonym_report(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
