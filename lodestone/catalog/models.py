@@ -35,7 +35,7 @@ def tanimoto_max(spark, d):
 
 
 @query(f"""WITH {_SIDES}, m AS (SELECT vec_id, coalesce(max(similarity), 0) AS s FROM v LEFT JOIN pairs ON a_id = vec_id WHERE q GROUP BY vec_id)
-SELECT CASE WHEN s >= 0.7 THEN 'high' WHEN s >= 0.4 THEN 'medium' WHEN s >= 0.2 THEN 'low' ELSE 'very_low' END AS tier, count(*) AS n FROM m GROUP BY 1""")
+SELECT CASE WHEN s >= 0.7 THEN 'highly_similar' WHEN s >= 0.4 THEN 'moderately_similar' WHEN s >= 0.2 THEN 'chemically_novel' ELSE 'out_of_domain' END AS tier, count(*) AS n FROM m GROUP BY 1""")
 def similarity_tiers(spark, d):
     best = similarity.max_similarity(*vectors(spark, d), "vec_id", "vec_id", "bits")
     return best.groupBy(similarity.similarity_tier(F.col("max_similarity")).alias("tier")).agg(F.count(F.lit(1)).alias("n"))
@@ -134,7 +134,7 @@ def pearson_similarity_correct(spark, d):
 
 @query(f"""{_SIGNALS} SELECT vec_id, concat_ws('; ', CASE WHEN s < 0.4 THEN 'no similar reference' END, CASE WHEN s >= 0.4 AND s < 0.6 THEN 'few similar references' END,
   CASE WHEN dist > p95 THEN 'distant descriptors' END, CASE WHEN NOT seen THEN 'unseen scaffold' END) AS rationale,
-  CASE WHEN {_THREE} = 'in_domain' AND label > 4 THEN 'High' WHEN {_THREE} IN ('in_domain', 'borderline') AND (label > 4 OR {_THREE} = 'in_domain') THEN 'Moderate' ELSE 'Low' END AS rating FROM sig""")
+  CASE {_THREE} WHEN 'borderline' THEN 'Moderate' WHEN 'in_domain' THEN CASE WHEN label > 4 THEN 'High' ELSE 'Moderate' END ELSE 'Low' END AS rating FROM sig""")
 def reliability_rating(spark, d):
     df = _three(signals(spark, d))
     why = reliability.ad_rationale(F.col("max_similarity"), F.col("knn_distance"), F.col("p95"), F.col("seen"))
@@ -172,14 +172,14 @@ def conformal_pvalues(spark, d):
     return rounded(conformal(spark, d).select("id", "p1", "p0"), "p1", "p0")
 
 
-@query(f"""{_P} SELECT id, concat_ws(',', CASE WHEN p1 > 0.1 THEN '1' END, CASE WHEN p0 > 0.1 THEN '0' END) AS chosen,
-  CASE (p1 > 0.1)::INT + (p0 > 0.1)::INT WHEN 1 THEN 'singleton' WHEN 2 THEN 'both' ELSE 'empty' END AS kind FROM r""")
+@query(f"""{_P} SELECT id, concat_ws(',', CASE WHEN p1 > (1::DOUBLE - 0.9::DOUBLE) THEN '1' END, CASE WHEN p0 > (1::DOUBLE - 0.9::DOUBLE) THEN '0' END) AS chosen,
+  CASE (p1 > (1::DOUBLE - 0.9::DOUBLE))::INT + (p0 > (1::DOUBLE - 0.9::DOUBLE))::INT WHEN 1 THEN 'singleton' WHEN 2 THEN 'both' ELSE 'empty' END AS kind FROM r""")
 def conformal_sets(spark, d):
     df = conformal(spark, d)
     return df.select("id", F.array_join(F.col("chosen").cast("array<string>"), ",").alias("chosen"), reliability.set_kind(F.col("chosen")).alias("kind"))
 
 
-@query(f"""{_P}, s AS (SELECT *, (p1 > 0.1)::INT + (p0 > 0.1)::INT AS k, CASE WHEN y = 1 THEN p1 > 0.1 ELSE p0 > 0.1 END AS hit, ((p >= 0.5)::INT = y)::INT AS ok FROM r)
+@query(f"""{_P}, s AS (SELECT *, (p1 > (1::DOUBLE - 0.9::DOUBLE))::INT + (p0 > (1::DOUBLE - 0.9::DOUBLE))::INT AS k, CASE WHEN y = 1 THEN p1 > (1::DOUBLE - 0.9::DOUBLE) ELSE p0 > (1::DOUBLE - 0.9::DOUBLE) END AS hit, ((p >= 0.5)::INT = y)::INT AS ok FROM r)
 SELECT count(*) AS n, round(avg(hit::INT), 6) AS coverage, count(*) FILTER (k = 1) AS singletons, count(*) FILTER (k = 2) AS both, count(*) FILTER (k = 0) AS empty,
   round(avg(ok) FILTER (k = 1), 6) AS accuracy_singleton, round(avg(ok) FILTER (k <> 1), 6) AS accuracy_uncertain, avg(hit::INT) >= 0.85 AS covers FROM s""")
 def conformal_coverage(spark, d):
@@ -187,13 +187,16 @@ def conformal_coverage(spark, d):
     return rounded(reliability.coverage(df, "chosen", "y", "predicted"), "coverage", "accuracy_singleton", "accuracy_uncertain")
 
 
-@query(f"""{_P} SELECT id, (p >= 0.5)::INT AS predicted, concat_ws(',', CASE WHEN id % 3 = 0 THEN 'OUT_OF_DOMAIN' END, CASE WHEN id % 3 = 1 THEN 'BORDERLINE_DOMAIN' END,
-  CASE WHEN p1 > 0.1 AND p0 > 0.1 THEN 'BOTH_CLASSES_PLAUSIBLE' END, CASE WHEN NOT (p1 > 0.1) AND NOT (p0 > 0.1) THEN 'NO_CLASS_PLAUSIBLE' END,
-  CASE WHEN abs(p - 0.5) < 0.05 THEN 'NEAR_DECISION_BOUNDARY' END) AS warnings FROM r WHERE l_partkey % 4 <> 0""")
+@query(f"""{_P} SELECT id, (p >= 0.5)::INT AS predicted, concat_ws(',', CASE WHEN id % 5 < 2 THEN 'undefined_stereochemistry' END, CASE WHEN id % 4 = 0 THEN 'out_of_domain' END, CASE WHEN id % 4 = 1 THEN 'borderline_domain' END,
+  CASE WHEN id % 4 = 2 THEN 'applicability_domain_undeterminable' END, CASE WHEN (p1 > (1::DOUBLE - 0.9::DOUBLE)) = (p0 > (1::DOUBLE - 0.9::DOUBLE)) THEN 'conformal_set_ambiguous' END, 'small_training_set') AS warnings
+  FROM r WHERE l_partkey % 4 <> 0""")
 def prediction_envelope(spark, d):
-    df = conformal(spark, d).withColumn("verdict", F.when(F.col("id") % 3 == 0, "out_of_domain").when(F.col("id") % 3 == 1, "borderline").otherwise("in_domain"))
+    at = lambda n: F.col("id") % n
+    verdict = F.when(at(4) == 0, "out_of_domain").when(at(4) == 1, "borderline").when(at(4) == 2, "undeterminable").otherwise("in_domain")
+    df = conformal(spark, d).withColumn("verdict", verdict)
     df = df.withColumn("status", F.when(F.col("l_partkey") % 4 == 0, "DRAFT").otherwise(flows.SERVABLE[0]))
-    return flows.envelope(df, "p", "p1", "p0", "verdict", "status").select("id", "predicted", F.array_join("warnings", ",").alias("warnings"))
+    stereo = F.when(at(5) == 0, "undefined").when(at(5) == 1, "partially_defined").otherwise("defined")
+    return flows.envelope(df, "p", "p1", "p0", "verdict", "status", stereo).select("id", "predicted", F.array_join("warnings", ",").alias("warnings"))
 
 
 @query(f"""WITH {_SCORED}, t AS (SELECT count(*) FILTER (y = 1 AND p >= 0.5) AS tp, count(*) FILTER (y = 0 AND p >= 0.5) AS fp, count(*) FILTER (y = 0 AND p < 0.5) AS tn, count(*) FILTER (y = 1 AND p < 0.5) AS fn FROM x),

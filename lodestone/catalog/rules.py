@@ -154,35 +154,67 @@ def registry_diff(spark, d):
     return governance.registry_diff(a, b, "n_nationkey", ["n_regionkey"], ["n_name"])
 
 
-_LICENSES = """l AS (SELECT s_suppkey AS source_id, 'source' AS context, CASE s_suppkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 'CC0-1.0' WHEN 2 THEN 'CC-BY-4.0' WHEN 3 THEN 'CC-BY-SA-4.0' WHEN 4 THEN 'CC-BY-NC-4.0' WHEN 5 THEN 'MIXED' ELSE 'other' END AS spdx,
-  CASE s_suppkey % 3 WHEN 0 THEN 'green' WHEN 1 THEN 'red' ELSE 'black' END AS tier, s_suppkey % 2 = 0 AS commercial_ok, s_suppkey % 4 = 0 AS sharealike, CASE WHEN s_suppkey % 5 > 0 THEN s_name END AS attribution, s_suppkey % 3 AS portions FROM supplier)"""
+_KINDS = ("source", "portion", "default", "exclusion", "excluded", "source", "source")
+_SPDX = (None, "CC0-1.0", "US-PD", "CC-BY-4.0", "CC-BY-SA-3.0", "CC-BY-NC-4.0", "UNKNOWN", "MIXED", "GPL-3.0", "PDDL-1.0", "PROPRIETARY")
+_TIER = ("green", "amber", "red", "black", "mixed", None, "teal")
 
 
-def licenses(spark, d: str):
-    k = F.col("s_suppkey")
-    names = F.array(*[F.lit(x) for x in (None, "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "MIXED", "other")])
-    return table(spark, d, "supplier").select(
-        k.alias("source_id"), F.lit("source").alias("context"), F.element_at(names, (k % 7 + 1).cast("int")).alias("spdx"),
-        F.element_at(F.array(*map(F.lit, ("green", "red", "black"))), (k % 3 + 1).cast("int")).alias("tier"), (k % 2 == 0).alias("commercial_ok"),
-        (k % 4 == 0).alias("sharealike"), F.when(k % 5 > 0, F.col("s_name")).alias("attribution"), (k % 3).alias("portions"),
-    )
+def _pick(values: tuple, k: str) -> str:
+    return "(CASE " + " ".join(f"WHEN {k} % {len(values)} = {i} THEN {'NULL' if v is None else repr(v)}" for i, v in enumerate(values)) + " END)"
+
+
+#: In both dialects: licence blocks of all kinds, made of the rows of orders.
+_BLOCKS = f"""SELECT o_orderkey AS source_id, 'b' AS context, {_pick(_KINDS, "o_custkey")} AS kind, o_custkey % 11 > 0 AS licensed, {_pick(_SPDX, "o_orderkey")} AS spdx,
+  {_pick(_TIER, "(o_orderkey + o_custkey)")} AS tier, CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE o_custkey % 3 = 1 END AS commercial_ok, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderkey % 4 = 1 END AS sharealike,
+  CASE WHEN o_custkey % 5 > 0 THEN o_clerk END AS attribution, CASE WHEN o_custkey % 4 = 0 THEN 1 ELSE 0 END AS portions, CASE WHEN o_custkey % 6 = 0 THEN 1 ELSE 0 END AS exclusions,
+  o_custkey % 13 = 0 AS stale, o_custkey % 17 = 0 AS unverified, CASE WHEN o_custkey % 2 = 0 THEN 'r' END AS reason FROM orders"""
 
 
-@query(f"""WITH {_LICENSES}, e AS (SELECT *, CASE spdx WHEN 'CC0-1.0' THEN 'green' WHEN 'CC-BY-4.0' THEN 'green' WHEN 'CC-BY-SA-4.0' THEN 'red' WHEN 'CC-BY-NC-4.0' THEN 'black' END AS want FROM l)
-SELECT source_id, context, 'missing_identifier' AS rule, 'error' AS severity FROM e WHERE spdx IS NULL
-UNION ALL SELECT source_id, context, 'tier_contradicts_identifier', 'error' FROM e WHERE want IS NOT NULL AND want <> tier
-UNION ALL SELECT source_id, context, 'black_is_commercial', 'error' FROM e WHERE tier = 'black' AND commercial_ok
-UNION ALL SELECT source_id, context, 'red_without_sharealike', 'error' FROM e WHERE tier = 'red' AND NOT sharealike
-UNION ALL SELECT source_id, context, 'mixed_without_portions', 'error' FROM e WHERE spdx = 'MIXED' AND portions = 0
-UNION ALL SELECT source_id, context, 'unknown_identifier', 'warning' FROM e WHERE spdx = 'other'
-UNION ALL SELECT source_id, context, 'attribution_missing', 'warning' FROM e WHERE spdx LIKE 'CC-BY%' AND attribution IS NULL""")
+def licenses(spark, d: str):
+    orders = table(spark, d, "orders")
+    clerk = F.col("o_clerk") if "o_clerk" in orders.columns else F.concat(F.lit("clerk"), F.col("o_custkey"))
+    return spark.sql(_BLOCKS.replace("FROM orders", "FROM {orders}"), orders=orders.withColumn("o_clerk", clerk))
+
+
+_TIER_SQL = "CASE " + " ".join(f"WHEN spdx = '{k}' THEN '{v}'" for k, v in governance.LICENSE_TIERS.items()) + " END"
+
+
+@query(f"""WITH l AS ({_BLOCKS.replace("o_clerk", "'clerk' || o_custkey")}), e AS (SELECT *, {_TIER_SQL} AS want, kind IN ('source', 'portion', 'default') AND licensed AS a,
+  coalesce(tier IN ('green', 'amber', 'red', 'mixed', 'black'), FALSE) AS ok FROM l), m AS (SELECT *, a AND spdx IS NOT NULL AND ok AND spdx <> 'MIXED' AND want IS NOT NULL AS mapped FROM e)
+SELECT source_id, context, 'LC-01' AS rule, 'no_license' AS finding, 'error' AS severity FROM m WHERE kind = 'source' AND NOT licensed
+UNION ALL SELECT source_id, context, 'LC-01', 'missing_identifier', 'error' FROM m WHERE a AND spdx IS NULL
+UNION ALL SELECT source_id, context, 'LC-01', 'invalid_tier', 'error' FROM m WHERE a AND spdx IS NOT NULL AND NOT ok
+UNION ALL SELECT source_id, context, 'LC-02', 'unknown_identifier', 'error' FROM m WHERE a AND ok AND spdx = 'GPL-3.0'
+UNION ALL SELECT source_id, context, 'LC-02', 'tier_contradicts_identifier', 'error' FROM m WHERE mapped AND want <> tier
+UNION ALL SELECT source_id, context, 'LC-03', 'commercial_flag_contradicts_tier', 'error' FROM m WHERE mapped AND commercial_ok = (want = 'black')
+UNION ALL SELECT source_id, context, 'LC-02', 'sharealike_contradicts_identifier', 'error' FROM m WHERE mapped AND sharealike = (want <> 'red')
+UNION ALL SELECT source_id, context, 'LC-05', 'attribution_missing', 'error' FROM m WHERE mapped AND want IN ('amber', 'red') AND attribution IS NULL
+UNION ALL SELECT source_id, context, 'LC-01', 'mixed_without_portions', 'error' FROM m WHERE kind = 'source' AND licensed AND spdx = 'MIXED' AND portions = 0 AND exclusions = 0
+UNION ALL SELECT source_id, context, 'LC-03', 'exclusion_not_black', 'error' FROM m WHERE kind = 'exclusion' AND tier IS DISTINCT FROM 'black'
+UNION ALL SELECT source_id, context, 'LC-03', 'exclusion_commercial', 'error' FROM m WHERE kind = 'exclusion' AND commercial_ok IS DISTINCT FROM FALSE
+UNION ALL SELECT source_id, context, 'LC-04', 'stale', 'warning' FROM m WHERE kind = 'source' AND licensed AND stale
+UNION ALL SELECT source_id, context, 'figures', 'unverified', 'warning' FROM m WHERE kind = 'source' AND licensed AND unverified
+UNION ALL SELECT source_id, context, 'LC-06', 'excluded_is_commercial', 'error' FROM m WHERE kind = 'excluded' AND commercial_ok AND tier IS DISTINCT FROM 'red'
+UNION ALL SELECT source_id, context, 'LC-06', 'excluded_without_reason', 'error' FROM m WHERE kind = 'excluded' AND reason IS NULL""")
 def license_audit(spark, d):
     return governance.license_audit(licenses(spark, d))
 
 
-@query(f"WITH {_LICENSES} SELECT tier, (CASE tier WHEN 'green' THEN 1 WHEN 'red' THEN 3 ELSE 4 END)::BIGINT AS rank, string_agg(lpad(source_id::VARCHAR, 6, '0'), ',' ORDER BY source_id) AS sources FROM l GROUP BY tier")
+_SOURCES = """SELECT s_suppkey AS source_id, s_name AS name, CASE s_suppkey % 6 WHEN 0 THEN 'green' WHEN 1 THEN 'amber' WHEN 2 THEN 'red' WHEN 3 THEN 'mixed' WHEN 4 THEN 'black' END AS tier,
+  CASE WHEN s_suppkey % 4 > 0 THEN 'CC-BY-4.0' END AS spdx, CASE WHEN s_suppkey % 5 > 0 THEN 'by ' || s_name END AS attribution FROM {supplier}"""
+_RANK = "(CASE tier WHEN 'green' THEN 1 WHEN 'amber' THEN 2 WHEN 'red' THEN 3 WHEN 'mixed' THEN 4 WHEN 'black' THEN 5 ELSE 0 END)::BIGINT"
+
+
+@query(f"WITH l AS ({_SOURCES.format(supplier='supplier')}) SELECT tier, CASE WHEN tier IS NULL THEN NULL ELSE {_RANK} END AS rank, string_agg(lpad(source_id::VARCHAR, 6, '0'), ',' ORDER BY source_id) AS sources FROM l GROUP BY tier")
 def attribution_manifest(spark, d):
-    return governance.attribution_manifest(licenses(spark, d).withColumn("source_id", F.lpad(F.col("source_id").cast("string"), 6, "0")))
+    sources = spark.sql(_SOURCES, supplier=table(spark, d, "supplier"))
+    return governance.attribution_manifest(sources.withColumn("source_id", F.lpad(F.col("source_id").cast("string"), 6, "0")))
+
+
+@query(f"""WITH l AS ({_SOURCES.format(supplier='supplier')}), r AS (SELECT {_RANK} AS tier_rank, tier, name, '- **' || name || '** \u2014 ' || coalesce(spdx, 'None') || coalesce(chr(10) || '  > ' || attribution, '') AS line FROM l WHERE tier IS NOT NULL)
+SELECT tier_rank, 1 AS rank, name, line FROM r UNION ALL SELECT DISTINCT tier_rank, 0, '', '## Tier: ' || tier FROM r UNION ALL SELECT 0, 0, '', '# Attributions'""")
+def attribution_lines(spark, d):
+    return governance.attribution_lines(spark.sql(_SOURCES, supplier=table(spark, d, "supplier")), "name", "Attributions")
 
 
 @query("""SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN 'insert' WHEN 1 THEN 'soft_delete' WHEN 2 THEN 'restore' ELSE 'update' END AS operation FROM supplier WHERE s_suppkey % 5 < 4""")
@@ -209,7 +241,18 @@ SELECT p AS ancestor, c AS descendant, 1 AS depth FROM e UNION ALL SELECT a.p, b
 def ontology_closure(spark, d):
     a = table(spark, d, "nation").select(F.concat(F.lit("r"), "n_regionkey").alias("p"), F.concat(F.lit("n"), "n_nationkey").alias("c"))
     b = table(spark, d, "customer").select(F.concat(F.lit("n"), "c_nationkey").alias("p"), F.concat(F.lit("c"), "c_custkey").alias("c"))
-    return governance.closure(spark, a.unionByName(b), "p", "c")
+    return governance.closure(a.unionByName(b), "p", "c")
+
+
+@query("""WITH RECURSIVE e AS (SELECT p_partkey // 40 AS g, p_partkey % 40 AS i FROM part WHERE p_partkey % 40 > 0),
+u(a, d, n) AS (SELECT g || '.' || (i - 1), g || '.' || i, 1 FROM e UNION ALL SELECT e.g || '.' || (e.i - 1), u.d, u.n + 1 FROM u JOIN e ON u.a = e.g || '.' || e.i)
+SELECT a AS ancestor, d AS descendant, n AS depth FROM u""")
+def chain_closure(spark, d):
+    """Chains of 39 edges."""
+    k = F.col("p_partkey")
+    name = lambda i: F.concat_ws(".", F.floor(k / 40).cast("string"), i.cast("string"))
+    edges = table(spark, d, "part").where(k % 40 > 0).select(name(k % 40 - 1).alias("p"), name(k % 40).alias("c"))
+    return governance.closure(edges, "p", "c")
 
 
 @query("""SELECT doc_id, 'v' || doc_id % 3 || '__2024-01-02__' || substr(sha256(source), 1, 12) AS snapshot,
@@ -258,8 +301,10 @@ def input_acceptance(spark, d):
     return table(spark, d, "documents").select("doc_id", reason.alias("reason"))
 
 
-@query("""SELECT doc_id, CASE WHEN contains(t, 'patch') OR contains(t, 'clamp') OR contains(t, 'current') THEN 'electrophysiology' WHEN contains(t, 'binding') OR contains(t, 'displacement') OR contains(t, 'radioligand') THEN 'binding'
-  WHEN contains(t, 'flux') OR contains(t, 'thallium') OR contains(t, 'rubidium') THEN 'flux' ELSE 'unknown' END AS paradigm FROM (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)""")
+_PARADIGM = "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(t, {w!r})' for w in words)} THEN '{name}'" for name, words in scalars.PARADIGMS) + " ELSE 'other_unclassified' END"
+
+
+@query(f"SELECT doc_id, {_PARADIGM} AS paradigm FROM (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)")
 def paradigm_classify(spark, d):
     return table(spark, d, "documents").select("doc_id", scalars.first_category(F.col("text")).alias("paradigm"))
 

@@ -146,12 +146,17 @@ def rejection_reason(structure: Column, is_mixture: Column, has_descriptors: Col
     )
 
 
-#: Keywords by paradigm, tried in order.
-PARADIGMS = (("electrophysiology", ("patch", "clamp", "current")), ("binding", ("binding", "displacement", "radioligand")), ("flux", ("flux", "thallium", "rubidium")))
+#: Keywords by assay paradigm, tried in order.
+PARADIGMS = (
+    ("functional_electrophysiology", ("patch clamp", "patch-clamp", "voltage clamp", "ikr current", "delayed rectifying")),
+    ("functional_flux_fluorescence", ("flipr", "flux assay", "thallium", "fluorescence", "rb+ flux", "86rb")),
+    ("binding_displacement", ("binding", "displacement", "radioligand", "[3h]", "mk499", "mk-499", "astemizole binding")),
+    ("ambiguous_generic_inhibition", ("inhibition", "activity", "block")),
+)
 
 
-def first_category(text: Column, rules=PARADIGMS, unknown: str = "unknown") -> Column:
-    """The first category of which a keyword occurs, case aside; null text is unknown."""
+def first_category(text: Column, rules=PARADIGMS, unknown: str = "other_unclassified") -> Column:
+    """The first category of which a keyword occurs, case aside; null text is of none."""
     low = F.lower(F.coalesce(text, F.lit("")))
     out = F.lit(unknown)
     for name, words in reversed(rules):

@@ -5,53 +5,95 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Licence identifiers by tier.
+from lodestone.session import cut
+
+#: The tier of each known licence identifier, and what tiers allow or ask for.
 LICENSE_TIERS = {
-    "green": ("CC0-1.0", "CC-BY-4.0", "CC-BY-3.0", "MIT", "Apache-2.0", "BSD-3-Clause", "public-domain"),
-    "red": ("CC-BY-SA-4.0", "CC-BY-SA-3.0", "ODbL-1.0", "GPL-3.0"),
-    "black": ("CC-BY-NC-4.0", "CC-BY-NC-SA-4.0", "CC-BY-NC-ND-4.0", "proprietary"),
+    "CC0-1.0": "green",
+    "US-PD": "green",
+    "PDDL-1.0": "green",
+    "CC-BY-4.0": "amber",
+    "CC-BY-3.0": "amber",
+    "CC-BY-SA-4.0": "red",
+    "CC-BY-SA-3.0": "red",
+    "CC-BY-NC-SA-4.0": "black",
+    "CC-BY-NC-4.0": "black",
+    "PROPRIETARY": "black",
+    "UNKNOWN": "black",
 }
+TIERS = ("green", "amber", "red", "mixed", "black")
+COMMERCIAL, SHARE_ALIKE, ATTRIBUTED = ("green", "amber", "red"), ("red",), ("amber", "red")
 SAFE_FIELDS = ("name", "homepage", "role", "attribution", "cadence_days", "status", "notes")
 
 
 def expected_tier(spdx: Column) -> Column:
-    out = F.lit(None).cast("string")
-    for tier, names in LICENSE_TIERS.items():
-        out = F.when(spdx.isin(*names), tier).otherwise(out)
-    return out
+    """The tier that an identifier maps to, null for unknown ones."""
+    return F.element_at(F.create_map(*[F.lit(x) for pair in LICENSE_TIERS.items() for x in pair]), spdx)
 
 
-def license_audit(licenses: DataFrame) -> DataFrame:
-    """licenses: source_id, context, spdx, tier, commercial_ok, sharealike, attribution, portions.
+def license_audit(blocks: DataFrame) -> DataFrame:
+    """blocks: source_id, context, kind (source, portion, default, exclusion, excluded), licensed (the block
+    is there), spdx, tier, commercial_ok, sharealike, attribution, portions and exclusions (how many the
+    source lists), stale, unverified, reason.
 
-    One row for each finding: source_id, context, rule, severity. A missing identifier, a tier that
-    its identifier contradicts, a commercial flag on black, a tier of red without share-alike and a
-    mixed source without portions are errors; an unknown identifier and a missing attribution are
-    warnings.
+    One row for each finding: source_id, context, rule, finding, severity. A block without identifier or
+    valid tier ends there; so do MIXED and unknown identifiers. Where a flag isn't stated it isn't held
+    against the tier. Exclusions must be black and say that they aren't commercial; excluded sources need
+    a reason. Staleness and unverified figures are warnings, the rest are errors.
     """
-    spdx, tier = F.col("spdx"), F.col("tier")
-    missing = spdx.isNull() | (spdx == "")
+    col, no = F.col, F.lit(False)
+    kind, spdx, tier = col("kind"), col("spdx"), col("tier")
+    audited = kind.isin("source", "portion", "default") & col("licensed")
+    valid = F.coalesce(tier.isin(*TIERS), no)
+    known = audited & spdx.isNotNull() & valid & (spdx != "MIXED")
     expected = expected_tier(spdx)
-    mixed = F.coalesce(spdx == "MIXED", F.lit(False))
+    mapped = known & expected.isNotNull()
+    source = (kind == "source") & col("licensed")
+    nothing = lambda c: (F.coalesce(col(c), F.lit("")) == "")
     rules = [
-        (missing, "missing_identifier", "error"),
-        (expected.isNotNull() & ~expected.eqNullSafe(tier) & (tier != "amber"), "tier_contradicts_identifier", "error"),
-        (F.coalesce((tier == "black") & F.col("commercial_ok"), F.lit(False)), "black_is_commercial", "error"),
-        (F.coalesce((tier == "red") & ~F.col("sharealike"), F.lit(False)), "red_without_sharealike", "error"),
-        (mixed & (F.coalesce("portions", F.lit(0)) == 0), "mixed_without_portions", "error"),
-        (~missing & ~mixed & expected.isNull(), "unknown_identifier", "warning"),
-        (~missing & F.col("attribution").isNull() & spdx.startswith("CC-BY"), "attribution_missing", "warning"),
+        ((kind == "source") & ~col("licensed"), "LC-01", "no_license", "error"),
+        (audited & spdx.isNull(), "LC-01", "missing_identifier", "error"),
+        (audited & spdx.isNotNull() & ~valid, "LC-01", "invalid_tier", "error"),
+        (known & expected.isNull(), "LC-02", "unknown_identifier", "error"),
+        (mapped & (expected != tier), "LC-02", "tier_contradicts_identifier", "error"),
+        (mapped & (col("commercial_ok") != expected.isin(*COMMERCIAL)), "LC-03", "commercial_flag_contradicts_tier", "error"),
+        (mapped & (col("sharealike") != expected.isin(*SHARE_ALIKE)), "LC-02", "sharealike_contradicts_identifier", "error"),
+        (mapped & expected.isin(*ATTRIBUTED) & nothing("attribution"), "LC-05", "attribution_missing", "error"),
+        (source & (spdx == "MIXED") & (F.coalesce("portions", F.lit(0)) + F.coalesce("exclusions", F.lit(0)) == 0), "LC-01", "mixed_without_portions", "error"),
+        ((kind == "exclusion") & ~F.coalesce(tier == "black", no), "LC-03", "exclusion_not_black", "error"),
+        ((kind == "exclusion") & F.coalesce(col("commercial_ok"), F.lit(True)), "LC-03", "exclusion_commercial", "error"),
+        (source & col("stale"), "LC-04", "stale", "warning"),
+        (source & col("unverified"), "figures", "unverified", "warning"),
+        ((kind == "excluded") & col("commercial_ok") & ~F.coalesce(tier == "red", no), "LC-06", "excluded_is_commercial", "error"),
+        ((kind == "excluded") & nothing("reason"), "LC-06", "excluded_without_reason", "error"),
     ]
-    found = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(r).alias("rule"), F.lit(s).alias("severity"))) for c, r, s in rules]))
-    return licenses.select("source_id", "context", F.explode(found).alias("_f")).select("source_id", "context", "_f.rule", "_f.severity")
+    row = lambda rule, finding, severity: F.struct(F.lit(rule).alias("rule"), F.lit(finding).alias("finding"), F.lit(severity).alias("severity"))
+    found = F.array_compact(F.array(*[F.when(F.coalesce(c, no), row(*r)) for c, *r in rules]))
+    return blocks.select("source_id", "context", F.explode(found).alias("_f")).select("source_id", "context", "_f.*")
 
 
 def attribution_manifest(licenses: DataFrame) -> DataFrame:
     """Sources of each tier in order of their names, tiers in their fixed order."""
-    rank = F.array_position(F.array(*[F.lit(t) for t in ("green", "amber", "red", "black")]), F.col("tier"))
+    rank = F.array_position(F.array(*[F.lit(t) for t in TIERS]), F.col("tier"))
     return licenses.groupBy("tier", rank.alias("rank")).agg(F.array_join(F.array_sort(F.collect_set("source_id")), ",").alias("sources"))
 
 
+def attribution_lines(licenses: DataFrame, name: str, title: str) -> DataFrame:
+    """(tier_rank, rank, line): the manifest as Markdown lines, to be ordered by the ranks and the name.
+
+    A line for each source with its identifier and, where it has one, its attribution; headings are rows.
+    """
+    at = F.array_position(F.array(*[F.lit(t) for t in TIERS]), F.col("tier"))
+    entry = F.concat(F.lit("- **"), F.col(name), F.lit("** \u2014 "), F.coalesce("spdx", F.lit("None")))
+    quote = F.when(F.coalesce("attribution", F.lit("")) != "", F.concat(F.lit("\n  > "), "attribution")).otherwise("")
+    rows = licenses.where(at > 0).select(at.alias("tier_rank"), F.lit(1).alias("rank"), F.col(name).alias("name"), F.concat(entry, quote).alias("line"))
+    heads = rows.select("tier_rank").distinct().select(
+        "tier_rank", F.lit(0).alias("rank"), F.lit("").alias("name"), F.concat(F.lit("## Tier: "), F.element_at(F.array(*map(F.lit, TIERS)), F.col("tier_rank").cast("int"))).alias("line")
+    )
+    top = licenses.sparkSession.createDataFrame([(0, 0, "", f"# {title}")], "tier_rank long, rank int, name string, line string")
+    return top.unionByName(heads).unionByName(rows)
+
+
 def registry_diff(registry: DataFrame, existing: DataFrame, key: str, licensing: list[str], safe: list[str]) -> DataFrame:
     """What a synchronisation would do with each registry row: insert, license_change (which blocks),
     update (with the safe fields that changed), or unchanged. Rows only in existing are let be."""
@@ -99,13 +141,23 @@ def latest_state(events: DataFrame, key: str, order: list[str]) -> DataFrame:
     return events.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def closure(spark, edges: DataFrame, parent: str, child: str, levels: int = 10) -> DataFrame:
-    """Ancestors of every node of a tree with their distance, by a recursive query."""
-    edges.select(F.col(parent).cast("string").alias("p"), F.col(child).cast("string").alias("c")).createOrReplaceTempView("_closure_edges")
-    return spark.sql(
-        f"""WITH RECURSIVE up(ancestor, descendant, depth) AS (
-              SELECT p, c, 1 FROM _closure_edges
-              UNION ALL
-              SELECT e.p, u.descendant, u.depth + 1 FROM up u JOIN _closure_edges e ON e.c = u.ancestor WHERE u.depth < {int(levels)}
-            ) SELECT ancestor, descendant, depth FROM up"""
+def closure(edges: DataFrame, parent: str, child: str) -> DataFrame:
+    """(ancestor, descendant, depth) of every node, whatever the depth.
+
+    Paths of up to 2, 4, 8, ... edges: the paths of just the longest length so far are joined with all so
+    far, so a chain of n edges takes log2(n) joins, each a checkpoint. A node that is its own ancestor
+    raises an error.
+    """
+    paths = edges.where(F.col(parent).isNotNull() & F.col(child).isNotNull()).select(
+        F.col(parent).cast("string").alias("ancestor"), F.col(child).cast("string").alias("descendant"), F.lit(1).alias("depth")
     )
+    paths, length = cut(paths.distinct()), 1
+    while True:
+        if paths.where("ancestor = descendant").limit(1).count():
+            raise ValueError("the edges have a cycle")
+        ends = paths.where(F.col("depth") == length).select("ancestor", F.col("descendant").alias("_via"), F.col("depth").alias("_first"))
+        on = paths.select(F.col("ancestor").alias("_via"), "descendant", F.col("depth").alias("_rest"))
+        further = cut(ends.join(on, "_via").select("ancestor", "descendant", (F.col("_first") + F.col("_rest")).alias("depth")).distinct())
+        if not further.limit(1).count():
+            return paths
+        paths, length = paths.unionByName(further).distinct(), 2 * length

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 IN, BORDER, OUT, UNKNOWN = "in_domain", "borderline", "out_of_domain", "undeterminable"
 OUT_SIMILARITY, BORDER_SIMILARITY = 0.4, 0.6
-SIGNIFICANCE = 0.10
+#: One minus the nominal confidence as a double: a p-value of a tenth is above it.
+SIGNIFICANCE = 1.0 - 0.9
 
 
 def _verdict(similarity: Column, signals: list[Column], known: Column) -> Column:
@@ -45,7 +46,8 @@ def ad_rationale(similarity: Column, distance: Column, distance_limit: Column, s
 
 
 def reliability_rating(verdict: Column, singleton: Column) -> Column:
-    return F.when((verdict == IN) & singleton, "High").when(verdict.isin(IN, BORDER) & (singleton | (verdict == IN)), "Moderate").otherwise("Low")
+    """Low out of the domain or where it can't be told, Moderate on its border, else by the prediction set."""
+    return F.when(verdict == BORDER, "Moderate").when((verdict == IN) & singleton, "High").when(verdict == IN, "Moderate").otherwise("Low")
 
 
 def nonconformity(p: Column, label: Column) -> Column:

@@ -40,10 +40,13 @@ def max_similarity(queries: DataFrame, references: DataFrame, query_id: str, ref
     return queries.join(best, queries[query_id] == best.a_id, "left").select(query_id, F.coalesce("_best", F.lit(0.0)).alias("max_similarity"))
 
 
+#: Tiers of the largest similarity to a reference, with their lower and upper bounds.
+SIMILARITY_TIERS = (("highly_similar", 0.7, 1.01), ("moderately_similar", 0.4, 0.7), ("chemically_novel", 0.2, 0.4), ("out_of_domain", -0.01, 0.2))
+
+
 def similarity_tier(similarity: Column) -> Column:
-    return (
-        F.when((similarity >= 0.7) & (similarity < 1.01), "high").when(similarity >= 0.4, "medium").when(similarity >= 0.2, "low").otherwise("very_low")
-    )
+    """The tier whose bounds hold the similarity; null for null and for what none holds."""
+    return F.coalesce(*[F.when((similarity >= low) & (similarity < high), name) for name, low, high in SIMILARITY_TIERS])
 
 
 def scaler(train: DataFrame, values: str) -> DataFrame:

@@ -48,9 +48,14 @@ def balance_summary(balance: DataFrame) -> DataFrame:
     return balance.agg(F.min("mean").alias("min_mean"), F.max("mean").alias("max_mean"), F.stddev_pop("mean").alias("sd_mean"), F.sum("n").alias("n"))
 
 
-def leakage_gate(checks: DataFrame) -> DataFrame:
-    """checks: check, status. passed holds if every status but REVIEW is PASS."""
-    return checks.agg(F.bool_and((F.col("status") == "PASS") | (F.col("status") == "REVIEW")).alias("passed"), F.count_if(F.col("status") == "REVIEW").alias("reviews"))
+def leakage_gate(checks: DataFrame, gating: list[str]) -> DataFrame:
+    """checks: check, status. passed holds if every gating check is there and is PASS; REVIEW of the others
+    is counted."""
+    gates = F.col("check").isin(*gating)
+    return checks.agg(
+        ((F.count_distinct(F.when(gates & (F.col("status") == "PASS"), F.col("check"))) == len(set(gating))) & (F.count_if(gates & ~F.col("status").eqNullSafe("PASS")) == 0)).alias("passed"),
+        F.count_if(~gates & (F.col("status") == "REVIEW")).alias("reviews"),
+    )
 
 
 def overlap(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

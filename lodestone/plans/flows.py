@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators.aggregate import aggregate_continuous, label_at
-from lodestone.operators.reliability import BORDER, OUT, prediction_set
+from lodestone.operators.reliability import BORDER, OUT, UNKNOWN, prediction_set
 from lodestone.operators.split import split_group
 
 #: Model states that may be served.
@@ -34,16 +34,21 @@ def exclusion_report(df: DataFrame, usable: Column, keys: list[str], value: str)
     )
 
 
-def envelope(scored: DataFrame, p: str, p_one: str, p_zero: str, verdict: str, status: str) -> DataFrame:
-    """Predictions with their set, label and warnings; rows of models that may not be served go."""
+def envelope(scored: DataFrame, p: str, p_one: str, p_zero: str, verdict: str, status: str, stereo: Column | None = None) -> DataFrame:
+    """Predictions with their set, label and warnings; rows of models that may not be served go.
+
+    stereo is the completeness of a structure's stereochemistry. Every prediction carries the warning
+    that the training set is small.
+    """
     chosen = prediction_set(F.col(p_one), F.col(p_zero))
     out = scored.where(F.col(status).isin(*SERVABLE)).withColumn("prediction_set", chosen)
-    n = F.size("prediction_set")
+    stereo = F.lit("defined") if stereo is None else stereo
     warnings = F.array_compact(
         F.array(
-            F.when(F.col(verdict) == OUT, "OUT_OF_DOMAIN"), F.when(F.col(verdict) == BORDER, "BORDERLINE_DOMAIN"),
-            F.when(n == 2, "BOTH_CLASSES_PLAUSIBLE"), F.when(n == 0, "NO_CLASS_PLAUSIBLE"),
-            F.when(F.abs(F.col(p) - 0.5) < 0.05, "NEAR_DECISION_BOUNDARY"), F.when(F.col(verdict) == "undeterminable", "DOMAIN_UNKNOWN"),
+            F.when(stereo.isin("undefined", "partially_defined"), "undefined_stereochemistry"),
+            F.when(F.col(verdict) == OUT, "out_of_domain"), F.when(F.col(verdict) == BORDER, "borderline_domain"),
+            F.when(F.col(verdict) == UNKNOWN, "applicability_domain_undeterminable"),
+            F.when(F.size("prediction_set") != 1, "conformal_set_ambiguous"), F.lit("small_training_set"),
         )
     )
     return out.withColumn("predicted", (F.col(p) >= 0.5).cast("int")).withColumn("warnings", warnings)
