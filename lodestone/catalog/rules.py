@@ -166,20 +166,18 @@ def _pick(values: tuple, k: str) -> str:
 #: In both dialects: licence blocks of all kinds, made of the rows of orders.
 _BLOCKS = f"""SELECT o_orderkey AS source_id, 'b' AS context, {_pick(_KINDS, "o_custkey")} AS kind, o_custkey % 11 > 0 AS licensed, {_pick(_SPDX, "o_orderkey")} AS spdx,
   {_pick(_TIER, "(o_orderkey + o_custkey)")} AS tier, CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE o_custkey % 3 = 1 END AS commercial_ok, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderkey % 4 = 1 END AS sharealike,
-  CASE WHEN o_custkey % 5 > 0 THEN o_clerk END AS attribution, CASE WHEN o_custkey % 4 = 0 THEN 1 ELSE 0 END AS portions, CASE WHEN o_custkey % 6 = 0 THEN 1 ELSE 0 END AS exclusions,
+  CASE WHEN o_custkey % 5 > 0 THEN concat('clerk', o_custkey) END AS attribution, CASE WHEN o_custkey % 4 = 0 THEN 1 ELSE 0 END AS portions, CASE WHEN o_custkey % 6 = 0 THEN 1 ELSE 0 END AS exclusions,
   o_custkey % 13 = 0 AS stale, o_custkey % 17 = 0 AS unverified, CASE WHEN o_custkey % 2 = 0 THEN 'r' END AS reason FROM orders"""
 
 
 def licenses(spark, d: str):
-    orders = table(spark, d, "orders")
-    clerk = F.col("o_clerk") if "o_clerk" in orders.columns else F.concat(F.lit("clerk"), F.col("o_custkey"))
-    return spark.sql(_BLOCKS.replace("FROM orders", "FROM {orders}"), orders=orders.withColumn("o_clerk", clerk))
+    return spark.sql(_BLOCKS.replace("FROM orders", "FROM {orders}"), orders=table(spark, d, "orders"))
 
 
 _TIER_SQL = "CASE " + " ".join(f"WHEN spdx = '{k}' THEN '{v}'" for k, v in governance.LICENSE_TIERS.items()) + " END"
 
 
-@query(f"""WITH l AS ({_BLOCKS.replace("o_clerk", "'clerk' || o_custkey")}), e AS (SELECT *, {_TIER_SQL} AS want, kind IN ('source', 'portion', 'default') AND licensed AS a,
+@query(f"""WITH l AS ({_BLOCKS}), e AS (SELECT *, {_TIER_SQL} AS want, kind IN ('source', 'portion', 'default') AND licensed AS a,
   coalesce(tier IN ('green', 'amber', 'red', 'mixed', 'black'), FALSE) AS ok FROM l), m AS (SELECT *, a AND spdx IS NOT NULL AND ok AND spdx <> 'MIXED' AND want IS NOT NULL AS mapped FROM e)
 SELECT source_id, context, 'LC-01' AS rule, 'no_license' AS finding, 'error' AS severity FROM m WHERE kind = 'source' AND NOT licensed
 UNION ALL SELECT source_id, context, 'LC-01', 'missing_identifier', 'error' FROM m WHERE a AND spdx IS NULL
@@ -272,25 +270,60 @@ def feature_set_id(spark, d):
     return g.select("p_brand", scalars.feature_set_id(F.lit("1.0"), F.lit("chem-1"), F.col("names")).alias("fs"))
 
 
-@query(r"""SELECT n_nationkey, regexp_replace(regexp_replace('key ABCDEFGHIJKLMN-OPQRSTUVWX-Y of ' || n_name || ' InChI=1S/CH4/h1H4 end', 'InChI=[^ ]+', '[REDACTED]', 'g'), '[A-Z]{14}-[A-Z]{10}-[A-Z]', '[REDACTED]', 'g')
-  || ' [REDACTED] 0123456789abcdef' AS safe FROM nation WHERE n_name NOT LIKE '% %'""")
+_LOOKS = r"""(length({w}) BETWEEN 6 AND 5000 AND regexp_full_match({w}, '[A-Za-z0-9@+\-\[\]()=#$:/\\.%]+') AND NOT contains({w}, ':') AND NOT regexp_full_match({w}, '[0-9a-f]{{12,}}')
+  AND NOT regexp_full_match({w}, '[0-9A-HJKMNP-TV-Z]{{26}}') AND length({w}) - length(replace({w}, '/', '')) <= 1 AND length({w}) - length(replace({w}, '\', '')) <= 1
+  AND length(regexp_replace({w}, '[^A-Za-z]', '', 'g')) >= 3
+  AND regexp_matches({w}, '\[[A-Za-z][A-Za-z0-9@+\-]{{0,8}}\]|[bcnops]{{2,}}[0-9]|[0-9][bcnops]{{2,}}|[A-Z][=#][A-Za-z(\[]|\)[=#]?[A-Z]|\([=#][A-Z]'))"""
+_BODY = r"""regexp_replace(w, '[.,;:!?"'']+$', '')"""
+_SPACE = r"\s\v\x{85}\p{Z}"
+_SAFE = rf"""array_to_string(list_transform(regexp_extract_all(regexp_replace(regexp_replace({{t}}, 'InChI=1S?/[^\s"'']+', '[REDACTED:structure]', 'g'), '\b[A-Z]{{{{14}}}}-[A-Z]{{{{10}}}}-[A-Z]\b', '[REDACTED:structure]', 'g'),
+  '[^{_SPACE.replace("{", "{{").replace("}", "}}")}]+|[{_SPACE.replace("{", "{{").replace("}", "}}")}]+'), lambda w: CASE WHEN {_LOOKS.format(w="w").replace("{", "{{").replace("}", "}}")} THEN '[REDACTED:structure sha256:' || substr(sha256(w), 1, 12) || ']'
+  WHEN {_LOOKS.format(w=_BODY).replace("{", "{{").replace("}", "}}")} THEN '[REDACTED:structure sha256:' || substr(sha256({_BODY}), 1, 12) || ']' || substr(w, length({_BODY}) + 1) ELSE w END), '')"""
+#: In both dialects: sentences with structures, keys and things that only look like structures.
+_SENTENCE = """concat(p_name, ' CC(=O)Nc1ccc', p_size, 'cc1, C', p_partkey % 7, '=C(C)C. InChI=1S/CH', p_size, '/h1 (c1ccccc', p_partkey % 9, '). ABCDEFGHIJKLMN-OPQRSTUVWX-Y a/b/c=O/', p_size, ' ',
+  md5(p_name), ' t:C=OCC ', p_type)"""
+
+
+@query(f"SELECT p_partkey, {_SAFE.format(t=_SENTENCE)} AS safe FROM part")
 def redact_text(spark, d):
-    text = F.concat(F.lit("key ABCDEFGHIJKLMN-OPQRSTUVWX-Y of "), "n_name", F.lit(" InChI=1S/CH4/h1H4 end CC(=O)Oc1ccccc1 0123456789abcdef"))
-    return table(spark, d, "nation").where("n_name not like '% %'").select("n_nationkey", scalars.redact(text).alias("safe"))
+    return table(spark, d, "part").select("p_partkey", scalars.redact(F.expr(_SENTENCE)).alias("safe"))
 
 
-@query()
+@query(f"SELECT doc_id, {_SAFE.format(t='text')} AS safe FROM documents")
 def redact_documents(spark, d):
     return table(spark, d, "documents").select("doc_id", scalars.redact(F.col("text")).alias("safe"))
 
 
-@query("""SELECT p_partkey, substr('01ARZ3NDEKTSV4RRFFQ69G5FAV', 1, 26) AS ulid, 1469922850259::BIGINT AS millis, 'cmp_01ARZ3NDEKTSV4RRFFQ69G5FAV' AS public, 'cmp' AS prefix, left('ABCDEFGHIJKLMN-OPQ', 14) AS skeleton, 'C6H6' AS formula FROM part""")
+@query("""SELECT p_partkey, '[REDACTED:structure sha256:' || substr(sha256(p_name), 1, 12) || ']' AS smiles, '[REDACTED:structure]' AS mol, p_brand AS brand,
+  '[REDACTED:structure sha256:' || substr(sha256(p_type), 1, 12) || ']' AS inner_inchi, p_size AS inner_size, p_brand || ',' || p_size AS tags FROM part""")
+def redact_events(spark, d):
+    events = table(spark, d, "part").select(
+        "p_partkey", F.col("p_name").alias("smiles"), F.struct(F.col("p_name")).alias("mol"), F.col("p_brand").alias("brand"),
+        F.struct(F.col("p_type").alias("InChI"), F.col("p_size").alias("size")).alias("inner"), F.array("p_brand", F.col("p_size").cast("string")).alias("tags"),
+    )
+    safe = scalars.redacted_events(events)
+    return safe.select("p_partkey", "smiles", "mol", "brand", F.col("inner.InChI").alias("inner_inchi"), F.col("inner.size").alias("inner_size"), F.array_join("tags", ",").alias("tags"))
+
+
+#: In both dialects: identifiers made of the order's keys; the alphabet's letters give the time.
+_ALPHABET = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
+_ULID = "'01' || " + " || ".join(f"substr('{_ALPHABET}', 1 + ((o_orderkey * {7 + i} + o_custkey * {3 * i + 1}) % 32)::INT, 1)" for i in range(24))
+_MILLIS = " + ".join(f"(instr('{_ALPHABET}', substr(u, {i}, 1)) - 1)::BIGINT * {32 ** (10 - i)}" for i in range(1, 11))
+
+
+@query(f"""WITH o AS (SELECT *, {_ULID} AS u FROM orders)
+SELECT o_orderkey, {_MILLIS} AS millis, lower(o_orderstatus) || 'x_' || u AS public, CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE lower(o_orderstatus) || 'x' END AS prefix,
+  left(upper(md5(o_orderkey::VARCHAR)), 14) AS skeleton, 'C' || o_custkey || 'H' || o_orderkey % 9 AS formula FROM o""")
 def identifiers(spark, d):
-    u = F.lit("01ARZ3NDEKTSV4RRFFQ69G5FAV")
-    public = scalars.public_id(F.lit("cmp"), u)
-    return table(spark, d, "part").select(
-        "p_partkey", u.alias("ulid"), scalars.ulid_millis(u).alias("millis"), public.alias("public"), scalars.parse_public_id(public)["prefix"].alias("prefix"),
-        scalars.skeleton(F.lit("ABCDEFGHIJKLMN-OPQ")).alias("skeleton"), scalars.without_charge(F.lit("C6H6+2")).alias("formula"),
+    ulid = F.expr(_ULID.replace("::INT", ""))
+    orders = table(spark, d, "orders").withColumn("u", ulid)
+    public = scalars.public_id(F.concat(F.lower("o_orderstatus"), F.lit("x")), F.col("u"))
+    broken = F.when(F.col("o_custkey") % 3 == 0, F.concat(public, F.lit("U"))).otherwise(public)
+    formula = F.concat(F.lit("C"), "o_custkey", F.lit("H"), F.col("o_orderkey") % 9)
+    charge = F.when(F.col("o_custkey") % 4 == 0, "+").when(F.col("o_custkey") % 4 == 1, "-2").otherwise("")
+    return orders.select(
+        "o_orderkey", scalars.ulid_millis(F.col("u")).alias("millis"), public.alias("public"), scalars.parse_public_id(broken)["prefix"].alias("prefix"),
+        scalars.skeleton(F.upper(F.md5(F.col("o_orderkey").cast("string")))).alias("skeleton"), scalars.without_charge(F.concat(formula, charge)).alias("formula"),
     )
 
 
@@ -309,11 +342,6 @@ def paradigm_classify(spark, d):
     return table(spark, d, "documents").select("doc_id", scalars.first_category(F.col("text")).alias("paradigm"))
 
 
-@query("SELECT l_orderkey, l_linenumber, (l_extendedprice::DECIMAL(18,6) * 0.001)::DOUBLE AS canonical FROM lineitem WHERE l_linenumber = 1")
-def unit_conversion(spark, d):
-    return table(spark, d, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_linenumber", scalars.canonical_value(F.col("l_extendedprice"), F.lit("0.001")).cast("double").alias("canonical"))
-
-
 @query("SELECT l_orderkey, l_linenumber, (l_extendedprice::DECIMAL(18,6) * 0.001)::DOUBLE AS canonical FROM lineitem")
 def unit_conversion_lines(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", scalars.canonical_value(F.col("l_extendedprice"), F.lit("0.001")).cast("double").alias("canonical"))

@@ -6,8 +6,9 @@ import os
 import time
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 #: Fixed value: Crockford's base-32 alphabet, of which the identifiers are made.
 ALPHABET = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
@@ -108,31 +109,69 @@ def toolchain_id(tool: Column, python: Column, pipeline: Column) -> Column:
     return F.concat(F.lit("chem-"), tool, F.lit("__python-"), python, F.lit("__stdpipe-"), pipeline)
 
 
-#: Bracket atoms, rings closed beside aromatic atoms, explicit bonds and branches.
+#: Keys whose values are structures, the marks, and the patterns of structures in text: the
+#: alphabet of a line notation; evidence of bracket atoms, rings closed beside aromatic atoms, explicit
+#: bonds and branches; digests, which only look like one.
+SENSITIVE_KEYS = (
+    "smiles", "canonical_smiles", "isomeric_smiles", "standardized_smiles", "parent_smiles", "source_smiles", "structure", "structure_value", "molblock", "molfile",
+    "sdf", "mol", "inchi", "inchikey", "inchikey_full", "parent_inchikey", "scaffold", "bemis_murcko_scaffold", "query_structure",
+)
+MARK, DIGEST_MARK = "[REDACTED:structure]", "[REDACTED:structure sha256:"
+INCHI, INCHIKEY = r"InChI=1S?/[^\s\"']+", r"\b[A-Z]{14}-[A-Z]{10}-[A-Z]\b"
+NOTATION = r"^[A-Za-z0-9@+\-\[\]()=#$:/\\.%]+$"
 EVIDENCE = r"\[[A-Za-z][A-Za-z0-9@+\-]{0,8}\]|[bcnops]{2,}[0-9]|[0-9][bcnops]{2,}|[A-Z][=#][A-Za-z(\[]|\)[=#]?[A-Z]|\([=#][A-Z]"
+HEXADECIMAL = "^[0-9a-f]{12,}$"
+
+
+def digest_mark(structure: Column) -> Column:
+    """The mark of a structure, with a digest by which marks of one structure can be linked."""
+    return F.concat(F.lit(DIGEST_MARK), short_digest(structure), F.lit("]"))
 
 
 def redact(text: Column) -> Column:
-    """Structure keys, structure strings and structure-like tokens replaced by a mark; a token may end in punctuation."""
-    mark = "[REDACTED]"
-    text = F.regexp_replace(text, r"InChI=1S?/[^\s\"']+", mark)
-    text = F.regexp_replace(text, r"\b[A-Z]{14}-[A-Z]{10}-[A-Z]\b", mark)
+    """Structure keys and strings in a text replaced by a mark, and tokens that look like a structure by
+    a mark with their digest; a token may end in punctuation. Null stays null."""
+    text = F.regexp_replace(F.regexp_replace(text, INCHI, MARK), INCHIKEY, MARK)
 
     def replaced(w: Column) -> Column:
         body = F.regexp_replace(w, "[.,;:!?\"']+$", "")
-        found = F.when(looks_like_structure(w), mark).when(looks_like_structure(body), F.concat(F.lit(mark), F.substr(w, F.length(body) + 1)))
-        return F.when(~w.rlike(EVIDENCE) | F.contains(w, F.lit(mark)), w).otherwise(F.coalesce(found, w))
+        found = F.when(looks_like_structure(w), digest_mark(w)).when(looks_like_structure(body), F.concat(digest_mark(body), F.substr(w, F.length(body) + 1)))
+        return F.when(~w.rlike(EVIDENCE), w).otherwise(F.coalesce(found, w))
 
     return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"(?U)\S+|\s+"), F.lit(0)), replaced), "")
 
 
+def redact_nested(value: Column, kind: DataType, key: str | None = None) -> Column:
+    """A value of any type, redacted by its names and its texts: under a sensitive key a text becomes a mark
+    with its digest and anything else, null too, the mark alone; otherwise structs, arrays and maps of
+    texts are gone through."""
+    if key is not None and key.lower() in SENSITIVE_KEYS:
+        return F.coalesce(digest_mark(value), F.lit(MARK)) if isinstance(kind, StringType) else F.lit(MARK)
+    if isinstance(kind, StringType):
+        return redact(value)
+    if isinstance(kind, StructType):
+        fields = [redact_nested(value.getField(f.name), f.dataType, f.name).alias(f.name) for f in kind.fields]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: redact_nested(x, kind.elementType))
+    if isinstance(kind, MapType) and isinstance(kind.keyType, StringType) and isinstance(kind.valueType, StringType):
+        sensitive = lambda k: F.lower(k).isin(*SENSITIVE_KEYS)
+        return F.transform_values(value, lambda k, v: F.when(sensitive(k), redact_nested(v, kind.valueType, SENSITIVE_KEYS[0])).otherwise(redact_nested(v, kind.valueType)))
+    return value
+
+
+def redacted_events(df: DataFrame) -> DataFrame:
+    """df with every column redacted by its name and type."""
+    return df.select(*[redact_nested(F.col(f.name), f.dataType, f.name).alias(f.name) for f in df.schema.fields])
+
+
 def looks_like_structure(word: Column) -> Column:
     """A line notation of a structure: of its alphabet, with evidence of bonds, rings or branches, and
-    none of the things that only look like one (identifiers, digests, paths, times)."""
+    none of the things that only look like one (digests, identifiers, times, hosts, paths)."""
     n = F.length(word)
     count = lambda kept: F.length(F.regexp_replace(word, kept, ""))
     return (
-        n.between(6, 5000) & word.rlike(r"^[A-Za-z0-9@+\-\[\]()=#$/\\.%]+$") & ~word.rlike("^[0-9a-f]{12,}$") & ~in_domain(word, "ulid")
+        n.between(6, 5000) & word.rlike(NOTATION) & ~F.contains(word, F.lit(":")) & ~word.rlike(HEXADECIMAL) & ~in_domain(word, "ulid")
         & (count("[^/]") <= 1) & (count(r"[^\\]") <= 1) & (count("[^A-Za-z]") >= 3) & word.rlike(EVIDENCE)
     )
 
