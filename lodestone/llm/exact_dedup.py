@@ -1,10 +1,12 @@
 """Exact duplicates by a tree merge of sorted digest runs, in DataFrame operations only.
 
 Every input partition makes a run: its distinct digests with the smallest identifier and a count.
-In each round FAN_IN neighbouring runs meet in an exchange on (run, digest) and are merged by a sort
-aggregate, which keeps the smallest identifier; after log_FAN_IN(partitions) rounds one run is left.
-Digests are SHA-256; each level also holds rows together by length and by an independent 64-bit
-hash, so that an identifier is only retained for rows whose three fingerprints agree.
+In each round FAN_IN neighbouring runs meet in an exchange on (run, digest), and each stretch of
+digests is merged by a sort aggregate, which keeps the smallest identifier; after
+log_FAN_IN(partitions) rounds one run is left. Each level is stored as it comes out of its merge, its runs
+sorted by digest in every file, so that the next exchange reads ascending stretches and a lost executor
+costs one level at most. Digests are SHA-256; each level also holds rows together by length and by an
+independent 64-bit hash, so that an identifier is only retained for rows whose three fingerprints agree.
 """
 
 from __future__ import annotations
@@ -30,6 +32,12 @@ def digest_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def stored_runs(runs: DataFrame, name: str) -> DataFrame:
+    """A level of runs as a written table, sorted by run and digest in every file. Where a level has few
+    rows for its files, AQE has joined its partitions, each of whole stretches."""
+    return materialize(runs.sortWithinPartitions("_run", *_KEY), name)
+
+
 def merge_runs(runs: DataFrame, fan_in: int) -> DataFrame:
     """One round: fan_in neighbouring runs become one."""
     return (
@@ -53,10 +61,11 @@ def duplicate_groups(
         F.min(F.struct(F.col("_id").isNull().alias("last"), F.col("_id").alias("id"), F.col("_seq").alias("seq"))).alias("_head"),
         F.count(F.lit(1)).alias("_n"),
     )
-    n_runs = (rows.agg(F.max("_run")).first()[0] or 0) + 1
+    leaf = stored_runs(leaf, "runs")
+    n_runs = (leaf.agg(F.max("_run")).first()[0] or 0) + 1
     top = leaf
     while n_runs > 1:
-        top, n_runs = merge_runs(top, fan_in), -(-n_runs // fan_in)
+        top, n_runs = stored_runs(merge_runs(top, fan_in), "runs"), -(-n_runs // fan_in)
     # Down again: a hot digest has one row per run in the leaves, and its rows are spread over runs.
     placed = leaf.select("_run", *_KEY).join(top.drop("_run"), _KEY)
     return rows.join(placed, ["_run", *_KEY]).select(
@@ -71,7 +80,9 @@ def duplicate_groups(
 def drop_duplicates(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = FAN_IN
 ) -> DataFrame:
-    """The rows of df that stay, with all its columns; of fully repeated rows one stays."""
+    """The rows of df that stay, with all its columns: of equal texts the one with the smallest identifier,
+    null ones last; of rows that share it the one with the smallest hash of the whole row. df's names
+    clash with none. An empty table gives no rows."""
     groups = duplicate_groups(df, id_col, text_col, fan_in).where("kept")
     kept = groups.select(row_key("doc_id", "text_sha256").alias("_row")).distinct()
     return staying_rows(df, row_key(id_col, F.sha2(squeezed(F.col(text_col)), 256)), kept)

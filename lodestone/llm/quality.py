@@ -171,9 +171,9 @@ def plan_cascade(df: DataFrame, text_col: str = "text", rules=RULES, sample_rows
     sample = (texts.sample(share, seed=1) if share < 1 else texts).limit(sample_rows).coalesce(1)
 
     def run(batches):
-        texts = [t for b in batches for t in b.column(0).to_pylist()]
-        rows = measure(texts, rules)
-        yield pa.RecordBatch.from_pylist([r._asdict() for r in rows])
+        for b in batches:  # a few texts at a time, however long they are
+            for i in range(0, b.num_rows, 16):
+                yield pa.RecordBatch.from_pylist([r._asdict() for r in measure(b.column(0).slice(i, 16).to_pylist(), rules)])
 
     measured = [Measured(*r) for r in sample.mapInArrow(run, "name string, seconds double, rejected long").collect()]
     totals: dict[str, list[float]] = {}

@@ -5,6 +5,9 @@ dealt to many voters; a generative label model, fitted by expectation maximisati
 vote patterns over all documents, estimates every voter's rates and the correlations between voters
 (correlated voters share their weight). A linear classifier learns the model's posteriors on a
 bounded sample and scores all texts.
+
+One pass over the texts writes every document's votes and features; counts, training rows and scores come
+from that narrow table.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Collection
 from typing import NamedTuple
 
 import numpy as np
@@ -21,10 +25,12 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import hash_sample, materialize
 
-#: At most so many labelled rows give the lexicons, and so many documents train the classifier:
-#: those with the smallest hash of their identifier.
+#: At most so many labelled texts give the lexicons, and so many documents train the classifier: those
+#: with the smallest hash of identifier and text.
 LABELLED_ROWS = 8_000
 TRAIN_ROWS = 12_000
+#: The lexicons hold at most TERMS terms, those in most toxic texts: in LEAST_TEXTS of them at least, and
+#: at LEAST_ODDS times the rate of clean ones.
 LEAST_TEXTS, LEAST_ODDS, TERMS = 4, 20.0, 1_500
 WORD_VOTERS, PREFIX_VOTERS = 5, 5
 PREFIXES = (4, 5, 6)
@@ -53,7 +59,7 @@ class Voters(NamedTuple):
     def count(self) -> int:
         return WORD_VOTERS + PREFIX_VOTERS + 4
 
-    def mask(self, words: set[str]) -> int:
+    def mask(self, words: Collection[str]) -> int:
         out, hits, starts = 0, 0, 0
         for w in words:
             v = self.words.get(w)
@@ -173,90 +179,79 @@ def lexicon_odds(texts: DataFrame) -> tuple[list[tuple[str, float]], int, int]:
     return [(r["term"], r["odds"]) for r in found], total["clean"], total["toxic"]
 
 
-SCORES = "doc_id long, score double"
+def _votes(voters: Voters, features: dict[str, int]):
+    """(doc_id, tie, mask, features): a text's votes, and its terms that are features, ascending, one for
+    each word that has them. Remembers what words give within bounds."""
+
+    def run(batches):
+        memory: dict[str, tuple[str, list[int]]] = {}
+        for docs, ties, texts in _batches(batches):
+            if len(memory) > _MEMORY:
+                memory.clear()
+            masks, found = [], []
+            for t in texts:
+                words: dict[str, list[int]] = {}
+                for raw in set((t or "").lower().split()):
+                    known = memory.get(raw)
+                    if known is None:
+                        w = _EDGE.sub("", raw)
+                        known = memory[raw] = (w, [features[x] for x in terms_of(w) if x in features] if w else [])
+                    if known[0]:
+                        words[known[0]] = known[1]
+                masks.append(voters.mask(words.keys()))
+                found.append(sorted(f for fs in words.values() for f in fs))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(docs, pa.int64()), pa.array(ties, pa.int64()), pa.array(masks, pa.int32()), pa.array(found, pa.list_(pa.int32()))],
+                names=["doc_id", "tie", "mask", "features"],
+            )
+
+    return run
 
 
 def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """Per row of df: doc_id, held_out, score, predicted.
 
     A null text counts as empty. Labels are learned only from rows of folds other than HELD_OUT;
-    labels that contradict each other for an identifier count as toxic, null labels as none.
+    labels that contradict each other for an identifier count as toxic, null labels as none. Rows that
+    repeat an identifier and its text count once in what is learned; other columns aren't read.
     Without toxic and clean labelled texts, or telling terms, every score is 0. An empty table gives
     no rows.
     """
-    texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tie"), F.col(text_col).alias("text"))
     learn = F.coalesce(fold(), F.lit(HELD_OUT)) != HELD_OUT
-    marked = hash_sample(
+    marks = (
         labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic"))
         .where(F.col("toxic").isNotNull() & learn)
         .groupBy("doc_id")
-        .agg(F.max("toxic").alias("toxic")),
-        LABELLED_ROWS,
-        "doc_id",
+        .agg(F.max("toxic").alias("toxic"))
     )
-    # At most LABELLED_ROWS rows of two numbers: small enough to broadcast by construction.
-    known = texts.join(F.broadcast(marked), "doc_id").select("text", "toxic")
-    odds, _, toxic = lexicon_odds(known)
+    # At most LABELLED_ROWS rows of three numbers: small enough to broadcast by construction.
+    chosen = hash_sample(texts.select("doc_id", "tie").join(marks, "doc_id").distinct(), LABELLED_ROWS, "doc_id", "tie")
+    known = texts.join(F.broadcast(chosen), ["doc_id", "tie"]).dropDuplicates(["doc_id", "tie"])
+    known = materialize(known.select("doc_id", "tie", "text", "toxic"), "labelled")
+    odds, _, _ = lexicon_odds(known.select("text", "toxic"))
     held_out = (F.coalesce(fold(), F.lit(-1)) == HELD_OUT).alias("held_out")
     if not odds:
         return texts.select("doc_id", held_out, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    voters = voters_from(odds)
-    mask_of = lambda t: voters.mask(distinct_words(t))
-
-    def votes(batches):
-        for columns in _batches(batches):
-            masks = pa.array([mask_of(t) for t in columns[0]], pa.int32())
-            rest = [pa.array(c, pa.int32()) for c in columns[1:]]
-            yield pa.RecordBatch.from_arrays([masks, *rest], names=["mask", "toxic"][: len(columns)])
+    voters, features = voters_from(odds), {t: i for i, (t, _) in enumerate(odds)}
+    kinds = "doc_id long, tie long, mask int, features array<int>"
+    votes = materialize(texts.mapInArrow(_votes(voters, features), kinds), "votes")
 
     # Two to the power of the voters bounds what is collected, however many documents there are.
-    seen = known.mapInArrow(votes, "mask int, toxic int").groupBy("mask", "toxic").count().collect()
+    seen = votes.join(F.broadcast(chosen), ["doc_id", "tie"]).dropDuplicates(["doc_id", "tie"]).groupBy("mask", "toxic").count().orderBy("mask", "toxic").collect()
     start = np.full((voters.count, 2), 1.0)
     sums = np.array([2.0, 2.0])
     for r in seen:
         start[:, r["toxic"]] += r["count"] * bits(np.array([r["mask"]]), voters.count)[0]
         sums[r["toxic"]] += r["count"]
-    patterns = texts.select("text").mapInArrow(votes, "mask int").groupBy("mask").count().orderBy("mask").collect()
+    patterns = votes.groupBy("mask").count().orderBy("mask").collect()
     masks, counts = (np.array([r[k] for r in patterns], np.int64) for k in (0, 1))
     model = fit_label_model(masks, counts.astype(float), voters.count, np.clip(start / sums, 1e-4, 1 - 1e-4), sums[1] / sums.sum())
 
-    features = {t: i for i, (t, _) in enumerate(odds)}
-
-    def examples(batches):
-        for (text,) in _batches(batches):
-            words = [distinct_words(t) for t in text]
-            rows = [[features[x] for w in ws for x in terms_of(w) if x in features] for ws in words]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([voters.mask(ws) for ws in words], pa.int32()), pa.array([sorted(r) for r in rows], pa.list_(pa.int32()))],
-                names=["mask", "features"],
-            )
-
-    # The texts stay behind while identifiers are drawn.
-    chosen_ids = hash_sample(texts.where(learn).select("doc_id").distinct(), TRAIN_ROWS, "doc_id")
-    chosen = texts.join(F.broadcast(chosen_ids), "doc_id").select("text")
-    trained = chosen.mapInArrow(examples, "mask int, features array<int>").limit(TRAIN_ROWS).collect()
-    target = model.posterior(bits(np.array([r["mask"] for r in trained], np.int64), voters.count)) if trained else np.empty(0)
-    weights, bias = fit_linear([r["features"] for r in trained], target, len(features)) if trained else (np.zeros(len(features)), -20.0)
-    weight = {t: float(weights[i]) for t, i in features.items()}
-
-    def score(batches):
-        memory: dict[str, tuple[str, float]] = {}
-        for doc, text in _batches(batches):
-            if len(memory) > _MEMORY:
-                memory.clear()
-            out = []
-            for t in text:
-                words: dict[str, float] = {}
-                for raw in set((t or "").lower().split()):
-                    known = memory.get(raw)
-                    if known is None:
-                        w = _EDGE.sub("", raw)
-                        known = memory[raw] = (w, sum(weight.get(x, 0.0) for x in terms_of(w)) if w else 0.0)
-                    words[known[0]] = known[1]
-                z = bias + sum(words.values())
-                out.append(1 / (1 + math.exp(-max(-40.0, min(40.0, z)))))
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(out, pa.float64())], names=["doc_id", "score"])
-
-    return texts.mapInArrow(score, SCORES).select(
-        "doc_id", held_out, "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
-    )
+    rows = hash_sample(votes.where(learn).dropDuplicates(["doc_id", "tie"]), TRAIN_ROWS, "doc_id", "tie").collect()
+    target = model.posterior(bits(np.array([r["mask"] for r in rows], np.int64), voters.count)) if rows else np.empty(0)
+    weights, bias = fit_linear([r["features"] for r in rows], target, len(features)) if rows else (np.zeros(len(features)), -20.0)
+    weight = F.array(*[F.lit(float(w)) for w in weights])  # at most TERMS numbers
+    z = F.aggregate("features", F.lit(float(bias)), lambda total, f: total + F.element_at(weight, f + 1))
+    score = (1 / (1 + F.exp(-F.greatest(F.lit(-40.0), F.least(F.lit(40.0), z))))).alias("score")
+    return votes.select("doc_id", held_out, score).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
