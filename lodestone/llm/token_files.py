@@ -167,6 +167,16 @@ def _write(batches, folder: str, tokenizer: str, end_id: int, block_ids: int):
         )
 
 
+def _drop_attempts(folder: str) -> None:
+    """Shards that attempts of lost or failed tasks have left unnamed."""
+    from pyarrow import fs
+
+    store, base = fs.FileSystem.from_uri(folder)
+    for file in store.get_file_info(fs.FileSelector(base, allow_not_found=True)):
+        if file.base_name.startswith("."):
+            store.delete_file(file.path)
+
+
 def write_tokens(
     df: DataFrame,
     folder: str,
@@ -190,6 +200,7 @@ def write_tokens(
     )
     write = lambda batches: _write(batches, folder, tokenizer, end_id, block_ids)
     manifest = materialize(ordered.mapInArrow(write, MANIFEST), "manifest")
+    _drop_attempts(folder)
     # One row a shard: the only thing that is summed in order.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("first", F.coalesce(F.sum("ids").over(before), F.lit(0))).withColumn(

@@ -8,6 +8,7 @@ Stretches with adjacent white space go to the library whole.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterable, Iterator
@@ -71,17 +72,31 @@ class _Index(dict):
 _AGREED = "\u0530"
 
 
+def cuts_at_spaces(path: str) -> bool:
+    """Whether a tokenizer file is of the kind whose texts can be cut: byte-level pieces as they stand,
+    with no normaliser, no space put before a text, and a plain model of merges."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)
+    pre, model = found.get("pre_tokenizer") or {}, found["model"]
+    plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+    merges = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    return found.get("normalizer") is None and bool(plain) and merges
+
+
 class Encoder:
-    """Encodes texts to uint32 arrays; special tokens' strings in a text are ordinary text."""
+    """Encodes texts to uint32 arrays; special tokens' strings in a text are ordinary text. With a
+    tokenizer of another kind than cuts_at_spaces() tells, the library encodes each text whole."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.by_words = cuts_at_spaces(path)
         self.library.encode_special_tokens = True
         self.model = self.library.model
-        self.line, self.marks = self._pre_token("\n"), {m: self._pre_token(m) for m in _MARKS}
+        if self.by_words:
+            self.line, self.marks = self._pre_token("\n"), {m: self._pre_token(m) for m in _MARKS}
         self.index = _Index()
         self.characters = self.used = 0
         self.flat = np.empty(1 << 18, np.uint32)
@@ -157,6 +172,8 @@ class Encoder:
         return self.flat[np.repeat(self.starts[at] - (np.cumsum(n) - n), n) + np.arange(total)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if not self.by_words:
+            return [np.array(ids, np.uint32) for ids in self._whole(texts)]
         if len(self.index) > _WORDS or self.characters > _CHARACTERS:
             self.forget()
         number, jobs = self.index.__getitem__, []
