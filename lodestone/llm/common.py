@@ -12,8 +12,20 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Session settings for tables of texts: rows in an Arrow batch, which lies in the executor and in its
+#: Python worker, and in a batch of the Parquet reader. Spark's own suit narrow rows.
+LONG_TEXTS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.parquet.columnarReaderBatchSize": "1024"}
+
+
+def for_long_texts(spark: SparkSession) -> SparkSession:
+    """The session with the settings of LONG_TEXTS, which queries and the pipeline's stages run under."""
+    for key, value in LONG_TEXTS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return for_long_texts(spark).read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def squeezed(text: Column) -> Column:
@@ -46,22 +58,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/lodestone/{uuid.uuid4().hex}/{name}"
 
 
-#: Rows of an Arrow batch while a table of ours is written: texts may be long, and a batch lies in the
-#: executor and in its Python worker.
-BATCH_ROWS = 1_000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
 def written(df: DataFrame, path: str) -> DataFrame:
     """df as a Parquet table at path, read back: lineage ends there."""
-    spark = df.sparkSession
-    before = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, str(min(int(before) if int(before) > 0 else BATCH_ROWS, BATCH_ROWS)))
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_BATCH, before)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
