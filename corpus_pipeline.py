@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm.common import documents, materialize
+from lodestone.llm.common import documents, for_long_texts, materialize
 from lodestone.llm.exact_dedup import drop_duplicates
 from lodestone.llm.mixing import mixed_documents
 from lodestone.llm.packing import pack_documents
@@ -19,26 +19,31 @@ from lodestone.llm.shingle_join import one_of_each
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a quality rule rejects go."""
+    for_long_texts(spark)
     return quality_filter(docs)
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the smallest doc_id stays."""
+    for_long_texts(spark)
     return drop_duplicates(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of similar texts the one with the smallest doc_id stays."""
+    for_long_texts(spark)
     return one_of_each(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target sizes: rows are left out, repeated, or cut at a source's budget."""
+    for_long_texts(spark)
     return mixed_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 2,048 tokens, with their ids."""
+    for_long_texts(spark)
     return pack_documents(docs)
 
 
