@@ -108,12 +108,10 @@ def threshold_sensitivity(spark, d):
 
 
 @query("""
-SELECT key, count(*) AS n, min(doc_id) AS representative, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS records
-FROM (SELECT doc_id, sha256(text) AS key FROM documents) GROUP BY key HAVING count(*) > 1""")
+SELECT key, count(*) OVER w AS n, min(doc_id) OVER w AS representative, doc_id FROM (SELECT doc_id, sha256(text) AS key FROM documents) WINDOW w AS (PARTITION BY key) QUALIFY count(*) OVER w > 1""")
 def compound_duplicates(spark, d):
-    docs = table(spark, d, "documents").select(F.sha2("text", 256).alias("key"), "doc_id")
-    out = dedup.duplicate_groups(docs.withColumn("seq", F.col("doc_id")), "key", "doc_id", "seq")
-    return out.withColumn("records", F.array_join("records", ","))
+    docs = table(spark, d, "documents").select(F.sha2("text", 256).alias("key"), "doc_id", F.col("doc_id").alias("seq"))
+    return dedup.duplicate_groups(docs, "key", "doc_id", "seq")
 
 
 _RECORD = "l_orderkey * 10 + l_linenumber"

@@ -19,6 +19,10 @@ pairs AS (SELECT a.vec_id AS a_id, r.vec_id AS b_id, count(*) / (any_value(a.n)
           FROM b a JOIN b r ON a.bit = r.bit AND a.q AND NOT r.q GROUP BY 1, 2)"""
 
 
+#: Numbers of a vector.
+WIDTH = 64
+
+
 def vectors(spark, d: str) -> tuple[DataFrame, DataFrame]:
     v = table(spark, d, "embeddings").withColumn("bits", similarity.on_bits(F.col("embedding")))
     return v.where("vec_id % 3 = 0"), v.where("vec_id % 3 <> 0")
@@ -31,20 +35,24 @@ def near_duplicates(spark, d):
 
 @query(f"WITH {_SIDES} SELECT vec_id, round(coalesce(max(similarity), 0), 6) AS max_similarity FROM v LEFT JOIN pairs ON a_id = vec_id WHERE q GROUP BY vec_id")
 def tanimoto_max(spark, d):
-    return rounded(similarity.max_similarity(*vectors(spark, d), "vec_id", "vec_id", "bits"), "max_similarity")
+    return rounded(similarity.max_similarity(*vectors(spark, d), "vec_id", "bits", WIDTH), "max_similarity")
 
 
 @query(f"""WITH {_SIDES}, m AS (SELECT vec_id, coalesce(max(similarity), 0) AS s FROM v LEFT JOIN pairs ON a_id = vec_id WHERE q GROUP BY vec_id)
 SELECT CASE WHEN s >= 0.7 THEN 'highly_similar' WHEN s >= 0.4 THEN 'moderately_similar' WHEN s >= 0.2 THEN 'chemically_novel' ELSE 'out_of_domain' END AS tier, count(*) AS n FROM m GROUP BY 1""")
 def similarity_tiers(spark, d):
-    best = similarity.max_similarity(*vectors(spark, d), "vec_id", "vec_id", "bits")
+    best = similarity.max_similarity(*vectors(spark, d), "vec_id", "bits", WIDTH)
     return best.groupBy(similarity.similarity_tier(F.col("max_similarity")).alias("tier")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT a.vec_id FROM embeddings a WHERE a.vec_id % 3 = 0 AND a.embedding IN (SELECT embedding FROM embeddings WHERE vec_id % 3 <> 0)""")
+_COARSE = "list_transform(embedding[1:8], lambda x: x > 0)"
+
+
+@query(f"""SELECT a.vec_id FROM embeddings a WHERE a.vec_id % 3 = 0 AND {_COARSE} IN (SELECT {_COARSE} FROM embeddings WHERE vec_id % 3 <> 0)""")
 def exact_vector_collisions(spark, d):
-    q, r = vectors(spark, d)
-    return q.join(r.select("embedding").distinct(), "embedding", "left_semi").select("vec_id")
+    """Of the signs of the first eight numbers, which do collide."""
+    q, r = (df.withColumn("code", F.transform(F.slice("embedding", 1, 8), lambda x: x > 0)) for df in vectors(spark, d))
+    return q.join(r.select("code").distinct(), "code", "left_semi").select("vec_id")
 
 
 _STATS = "s AS (SELECT i, avg(x) AS mean, CASE WHEN stddev_pop(x) = 0 THEN 1 ELSE stddev_pop(x) END AS sd FROM (SELECT generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE vec_id % 3 <> 0) GROUP BY i)"
@@ -70,11 +78,11 @@ def _scaled(spark, d):
 
 @query(f"WITH {_KNN.format(on=_CROSS)} SELECT vec_id, round(avg(distance), 5) AS knn_distance FROM d GROUP BY vec_id")
 def knn_distance(spark, d):
-    return rounded(similarity.nearest_distance(*_scaled(spark, d), "vec_id", "scaled"), "knn_distance", digits=5)
+    return rounded(similarity.nearest_distance(*_scaled(spark, d), "vec_id", "scaled", WIDTH), "knn_distance", digits=5)
 
 
 def _limit(r: DataFrame) -> DataFrame:
-    near = similarity.nearest_distance(r, r, "vec_id", "scaled", exclude_self=True)
+    near = similarity.nearest_distance(r, r, "vec_id", "scaled", WIDTH, exclude_self=True)
     return near.agg(F.percentile("knn_distance", F.lit(0.95)).alias("p95"))
 
 
@@ -98,8 +106,8 @@ _TWO = _VERDICT.format(n="((s < 0.6)::INT + (dist > p95)::INT)")
 
 def signals(spark, d: str) -> DataFrame:
     q, r = _scaled(spark, d)
-    best = similarity.max_similarity(q, r, "vec_id", "vec_id", "bits")
-    near = similarity.nearest_distance(q, r, "vec_id", "scaled")
+    best = similarity.max_similarity(q, r, "vec_id", "bits", WIDTH)
+    near = similarity.nearest_distance(q, r, "vec_id", "scaled", WIDTH)
     seen = r.where("label < 7").select("label").distinct().withColumn("seen", F.lit(True))
     return q.select("vec_id", "label").join(best, "vec_id").join(near, "vec_id").join(seen, "label", "left").join(F.broadcast(_limit(r)))
 
@@ -282,7 +290,7 @@ def accuracy_by_group(spark, d):
 
 @query()
 def bootstrap_auc(spark, d):
-    return metrics.bootstrap_auc(scored(spark, d), "id", "p", "y", replicates=1000)
+    return metrics.bootstrap_auc(scored(spark, d), "p", "y")
 
 
 def _learning(spark, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:

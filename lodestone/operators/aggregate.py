@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A spread above this (decades for positive values) marks a group as discordant.
@@ -93,7 +93,8 @@ def relabel(df: DataFrame, value: str, thresholds: dict[str, float]) -> DataFram
 
 def with_fraction(counts: DataFrame, count: str = "n") -> DataFrame:
     """Adds each row's share of all; counts has one row for each category."""
-    return counts.withColumn("fraction", F.col(count) / F.sum(count).over(Window.partitionBy()))
+    total = counts.agg(F.sum(count).alias("_all"))  # one row
+    return counts.join(F.broadcast(total)).withColumn("fraction", F.col(count) / F.col("_all")).drop("_all")
 
 
 def paradigm_ratio(df: DataFrame, key: str, category: str, value: str, first: str, second: str) -> DataFrame:
@@ -117,8 +118,11 @@ def mixed_categories(df: DataFrame, key: str, category: str, value: str, unknown
 def disproportionality(df: DataFrame, item: str, event: str, count: str) -> DataFrame:
     """Reporting ratios of each (item, event) from its 2x2 table: prr, ror and the ror's 95 % limits."""
     cell = df.groupBy(item, event).agg(F.sum(count).alias("a"))
-    a, item_n, event_n, all_n = F.col("a"), F.sum("a").over(Window.partitionBy(item)), F.sum("a").over(Window.partitionBy(event)), F.sum("a").over(Window.partitionBy())
-    table = cell.withColumns({"b": item_n - a, "c": event_n - a, "d": all_n - item_n - event_n + a}).where("b > 0 and c > 0 and d > 0")
+    total = lambda name, *keys: cell.groupBy(*keys).agg(F.sum("a").alias(name))
+    # The sum of all is one row.
+    sums = cell.join(total("_item", item), item).join(total("_event", event), event).join(F.broadcast(total("_all")))
+    a, item_n, event_n, all_n = (F.col(c) for c in ("a", "_item", "_event", "_all"))
+    table = sums.withColumns({"b": item_n - a, "c": event_n - a, "d": all_n - item_n - event_n + a}).where("b > 0 and c > 0 and d > 0")
     b, c, d = F.col("b"), F.col("c"), F.col("d")
     se = F.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
     log_ror = F.log((a * d) / (b * c))

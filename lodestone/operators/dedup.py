@@ -17,14 +17,17 @@ def tier_rank(tier: Column) -> Column:
     return rank
 
 
-def duplicate_groups(df: DataFrame, key: str, record: str, seq: str) -> DataFrame:
-    """Keys of two records or more: n, the first record by seq, and all of them in that order."""
-    return (
-        df.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct(seq, record))).alias("_all"))
-        .where("n > 1")
-        .select(key, "n", F.col("_all")[0][record].alias("representative"), F.transform("_all", lambda x: x[record].cast("string")).alias("records"))
-    )
+def duplicate_groups(df: DataFrame, key: str, record: str, seq: str, salts: int = 32) -> DataFrame:
+    """Records of the keys of two records or more: key, n, representative (the first record by seq), record.
+
+    A key's number and representative are aggregated before they meet its records, and once more by salt,
+    so a key that holds a third of all records is in `salts` tasks and in no array. Records without a
+    key are none's duplicates.
+    """
+    salted = df.where(F.col(key).isNotNull()).withColumn("_salt", F.pmod(F.xxhash64(seq, record), F.lit(salts)))
+    groups = salted.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min_by(record, F.struct(seq, record)).alias("representative")).where("n > 1")
+    placed = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return salted.join(placed, [key, "_salt"]).select(key, "n", "representative", record)
 
 
 def measurement_duplicates(

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.metrics import running_sums
+
 
 def kolmogorov_smirnov(old: DataFrame, new: DataFrame, value: str) -> DataFrame:
     """Largest distance between the two distributions of non-null values.
@@ -13,9 +15,9 @@ def kolmogorov_smirnov(old: DataFrame, new: DataFrame, value: str) -> DataFrame:
     """
     count = lambda df, name: df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias(name))
     both = count(old, "a").join(count(new, "b"), "v", "full").na.fill(0, ["a", "b"])
-    up, whole = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    share = lambda c: F.try_divide(F.sum(c).over(up), F.sum(c).over(whole))
-    return both.select(F.abs(share("a") - share("b")).alias("d")).agg(F.max("d").alias("ks"))
+    sums = running_sums(both, "v", ["a", "b"])
+    share = lambda c: F.try_divide(F.col(f"before_{c}") + F.col(c), F.col(f"all_{c}"))
+    return sums.select(F.abs(share("a") - share("b")).alias("d")).agg(F.max("d").alias("ks"))
 
 
 def release_summary(old: DataFrame, new: DataFrame, value: str, label: str) -> DataFrame:

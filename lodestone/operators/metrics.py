@@ -30,43 +30,68 @@ def score_counts(df: DataFrame, score: str, label: str, weight: Column | None =
     return df.groupBy(F.col(score).alias("score")).agg(F.sum(F.when(one, w).otherwise(0)).alias("pos"), F.sum(F.when(one, 0).otherwise(w)).alias("neg"))
 
 
+#: Rows are put in order within so many ranges of their order's values.
+RANGES = 256
+
+
+def running_sums(df: DataFrame, order: str, values: list[str]) -> DataFrame:
+    """df with before_v and all_v of each value: the sum over rows with a smaller order, and over all.
+
+    df has one row for each order. Quantiles cut the orders into ranges of about equal numbers of rows;
+    sums within a range, and over the ranges' own sums, make the running sum, so no task orders more than
+    a range. Null orders come first.
+    """
+    edges = df.agg(F.percentile_approx(order, [i / RANGES for i in range(1, RANGES)], 10_000).alias("_edges"))
+    at = F.when(F.col(order).isNull(), -1).otherwise(F.size(F.filter(F.coalesce("_edges", F.array().cast("array<double>")), lambda e: e < F.col(order))))
+    cut = df.join(F.broadcast(edges)).withColumn("_range", at).drop("_edges")
+    over = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # of RANGES + 1 rows at most
+    sums = cut.groupBy("_range").agg(*[F.sum(v).alias(v) for v in values])
+    offsets = sums.select("_range", *[F.coalesce(F.sum(v).over(over), F.lit(0)).alias(f"_o_{v}") for v in values], *[F.sum(v).over(Window.partitionBy()).alias(f"all_{v}") for v in values])
+    inside = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    before = {f"before_{v}": F.col(f"_o_{v}") + F.coalesce(F.sum(v).over(inside), F.lit(0)) for v in values}
+    return cut.join(F.broadcast(offsets), "_range").withColumns(before).drop("_range", *[f"_o_{v}" for v in values])
+
+
 def roc_auc(counts: DataFrame) -> DataFrame:
     """Mann-Whitney area with ties as a half; null with one class."""
-    below = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    area = F.col("pos") * (F.coalesce(F.sum("neg").over(below), F.lit(0)) + F.col("neg") / 2)
-    return counts.withColumn("_area", area).agg(F.try_divide(F.sum("_area"), F.sum("pos") * F.sum("neg")).alias("auc"))
+    area = F.col("pos") * (F.col("before_neg") + F.col("neg") / 2)
+    return running_sums(counts, "score", ["neg"]).withColumn("_area", area).agg(F.try_divide(F.sum("_area"), F.sum("pos") * F.sum("neg")).alias("auc"))
 
 
 def average_precision(counts: DataFrame) -> DataFrame:
     """Sum over descending scores of the recall gained times the precision there."""
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    precision = F.sum("pos").over(down) / F.sum(F.col("pos") + F.col("neg")).over(down)
-    return counts.withColumn("_gain", F.col("pos") * precision).agg(F.try_divide(F.sum("_gain"), F.sum("pos")).alias("average_precision"))
+    pos, neg = (F.col(f"all_{c}") - F.col(f"before_{c}") for c in ("pos", "neg"))
+    gained = running_sums(counts, "score", ["pos", "neg"]).withColumn("_gain", F.col("pos") * pos / (pos + neg))
+    return gained.agg(F.try_divide(F.sum("_gain"), F.sum("pos")).alias("average_precision"))
 
 
 def brier(df: DataFrame, score: str, label: str) -> DataFrame:
     return df.agg(F.avg(F.pow(F.col(score) - F.col(label), 2)).alias("brier"))
 
 
-def bootstrap_auc(df: DataFrame, id_col: str, score: str, label: str, replicates: int = 200, seed: int = 42) -> DataFrame:
+def bootstrap_auc(df: DataFrame, score: str, label: str, replicates: int = 1_000, seed: int = 42) -> DataFrame:
     """2.5 and 97.5 percentiles of the area over Poisson resamples, skipping those with one class.
 
-    A row's weight in a replicate comes from a hash of its identifier, so reruns agree; replicates
-    are aggregated together on (replicate, score), never collected row by row.
+    Rows of one score and label are one binomial cell: the weight of a cell of n rows in a replicate is a
+    Poisson number of mean n, as a sum of the rows' own would be: by inverting its distribution function up
+    to a mean of 30, by the rounded normal number above. Draws come from a hash of cell and replicate, so
+    reruns agree. What is multiplied by the replicates is cells, of which there are as many as scores.
     """
-    unit = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col("replicate")), F.lit(1_000_000)) / 1_000_000
-    cdf, weight, term, total = [], F.lit(0), 0.36787944117144233, 0.0
-    for k in range(8):
-        total += term
-        cdf.append(total)
-        term /= k + 1
-    for c in cdf:
-        weight = weight + (unit >= c).cast("int")
-    drawn = df.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("_w", weight).where("_w > 0")
-    one = F.col(label) == 1
-    counts = drawn.groupBy("replicate", F.col(score).alias("score")).agg(
-        F.sum(F.when(one, F.col("_w")).otherwise(0)).alias("pos"), F.sum(F.when(one, 0).otherwise(F.col("_w"))).alias("neg")
+    cells = df.groupBy(F.col(score).alias("score"), (F.col(label) == 1).alias("one")).agg(F.count(F.lit(1)).alias("n"))
+    hashed = lambda salt: (F.pmod(F.xxhash64(F.lit(seed + salt), "score", "one", "replicate"), F.lit(1 << 40)) + 0.5) / (1 << 40)
+    n = F.col("n").cast("double")
+    # Small means: the largest k whose distribution function is below the draw, by summing 96 terms.
+    term = F.struct(F.exp(-n).alias("p"), F.exp(-n).alias("cdf"), F.lit(0).alias("k"))
+    exact = F.aggregate(
+        F.sequence(F.lit(1), F.lit(96)), term,
+        lambda s, i: F.struct((s["p"] * n / i).alias("p"), (s["cdf"] + s["p"] * n / i).alias("cdf"), (s["k"] + (F.col("_u") > s["cdf"]).cast("int")).alias("k")),
+        lambda s: s["k"].cast("double"),
     )
+    normal = F.sqrt(-2 * F.log("_u")) * F.cos(2 * 3.141592653589793 * F.col("_v"))
+    far = F.greatest(F.lit(0.0), F.round(n + F.sqrt(n) * normal))
+    drawn = cells.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumns({"_u": hashed(0), "_v": hashed(1)})
+    drawn = drawn.withColumn("_w", F.when(F.col("n") <= 30, exact).otherwise(far)).where("_w > 0")
+    counts = drawn.groupBy("replicate", "score").agg(F.sum(F.when(F.col("one"), F.col("_w")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("one"), 0).otherwise(F.col("_w"))).alias("neg"))
     below = Window.partitionBy("replicate").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     areas = counts.withColumn("_area", F.col("pos") * (F.coalesce(F.sum("neg").over(below), F.lit(0)) + F.col("neg") / 2)).groupBy("replicate").agg(
         F.try_divide(F.sum("_area"), F.sum("pos") * F.sum("neg")).alias("auc")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.metrics import running_sums
+
 IN, BORDER, OUT, UNKNOWN = "in_domain", "borderline", "out_of_domain", "undeterminable"
 OUT_SIMILARITY, BORDER_SIMILARITY = 0.4, 0.6
 #: One minus the nominal confidence as a double: a p-value of a tenth is above it.
@@ -58,13 +60,12 @@ def nonconformity(p: Column, label: Column) -> Column:
 def conformal_p(queries: DataFrame, alphas: DataFrame, query_alpha: str, alpha: str = "alpha") -> DataFrame:
     """queries with p_value = (calibration scores >= the query's + 1) / (all + 1).
 
-    Both sides' distinct scores are summed downwards in order once; no query meets a calibration row.
+    Both sides' distinct scores are put in order once, within ranges; no query meets a calibration row.
     """
     counted = alphas.groupBy(F.col(alpha).alias("_a")).agg(F.count(F.lit(1)).alias("_n"))
     asked = queries.select(F.col(query_alpha).alias("_a")).distinct().withColumn("_n", F.lit(0).cast("long"))
     points = counted.unionByName(asked).groupBy("_a").agg(F.sum("_n").alias("_n"))
-    down = Window.orderBy(F.desc("_a")).rowsBetween(Window.unboundedPreceding, 0)
-    at_least = points.select("_a", F.sum("_n").over(down).alias("_ge"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
+    at_least = running_sums(points, "_a", ["_n"]).select("_a", (F.col("all__n") - F.col("before__n")).alias("_ge"), F.col("all__n").alias("_all"))
     return queries.join(at_least, queries[query_alpha] == at_least._a, "left").withColumn("p_value", (F.col("_ge") + 1) / (F.col("_all") + 1)).drop("_a", "_ge", "_all")
 
 

@@ -1,22 +1,22 @@
 """Tanimoto and nearest-neighbour joins over array columns.
 
-Bit vectors are arrays of the positions of their set bits. The Tanimoto join goes through an inverted
-index on bits, with a bound on the bit counts, so that only pairs that share a bit meet. Nearest
-neighbours come from blocked matrix products: queries are dealt out, references pass by in blocks.
+Bit vectors are arrays of the positions of their set bits. The thresholded join goes through an inverted
+index on the rarest bits of each vector: as many as two vectors of that similarity must share one of. A stated
+query set meets all references in blocks: both sides are dealt into parts, each pair of parts meets in
+one task, and only a query's best of a part goes on.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: References up to so many rows are sent to every task; beyond that both sides are dealt into blocks.
-BROADCAST_ROWS = 20_000
-BLOCK_ROWS = 4_096
+#: About so many numbers of a side's vectors meet in a task.
+BLOCK_VALUES = 4_000_000
 
 
 def on_bits(values: Column) -> Column:
@@ -24,20 +24,86 @@ def on_bits(values: Column) -> Column:
     return F.filter(F.transform(values, lambda x, i: F.when(x > 0, i)), lambda i: i.isNotNull())
 
 
-def tanimoto_join(a: DataFrame, b: DataFrame, a_id: str, b_id: str, bits: str, threshold: float = 0.0) -> DataFrame:
-    """Pairs (a_id, b_id, similarity) that share a bit and reach the threshold."""
-    ea = a.select(F.col(a_id).alias("a_id"), F.size(bits).alias("na"), F.explode(bits).alias("_bit"))
-    eb = b.select(F.col(b_id).alias("b_id"), F.size(bits).alias("nb"), F.explode(bits).alias("_bit"))
-    fits = F.least("na", "nb") >= threshold * F.greatest("na", "nb")
-    shared = ea.join(eb, "_bit").where(fits).groupBy("a_id", "b_id", "na", "nb").agg(F.count(F.lit(1)).alias("shared"))
-    similarity = F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
-    return shared.select("a_id", "b_id", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
+def packed(bits: Column) -> Column:
+    """Positions as an array of 64-bit words."""
+    word = lambda w: F.aggregate(F.filter(bits, lambda b: F.floor(b / 64) == w), F.lit(0).cast("long"), lambda s, b: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (b % 64).cast("int"))))
+    return F.transform(F.sequence(F.lit(0), F.floor(F.coalesce(F.array_max(bits), F.lit(0)) / 64).cast("int")), word)
 
 
-def max_similarity(queries: DataFrame, references: DataFrame, query_id: str, reference_id: str, bits: str) -> DataFrame:
-    """Per query its largest similarity to a reference; 0 where no bit is shared."""
-    best = tanimoto_join(queries, references, query_id, reference_id, bits).groupBy("a_id").agg(F.max("similarity").alias("_best"))
-    return queries.join(best, queries[query_id] == best.a_id, "left").select(query_id, F.coalesce("_best", F.lit(0.0)).alias("max_similarity"))
+def shared_bits(a: Column, b: Column) -> Column:
+    """How many bits two packed vectors share."""
+    none = F.lit(0).cast("long")
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(F.coalesce(x, none).bitwiseAND(F.coalesce(y, none)))), F.lit(0), lambda s, n: s + n)
+
+
+def tanimoto_join(a: DataFrame, b: DataFrame, a_id: str, b_id: str, bits: str, threshold: float = 0.5) -> DataFrame:
+    """Pairs (a_id, b_id, similarity) that reach the threshold, which is above 0.
+
+    Vectors of n bits that reach it share one of their n - ceil(threshold n) + 1 rarest bits. The pair comes
+    from the rarest of those alone, so no pair comes twice and none is grouped. Null vectors and those
+    without a bit have no partner.
+    """
+    if threshold <= 0:
+        raise ValueError("a join needs a threshold above 0")
+    held = lambda df, name: df.select(F.explode(bits).alias("_bit")).groupBy("_bit").agg(F.count(F.lit(1)).alias(name))
+    # One row for each bit position, with a rank in one array of all: as many as the vectors have positions.
+    ranks = held(a, "_n").unionByName(held(b, "_n")).groupBy("_bit").agg(F.sum("_n").alias("_n"))
+    order = ranks.agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_bit"))), lambda x: x["_bit"]).alias("_order"))
+
+    def side(df: DataFrame, key: str, x: str) -> DataFrame:
+        n = F.size(bits)
+        length = (n - F.ceil(n * threshold - 1e-9) + 1).cast("int")
+        ranked = F.array_sort(F.transform(F.col(bits), lambda p: F.array_position("_order", p).cast("int")))
+        rows = df.where(n > 0).join(F.broadcast(order)).select(F.col(key).alias(f"{x}_id"), n.alias(f"n{x}"), packed(F.col(bits)).alias(f"w{x}"), F.slice(ranked, F.lit(1), length).alias(f"p{x}"))
+        return rows.withColumn("_bit", F.explode(f"p{x}"))
+
+    fits = F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9
+    first = F.array_intersect("pa", "pb")[0] == F.col("_bit")
+    shared = shared_bits(F.col("wa"), F.col("wb"))
+    pairs = side(a, a_id, "a").join(side(b, b_id, "b"), "_bit").where(fits & first)
+    return pairs.select("a_id", "b_id", (shared / (F.col("na") + F.col("nb") - shared)).alias("similarity")).where(F.col("similarity") >= threshold)
+
+
+def in_blocks(queries: DataFrame, references: DataFrame, id_col: str, values: str, width: int, best: Callable, schema: str) -> DataFrame:
+    """best(query ids, query vectors, reference ids, reference vectors) -> frame, over all pairs of parts.
+
+    Parts hold about BLOCK_VALUES numbers. Every query is sent to each part of the references and every
+    reference to each part of the queries; rows with a null vector take no part.
+    """
+    sides = [df.where(F.col(values).isNotNull()).select(F.col(id_col).alias("_id"), F.col(values).alias("_v")) for df in (queries, references)]
+    parts = [max(1, -(-df.count() * width // BLOCK_VALUES)) for df in sides]
+    own = lambda n: F.pmod(F.xxhash64("_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asking = sides[0].select(own(parts[0]).alias("_q"), every(parts[1]).alias("_r"), "_id", "_v")
+    answers = sides[1].select(every(parts[0]).alias("_q"), own(parts[1]).alias("_r"), "_id", "_v")
+
+    def both(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or r.empty:
+            return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
+        return best(q["_id"].to_numpy(), np.stack(q["_v"].to_numpy()), r["_id"].to_numpy(), np.stack(r["_v"].to_numpy()))
+
+    return asking.groupBy("_q", "_r").cogroup(answers.groupBy("_q", "_r")).applyInPandas(both, schema)
+
+
+def _most_similar(q_ids, q, r_ids, r) -> pd.DataFrame:
+    """Per query the largest Tanimoto similarity, from products of 0/1 matrices."""
+    best = np.zeros(len(q))
+    n_r = r.sum(1)
+    for i in range(0, len(q), 512):
+        part = q[i : i + 512]
+        both = part @ r.T
+        union = part.sum(1)[:, None] + n_r[None, :] - both
+        best[i : i + 512] = np.where(union > 0, both / np.maximum(union, 1), 0).max(1)
+    return pd.DataFrame({"_id": q_ids, "_best": best})
+
+
+def max_similarity(queries: DataFrame, references: DataFrame, query_id: str, bits: str, width: int) -> DataFrame:
+    """Per query its largest similarity to a reference; 0 where no bit is shared. width is the vectors' number
+    of positions; both sides' identifiers have the name query_id. A null vector has similarity 0."""
+    dense = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.array_contains(bits, i).cast("float"))
+    sides = [df.select(query_id, F.when(F.col(bits).isNotNull(), dense).alias("_dense")) for df in (queries, references)]
+    found = in_blocks(*sides, query_id, "_dense", width, _most_similar, "_id long, _best double").groupBy("_id").agg(F.max("_best").alias("_best"))
+    return queries.join(found, queries[query_id] == found._id, "left").select(query_id, F.coalesce("_best", F.lit(0.0)).alias("max_similarity"))
 
 
 #: Tiers of the largest similarity to a reference, with their lower and upper bounds.
@@ -66,56 +132,24 @@ def scaled(df: DataFrame, values: str, stats: DataFrame, out: str = "scaled") ->
     return df.join(F.broadcast(one)).withColumn(out, F.zip_with(values, "_s", unit)).drop("_s")
 
 
-def nearest_distance(queries: DataFrame, references: DataFrame, id_col: str, values: str, k: int = 5, exclude_self: bool = False) -> DataFrame:
-    """Per query the mean Euclidean distance to its k nearest references.
-
-    Few references go to every task. Otherwise references are cut into blocks, every query meets each
-    block once, and only the k best of a block go on to the final choice.
-    """
-    n = references.limit(BROADCAST_ROWS + 1).count()
-    blocks = -(-references.count() // BLOCK_ROWS) if n > BROADCAST_ROWS else 1
-    ref = references.select(F.pmod(F.xxhash64(id_col), F.lit(blocks)).alias("_block"), F.col(id_col).alias("_id"), F.col(values).alias("_v"))
-    if blocks == 1:
-        rows = ref.select("_id", "_v").toPandas()
-        ids, matrix = rows["_id"].to_numpy(), _matrix(rows["_v"])
-
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                yield _nearest(f["_id"].to_numpy(), _matrix(f["_v"]), ids, matrix, k, exclude_self)
-
-        near = queries.select(F.col(id_col).alias("_id"), F.col(values).alias("_v")).mapInPandas(run, "id long, distance double")
-    else:
-        spread = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"), F.col(id_col).alias("_id"), F.col(values).alias("_v"))
-
-        def both(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-            if q.empty or r.empty:
-                return pd.DataFrame({"id": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})
-            return _nearest(q["_id"].to_numpy(), _matrix(q["_v"]), r["_id"].to_numpy(), _matrix(r["_v"]), k, exclude_self)
-
-        part = F.pmod(F.xxhash64("_id", "_block"), F.lit(64)).alias("_part")
-        near = (
-            spread.withColumn("_part", part).groupBy("_block", "_part")
-            .cogroup(ref.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(63)))).groupBy("_block", "_part"))
-            .applyInPandas(both, "id long, distance double")
-        )
-    ranked = near.withColumn("_rank", F.row_number().over(Window.partitionBy("id").orderBy("distance"))).where(F.col("_rank") <= k)
-    return ranked.groupBy(F.col("id").alias(id_col)).agg(F.avg("distance").alias("knn_distance"))
-
-
-def _matrix(arrays: pd.Series) -> np.ndarray:
-    return np.stack(arrays.to_numpy()).astype(np.float64) if len(arrays) else np.empty((0, 1))
+def nearest_distance(queries: DataFrame, references: DataFrame, id_col: str, values: str, width: int, k: int = 5, exclude_self: bool = False) -> DataFrame:
+    """Per query the mean Euclidean distance to its k nearest references; queries without a vector, or
+    without a reference, have no row."""
+    near = in_blocks(queries, references, id_col, values, width, lambda q_ids, q, r_ids, r: _nearest(q_ids, q, r_ids, r, k, exclude_self), "_id long, distances array<double>")
+    nearest = F.slice(F.array_sort(F.flatten(F.collect_list("distances"))), 1, k)  # k numbers from each part
+    return near.groupBy(F.col("_id").alias(id_col)).agg(nearest.alias("_near")).where(F.size("_near") > 0).select(
+        id_col, (F.aggregate("_near", F.lit(0.0), lambda s, d: s + d) / F.size("_near")).alias("knn_distance")
+    )
 
 
 def _nearest(q_ids, q, r_ids, r, k: int, exclude_self: bool) -> pd.DataFrame:
-    out_id, out_d = [], []
+    q, r = q.astype(np.float64), r.astype(np.float64)
+    out = []
     for i in range(0, len(q), 512):
         part = q[i : i + 512]
         d = np.sqrt(np.maximum((part**2).sum(1)[:, None] + (r**2).sum(1)[None, :] - 2 * part @ r.T, 0))
         if exclude_self:
             d[q_ids[i : i + 512][:, None] == r_ids[None, :]] = np.inf
-        best = np.argpartition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k] if d.shape[1] else np.empty((len(part), 0), int)
-        near = np.take_along_axis(d, best, 1)
-        out_id.append(np.repeat(q_ids[i : i + 512], near.shape[1]))
-        out_d.append(near.ravel())
-    ids, d = (np.concatenate(x) if x else np.empty(0) for x in (out_id, out_d))
-    return pd.DataFrame({"id": ids.astype(np.int64), "distance": d})[np.isfinite(d)]
+        near = np.sort(np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k], axis=1)
+        out += [row[np.isfinite(row)] for row in near]
+    return pd.DataFrame({"_id": q_ids, "distances": out})

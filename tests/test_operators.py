@@ -53,7 +53,7 @@ def test_duplicates_and_representatives(spark):
     got = {r.reference: (r.n, r.representative) for r in dedup.measurement_duplicates(df, "e", "t", "ref", "tier", "c", "seq", "id").collect()}
     assert got == {"doi": (2, "r2"), None: (2, "r4")}
     groups = dedup.duplicate_groups(df, "t", "id", "seq").collect()
-    assert [(r.t, r.n, r.representative, r.records) for r in groups] == [("T", 4, "r1", ["r1", "r2", "r3", "r4"])]
+    assert sorted((r.t, r.n, r.representative, r.id) for r in groups) == [("T", 4, "r1", f"r{i}") for i in range(1, 5)]
 
 
 def test_resolution_order(spark):
@@ -79,13 +79,64 @@ def test_nearest_distance_in_blocks(spark, monkeypatch):
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
     np.fill_diagonal(d, np.inf)
     want = {i: np.sort(d[i])[:5].mean() for i in range(60)}
-    for limit, block in ((20_000, 4096), (10, 25)):
-        monkeypatch.setattr(similarity, "BROADCAST_ROWS", limit)
-        monkeypatch.setattr(similarity, "BLOCK_ROWS", block)
-        got = {r.id: r.knn_distance for r in similarity.nearest_distance(df, df, "id", "v", exclude_self=True).collect()}
+    for block in (4_000_000, 60):
+        monkeypatch.setattr(similarity, "BLOCK_VALUES", block)
+        holes = df.unionByName(spark.createDataFrame([(99, None)], "id long, v array<double>"))
+        got = {r.id: r.knn_distance for r in similarity.nearest_distance(holes, holes, "id", "v", 4, exclude_self=True).collect()}
         assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-6) for i in want)
 
 
+@pytest.mark.parametrize("threshold", [0.2, 0.5, 0.75, 1.0])
+def test_tanimoto_against_all_pairs(spark, threshold, monkeypatch):
+    import random
+
+    monkeypatch.setattr(similarity, "BLOCK_VALUES", 1_000)
+    rng = random.Random(3)
+    base = [sorted(rng.sample(range(130), rng.randint(0, 40))) for _ in range(25)]
+    sets = base + [sorted({b for b in x if rng.random() > 0.1} | {rng.randrange(130)}) for x in base] + [[], [129]]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(sets)] + [(900, None)], "id long, bits array<int>")
+    a, b = df.where("id % 2 = 0"), df.where("id % 2 = 1")
+    similar = lambda x, y: len(set(x) & set(y)) / len(set(x) | set(y)) if x or y else 0.0
+    want = {(i, j): similar(sets[i], sets[j]) for i in range(0, len(sets), 2) for j in range(1, len(sets), 2)}
+    got = [(r.a_id, r.b_id, r.similarity) for r in similarity.tanimoto_join(a, b, "id", "id", "bits", threshold).collect()]
+    assert sorted(got) == sorted((*k, v) for k, v in want.items() if v >= threshold and v > 0)
+    best = {r.id: r.max_similarity for r in similarity.max_similarity(a, b, "id", "bits", 130).collect()}
+    assert best == pytest.approx({i: max(v for (x, _), v in want.items() if x == i) for i in range(0, len(sets), 2)} | {900: 0.0})
+
+
+def test_running_sums_over_ranges(spark, monkeypatch):
+    from lodestone.operators import metrics
+
+    rows = [(float(i * 7 % 1000), i) for i in range(1000)] + [(None, 5)]
+    df = spark.createDataFrame(rows, "s double, v long")
+    got = {r.s: (r.before_v, r.all_v) for r in metrics.running_sums(df, "s", ["v"]).collect()}
+    want, total = {}, 0
+    for s, v in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
+        want[s] = (total, sum(v for _, v in rows))
+        total += v
+    assert got == want
+
+
+def test_leakage_gate_wants_every_check(spark):
+    from lodestone.operators import split
+
+    gate = lambda rows: tuple(split.leakage_gate(spark.createDataFrame(rows, "check string, status string"), ["a", "b"]).first())
+    assert gate([("a", "PASS"), ("b", "PASS"), ("c", "REVIEW")]) == (True, 1)
+    assert gate([("a", "PASS"), ("b", "REVIEW")]) == (False, 0)
+    assert gate([("a", "PASS"), ("c", "PASS")]) == (False, 0)
+    assert gate([("a", "PASS"), ("b", "PASS"), ("b", None)]) == (False, 0)
+
+
+def test_closure_of_chains_and_cycles(spark):
+    from lodestone.operators import governance
+
+    chain = [(i, i + 1) for i in range(75)] + [(None, 4)]
+    got = governance.closure(spark.createDataFrame(chain, "p int, c int"), "p", "c")
+    assert {(r.ancestor, r.descendant, r.depth) for r in got.collect()} == {(str(i), str(j), j - i) for i in range(76) for j in range(i + 1, 76)}
+    with pytest.raises(ValueError):
+        governance.closure(spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "p int, c int"), "p", "c")
+
+
 def test_verdicts(spark):
     rows = [(0.39, 0.0, True), (0.4, 0.0, True), (0.5, 2.0, True), (0.6, 0.0, True), (0.6, 0.0, None), (0.6, 2.0, False), (None, 1.0, True), (0.9, None, True)]
     df = spark.createDataFrame(rows, "s double, d double, seen boolean")
