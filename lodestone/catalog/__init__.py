@@ -21,6 +21,6 @@ def query(sql: str | None = None):
 
 
 def load() -> tuple[dict[str, Callable], dict[str, str]]:
-    from lodestone.catalog import data, models, rules  # noqa: F401
+    from lodestone.catalog import data, flows, models, rules  # noqa: F401
 
     return dict(QUERIES), dict(SQL)

@@ -109,6 +109,37 @@ def registry_diff(registry: DataFrame, existing: DataFrame, key: str, licensing:
     return joined.select(key, action.alias("action"), F.when(action == "update", F.array_join(changed, ",")).otherwise("").alias("changed"))
 
 
+class LicenseChange(ValueError):
+    """A synchronisation would meet changed licences that nobody has acknowledged."""
+
+
+def apply_sync(registry: DataFrame, existing: DataFrame, key: str, licensing: list[str], safe: list[str], acknowledged: bool = False) -> DataFrame:
+    """The table after a synchronisation: new rows inserted, safe fields updated, the rest as it was.
+
+    Changed licence fields aren't applied by themselves, and unless they are acknowledged nothing is: the
+    error names ten of the rows at most. Rows only in existing are let be.
+    """
+    plan = registry_diff(registry, existing, key, licensing, safe)
+    if not acknowledged:
+        changes = [str(r[0]) for r in plan.where("action = 'license_change'").select(key).orderBy(key).limit(10).collect()]
+        if changes:
+            raise LicenseChange("licence changes need review: " + ", ".join(changes))
+    source = registry.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_{c}") for c in registry.columns if c != key])
+    actions = plan.select(F.col(key).alias("_k"), F.col("action").alias("_action"))
+    joined = existing.join(source, existing[key] == F.col("_key"), "full").join(actions, F.coalesce(existing[key], F.col("_key")) == F.col("_k"), "left")
+    new = F.col("_action").eqNullSafe("insert")
+    value = lambda c: F.when(new, F.col(f"_{c}")).when(F.col("_action").eqNullSafe("update") & F.lit(c in safe), F.col(f"_{c}")).otherwise(existing[c])
+    return joined.select(*[(F.coalesce(existing[key], F.col("_key")) if c == key else value(c) if c in registry.columns else existing[c]).alias(c) for c in existing.columns])
+
+
+def known_sources(rows: DataFrame, registry: DataFrame, key: str) -> DataFrame:
+    """rows, if the registry has the source of each; else an error that names ten of them at most."""
+    unknown = [str(r[0]) for r in rows.select(key).distinct().join(registry.select(key), key, "left_anti").orderBy(key).limit(10).collect()]
+    if unknown:
+        raise ValueError("unknown sources: " + ", ".join(unknown))
+    return rows
+
+
 def change_kind(old: Column, new: Column, old_deleted: Column, new_deleted: Column) -> Column:
     """insert, update, soft_delete or restore, from the row before and after."""
     return (

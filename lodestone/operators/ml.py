@@ -108,3 +108,77 @@ def importances(model, names: list[str], spark) -> DataFrame:
     """Features by importance; as many rows as there are features."""
     values = model.featureImportances.toArray().tolist()
     return spark.createDataFrame(list(zip(names, values)), "feature string, importance double").orderBy(F.desc("importance"), "feature")
+
+
+def areas(train: DataFrame, test: DataFrame, label: str, estimators: dict) -> dict[str, float]:
+    """Test area of each estimator fitted to train."""
+    return {name: auc_of(scored(e.fit(train), test), "p", label) for name, e in estimators.items()}
+
+
+def baselines(label: str, weight: str, features: str, trees: int = 300, seed: int = 42) -> dict:
+    """Weighted logistic regression and random forest on a feature column of few descriptors."""
+    common = {"featuresCol": features, "labelCol": label, "weightCol": weight}
+    return {"logistic": LogisticRegression(maxIter=2000, standardization=True, **common), "forest": RandomForestClassifier(numTrees=trees, maxDepth=30, seed=seed, **common)}
+
+
+def resampled(df: DataFrame, id_col: str, run: int, weight: str = "weight") -> DataFrame:
+    """A bootstrap of the rows: each has its weight times a Poisson number of mean 1, drawn by a hash of its
+    identifier and the run; rows drawn no time go."""
+    unit = (F.pmod(F.xxhash64(F.lit(run), F.col(id_col)), F.lit(1 << 40)) + 0.5) / (1 << 40)
+    cdf, term, total = [], 0.36787944117144233, 0.0
+    for k in range(12):
+        total += term
+        cdf.append(total)
+        term /= k + 1
+    n = sum(((unit >= c).cast("int") for c in cdf), F.lit(0))
+    return df.withColumn("_n", n).where("_n > 0").withColumn(weight, F.col(weight) * F.col("_n")).drop("_n")
+
+
+def bootstrap_stability(train: DataFrame, test: DataFrame, id_col: str, label: str, estimator, runs: int) -> dict[int, float]:
+    """Test area for each bootstrap of the training rows."""
+    return {r: auc_of(scored(estimator.fit(resampled(train, id_col, r)), test), "p", label) for r in range(runs)}
+
+
+def ablation(train: DataFrame, test: DataFrame, label: str, variants: dict[str, list[str]], make) -> dict[str, float]:
+    """Test area with each set of array columns as the only features; make() gives an estimator."""
+    return {v: auc_of(scored(make().fit(with_features(train, c)), with_features(test, c)), "p", label) for v, c in variants.items()}
+
+
+def stratified_split(df: DataFrame, id_col: str, label: str, fraction: float, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Rows at random into train and test with the test's share of each class: by a hash of the identifier,
+    below each class's exact quantile."""
+    hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), F.col(id_col)).cast("double"))
+    edge = hashed.groupBy(label).agg(F.percentile_approx("_h", fraction, 100_000).alias("_edge"))  # a row for each class
+    placed = hashed.join(F.broadcast(edge), label).withColumn("_test", F.col("_h") <= F.col("_edge")).drop("_h", "_edge")
+    return placed.where("not _test").drop("_test"), placed.where("_test").drop("_test")
+
+
+def split_gap(df: DataFrame, id_col: str, label: str, test: Column, estimator, seed: int = 42) -> dict[str, float]:
+    """Test area under the given split and under a stratified random one of the same size, and how much
+    larger the random one's is."""
+    n, held = df.agg(F.count(F.lit(1)), F.count_if(test)).first()
+    given = auc_of(scored(estimator.fit(balanced_weight(df.where(~test), label)), df.where(test)), "p", label)
+    train, rest = stratified_split(df, id_col, label, held / n, seed)
+    random = auc_of(scored(estimator.fit(balanced_weight(train, label)), rest), "p", label)
+    return {"given": given, "random": random, "gap": random - given}
+
+
+def mahalanobis(train: DataFrame, df: DataFrame, values: str, out: str = "mahalanobis", ridge: float = 1e-6) -> DataFrame:
+    """df with the distance of its vectors from train's mean under train's covariance.
+
+    Sums and products are aggregated by pyspark.ml; what reaches the driver is the covariance, as wide as
+    the vectors. Null vectors have a null distance.
+    """
+    import numpy as np
+    from pyspark.ml.stat import Correlation, Summarizer
+
+    v = with_features(train.where(F.col(values).isNotNull()), [values], "_v")
+    mean, sd = (np.array(x) for x in v.agg(Summarizer.mean(F.col("_v")), Summarizer.std(F.col("_v"))).first())
+    corr = np.nan_to_num(Correlation.corr(v, "_v").first()[0].toArray())
+    np.fill_diagonal(corr, 1.0)
+    sd[sd == 0] = 1.0
+    root = np.linalg.cholesky(np.linalg.inv(corr + ridge * np.eye(len(sd)))).T  # whitens the standardised vector
+    unit = F.zip_with(F.zip_with(values, F.lit(mean.tolist()), lambda x, m: x - m), F.lit(sd.tolist()), lambda x, s: x / s)
+    dot = lambda row: F.aggregate(F.zip_with("_unit", F.lit(row), lambda x, w: x * w), F.lit(0.0), lambda s, x: s + x)
+    squares = [F.pow(dot(row.tolist()), 2) for row in root]
+    return df.withColumn("_unit", unit).withColumn(out, F.sqrt(sum(squares, F.lit(0.0)))).drop("_unit")

@@ -39,13 +39,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own_folder: list[str] = []
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as spark.checkpoint.dir names it; where it names none and
+    the master is a single local process, a temporary one. On a cluster that is an error."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not _own_folder:
+        _own_folder.append("file://" + tempfile.mkdtemp(prefix="spark-lodestone-"))
+    return _own_folder[0]
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df without its lineage, checkpointed in the folder that the session names; where it names none and
-    the master is a single local process, in a temporary folder. On a cluster that is an error."""
+    """df without its lineage, checkpointed in the shared folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not shared and not context.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir(shared or "file://" + tempfile.mkdtemp(prefix="spark-lodestone-"))
+        context.setCheckpointDir(scratch_folder(df.sparkSession))
     return df.checkpoint()

@@ -92,6 +92,104 @@ def digest_mismatches(spark: SparkSession, path: str, expected: DataFrame) -> Da
     return joined.where(~F.lower("sha256").eqNullSafe(F.lower("_found"))).select("path", "sha256", F.col("_found").alias("found"))
 
 
+class DigestMismatch(ValueError):
+    """A file isn't what was recorded, or isn't there."""
+
+
+class Refused(ValueError):
+    """A server's answer that another try won't change."""
+
+
+def verified(spark: SparkSession, folder: str, expected: dict[str, str]) -> str:
+    """The folder, if each named file in it has its recorded SHA-256; else an error. To be asked before an
+    artifact is loaded."""
+    rows = spark.createDataFrame([(name, sha) for name, sha in expected.items()], "name string, sha256 string")
+    found = landed_digests(spark, folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("sha256").alias("_found"))
+    bad = rows.join(found, "name", "left").where(~F.lower("sha256").eqNullSafe(F.lower("_found"))).orderBy("name").collect()  # of the named files
+    if bad:
+        raise DigestMismatch("; ".join(f"{r['name']}: {'missing' if r['_found'] is None else 'other content'}" for r in bad))
+    return folder
+
+
+def download(url: str, path: str, sha256: str, open_url: Callable | None = None, tries: int = 4, rounds: int = 3, pause: float = 0.5, chunk: int = 1 << 20) -> int:
+    """One file of a service to a local landing path, where the driver is; returns its bytes.
+
+    Streamed under another name and renamed when its digest is right. Answers 429 and 5xx and broken
+    connections are tried again with growing pauses, other refusals aren't; a wrong digest starts the
+    file anew, `rounds` times at most.
+    """
+    import hashlib
+    import os
+    import urllib.error
+    import urllib.request
+
+    open_url = open_url or urllib.request.urlopen
+    for turn in range(rounds):
+        digest, size = hashlib.sha256(), 0
+        for attempt in range(tries):
+            digest, size = hashlib.sha256(), 0
+            try:
+                with open_url(url) as source, open(f"{path}.part", "wb") as out:
+                    while data := source.read(chunk):
+                        digest.update(data)
+                        size += len(data)
+                        out.write(data)
+                break
+            except urllib.error.HTTPError as e:
+                if e.code != 429 and e.code < 500:
+                    raise Refused(f"{url}: {e.code}") from e
+                last = e
+            except (ConnectionError, urllib.error.URLError) as e:
+                last = e
+            if attempt + 1 == tries:
+                raise ConnectionError(f"{url}: no answer after {tries} tries") from last
+            time.sleep(pause * 2**attempt)
+        if digest.hexdigest() == sha256.lower():
+            os.replace(f"{path}.part", path)
+            return size
+    os.remove(f"{path}.part")
+    raise DigestMismatch(f"{url}: not the recorded content after {rounds} downloads")
+
+
+def read_split(spark: SparkSession, path: str, group: str, groups: list[int], columns: list[str]) -> DataFrame:
+    """The columns of a split's groups; with the table partitioned by group only its folders are read."""
+    return spark.read.parquet(path).where(F.col(group).isin(*groups)).select(*columns)
+
+
+def load_license_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """A YAML registry's licence blocks of every kind, one row each, as license_audit() takes them."""
+    import yaml
+
+    with open(path, encoding="utf-8") as f:
+        doc = yaml.safe_load(f)
+    rows = []
+
+    def add(source, context, kind, lic, *, entry=None):
+        entry, there = entry or {}, isinstance(lic, dict)
+        lic = lic if there else {}
+        rows.append((
+            source, context, kind, there, lic.get("spdx"), lic.get("tier"), _flag(lic.get("commercial_ok")), _flag(lic.get("sharealike")), lic.get("attribution"),
+            len(lic.get("split_licensing") or []), len(lic.get("exclusions") or []), bool((entry.get("cadence") or {}).get("stale")),
+            (entry.get("verification") or {}).get("status") == "unverified", entry.get("reason"),
+        ))
+
+    for entry in doc.get("sources") or []:
+        name, lic = entry.get("source_id", "<unnamed>"), entry.get("license")
+        add(name, "", "source", lic, entry=entry)
+        for part in (lic or {}).get("split_licensing") or []:
+            add(name, part.get("portion", "?"), "portion", part)
+        if (lic or {}).get("default_spdx") is not None:
+            add(name, "default", "default", {"spdx": lic["default_spdx"], "tier": lic.get("default_tier"), "attribution": lic.get("attribution")})
+        for part in (lic or {}).get("exclusions") or []:
+            add(name, part.get("dataset", "?"), "exclusion", part)
+    for entry in doc.get("excluded_sources") or []:
+        add(entry.get("source_id", "<unnamed>"), "", "excluded", entry.get("license") or {}, entry=entry)
+    return spark.createDataFrame(
+        rows, "source_id string, context string, kind string, licensed boolean, spdx string, tier string, commercial_ok boolean, sharealike boolean, "
+        "attribution string, portions int, exclusions int, stale boolean, unverified boolean, reason string"
+    )
+
+
 class _Page(InputPartition):
     def __init__(self, offset: int):
         super().__init__(offset)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
 
 from lodestone.operators.governance import insert_absent
+from lodestone.sources.readers import landed_digests
 
 
 def write_once(df: DataFrame, path: str) -> None:
@@ -18,9 +20,12 @@ def write_partitioned(df: DataFrame, path: str, *columns: str) -> None:
     df.write.partitionBy(*columns).parquet(path)
 
 
-def write_sorted_csv(df: DataFrame, path: str, *keys: str) -> None:
-    """A total sort by keys, a part file for each range; concatenated in order they are one sorted file."""
-    df.orderBy(*keys).write.mode("errorifexists").csv(path, header=True, quoteAll=False, escape='"')
+def write_sorted_csv(df: DataFrame, path: str, *keys: str) -> int:
+    """A total sort by keys, a part file for each range; concatenated in order they are one sorted file.
+    Returns the rows. They are counted after the sort, whose ranges are found by a pass of their own."""
+    seen = Observation()
+    df.orderBy(*keys).observe(seen, F.count(F.lit(1)).alias("n")).write.mode("errorifexists").csv(path, header=True, quoteAll=False, escape='"')
+    return seen.get["n"]
 
 
 def content_digest(df: DataFrame) -> DataFrame:
@@ -37,7 +42,7 @@ def back_up(spark: SparkSession, source: str, target: str) -> bool:
 
 
 def append_absent(df: DataFrame, path: str, keys: list[str]) -> int:
-    """Appends the rows whose keys the table lacks; repeated runs add nothing."""
+    """Appends the rows whose keys the table lacks; repeated runs add nothing. Returns how many were added."""
     spark = df.sparkSession
     try:
         existing = spark.read.parquet(path)
@@ -45,11 +50,14 @@ def append_absent(df: DataFrame, path: str, keys: list[str]) -> int:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         existing = df.limit(0)
-    new = insert_absent(existing, df, keys)
-    n = new.count()
-    if n:
-        new.write.mode("append").parquet(path)
-    return n
+    seen = Observation()
+    insert_absent(existing, df, keys).observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+    return seen.get["n"]
+
+
+def record_snapshot(snapshots: DataFrame, path: str) -> int:
+    """Appends snapshots (source_id, version, sha256, ...); one that is there already isn't recorded again."""
+    return append_absent(snapshots, path, ["source_id", "version", "sha256"])
 
 
 def append_log(df: DataFrame, path: str) -> None:
@@ -57,19 +65,71 @@ def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("mergeSchema", True).parquet(path)
 
 
+def rejections(df: DataFrame, reason: Column, key: str) -> DataFrame:
+    """A record for the log of each row that has a reason against it."""
+    return df.where(reason.isNotNull()).select(F.col(key), F.lit("rejected").alias("outcome"), reason.alias("reason"))
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("mergeSchema", True).parquet(path)
+
+
 def fan_out(df: DataFrame, base: str, targets: dict[str, list[str]], required: dict[str, str], tier: str) -> dict[str, int]:
     """One processed table into several: target -> columns; rows with a null required column only go
     to the targets that don't require it. Partitioned by licence tier; returns the rows written."""
     counts = {}
     for name, columns in targets.items():
         part = df.where(F.col(required[name]).isNotNull()) if name in required else df
-        part = part.select(*dict.fromkeys([*columns, tier]))
-        write_partitioned(part, f"{base}/{name}", tier)
-        counts[name] = part.count()
+        seen = Observation()
+        write_partitioned(part.select(*dict.fromkeys([*columns, tier])).observe(seen, F.count(F.lit(1)).alias("n")), f"{base}/{name}", tier)
+        counts[name] = seen.get["n"]
     return counts
 
 
+def export_with_manifest(df: DataFrame, path: str, *keys: str) -> DataFrame:
+    """A sorted export under path/data, and path/manifest with a JSON row for it: rows, columns and a digest of
+    the part files' digests in order, which is the digest of the bytes as they lie. Returns the manifest."""
+    spark = df.sparkSession
+    rows = write_sorted_csv(df, f"{path}/data", *keys)
+    parts = landed_digests(spark, f"{path}/data").where(F.col("path").endswith(".csv")).select(F.element_at(F.split("path", "/"), -1).alias("part"), "length", "sha256")
+    # A row for each part file, of which there are as many as tasks wrote.
+    listed = F.array_sort(F.collect_list(F.struct("part", "length", "sha256")))
+    manifest = parts.agg(listed.alias("parts")).select(
+        F.lit(rows).cast("long").alias("rows"), F.lit(",".join(df.columns)).alias("columns"), F.lit(",".join(keys)).alias("sorted_by"),
+        F.sha2(F.array_join(F.transform("parts", lambda p: p["sha256"]), ""), 256).alias("sha256"), "parts",
+    )
+    manifest.coalesce(1).write.mode("errorifexists").json(f"{path}/manifest")
+    return spark.read.schema(manifest.schema).json(f"{path}/manifest")
+
+
+def csv_field(value: Column) -> Column:
+    """A field of a CSV line: quoted where it holds a comma, a quote or a line break; null is empty."""
+    text = F.coalesce(value.cast("string"), F.lit(""))
+    return F.when(text.rlike("[,\"\\r\\n]"), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+
+
+def csv_line(df: DataFrame, separator: str = "|") -> Column:
+    """A row as a CSV line; arrays are joined by the separator."""
+    fields = [F.array_join(F.col(f.name).cast("array<string>"), separator) if isinstance(f.dataType, ArrayType) else F.col(f.name) for f in df.schema.fields]
+    return F.concat_ws(",", *[csv_field(f) for f in fields])
+
+
+def rounded(value: Column, kind: DataType, digits: int = 6) -> Column:
+    """A value with every double in it rounded and every struct's fields in order of their names."""
+    if isinstance(kind, (DoubleType, FloatType)):
+        return F.round(value, digits)
+    if isinstance(kind, StructType):
+        fields = [rounded(value.getField(f.name), f.dataType, digits).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: rounded(x, kind.elementType, digits))
+    if isinstance(kind, MapType):
+        return F.transform_values(value, lambda _, v: rounded(v, kind.valueType, digits))
+    return value
+
+
 def export_json(df: DataFrame, digits: int = 6) -> DataFrame:
-    """One JSON string for each row, keys in order, doubles rounded: stable fixtures and exports."""
-    fields = [F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in sorted(df.dtypes)]
+    """One JSON string for each row, keys in order and doubles rounded at every depth: stable fixtures and
+    exports."""
+    fields = [rounded(F.col(f.name), f.dataType, digits).alias(f.name) for f in sorted(df.schema.fields, key=lambda f: f.name)]
     return df.select(F.to_json(F.struct(*fields)).alias("json"))

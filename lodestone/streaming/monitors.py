@@ -5,7 +5,8 @@ The window functions take batch and streaming frames alike.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -41,37 +42,36 @@ def sliding_count(df: DataFrame, key: str, ts: str, seconds: int = PERIOD) -> Da
     return df.withColumn("n_recent", F.count(F.lit(1)).over(w))
 
 
-def _limit(times: list[float], recent: list[float], limit: int, period: float) -> tuple[list[bool], list[float]]:
-    """Only accepted requests count against the next ones."""
+def _limit(times: Iterable[float], recent: deque, period: float) -> list[bool]:
+    """Only accepted requests count against the next ones: recent holds the last of them, as many as the
+    limit, so the oldest decides."""
     out = []
     for t in times:
-        recent = [x for x in recent if x >= t - period]
-        ok = len(recent) < limit
+        ok = len(recent) < recent.maxlen or recent[0] < t - period
         if ok:
             recent.append(t)
         out.append(ok)
-    return out, recent
+    return out
 
 
 def rate_limit(df: DataFrame, key: str, ts: str, id_col: str, limit: int = LIMIT, period: float = PERIOD) -> DataFrame:
     """(id, key, accepted) over a whole log, each key's requests in order of time and identifier.
 
     The decision depends on earlier decisions, which no window frame can say; a key's rows come in
-    order and in batches, and the state is at most `limit` times.
+    order and in batches, a run of one key at a time, and the state is at most `limit` times.
     """
     kinds = dict(df.dtypes)
     rows = df.select(F.col(id_col).alias("_id"), F.col(key).alias("_key"), (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("_t"))
     ordered = rows.repartition("_key").sortWithinPartitions("_key", "_t", "_id")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, recent = object(), []
+        now, recent = object(), deque(maxlen=limit)
         for f in frames:
-            accepted = []
-            for k, t in zip(f["_key"], f["_t"]):
-                if k != now:
-                    now, recent = k, []
-                (ok,), recent = _limit([t], recent, limit, period)
-                accepted.append(ok)
+            accepted: list[bool] = []
+            for k, part in f.groupby("_key", sort=False, dropna=False):
+                if k != now and not (pd.isna(k) and now is None):
+                    now, recent = None if pd.isna(k) else k, deque(maxlen=limit)
+                accepted += _limit(part["_t"].tolist(), recent, period)
             yield pd.DataFrame({"_id": f["_id"], "_key": f["_key"], "accepted": accepted})
 
     out = ordered.mapInPandas(run, f"_id {kinds[id_col]}, _key {kinds[key]}, accepted boolean")
@@ -87,10 +87,10 @@ def rate_limit_stream(df: DataFrame, key: str, ts: str, id_col: str, limit: int
         if state.hasTimedOut:
             state.remove()
             return
-        recent = list(state.get[0]) if state.exists else []
+        recent = deque(state.get[0] if state.exists else [], maxlen=limit)
         f = pd.concat(list(frames)).sort_values(["_t", "_id"])
-        accepted, recent = _limit(f["_t"].tolist(), recent, limit, period)
-        state.update((recent,))
+        accepted = _limit(f["_t"].tolist(), recent, period)
+        state.update((list(recent),))
         state.setTimeoutDuration(int(period * 2000))
         yield pd.DataFrame({"_id": f["_id"].to_numpy(), "_key": f["_key"].to_numpy(), "accepted": accepted})
 
