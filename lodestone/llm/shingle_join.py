@@ -184,7 +184,7 @@ def _groups(at: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
 
 def _blocks(words: int, ranges: int, hot: np.ndarray):
     """Rows (range, payload): nodes' keys, their counts in the range, their hashes' low bytes. Hot
-    hashes go to -1 - bucket of the node, with their range's bits on top."""
+    hashes go beyond the ranges, by the bucket of the node, and have their range beside them."""
     shift = np.uint64(64 - ranges.bit_length() + 1)
 
     def emit(keys: list[bytes], sets: list[np.ndarray]) -> pa.RecordBatch:
@@ -204,7 +204,7 @@ def _blocks(words: int, ranges: int, hot: np.ndarray):
         warm = np.flatnonzero(is_hot)
         for b, part in _groups(_home(names, ranges)[owner[warm]], ranges):
             part = warm[part]
-            to.append(-1 - b)
+            to.append(ranges + b)
             rows.append(_payload(names, owner[part], np.column_stack([_narrow(hashes[part]), at[part].astype("<i4").view(np.uint8).reshape(-1, 4)])))
         return pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(rows, pa.binary())], names=["range", "payload"])
 
@@ -244,14 +244,15 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shared(buckets: int):
-    """Of a range: the hashes of two nodes or more, by bucket of nodes. Below 0 only passes on."""
+    """Of a range: the hashes of two nodes or more, by bucket of nodes. What lies beyond the ranges is in its
+    bucket already and is passed on."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         at = key[0].as_py()
         kinds = pa.schema([("bucket", pa.int32()), ("range", pa.int32()), ("payload", pa.binary())])
-        if at < 0:
+        if at >= buckets:
             n = table.num_rows
-            return pa.table([pa.array([-1 - at] * n, pa.int32()), pa.array([-1] * n, pa.int32()), table.column("payload").cast(pa.binary())], schema=kinds)
+            return pa.table([pa.array([at - buckets] * n, pa.int32()), pa.array([-1] * n, pa.int32()), table.column("payload").cast(pa.binary())], schema=kinds)
         parsed = [_parsed(p.as_buffer(), _WIDTH) for p in table.column("payload")]
         names, which = _distinct(np.concatenate([k for k, _, _ in parsed]))
         taken = np.zeros(len(names), bool)
@@ -601,8 +602,9 @@ def similar_groups(
     ranges = max(LEAST_RANGES, 1 << max(0, (-(-total // hashes_per_range) - 1).bit_length()))
     hot = hot_hashes(texts, sizes, words)
     blocks = texts.select("text").mapInArrow(_blocks(words, ranges, hot), "range int, payload binary")
-    shared = blocks.groupBy("range").applyInArrow(_shared(ranges), "bucket int, range int, payload binary")
-    found = shared.groupBy("bucket").applyInArrow(_survivors(similarity, ranges), SETS)
+    # A task for each range and each bucket, so what a task reads doesn't grow with the corpus.
+    shared = blocks.repartitionById(2 * ranges, F.col("range")).groupBy("range").applyInArrow(_shared(ranges), "bucket int, range int, payload binary")
+    found = shared.repartitionById(ranges, F.col("bucket")).groupBy("bucket").applyInArrow(_survivors(similarity, ranges), SETS)
     sets = scratch.write(found.withColumn("node", F.monotonically_increasing_id()), "sets")
     nodes = scratch.write(sets.select("node", "key").join(linked_nodes(sets, similarity, scratch), "node").select("key", "label"), "nodes")
     scratch.drop(*(name for name in list(scratch.paths) if name not in ("sizes", "nodes")))
