@@ -229,7 +229,8 @@ def _ordered(df: DataFrame, text_col: str, rules) -> list[Rule]:
 
 def quality_filter(df: DataFrame, text_col: str = "text", rules=RULES) -> DataFrame:
     """The rows of df that no rule rejects, with all its columns; rejected texts cost only the rules
-    up to the one that rejects them."""
+    up to the one that rejects them. Null and empty texts are rejected; identifiers aren't read, so null
+    and repeated ones are judged each; df's names clash with none. An empty table gives no rows."""
     ordered = _ordered(df, text_col, rules)
 
     @F.pandas_udf("boolean")

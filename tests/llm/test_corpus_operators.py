@@ -306,17 +306,49 @@ def brute_components(rows):
     return Counter((d, len(sets[i]), least[find(i)]) for i, (d, _, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("small,block", [(32, 512), (2, 7)])
-def test_similar_components(spark, rows, monkeypatch, small, block):
-    monkeypatch.setattr(shingle_join, "SMALL_BUCKET", small)
-    monkeypatch.setattr(shingle_join, "BLOCK", block)
+@pytest.mark.parametrize("limits", [{}, {"CLUSTER_NODES": 20, "PIVOTS": 3}, {"CLUSTER_NODES": 5, "PIVOTS": 1, "HOT_NODES": 3}, {"CLUSTER_HASHES": 400, "PIVOTS": 0, "HOT_NODES": 2, "_BLOCK_HASHES": 300}])
+def test_similar_components(spark, rows, monkeypatch, limits):
+    for name, value in limits.items():
+        monkeypatch.setattr(shingle_join, name, value)
     rng = random.Random(9)
-    base = prose(rng, 60, 4000)
+    base, passage = prose(rng, 60, 4000), prose(rng, 40, 90_000)
     more = [(1000 + i, near(rng, base, rng.randint(1, 4)), "n") for i in range(70)]  # no original among them
-    got = shingle_join.similar_components(frame(spark, rows + more), hashes_per_range=500)
+    more += [(2000 + i, f"{passage} {prose(rng, 12, 10**6)}", "n") for i in range(30)]  # a passage that many share, and little else
+    more += [(3000 + i, f"{prose(rng, 60, 10**6)} {passage}", "n") for i in range(30)]
+    got = shingle_join.similar_components(frame(spark, rows + more), hashes_per_range=4_000)
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_components(rows + more)
 
 
+def test_partners_are_found_by_the_three_orders():
+    rng = np.random.default_rng(4)
+    pool = np.unique(rng.integers(0, 2**62, 400).astype(np.uint64))
+    base = [np.sort(rng.choice(pool, rng.integers(8, 120), replace=False)) for _ in range(20)]
+    sets = base + [np.unique(np.append(x[rng.random(len(x)) > 0.12], rng.choice(pool, 3))) for x in base]
+    own = rng.integers(0, 3, len(sets))
+    n = np.array([len(x) for x in sets]) + own
+    keep = [i for i in range(len(sets)) if len(sets[i]) >= shingle_join.least_shared(n[i])]
+    sets, n, own = [sets[i] for i in keep], n[keep], own[keep]
+    rank = {t: k for k, t in enumerate(rng.permutation(pool).tolist())}  # any first order
+    width = [len(x) - shingle_join.least_shared(int(k)) + 1 for x, k in zip(sets, n)]
+    first = [np.array(sorted(x.tolist(), key=rank.get)[:w], np.uint64) for x, w in zip(sets, width)]
+    group = shingle_join.Sets(n, own, sets, first, 75)
+    for i in range(len(sets)):
+        both = [len(np.intersect1d(sets[i], x)) for x in sets]
+        want = [j for j, c in enumerate(both) if 100 * c >= 75 * (n[i] + n[j] - c)]
+        assert group.partners(group, i, np.ones(len(sets), bool)).tolist() == want
+
+
+def test_a_large_component_is_not_met_whole(spark, monkeypatch):
+    """Two groups of variants that share a passage: blocks, pivots and askers find what brute force finds."""
+    monkeypatch.setattr(shingle_join, "CLUSTER_NODES", 30)
+    rng = random.Random(12)
+    a, b = prose(rng, 80, 10**5), prose(rng, 80, 10**5)
+    texts = [near(rng, x, rng.randint(0, 3)) for x in (a, b) for _ in range(60)] + [f"{a[: len(a) // 2]} {b[len(b) // 2 :]}"] * 3
+    rows = [(i, t, "s") for i, t in enumerate(texts)]
+    got = shingle_join.similar_components(frame(spark, rows, 5))
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_components(rows)
+
+
 def test_one_of_each(spark, rows):
     rows = [r for r in rows if r[0] != 400]  # two texts of one identifier make two components
     df = frame(spark, rows)
@@ -424,8 +456,11 @@ def test_pipeline_against_plain_python(spark, rows, folder):
 
 
 def test_native_plans_hold_no_python(spark, rows):
+    from lodestone.llm import pii
+
     df = frame(spark, rows)
-    for out in (exact_dedup.duplicate_groups(df), mixing.mixture(df), secrets.secret_report(df)):
+    pages = spark.createDataFrame([(i, f"http://h{i}.com/{'de' if i % 2 else 'fr'}/{i}") for i in range(40)], "page_id long, url string")
+    for out in (exact_dedup.duplicate_groups(df), mixing.mixture(df), secrets.secret_report(df), pii.pseudonym_report(df, "k"), urls.judged(pages)):
         plan = out._jdf.queryExecution().toString()
         assert not re.search("Python|Pandas|Arrow", plan)
 
