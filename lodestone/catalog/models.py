@@ -302,7 +302,7 @@ def _learning(spark, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def _candidates() -> dict:
-    """The reference's grid; 30 is the largest depth of Spark's trees and stands for no limit."""
+    """The specified grid; 30 is the largest depth of Spark's trees and stands for no limit."""
     return ml.candidates("y", "weight", trees=(200, 500), depths=(30, 20), rounds=100)
 
 

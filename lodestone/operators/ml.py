@@ -79,12 +79,20 @@ def scrambled(df: DataFrame, id_col: str, label: str, run: int) -> DataFrame:
     return df.drop(label).join(a.join(b, "_position").select(id_col, F.col("_label").alias(label)), id_col)
 
 
+#: About so many rows are put in order in one task.
+RANGE_ROWS = 250_000
+
+
 def positions(df: DataFrame, order: Column, tie: str) -> DataFrame:
-    """df with _position, 0 to n - 1 by order and tie: counts of sorted ranges, summed, give offsets."""
+    """df with _position, 0 to n - 1 by order and tie: counts of sorted ranges, summed, give offsets.
+
+    order is a hash, so its leading bits cut it into even ranges, as many as the rows need.
+    """
     from pyspark.sql import Window
 
-    cut = df.withColumn("_o", order).withColumn("_range", F.shiftright("_o", 55))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    bits = max(1, (df.count() // RANGE_ROWS).bit_length())
+    cut = df.withColumn("_o", order).withColumn("_range", F.shiftright("_o", 64 - bits))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # of the ranges alone
     offsets = cut.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy("_range").orderBy("_o", tie)
     return cut.join(offsets, "_range").withColumn("_position", F.row_number().over(inside) - 1 + F.col("_offset")).drop("_o", "_range", "_offset")

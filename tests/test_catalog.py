@@ -45,7 +45,7 @@ def test_entry_has_rows(spark):
 
 
 @needs_tables
-def test_models_have_the_references_parameters(spark, monkeypatch):
+def test_models_have_the_specified_parameters(spark, monkeypatch):
     from lodestone.operators import ml
 
     r = QUERIES["bootstrap_auc"](spark, FOLDER).first()
