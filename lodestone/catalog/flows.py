@@ -215,3 +215,15 @@ def split_gap(spark, d):
 def mahalanobis_distance(spark, d):
     v = table(spark, d, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
     return rounded(ml.mahalanobis(v.where("vec_id % 3 <> 0"), v.where("vec_id % 3 = 0"), "v").select("vec_id", "mahalanobis"), "mahalanobis")
+
+
+@query("SELECT CASE WHEN starts_with(p_type, 'PROMO') THEN 'promo' WHEN contains(p_type, 'STEEL') THEN 'steel' ELSE 'other' END AS kind, count(*) AS features, round(sum(p_retailprice) / (SELECT sum(p_retailprice) FROM part), 6) AS share FROM part GROUP BY 1")
+def importance_shares(spark, d):
+    """Of made-up importances: prices of parts by their types."""
+    rows = table(spark, d, "part").select(F.col("p_type").alias("feature"), F.col("p_retailprice").cast("double").alias("importance"))
+    return rounded(ml.importance_shares(rows, {"promo": "^PROMO", "steel": "STEEL"}), "share")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey = 7")
+def point_lookup(spark, d):
+    return selection.row_of(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", 7)

@@ -116,15 +116,23 @@ def feature_set_mismatch(spark, d):
     return constraints.feature_set_mismatches(made, versions, "version", "fs", "o_orderkey")
 
 
-@query("""WITH m AS (SELECT c_custkey AS k, CASE n_regionkey % 2 WHEN 0 THEN 'rule_based' ELSE 'statistical' END AS m FROM customer JOIN nation ON c_nationkey = n_nationkey)
-SELECT 'two_complementary_methods' AS rule, o_orderkey::VARCHAR AS key FROM orders LEFT JOIN m a ON a.k = o_custkey LEFT JOIN m b ON b.k = o_orderkey % 100 + 1
-WHERE NOT coalesce(o_custkey <> o_orderkey % 100 + 1 AND a.m <> b.m, FALSE)""")
+@query("""WITH m AS (SELECT c_custkey AS k, CASE n_regionkey % 3 WHEN 0 THEN 'expert_rule_based' WHEN 1 THEN 'statistical_based' ELSE 'other' END AS m FROM customer JOIN nation ON c_nationkey = n_nationkey),
+o AS (SELECT o_orderkey, o_custkey AS x, o_orderkey % 100 + 1 AS y FROM orders), j AS (SELECT o.*, a.m AS m1, b.m AS m2 FROM o LEFT JOIN m a ON a.k = x LEFT JOIN m b ON b.k = y)
+SELECT 'distinct_predictions' AS rule, o_orderkey::VARCHAR AS key FROM j WHERE x = y
+UNION ALL SELECT 'rule_based_methodology', o_orderkey::VARCHAR FROM j WHERE m1 IS DISTINCT FROM 'expert_rule_based'
+UNION ALL SELECT 'statistical_methodology', o_orderkey::VARCHAR FROM j WHERE m2 IS DISTINCT FROM 'statistical_based'
+UNION ALL SELECT 'review_when_required', o_orderkey::VARCHAR FROM j WHERE o_orderkey % 3 = 0 AND o_orderkey % 5 = 0
+UNION ALL SELECT 'conclusion_requires_class', o_orderkey::VARCHAR FROM j WHERE o_orderkey % 2 = 0 AND o_orderkey % 7 = 0""")
 def methodology_pairing(spark, d):
+    k, at = F.col("o_orderkey"), F.col("n_regionkey") % 3
     m = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(
-        F.col("c_custkey").alias("prediction"), F.when(F.col("n_regionkey") % 2 == 0, "rule_based").otherwise("statistical").alias("methodology")
+        F.col("c_custkey").alias("prediction"), F.when(at == 0, constraints.RULE_BASED).when(at == 1, constraints.STATISTICAL).otherwise("other").alias("methodology")
     )
-    a = table(spark, d, "orders").select(F.col("o_custkey").alias("first"), (F.col("o_orderkey") % 100 + 1).alias("second"), "o_orderkey")
-    return constraints.methodology_pairs(a, m, "first", "second", "o_orderkey")
+    a = table(spark, d, "orders").select(
+        "o_orderkey", F.col("o_custkey").alias("rule_based"), (k % 100 + 1).alias("statistical"), (k % 3 == 0).alias("needs_review"), F.when(k % 5 != 0, k).alias("review"),
+        F.when(k % 2 == 0, "no concern").alias("conclusion"), F.when(k % 7 != 0, "class 5").alias("class"),
+    )
+    return constraints.methodology_pairs(a, m, "rule_based", "statistical", "o_orderkey", "review", "needs_review", "conclusion", "class")
 
 
 @query("SELECT count(*) AS n, bool_and(n_nationkey <> 3) AS unchanged FROM nation")

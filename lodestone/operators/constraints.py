@@ -97,17 +97,26 @@ def feature_set_mismatches(predictions: DataFrame, versions: DataFrame, version:
     return joined.select(rule.alias("rule"), F.col(key).cast("string").alias("key"))
 
 
-def methodology_pairs(assessments: DataFrame, methods: DataFrame, first: str, second: str, key: str) -> DataFrame:
-    """Assessments that don't rest on two different predictions, one rule-based and one statistical.
+#: The methodologies of the two predictions that an assessment rests on.
+RULE_BASED, STATISTICAL = "expert_rule_based", "statistical_based"
 
-    methods: prediction, methodology.
+
+def methodology_pairs(assessments: DataFrame, methods: DataFrame, rule_based: str, statistical: str, key: str, review: str, needs_review: str, conclusion: str, conclusion_class: str) -> DataFrame:
+    """(rule, key) of assessments that break a rule: two different predictions, the one of a rule-based model
+    and the other of a statistical one, a review where it is needed, and no conclusion without a class.
+
+    methods: prediction, methodology; a prediction that isn't there has none.
     """
-    m1 = methods.select(F.col("prediction").alias(first), F.col("methodology").alias("_m1"))
-    m2 = methods.select(F.col("prediction").alias(second), F.col("methodology").alias("_m2"))
-    joined = assessments.join(m1, first, "left").join(m2, second, "left")
-    pair = F.array_sort(F.array(F.coalesce("_m1", F.lit("")), F.coalesce("_m2", F.lit(""))))
-    ok = (F.col(first) != F.col(second)) & (pair == F.array(F.lit("rule_based"), F.lit("statistical")))
-    return joined.where(~F.coalesce(ok, F.lit(False))).select(F.lit("two_complementary_methods").alias("rule"), F.col(key).cast("string").alias("key"))
+    m1 = methods.select(F.col("prediction").alias(rule_based), F.col("methodology").alias("_m1"))
+    m2 = methods.select(F.col("prediction").alias(statistical), F.col("methodology").alias("_m2"))
+    joined = assessments.join(m1, rule_based, "left").join(m2, statistical, "left")
+    return violations(joined, key, {
+        "distinct_predictions": F.col(rule_based) != F.col(statistical),
+        "rule_based_methodology": F.col("_m1").eqNullSafe(RULE_BASED),
+        "statistical_methodology": F.col("_m2").eqNullSafe(STATISTICAL),
+        "review_when_required": ~F.col(needs_review) | F.col(review).isNotNull(),
+        "conclusion_requires_class": F.col(conclusion).isNull() | F.col(conclusion_class).isNotNull(),
+    })
 
 
 def record_hash(*columns: Column) -> Column:

@@ -79,6 +79,14 @@ def scrambled(df: DataFrame, id_col: str, label: str, run: int) -> DataFrame:
     return df.drop(label).join(a.join(b, "_position").select(id_col, F.col("_label").alias(label)), id_col)
 
 
+def importance_shares(importances: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """Share of all importance by kind of feature; kinds: kind -> pattern of its features' names."""
+    kind = F.coalesce(*[F.when(F.col("feature").rlike(p), k) for k, p in kinds.items()], F.lit("other"))
+    total = importances.agg(F.sum("importance").alias("_all"))  # one row
+    sums = importances.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("features"), F.sum("importance").alias("_sum"))
+    return sums.join(F.broadcast(total)).select("kind", "features", F.try_divide("_sum", "_all").alias("share"))
+
+
 #: About so many rows are put in order in one task.
 RANGE_ROWS = 250_000
 

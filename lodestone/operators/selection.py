@@ -80,3 +80,8 @@ def holds_bits(candidate: Column, query: Column) -> Column:
 def substructure_candidates(df: DataFrame, bits: str, query: Column, matches: Column) -> DataFrame:
     """Rows that hold the query's bits and match; the match, of a toolchain, is asked of those alone."""
     return df.where(F.when(holds_bits(F.col(bits), query), matches).otherwise(False))
+
+
+def row_of(df: DataFrame, key: str, value) -> DataFrame:
+    """The rows with a key: a filter that reaches the scan."""
+    return df.where(F.col(key) == F.lit(value))

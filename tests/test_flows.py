@@ -176,3 +176,12 @@ def test_mahalanobis(spark):
     off = x - x.mean(0)
     want = np.sqrt(np.einsum("ij,jk,ik->i", off, np.linalg.inv(np.cov(x.T)), off))
     assert got[999] is None and all(got[i] == pytest.approx(want[i], rel=1e-3) for i in range(300))
+
+
+def test_scrambled_labels_keep_their_numbers(spark, monkeypatch):
+    monkeypatch.setattr(ml, "RANGE_ROWS", 60)
+    df = spark.range(1000).withColumn("y", (F.col("id") % 3).cast("int"))
+    at = ml.positions(df, F.xxhash64("id"), "id").select("_position").collect()
+    assert sorted(r[0] for r in at) == list(range(1000))
+    got = {r.id: r.y for r in ml.scrambled(df, "id", "y", 1).collect()}
+    assert sorted(got.values()) == sorted(i % 3 for i in range(1000)) and 200 < sum(got[i] == i % 3 for i in got) < 470
