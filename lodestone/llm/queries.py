@@ -70,6 +70,27 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir)).drop("ids")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.merkle import audited, leaf_hash
+
+    doc, source, lang, chars, text = (F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text"))
+    hit = F.crc32(doc.cast("string").cast("binary")) % 7 == 0
+    tampered = F.when(hit & chars.isNotNull(), leaf_hash(doc, source, lang, chars.cast("decimal(20,0)") + 1, text))
+    return audited(documents(spark, sf_dir), leaf_hash(doc, source, lang, chars, text), tampered)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.filter_audit import audit
+
+    return audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.quality_model import quality_scores
+
+    return quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -167,6 +188,54 @@ SELECT doc_id, len(sh)::BIGINT AS n_shingles, least(doc_id, coalesce((SELECT min
 """
 
 
+SQL_MERKLE_MANIFEST = r"""
+WITH RECURSIVE e AS (
+  SELECT doc_id, lang, CASE WHEN n_chars IS NOT NULL THEN list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+           lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)) END AS crc_not,
+         coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+         coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS chars, coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') AS more,
+         coalesce(strlen(text) || ':' || text, '-') AS tail FROM documents
+), l AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n
+  FROM (SELECT doc_id, lang, sha256(head || chars || tail) AS leaf, CASE WHEN xor(crc_not, 4294967295) % 7 = 0 THEN sha256(head || more || tail) END AS tampered FROM e)
+), t(lang, lv, i, n, h) AS (
+  SELECT lang, 0, i, n, leaf FROM l UNION ALL SELECT lang, lv + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY lang, lv, i // 2, n
+), g AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+u(lv, i, n, h) AS (
+  SELECT 0, i, n, subroot FROM g UNION ALL SELECT lv + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY lv, i // 2, n
+), p AS (
+  SELECT l.lang, l.i, list(CASE WHEN s.h IS NULL THEN '-' WHEN (l.i >> z.lv) & 1 = 1 THEN 'L' || s.h ELSE 'R' || s.h END ORDER BY z.lv) AS path
+  FROM l JOIN (SELECT DISTINCT lang, lv FROM t WHERE n > 1) z ON z.lang IS NOT DISTINCT FROM l.lang
+  LEFT JOIN t s ON s.lang IS NOT DISTINCT FROM l.lang AND s.lv = z.lv AND s.i = xor(l.i >> z.lv, 1) GROUP BY l.lang, l.i
+), q AS (
+  SELECT g.i, list(CASE WHEN s.h IS NULL THEN '-' WHEN (g.i >> z.lv) & 1 = 1 THEN 'L' || s.h ELSE 'R' || s.h END ORDER BY z.lv) AS path
+  FROM g, (SELECT DISTINCT lv FROM u WHERE n > 1) z LEFT JOIN u s ON s.lv = z.lv AND s.i = xor(g.i >> z.lv, 1) GROUP BY g.i
+), a AS (
+  SELECT l.doc_id, l.leaf, l.tampered, g.subroot, (SELECT h FROM u WHERE n = 1) AS root, coalesce(p.path, []) || coalesce(q.path, []) AS path
+  FROM l JOIN g ON g.lang IS NOT DISTINCT FROM l.lang LEFT JOIN p ON p.lang IS NOT DISTINCT FROM l.lang AND p.i = l.i LEFT JOIN q ON q.i = g.i
+), f AS (
+  SELECT *, list_reduce(list_prepend(coalesce(tampered, leaf), path), lambda a, x: CASE x[1] WHEN 'L' THEN sha256(x[2:] || a) WHEN 'R' THEN sha256(a || x[2:]) ELSE sha256(a) END) AS folded_root FROM a
+)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda x: x[2:]), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM f
+"""
+
+SQL_FILTER_AUDIT = r"""
+WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+c AS (SELECT t, min(doc_id) AS least FROM w GROUP BY t),
+y AS (SELECT doc_id, coalesce(max((quality = 1)::INT), 0) = 1 AS good, coalesce(max((toxic = 1)::INT), 0) = 1 AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, FALSE) AS good, coalesce(toxic, FALSE) AS toxic, CASE WHEN len(w) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END
+        || CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+        || CASE WHEN w.doc_id > least THEN 'E' ELSE '' END AS fails FROM w JOIN c USING (t) LEFT JOIN y ON y.doc_id = w.doc_id),
+x(l) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+r AS (SELECT part, good, toxic, fails, filter_order, coalesce(list_min(list_filter(range(1, 6), lambda k: contains(fails, filter_order[k]))), 6) AS first FROM m, o),
+s AS (SELECT r.*, k::INT AS step, filter_order[k] AS f FROM r, range(1, 6) AS s(k)),
+z AS (SELECT part, filter_order, step, f, count(*) FILTER (first > step) AS kept, count(*) FILTER (first = step) AS removed, count(*) FILTER (contains(fails, f) AND first < step) AS redundant,
+        count(*) FILTER (fails = f) AS unique_fails, count(*) FILTER (first = step AND good) AS good_lost, count(*) FILTER (first = step AND toxic) AS toxic_lost FROM s GROUP BY ALL)
+SELECT * EXCLUDE (f), (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM z
+"""
+
+
 def queries() -> dict:
     return {
         "op1_token_files": op1_token_files,
@@ -179,6 +248,9 @@ def queries() -> dict:
         "op8_shingle_join": op8_shingle_join,
         "op9_url_filter": op9_url_filter,
         "op10_packing": op10_packing,
+        "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_filter_audit": op12_filter_audit,
+        "op13_quality_model": op13_quality_model,
         "pipeline": pipeline,
     }
 
@@ -190,4 +262,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_secret_scan": SQL_SECRET_SCAN,
         "op6_quality_rules": SQL_QUALITY_RULES,
         "op8_shingle_join": SQL_SHINGLE_JOIN,
+        "op11_merkle_manifest": SQL_MERKLE_MANIFEST,
+        "op12_filter_audit": SQL_FILTER_AUDIT,
     }
