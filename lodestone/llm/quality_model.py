@@ -147,7 +147,7 @@ def pair_tree(gradient: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarr
 
 def fit(columns: list[np.ndarray], y: np.ndarray, edges: list[np.ndarray], check: np.ndarray) -> Model:
     """Cyclic boosting; rows where check is true choose the number of rounds."""
-    coarse = [e[:: max(1, -(-len(e) // (PAIR_BINS - 1)))] for e in edges]
+    coarse = [e[np.unique(np.maximum(np.arange(1, PAIR_BINS) * (len(e) + 1) // PAIR_BINS - 1, 0))] if len(e) else e for e in edges]
     rate = np.clip(y[~check].mean() if (~check).any() else y.mean(), 1e-3, 1 - 1e-3)
     model = Model(float(math.log(rate / (1 - rate))), edges, [np.zeros(len(e) + 1) for e in edges], coarse, [])
     fine, rough = model.bins(columns, edges), model.bins(columns, coarse)
