@@ -2,24 +2,17 @@
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.catalog import query
+from lodestone.catalog import models, query
 from lodestone.catalog.data import rounded
 from lodestone.catalog.models import _SCORED, scored
-from lodestone.operators import governance, ml, selection
-from lodestone.session import scratch_folder, table
+from lodestone.operators import fits, governance, metrics, ml, selection
+from lodestone.session import scratch_path, table
 from lodestone.sources import readers, writers
 
 
-def _path(spark, name: str) -> str:
-    return os.path.join(scratch_folder(spark), "lodestone", uuid.uuid4().hex, name)
-
-
 @query("""SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN n_name WHEN 1 THEN 'new ' || n_name ELSE n_name END AS n_name, n_regionkey FROM nation""")
 def registry_sync(spark, d):
     """Rows of four kinds: absent, renamed, unchanged, and only in the table."""
@@ -87,11 +80,11 @@ def csv_export_lines(spark, d):
     return part.select("p_partkey", writers.csv_line(part).alias("line"))
 
 
-@query("""SELECT o_orderkey, '{"deep":{"a":' || o_custkey || ',"b":[{"x":' || (round(o_totalprice / 3, 2) * 1)::VARCHAR || ',"y":1}]},"key":' || o_orderkey || '}' AS json FROM orders WHERE round(o_totalprice / 3, 2) < 1000000""")
+@query("""SELECT o_orderkey, '{"deep":{"a":' || o_custkey || ',"b":[{"x":' || (round(o_totalprice / 3, 2) * 1)::VARCHAR || ',"y":1}]},"key":' || o_orderkey || '}' AS json FROM orders""")
 def golden_json(spark, d):
     """Doubles at every depth, here to two digits."""
     x = F.col("o_totalprice") / 3
-    df = table(spark, d, "orders").where(F.round(x, 2) < 1_000_000).select(
+    df = table(spark, d, "orders").select(
         F.col("o_orderkey").alias("key"), F.struct(F.array(F.struct(F.lit(1).alias("y"), x.alias("x"))).alias("b"), F.col("o_custkey").alias("a")).alias("deep")
     )
     return writers.export_json(df, 2).select(F.get_json_object("json", "$.key").cast("long").alias("o_orderkey"), "json")
@@ -102,7 +95,7 @@ def csv_round_trip(spark, d):
     """Customers through a sorted CSV export and the declared schema; empty strings come back null."""
     df = table(spark, d, "customer").withColumn("c_mktsegment", F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")).otherwise(""))
     schema = ", ".join(f"{c} {t}" for c, t in df.dtypes)
-    path = _path(spark, "customers")
+    path = scratch_path(spark, "customers")
     writers.write_sorted_csv(df, path, "c_custkey")
     return readers.read_csv(spark, path, schema)
 
@@ -110,7 +103,7 @@ def csv_round_trip(spark, d):
 @query("SELECT count(*) AS rows, 'n_nationkey,n_name' AS columns, 'n_nationkey' AS sorted_by, TRUE AS digest_holds FROM nation")
 def sorted_export(spark, d):
     """The manifest of an export, whose digest is computed again from the files."""
-    path = _path(spark, "export")
+    path = scratch_path(spark, "export")
     manifest = writers.export_with_manifest(table(spark, d, "nation").select("n_nationkey", "n_name"), path, "n_nationkey")
     parts = readers.landed_digests(spark, f"{path}/data").where(F.col("path").endswith(".csv")).select(F.struct("path", "sha256").alias("p"))
     again = parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["sha256"]), ""), 256).alias("_sha"))
@@ -120,7 +113,7 @@ def sorted_export(spark, d):
 @query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_returnflag IN ('A', 'R')")
 def split_scan(spark, d):
     """A table partitioned by its split, of which two groups are read."""
-    path = _path(spark, "lines")
+    path = scratch_path(spark, "lines")
     writers.write_partitioned(table(spark, d, "lineitem"), path, "l_returnflag")
     return readers.read_split(spark, path, "l_returnflag", ["A", "R"], ["l_orderkey", "l_linenumber", "l_quantity"])
 
@@ -128,7 +121,7 @@ def split_scan(spark, d):
 @query("""SELECT count(*) FILTER (o_orderkey % 3 = 0) AS first, 0::BIGINT AS again, count(*) FILTER (o_orderkey % 3 > 0) AS more, count(*) AS rows FROM orders""")
 def append_twice(spark, d):
     """An append, the same again, and one of all rows, of which the others are new."""
-    path = _path(spark, "orders")
+    path = scratch_path(spark, "orders")
     orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
     third = orders.where("o_orderkey % 3 = 0")
     first, again, more = (F.lit(writers.append_absent(df, path, ["o_orderkey"])).cast("long") for df in (third, third, orders))
@@ -138,14 +131,14 @@ def append_twice(spark, d):
 @query("SELECT 'all' AS target, count(*) AS rows FROM part UNION ALL SELECT 'sized', count(*) FROM part WHERE p_size % 3 > 0")
 def fan_out(spark, d):
     df = table(spark, d, "part").withColumn("size", F.when(F.col("p_size") % 3 > 0, F.col("p_size")))
-    counts = writers.fan_out(df, _path(spark, "parts"), {"all": ["p_partkey"], "sized": ["p_partkey", "size"]}, {"sized": "size"}, "p_brand")
+    counts = writers.fan_out(df, scratch_path(spark, "parts"), {"all": ["p_partkey"], "sized": ["p_partkey", "size"]}, {"sized": "size"}, "p_brand")
     return spark.createDataFrame(list(counts.items()), "target string, rows long")
 
 
 @query("SELECT s_suppkey, 'rejected' AS outcome, 'NEGATIVE' AS reason, NULL::DOUBLE AS p FROM supplier WHERE s_acctbal < 0 UNION ALL SELECT s_suppkey, 'scored', NULL, s_acctbal FROM supplier WHERE s_acctbal >= 0")
 def prediction_log(spark, d):
     """Rejections and predictions in one log; the column p came later."""
-    path, s = _path(spark, "log"), table(spark, d, "supplier")
+    path, s = scratch_path(spark, "log"), table(spark, d, "supplier")
     writers.append_log(writers.rejections(s, F.when(F.col("s_acctbal") < 0, "NEGATIVE"), "s_suppkey"), path)
     writers.append_log(s.where("s_acctbal >= 0").select("s_suppkey", F.lit("scored").alias("outcome"), F.lit(None).cast("string").alias("reason"), F.col("s_acctbal").alias("p")), path)
     return writers.read_log(spark, path).select("s_suppkey", "outcome", "reason", "p")
@@ -154,7 +147,7 @@ def prediction_log(spark, d):
 @query("SELECT r_regionkey, r_name FROM region")
 def backed_up(spark, d):
     """A table behind a copy whose rows and digest agree, and a gate that knows the files' digests."""
-    source, target = _path(spark, "regions"), _path(spark, "copy")
+    source, target = scratch_path(spark, "regions"), scratch_path(spark, "copy")
     writers.write_once(table(spark, d, "region").select("r_regionkey", "r_name"), source)
     if not writers.back_up(spark, source, target):
         raise ValueError("the copy differs")
@@ -162,53 +155,46 @@ def backed_up(spark, d):
     return spark.read.parquet(readers.verified(spark, target, known))
 
 
-def _halves(spark, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Vectors as two arrays: descriptors and the signs of the rest."""
-    v = table(spark, d, "embeddings").withColumn("y", (F.col("label") < 5).cast("int"))
-    v = v.select("vec_id", "y", F.slice("embedding", 1, 18).alias("descriptors"), F.transform(F.slice("embedding", 19, 46), lambda x: (x > 0).cast("double")).alias("fingerprint"))
-    g = F.pmod(F.xxhash64("vec_id"), F.lit(10))
-    return ml.balanced_weight(v.where(g < 7), "y"), v.where(g == 9), v
-
-
 def _rows(spark, found: dict) -> DataFrame:
-    return spark.createDataFrame([(str(k), float(v)) for k, v in found.items()], "name string, auc double")
+    return spark.createDataFrame([(str(k), float(v.auc), float(v.balanced_accuracy)) for k, v in found.items()], "name string, auc double, balanced_accuracy double")
 
 
 @query()
 def model_baselines(spark, d):
     """Descriptors alone and three of them alone, each linear and as a forest, and labels by chance."""
-    train, test, _ = _halves(spark, d)
-    found = {}
-    for name, values in (("descriptors", "descriptors"), ("three", "three")):
-        a, b = (df.withColumn("three", F.slice("descriptors", 1, 3)) for df in (train, test))
-        of = lambda df, values=values: ml.with_features(df, [values], "few")
-        found |= {f"{name}_{k}": v for k, v in ml.areas(of(a), of(b), "y", ml.baselines("y", "weight", "few")).items()}
+    rows = models.learning(spark, d)
+    train, test = models.weighed(rows, models.TRAIN), rows.where(models.TEST)
+    several = {f"{n}_{k}": fits.Fit(e, train, test, "y") for n, v in (("descriptors", "descriptors"), ("three", "few")) for k, e in ml.baselines("y", "weight", v).items()}
     rate = train.agg(F.avg("y")).first()[0]
-    chance = test.withColumn("p", ml.stratified_baseline("vec_id", rate).cast("double"))
-    return _rows(spark, found | {"stratified": ml.auc_of(chance, "p", "y")})
+    chance = test.select("y", ml.stratified_baseline("vec_id", rate).cast("double").alias("p"))
+    r = metrics.area_and_balance(metrics.score_counts(chance, "p", "y")).first()
+    return _rows(spark, fits.outcomes(spark, several) | {"stratified": fits.Outcome(None, *r)})
 
 
 @query()
 def model_stability(spark, d):
-    """Test areas of a forest over five seeds and five bootstraps of the training rows."""
-    train, test, _ = (ml.with_features(df, ["descriptors", "fingerprint"]) for df in _halves(spark, d))
-    forest = lambda seed: ml.candidates("y", "weight", seed, trees=(50,), depths=(10,))["rf_50_10"]
-    seeds = ml.seed_stability(train, test, "y", forest, tuple(range(42, 47)))
-    boots = ml.bootstrap_stability(train, test, "vec_id", "y", forest(42), 5)
-    return _rows(spark, {f"seed_{k}": v for k, v in seeds.items()} | {f"bootstrap_{k}": v for k, v in boots.items()})
+    """The selected forest over ten seeds and ten bootstraps of the training rows."""
+    rows = models.learning(spark, d)
+    trees, depth, _ = models.best_forest(rows)
+    make = lambda seed: ml.forest("y", "weight", trees, depth, seed)
+    return _rows(spark, ml.stability(rows.where(models.TRAIN), rows.where(models.TEST), "vec_id", "y", make, tuple(range(2000, 2010)), tuple(range(10))))
 
 
 @query()
 def feature_ablation(spark, d):
-    train, test, _ = _halves(spark, d)
-    variants = {"descriptors": ["descriptors"], "fingerprints": ["fingerprint"], "combined": ["descriptors", "fingerprint"]}
-    return _rows(spark, ml.ablation(train, test, "y", variants, lambda: ml.candidates("y", "weight", trees=(50,), depths=(10,))["rf_50_10"]))
+    """The selected forest on descriptors, on bits and on both."""
+    rows = models.learning(spark, d)
+    trees, depth, _ = models.best_forest(rows)
+    found = ml.ablation(rows.where(models.TRAIN), rows.where(models.TEST), "y", ["descriptors", "fingerprint", "features"], lambda v: ml.forest("y", "weight", trees, depth, features=v))
+    return _rows(spark, found)
 
 
 @query()
 def split_gap(spark, d):
-    df = ml.with_features(_halves(spark, d)[2], ["descriptors", "fingerprint"])
-    return _rows(spark, ml.split_gap(df, "vec_id", "y", F.pmod(F.xxhash64("vec_id"), F.lit(10)) == 9, ml.candidates("y", "weight")["lr"]))
+    """The selected forest under the given split and under a stratified random one."""
+    rows = models.learning(spark, d)
+    trees, depth, _ = models.best_forest(rows)
+    return _rows(spark, ml.split_gap(rows, "vec_id", "y", models.TRAIN, models.TEST, lambda: ml.forest("y", "weight", trees, depth)))
 
 
 @query()

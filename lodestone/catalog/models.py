@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.catalog import query
 from lodestone.catalog.data import rounded
-from lodestone.operators import metrics, ml, reliability, similarity
+from lodestone.operators import fits, metrics, ml, reliability, similarity
 from lodestone.plans import flows
 from lodestone.session import table
 
@@ -45,14 +45,13 @@ def similarity_tiers(spark, d):
     return best.groupBy(similarity.similarity_tier(F.col("max_similarity")).alias("tier")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_COARSE = "list_transform(embedding[1:8], lambda x: x > 0)"
+_SIGNS = "list_transform(embedding, lambda x: x > 0)"
 
 
-@query(f"""SELECT a.vec_id FROM embeddings a WHERE a.vec_id % 3 = 0 AND {_COARSE} IN (SELECT {_COARSE} FROM embeddings WHERE vec_id % 3 <> 0)""")
+@query(f"""SELECT count(*) AS queries, count(*) FILTER ({_SIGNS} IN (SELECT {_SIGNS} FROM embeddings WHERE vec_id % 3 <> 0)) AS collisions FROM embeddings WHERE vec_id % 3 = 0""")
 def exact_vector_collisions(spark, d):
-    """Of the signs of the first eight numbers, which do collide."""
-    q, r = (df.withColumn("code", F.transform(F.slice("embedding", 1, 8), lambda x: x > 0)) for df in vectors(spark, d))
-    return q.join(r.select("code").distinct(), "code", "left_semi").select("vec_id")
+    """Queries whose whole bit vector a reference has too."""
+    return similarity.exact_collisions(*vectors(spark, d), "bits")
 
 
 _STATS = "s AS (SELECT i, avg(x) AS mean, CASE WHEN stddev_pop(x) = 0 THEN 1 ELSE stddev_pop(x) END AS sd FROM (SELECT generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE vec_id % 3 <> 0) GROUP BY i)"
@@ -83,7 +82,8 @@ def knn_distance(spark, d):
 
 def _limit(r: DataFrame) -> DataFrame:
     near = similarity.nearest_distance(r, r, "vec_id", "scaled", WIDTH, exclude_self=True)
-    return near.agg(F.percentile("knn_distance", F.lit(0.95)).alias("p95"))
+    p95 = metrics.quantiles(near, "knn_distance", [0.95])[0]
+    return r.sparkSession.createDataFrame([(p95,)], "p95 double")
 
 
 @query(f"WITH {_KNN.format(on=_SELF)}, k AS (SELECT vec_id, avg(distance) AS m FROM d GROUP BY vec_id) SELECT round(quantile_cont(m, 0.95), 5) AS p95 FROM k")
@@ -293,51 +293,67 @@ def bootstrap_auc(spark, d):
     return metrics.bootstrap_auc(scored(spark, d), "p", "y")
 
 
-def _learning(spark, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    v = table(spark, d, "embeddings").withColumn("y", (F.col("label") < 5).cast("int"))
-    v = ml.with_features(v, ["embedding"])
-    g = F.pmod(F.xxhash64("vec_id"), F.lit(10))
-    train = ml.balanced_weight(v.where(g < 7), "y")
-    return train, v.where(g == 7), v.where(g > 7)
+#: Groups of rows by a hash of the identifier: 0 to 6 train, 8 validate, 9 tests, 7 calibrates.
+TRAIN, CALIBRATE, VALID, TEST = "g < 7", "g = 7", "g = 8", "g = 9"
+#: Names of the matrix's numbers: descriptors, then bits.
+DESCRIPTORS, BITS = [f"x{i}" for i in range(18)], [f"bit{i}" for i in range(46)]
 
 
-def _candidates() -> dict:
-    """The specified grid; 30 is the largest depth of Spark's trees and stands for no limit."""
-    return ml.candidates("y", "weight", trees=(200, 500), depths=(30, 20), rounds=100)
+def learning(spark, d: str, more: DataFrame | None = None) -> DataFrame:
+    """The matrix of the vectors, written once: 18 numbers as descriptors, the signs of the rest as a
+    fingerprint, three descriptors alone, and both together; more: columns by vec_id."""
+    v = table(spark, d, "embeddings").select(
+        "vec_id", (F.col("label") < 5).cast("int").alias("y"), F.pmod(F.xxhash64("vec_id"), F.lit(10)).cast("int").alias("g"),
+        F.slice("embedding", 1, 18).alias("d"), F.slice("embedding", 1, 3).alias("three"), F.transform(F.slice("embedding", 19, 46), lambda x: (x > 0).cast("double")).alias("f"),
+    )
+    v = v if more is None else v.join(more, "vec_id")
+    keep = [c for c in v.columns if c not in ("d", "three", "f")]
+    return fits.matrix(v, keep, {"features": ["d", "f"], "descriptors": ["d"], "fingerprint": ["f"], "few": ["three"]}, 2 * WIDTH)
+
+
+def weighed(rows: DataFrame, part) -> DataFrame:
+    learn = rows.where(part)
+    return learn.withColumn("weight", fits.balanced(learn, "y"))
+
+
+def best_forest(rows: DataFrame) -> tuple[int, int, object]:
+    """Trees and depth of the forest with the largest validation area, and its model."""
+    name, found = ml.select_champion(weighed(rows, TRAIN), rows.where(VALID), "y", ml.forests("y", "weight"))
+    return (*map(int, name.split("_")[1:]), found[name].model)
 
 
 @query()
 def train_champion(spark, d):
-    train, valid, test = _learning(spark, d)
-    models = _candidates()
-    name, model, areas = ml.select_champion(train, valid, "y", "weight", models)
-    return metrics.roc_auc(metrics.score_counts(ml.scored(model, test), "p", "y")).select(
-        F.lit(name).alias("champion"), F.lit(float(areas[name])).alias("valid_auc"), F.col("auc").alias("test_auc")
-    )
+    """Every candidate's validation area, and the champion's on the test rows."""
+    rows = learning(spark, d)
+    name, found = ml.select_champion(weighed(rows, TRAIN), rows.where(VALID), "y", ml.candidates("y", "weight"))
+    test = fits.judged(found[name].model, rows.where(TEST), "y").auc
+    table_of = [(k, float(o.auc), k == name, float(test) if k == name else None) for k, o in found.items()]
+    return spark.createDataFrame(table_of, "candidate string, valid_auc double, champion boolean, test_auc double")
 
 
 @query()
 def recalibration(spark, d):
-    train, valid, test = _learning(spark, d)
-    model = ml.candidates("y", "weight")["lr"].fit(train)
-    cal, out = ml.scored(model, valid).select("vec_id", "y", "p"), ml.scored(model, test).select("vec_id", "y", "p")
+    rows = learning(spark, d)
+    model = best_forest(rows)[2]
+    cal, out = (fits.probability(model, rows.where(part)).select("vec_id", "y", "p") for part in (CALIBRATE, TEST))
     return ml.isotonic(cal, "p", "y")(ml.platt(cal, "p", "y")(out)).select("vec_id", "p", "platt", "isotonic")
 
 
 @query()
 def y_scramble(spark, d):
-    train, valid, _ = _learning(spark, d)
-    models = _candidates()
-    name = ml.select_champion(train, valid, "y", "weight", models)[0]
-    r = ml.scramble_test(train, valid, "vec_id", "y", models[name], runs=10)
-    return spark.createDataFrame([(r["real"], r["mean"], r["sd"], bool(r["passed"]))], "real double, mean double, sd double, passed boolean")
+    """The champion among all candidates, fitted to ten permutations of the labels."""
+    v = table(spark, d, "embeddings").select("vec_id", (F.col("label") < 5).cast("int").alias("y"), F.pmod(F.xxhash64("vec_id"), F.lit(10)).alias("g"))
+    rows = learning(spark, d, ml.permuted_labels(v.where(TRAIN), "vec_id", "y", 10).join(v.select("vec_id"), "vec_id", "right"))
+    name = ml.select_champion(weighed(rows, TRAIN), rows.where(VALID), "y", ml.candidates("y", "weight"))[0]
+    r = ml.scramble_test(rows, TRAIN, VALID, "y", 10, lambda y: ml.candidates(y, "weight")[name])
+    return spark.createDataFrame([(name, *map(float, r[:5]), bool(r.passed))], "champion string, real double, mean double, sd double, least double, most double, passed boolean")
 
 
 @query()
 def feature_importance(spark, d):
-    train, _, _ = _learning(spark, d)
-    model = ml.candidates("y", "weight", trees=(20,), depths=(5,))["rf_20_5"].fit(train)
-    return ml.importances(model, [f"x{i}" for i in range(64)], spark).limit(10)
+    """The ten most important numbers of the selected forest."""
+    return ml.importances(best_forest(learning(spark, d))[2], DESCRIPTORS + BITS, spark).limit(10)
 
 
 @query("SELECT count(*) AS n, max(CASE WHEN quality = maj THEN 1.0 ELSE 0.0 END)::DOUBLE AS best, round(avg((quality = maj)::INT), 6) AS accuracy FROM labels, (SELECT (2 * sum(quality) >= count(*))::INT AS maj FROM labels)")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.metrics import quantiles
+
 #: A spread above this (decades for positive values) marks a group as discordant.
 DISCORDANCE = 1.0
 
@@ -102,7 +104,7 @@ def paradigm_ratio(df: DataFrame, key: str, category: str, value: str, first: st
     of = lambda c: F.avg(F.when(F.col(category) == c, F.log10(F.when(F.col(value) > 0, F.col(value)))))
     ratio = df.groupBy(key).agg((of(first) - of(second)).alias("r")).where("r is not null")
     return ratio.agg(
-        F.count(F.lit(1)).alias("n"), F.avg("r").alias("mean"), F.median("r").alias("median"), F.stddev_samp("r").alias("sd"),
+        F.count(F.lit(1)).alias("n"), F.avg("r").alias("mean"), F.lit(quantiles(ratio, "r", [0.5])[0]).cast("double").alias("median"), F.stddev_samp("r").alias("sd"),
         F.avg((F.abs("r") > 1).cast("double")).alias("over_1"), F.avg((F.abs("r") > 0.5).cast("double")).alias("over_half"),
     )
 

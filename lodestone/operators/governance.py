@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.session import cut
+from lodestone.session import stored
 
 #: The tier of each known licence identifier, and what tiers allow or ask for.
 LICENSE_TIERS = {
@@ -182,13 +182,13 @@ def closure(edges: DataFrame, parent: str, child: str) -> DataFrame:
     paths = edges.where(F.col(parent).isNotNull() & F.col(child).isNotNull()).select(
         F.col(parent).cast("string").alias("ancestor"), F.col(child).cast("string").alias("descendant"), F.lit(1).alias("depth")
     )
-    paths, length = cut(paths.distinct()), 1
+    paths, length = stored(paths.distinct()), 1
     while True:
         if paths.where("ancestor = descendant").limit(1).count():
             raise ValueError("the edges have a cycle")
         ends = paths.where(F.col("depth") == length).select("ancestor", F.col("descendant").alias("_via"), F.col("depth").alias("_first"))
         on = paths.select(F.col("ancestor").alias("_via"), "descendant", F.col("depth").alias("_rest"))
-        further = cut(ends.join(on, "_via").select("ancestor", "descendant", (F.col("_first") + F.col("_rest")).alias("depth")).distinct())
+        further = stored(ends.join(on, "_via").select("ancestor", "descendant", (F.col("_first") + F.col("_rest")).alias("depth")).distinct())
         if not further.limit(1).count():
             return paths
         paths, length = paths.unionByName(further).distinct(), 2 * length

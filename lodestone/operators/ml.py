@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators.metrics import roc_auc, score_counts
+from lodestone.operators.fits import Fit, Outcome, balanced, outcomes
 
 
 def with_features(df: DataFrame, arrays: list[str], out: str = "features") -> DataFrame:
@@ -16,33 +18,28 @@ def with_features(df: DataFrame, arrays: list[str], out: str = "features") -> Da
     return df.withColumn(out, array_to_vector(F.concat(*[F.col(a).cast("array<double>") for a in arrays])))
 
 
-def balanced_weight(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    """n / (2 n_class), so that both classes weigh alike."""
-    sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    total = sizes.agg(F.sum("_n").alias("_all"))
-    return df.join(F.broadcast(sizes.crossJoin(total)), label).withColumn(out, F.col("_all") / (2 * F.col("_n"))).drop("_n", "_all")
-
-
-def candidates(label: str, weight: str, seed: int = 42, trees: tuple[int, ...] = (50,), depths: tuple[int, ...] = (8,), rounds: int = 10) -> dict:
-    common = {"featuresCol": "features", "labelCol": label, "weightCol": weight}
-    found = {f"rf_{t}_{d}": RandomForestClassifier(numTrees=t, maxDepth=min(d, 30), seed=seed, **common) for t in trees for d in depths}
-    return found | {"gbm": GBTClassifier(maxIter=rounds, maxDepth=3, seed=seed, **common), "lr": LogisticRegression(regParam=0.01, **common)}
+def forest(label: str, weight: str, trees: int, depth: int, seed: int = 42, features: str = "features") -> RandomForestClassifier:
+    """30 is the largest depth of Spark's trees and stands for no limit."""
+    return RandomForestClassifier(numTrees=trees, maxDepth=min(depth, 30), seed=seed, featuresCol=features, labelCol=label, weightCol=weight)
 
 
-def scored(model, df: DataFrame, out: str = "p") -> DataFrame:
-    return model.transform(df).withColumn(out, vector_to_array("probability")[1])
+def forests(label: str, weight: str, trees: tuple[int, ...] = (200, 500), depths: tuple[int, ...] = (30, 20), seed: int = 42) -> dict:
+    """The grid of forests that a champion is chosen from."""
+    return {f"rf_{t}_{d}": forest(label, weight, t, d, seed) for t in trees for d in depths}
 
 
-def auc_of(df: DataFrame, score: str, label: str) -> float:
-    return roc_auc(score_counts(df, score, label)).first()[0]
+def candidates(label: str, weight: str, seed: int = 42, trees: tuple[int, ...] = (200, 500), depths: tuple[int, ...] = (30, 20), rounds: int = 100) -> dict:
+    """The forests, gradient boosting (whose rows weigh alike) and a logistic regression on standardised features."""
+    boosted = GBTClassifier(maxIter=rounds, maxDepth=3, seed=seed, featuresCol="features", labelCol=label)
+    linear = LogisticRegression(maxIter=2000, regParam=0.01, featuresCol="features", labelCol=label, weightCol=weight)
+    return forests(label, weight, trees, depths, seed) | {"gbm": boosted, "lr": linear}
 
 
-def select_champion(train: DataFrame, valid: DataFrame, label: str, weight: str, models: dict) -> tuple[str, object, dict[str, float]]:
-    """The candidate with the largest validation area; the first among equals."""
-    fitted = {name: m.fit(train) for name, m in models.items()}
-    areas = {name: auc_of(scored(m, valid), "p", label) for name, m in fitted.items()}
-    best = max(areas, key=areas.get)
-    return best, fitted[best], areas
+def select_champion(train: DataFrame, valid: DataFrame, label: str, models: dict) -> tuple[str, dict[str, Outcome]]:
+    """The candidate with the largest validation area, the first among equals, and what each came to.
+    train has a weight where the models use one; both are read once for every model."""
+    found = outcomes(train.sparkSession, {k: Fit(m, train, valid, label) for k, m in models.items()})
+    return max(found, key=lambda k: found[k].auc), found
 
 
 def majority_baseline(train: DataFrame, label: str) -> Column:
@@ -69,14 +66,17 @@ def isotonic(calibration: DataFrame, p: str, label: str):
     return lambda df: model.transform(df)
 
 
-def scrambled(df: DataFrame, id_col: str, label: str, run: int) -> DataFrame:
-    """The labels permuted among the rows in a hash order of the run: class sizes stay.
+def permuted_labels(df: DataFrame, id_col: str, label: str, runs: int) -> DataFrame:
+    """The identifier and y_0 to y_(runs - 1): the labels permuted among the rows in a hash order of each run, so
+    class sizes stay.
 
-    Both orders are positions in a range-partitioned sort, so no window holds all rows.
+    Both orders of a run are positions in sorted ranges, all runs' in one plan, so no window holds all rows.
     """
-    a = positions(df.select(id_col), F.xxhash64(F.lit(run), F.col(id_col)), id_col)
-    b = positions(df.select(F.col(id_col).alias("_from"), F.col(label).alias("_label")), F.xxhash64(F.lit(run + 1_000_003), F.col("_from")), "_from")
-    return df.drop(label).join(a.join(b, "_position").select(id_col, F.col("_label").alias(label)), id_col)
+    each = df.select(id_col, label, F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("_run"))
+    a = positions(each.select("_run", id_col), F.xxhash64("_run", id_col), id_col, "_run")
+    b = positions(each.select("_run", F.col(id_col).alias("_from"), F.col(label).alias("_label")), F.xxhash64(F.col("_run") + 1_000_003, "_from"), "_from", "_run")
+    dealt = a.join(b, ["_run", "_position"])
+    return dealt.groupBy(id_col).agg(*[F.max(F.when(F.col("_run") == r, F.col("_label"))).alias(f"y_{r}") for r in range(runs)])
 
 
 def importance_shares(importances: DataFrame, kinds: dict[str, str]) -> DataFrame:
@@ -91,8 +91,9 @@ def importance_shares(importances: DataFrame, kinds: dict[str, str]) -> DataFram
 RANGE_ROWS = 250_000
 
 
-def positions(df: DataFrame, order: Column, tie: str) -> DataFrame:
-    """df with _position, 0 to n - 1 by order and tie: counts of sorted ranges, summed, give offsets.
+def positions(df: DataFrame, order: Column, tie: str, *by: str) -> DataFrame:
+    """df with _position, 0 to n - 1 by order and tie within the columns of by: counts of sorted ranges, summed,
+    give offsets.
 
     order is a hash, so its leading bits cut it into even ranges, as many as the rows need.
     """
@@ -100,24 +101,35 @@ def positions(df: DataFrame, order: Column, tie: str) -> DataFrame:
 
     bits = max(1, (df.count() // RANGE_ROWS).bit_length())
     cut = df.withColumn("_o", order).withColumn("_range", F.shiftright("_o", 64 - bits))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # of the ranges alone
-    offsets = cut.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("_range").orderBy("_o", tie)
-    return cut.join(offsets, "_range").withColumn("_position", F.row_number().over(inside) - 1 + F.col("_offset")).drop("_o", "_range", "_offset")
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # of the ranges alone
+    offsets = cut.groupBy(*by, "_range").count().select(*by, "_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy(*by, "_range").orderBy("_o", tie)
+    return cut.join(offsets, [*by, "_range"]).withColumn("_position", F.row_number().over(inside) - 1 + F.col("_offset")).drop("_o", "_range", "_offset")
 
 
-def scramble_test(train: DataFrame, valid: DataFrame, id_col: str, label: str, estimator, runs: int = 3) -> dict:
-    """Areas with scrambled labels should be near a half and far below the real one."""
-    real = auc_of(scored(estimator.fit(train), valid), "p", label)
-    areas = [auc_of(scored(estimator.fit(scrambled(train, id_col, label, r)), valid), "p", label) for r in range(runs)]
-    mean = sum(areas) / runs
-    sd = (sum((a - mean) ** 2 for a in areas) / runs) ** 0.5
-    return {"real": real, "mean": mean, "sd": sd, "passed": abs(mean - 0.5) < 0.07 and real - mean > 3 * sd}
+class Scramble(NamedTuple):
+    real: float
+    mean: float
+    sd: float
+    least: float
+    most: float
+    passed: bool
 
 
-def seed_stability(train: DataFrame, valid: DataFrame, label: str, make, seeds: tuple[int, ...]) -> dict[int, float]:
-    """Validation area for each seed; make(seed) gives an estimator."""
-    return {s: auc_of(scored(make(s).fit(train), valid), "p", label) for s in seeds}
+def scramble_test(rows: DataFrame, train: str, valid: str, label: str, runs: int, make) -> Scramble:
+    """Areas with scrambled labels should be near a half and far below the real one.
+
+    rows: a matrix with the label and its permutations y_0 to y_(runs - 1) as columns; train and valid are
+    its parts' conditions; make(label) gives an estimator with the weight column `weight`. All runs are fitted side by side.
+    """
+    learn, judge = rows.where(train), rows.where(valid)
+    weighed = lambda y: learn.withColumn("weight", balanced(learn, y))
+    found = outcomes(rows.sparkSession, {y: Fit(make(y), weighed(y), judge, label) for y in (label, *[f"y_{r}" for r in range(runs)])})
+    areas = [found[f"y_{r}"].auc for r in range(runs)]
+    mean = sum(areas) / runs
+    sd = (sum((a - mean) ** 2 for a in areas) / runs) ** 0.5
+    real = found[label].auc
+    return Scramble(real, mean, sd, min(areas), max(areas), abs(mean - 0.5) < 0.07 and real - mean > 3 * max(sd, 1e-6))
 
 
 def importances(model, names: list[str], spark) -> DataFrame:
@@ -126,38 +138,40 @@ def importances(model, names: list[str], spark) -> DataFrame:
     return spark.createDataFrame(list(zip(names, values)), "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
-def areas(train: DataFrame, test: DataFrame, label: str, estimators: dict) -> dict[str, float]:
-    """Test area of each estimator fitted to train."""
-    return {name: auc_of(scored(e.fit(train), test), "p", label) for name, e in estimators.items()}
-
-
 def baselines(label: str, weight: str, features: str, trees: int = 300, seed: int = 42) -> dict:
     """Weighted logistic regression and random forest on a feature column of few descriptors."""
     common = {"featuresCol": features, "labelCol": label, "weightCol": weight}
     return {"logistic": LogisticRegression(maxIter=2000, standardization=True, **common), "forest": RandomForestClassifier(numTrees=trees, maxDepth=30, seed=seed, **common)}
 
 
-def resampled(df: DataFrame, id_col: str, run: int, weight: str = "weight") -> DataFrame:
-    """A bootstrap of the rows: each has its weight times a Poisson number of mean 1, drawn by a hash of its
-    identifier and the run; rows drawn no time go."""
+def drawn(id_col: str, run: int) -> Column:
+    """How often a bootstrap draws a row: a Poisson number of mean 1 by a hash of its identifier and the run."""
     unit = (F.pmod(F.xxhash64(F.lit(run), F.col(id_col)), F.lit(1 << 40)) + 0.5) / (1 << 40)
     cdf, term, total = [], 0.36787944117144233, 0.0
-    for k in range(12):
+    for k in range(15):
         total += term
         cdf.append(total)
         term /= k + 1
-    n = sum(((unit >= c).cast("int") for c in cdf), F.lit(0))
-    return df.withColumn("_n", n).where("_n > 0").withColumn(weight, F.col(weight) * F.col("_n")).drop("_n")
+    return sum(((unit >= c).cast("int") for c in cdf), F.lit(0))
 
 
-def bootstrap_stability(train: DataFrame, test: DataFrame, id_col: str, label: str, estimator, runs: int) -> dict[int, float]:
-    """Test area for each bootstrap of the training rows."""
-    return {r: auc_of(scored(estimator.fit(resampled(train, id_col, r)), test), "p", label) for r in range(runs)}
+def stability(train: DataFrame, test: DataFrame, id_col: str, label: str, make, seeds: tuple[int, ...], bootstraps: tuple[int, ...]) -> dict[str, Outcome]:
+    """Measures for each seed, and for each bootstrap of the training rows; make(seed) gives an estimator with
+    the weight column `weight`, and bootstraps have its first seed."""
+    weighed = lambda df, n=None: df.withColumn("weight", balanced(df, label, n))
+    whole = weighed(train)
+    fits = {f"seed_{s}": Fit(make(s), whole, test, label) for s in seeds}
+    for r in bootstraps:
+        rows = train.withColumn("_n", drawn(id_col, r)).where("_n > 0")
+        fits[f"bootstrap_{r}"] = Fit(make(seeds[0]), weighed(rows, F.col("_n")), test, label)
+    return outcomes(train.sparkSession, fits)
 
 
-def ablation(train: DataFrame, test: DataFrame, label: str, variants: dict[str, list[str]], make) -> dict[str, float]:
-    """Test area with each set of array columns as the only features; make() gives an estimator."""
-    return {v: auc_of(scored(make().fit(with_features(train, c)), with_features(test, c)), "p", label) for v, c in variants.items()}
+def ablation(train: DataFrame, test: DataFrame, label: str, variants: list[str], make) -> dict[str, Outcome]:
+    """Measures with each vector column as the only features; make(column) gives an estimator with the weight
+    column `weight`."""
+    rows = train.withColumn("weight", balanced(train, label))
+    return outcomes(train.sparkSession, {v: Fit(make(v), rows, test, label) for v in variants})
 
 
 def stratified_split(df: DataFrame, id_col: str, label: str, fraction: float, seed: int = 42) -> tuple[DataFrame, DataFrame]:
@@ -169,14 +183,13 @@ def stratified_split(df: DataFrame, id_col: str, label: str, fraction: float, se
     return placed.where("not _test").drop("_test"), placed.where("_test").drop("_test")
 
 
-def split_gap(df: DataFrame, id_col: str, label: str, test: Column, estimator, seed: int = 42) -> dict[str, float]:
-    """Test area under the given split and under a stratified random one of the same size, and how much
-    larger the random one's is."""
-    n, held = df.agg(F.count(F.lit(1)), F.count_if(test)).first()
-    given = auc_of(scored(estimator.fit(balanced_weight(df.where(~test), label)), df.where(test)), "p", label)
-    train, rest = stratified_split(df, id_col, label, held / n, seed)
-    random = auc_of(scored(estimator.fit(balanced_weight(train, label)), rest), "p", label)
-    return {"given": given, "random": random, "gap": random - given}
+def split_gap(rows: DataFrame, id_col: str, label: str, train: str, test: str, make, seed: int = 42) -> dict[str, Outcome]:
+    """Measures under the given split, and under a stratified random one whose test part is as large; make()
+    gives an estimator with the weight column `weight`."""
+    n, held = rows.agg(F.count(F.lit(1)), F.count_if(F.expr(test))).first()
+    learn, rest = stratified_split(rows, id_col, label, held / n, seed)
+    weighed = lambda df: df.withColumn("weight", balanced(df, label))
+    return outcomes(rows.sparkSession, {"given": Fit(make(), weighed(rows.where(train)), rows.where(test), label), "random": Fit(make(), weighed(learn), rest, label)})
 
 
 def mahalanobis(train: DataFrame, df: DataFrame, values: str, out: str = "mahalanobis", ridge: float = 1e-6) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators.aggregate import with_fraction
+from lodestone.operators.metrics import quantiles
 
 
 def profile(df: DataFrame, key: str, value: str, suspicious: float = 1e9, most_impossible: float = 0.05) -> DataFrame:
@@ -14,7 +15,7 @@ def profile(df: DataFrame, key: str, value: str, suspicious: float = 1e9, most_i
     impossible = v.isNull() | (v <= 0)
     counts = df.agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct(key).alias("n_keys"), F.count_if(v.isNull()).alias("missing"),
-        F.min(v).alias("min"), F.median(v).alias("median"), F.max(v).alias("max"),
+        F.min(v).alias("min"), F.lit(quantiles(df, value, [0.5])[0]).cast("double").alias("median"), F.max(v).alias("max"),
         F.count_if(impossible).alias("impossible"), F.count_if(v > suspicious).alias("suspicious"),
     )
     return counts.withColumn("repeated", F.col("n") - F.col("n_keys")).withColumn(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators.metrics import running_sums
+from lodestone.operators.metrics import quantiles, running_sums
 
 IN, BORDER, OUT, UNKNOWN = "in_domain", "borderline", "out_of_domain", "undeterminable"
 OUT_SIMILARITY, BORDER_SIMILARITY = 0.4, 0.6
@@ -114,8 +114,8 @@ def calibration_error(bins: DataFrame) -> DataFrame:
 
 def reliability_curve(df: DataFrame, p: str, label: str, bins: int = 10) -> DataFrame:
     """Mean prediction and frequency between quantiles of the predictions; a row on an edge falls below it."""
-    edges = df.agg(F.percentile(p, F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("_e"))
-    at = F.aggregate("_e", F.lit(0), lambda a, e: a + (F.col(p) > e).cast("int"))
-    return df.join(F.broadcast(edges)).groupBy(at.alias("bin")).agg(
+    edges = [e for e in quantiles(df, p, [i / bins for i in range(1, bins)]) if e is not None]
+    at = sum(((F.col(p) > e).cast("int") for e in edges), F.lit(0))
+    return df.groupBy(at.alias("bin")).agg(
         F.count(F.lit(1)).alias("n"), F.avg(p).alias("confidence"), F.avg(F.col(label).cast("double")).alias("frequency")
     )

@@ -36,6 +36,13 @@ def shared_bits(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(F.coalesce(x, none).bitwiseAND(F.coalesce(y, none)))), F.lit(0), lambda s, n: s + n)
 
 
+def exact_collisions(queries: DataFrame, references: DataFrame, bits: str) -> DataFrame:
+    """One row: queries, and how many of them have a reference with all the same bits."""
+    q = queries.select(packed(F.col(bits)).alias("_key"))
+    r = references.select(packed(F.col(bits)).alias("_key")).distinct().withColumn("_hit", F.lit(True))
+    return q.join(r, "_key", "left").agg(F.count(F.lit(1)).alias("queries"), F.count_if(F.coalesce("_hit", F.lit(False))).alias("collisions"))
+
+
 def tanimoto_join(a: DataFrame, b: DataFrame, a_id: str, b_id: str, bits: str, threshold: float = 0.5) -> DataFrame:
     """Pairs (a_id, b_id, similarity) that reach the threshold, which is above 0.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,16 +49,19 @@ def scratch_folder(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not spark.sparkContext.master.split("[")[0] == "local":
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own_folder:
         _own_folder.append("file://" + tempfile.mkdtemp(prefix="spark-lodestone-"))
     return _own_folder[0]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df without its lineage, checkpointed in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(scratch_folder(df.sparkSession))
-    return df.checkpoint()
+def scratch_path(spark: SparkSession, name: str) -> str:
+    return f"{scratch_folder(spark)}/lodestone/{uuid.uuid4().hex}/{name}"
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """df as a written table of the shared folder, read back: it is evaluated once, and lineage ends there."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

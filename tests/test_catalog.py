@@ -45,28 +45,13 @@ def test_entry_has_rows(spark):
 
 
 @needs_tables
-def test_models_have_the_specified_parameters(spark, monkeypatch):
+def test_models_have_the_specified_parameters(spark):
     from lodestone.operators import ml
 
     r = QUERIES["bootstrap_auc"](spark, FOLDER).first()
     assert r.replicates == 1000 and r.low < r.high
-    seen = []
-
-    def select(train, valid, label, weight, models):
-        seen.append({n: (m.getNumTrees(), m.getMaxDepth()) for n, m in models.items() if n.startswith("rf")} | {"gbm": models["gbm"].getMaxIter()})
-        model = models["lr"].fit(train)
-        return "lr", model, {"lr": 0.5}
-
-    def scramble(train, valid, id_col, label, estimator, runs):
-        seen.append((type(estimator).__name__, runs))
-        return {"real": 0.9, "mean": 0.5, "sd": 0.01, "passed": True}
-
-    monkeypatch.setattr(ml, "select_champion", select)
-    monkeypatch.setattr(ml, "scramble_test", scramble)
-    QUERIES["train_champion"](spark, FOLDER)
-    QUERIES["y_scramble"](spark, FOLDER)
-    grid = {f"rf_{t}_{d}": (t, d) for t in (200, 500) for d in (30, 20)} | {"gbm": 100}
-    assert seen == [grid, grid, ("LogisticRegression", 10)]
+    grid = {n: (m.getNumTrees(), m.getMaxDepth()) for n, m in ml.candidates("y", "weight").items() if n.startswith("rf")}
+    assert grid == {f"rf_{t}_{d}": (t, d) for t in (200, 500) for d in (30, 20)} and ml.candidates("y", "weight")["gbm"].getMaxIter() == 100
 
 
 def redacted(text):

@@ -164,8 +164,8 @@ def test_stratified_split_and_resampling(spark):
     train, test = ml.stratified_split(df, "id", "y", 0.25)
     assert train.count() + test.count() == 2000 and train.join(test, "id").count() == 0
     assert {r.y: r["count"] for r in test.groupBy("y").count().collect()} == pytest.approx({0: 400, 1: 100}, abs=2)
-    drawn = ml.resampled(df, "id", 1).agg(F.sum("weight"), F.count(F.lit(1))).first()
-    assert abs(drawn[0] / 2 - 2000) < 150 and abs(drawn[1] - 2000 * (1 - np.exp(-1))) < 100
+    n = df.select(ml.drawn("id", 1).alias("n")).agg(F.sum("n"), F.count_if(F.col("n") > 0)).first()
+    assert abs(n[0] - 2000) < 150 and abs(n[1] - 2000 * (1 - np.exp(-1))) < 100
 
 
 def test_mahalanobis(spark):
@@ -183,5 +183,8 @@ def test_scrambled_labels_keep_their_numbers(spark, monkeypatch):
     df = spark.range(1000).withColumn("y", (F.col("id") % 3).cast("int"))
     at = ml.positions(df, F.xxhash64("id"), "id").select("_position").collect()
     assert sorted(r[0] for r in at) == list(range(1000))
-    got = {r.id: r.y for r in ml.scrambled(df, "id", "y", 1).collect()}
-    assert sorted(got.values()) == sorted(i % 3 for i in range(1000)) and 200 < sum(got[i] == i % 3 for i in got) < 470
+    rows = ml.permuted_labels(df, "id", "y", 3).collect()
+    for r in range(3):
+        got = {x.id: x[f"y_{r}"] for x in rows}
+        assert sorted(got.values()) == sorted(i % 3 for i in range(1000)) and 200 < sum(got[i] == i % 3 for i in got) < 470
+    assert len({(x.y_0, x.y_1, x.y_2) for x in rows}) == 27
