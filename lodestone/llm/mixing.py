@@ -49,9 +49,11 @@ def source_targets(
     ).select("source", "source_size", "n_docs", "weight", "target")
 
 
-def hash_key(identifier, seed: int):
-    """Sixty bits of the MD5 of seed and identifier, as a long; a null identifier hashes as empty."""
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(identifier.cast("string"), F.lit(""))))
+def hash_key(identifier, text, seed: int):
+    """Sixty bits of the MD5 of seed, identifier and the text's MD5, as a long; nulls hash as empty. Texts of one
+    identifier, null ones too, so lie in ranges of their own."""
+    parts = [F.coalesce(identifier.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")))]
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *parts))
     return F.conv(F.substr(digest, F.lit(1), F.lit(15)), 16, 10).cast("long")
 
 
@@ -70,7 +72,7 @@ def mixture(
 
     Sizes are words; a null or empty text has size 0 and nothing is taken from it. A null source is
     a source of its own. Rows that share an identifier are rows of their own; the order is the hash
-    of identifier and seed, then the identifier, then the text's hash, so reruns agree (rows that
+    of seed, identifier and text, then the identifier, then the text's hash, so reruns agree (rows that
     agree in all three are alike). An empty table gives no rows.
     """
     rows = materialize(
@@ -79,7 +81,8 @@ def mixture(
             F.col(source_col).alias("source"),
             word_count(F.col(text_col)).alias("size"),
             F.xxhash64(F.col(text_col)).alias("_tie"),
-        ).withColumn("_key", hash_key(F.col("doc_id"), seed)),
+            hash_key(F.col(id_col), F.col(text_col), seed).alias("_key"),
+        ),
         "sizes",
     )
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))

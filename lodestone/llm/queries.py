@@ -115,7 +115,7 @@ _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 SQL_SOURCE_MIXING = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5('20240229:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS k FROM documents
+         ('0x' || substr(md5('20240229:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS k FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
          CASE (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS w FROM d GROUP BY source
@@ -147,7 +147,7 @@ e AS (SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, rank O
 s AS (SELECT doc_id, owner, repo, rank, kind, (fin - length(hit))::BIGINT AS start, fin::BIGINT AS fin, value FROM e
       WHERE CASE rank WHEN 0 THEN length(value) >= 6 WHEN 1 THEN length(value) >= 20 WHEN 2 THEN length(value) >= 24
             ELSE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[a-z]') END),
-v AS (SELECT value, CASE WHEN count(DISTINCT owner) >= 3 OR count(DISTINCT (owner, repo)) >= 6 THEN 'example' ELSE 'live' END AS verdict FROM s GROUP BY value),
+v AS (SELECT value, CASE WHEN count(DISTINCT row(owner)) >= 3 OR count(DISTINCT row(owner, repo)) >= 6 THEN 'example' ELSE 'live' END AS verdict FROM s GROUP BY value),
 k AS (SELECT s.*, verdict, kind || ':' || start || ':' || fin AS lbl FROM s JOIN v USING (value)
       WHERE rank < 3 OR verdict = 'live' AND NOT EXISTS (SELECT 1 FROM s b WHERE b.doc_id = s.doc_id AND b.rank < 3 AND b.start < s.fin AND b.fin > s.start)),
 g AS (SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,

@@ -177,6 +177,10 @@ def _drop_attempts(folder: str) -> None:
             store.delete_file(file.path)
 
 
+#: So many first characters of a text tell ranges apart behind an identifier.
+HEAD = 200
+
+
 def write_tokens(
     df: DataFrame,
     folder: str,
@@ -190,13 +194,15 @@ def write_tokens(
 
     One shard for each range of identifiers (spark.sql.shuffle.partitions ranges, joined where they
     are small). Null texts count as empty and hold the end id alone; null identifiers come first;
-    rows that share an identifier follow one another by text. An empty table makes no shard.
+    rows that share an identifier follow one another by text, and lie in several shards where they are many (texts alike in their
+    first HEAD characters lie in one). An empty table makes no shard.
     """
     tokenizer = tokenizer or tokenizer_path()
     ordered = (
-        df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-        .repartitionByRange("_id")
-        .sortWithinPartitions("_id", "_text")
+        df.select(F.col(id_col).cast("long").alias("_id"), F.substring(F.col(text_col), 1, HEAD).alias("_head"), F.col(text_col).alias("_text"))
+        .repartitionByRange("_id", "_head")
+        .sortWithinPartitions("_id", "_head", "_text")
+        .select("_id", "_text")
     )
     write = lambda batches: _write(batches, folder, tokenizer, end_id, block_ids)
     manifest = materialize(ordered.mapInArrow(write, MANIFEST), "manifest")
