@@ -20,7 +20,7 @@ def with_features(df: DataFrame, arrays: list[str], out: str = "features") -> Da
 
 def forest(label: str, weight: str, trees: int, depth: int, seed: int = 42, features: str = "features") -> RandomForestClassifier:
     """30 is the largest depth of Spark's trees and stands for no limit."""
-    return RandomForestClassifier(numTrees=trees, maxDepth=min(depth, 30), seed=seed, featuresCol=features, labelCol=label, weightCol=weight)
+    return RandomForestClassifier(numTrees=trees, maxDepth=min(depth, 30), seed=seed, featuresCol=features, labelCol=label, weightCol=weight, cacheNodeIds=True)
 
 
 def forests(label: str, weight: str, trees: tuple[int, ...] = (200, 500), depths: tuple[int, ...] = (30, 20), seed: int = 42) -> dict:
