@@ -9,7 +9,7 @@ from lodestone.catalog import query
 from lodestone.catalog.data import rounded
 from lodestone.operators import fits, metrics, ml, reliability, similarity
 from lodestone.plans import flows
-from lodestone.session import table
+from lodestone.session import scratch_path, table
 
 #: Every third vector asks, the others are the reference.
 _SIDES = """
@@ -35,16 +35,25 @@ def near_duplicates(spark, d):
 
 @query(f"WITH {_SIDES} SELECT vec_id, round(coalesce(max(similarity), 0), 6) AS max_similarity FROM v LEFT JOIN pairs ON a_id = vec_id WHERE q GROUP BY vec_id")
 def tanimoto_max(spark, d):
-    return rounded(similarity.max_similarity(*vectors(spark, d), "vec_id", "bits", WIDTH), "max_similarity")
+    return rounded(similarity.max_similarity(*vectors(spark, d), "vec_id", "bits"), "max_similarity")
 
 
 @query(f"""WITH {_SIDES}, m AS (SELECT vec_id, coalesce(max(similarity), 0) AS s FROM v LEFT JOIN pairs ON a_id = vec_id WHERE q GROUP BY vec_id)
 SELECT CASE WHEN s >= 0.7 THEN 'highly_similar' WHEN s >= 0.4 THEN 'moderately_similar' WHEN s >= 0.2 THEN 'chemically_novel' ELSE 'out_of_domain' END AS tier, count(*) AS n FROM m GROUP BY 1""")
 def similarity_tiers(spark, d):
-    best = similarity.max_similarity(*vectors(spark, d), "vec_id", "bits", WIDTH)
+    best = similarity.max_similarity(*vectors(spark, d), "vec_id", "bits")
     return best.groupBy(similarity.similarity_tier(F.col("max_similarity")).alias("tier")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"""WITH {_SIDES}, s AS (SELECT q.vec_id, r.vec_id AS neighbour_id, coalesce(similarity, 0)::DOUBLE AS similarity FROM v q JOIN v r ON q.q AND NOT r.q LEFT JOIN pairs ON a_id = q.vec_id AND b_id = r.vec_id)
+SELECT vec_id, row_number() OVER w AS rank, neighbour_id, round(similarity, 6) AS similarity FROM s WINDOW w AS (PARTITION BY vec_id ORDER BY similarity DESC, neighbour_id) QUALIFY row_number() OVER w <= 3""")
+def evidence_neighbours(spark, d):
+    """The three references most alike to each query, as its evidence."""
+    q, r = vectors(spark, d)
+    index = similarity.index_bits(r, "vec_id", "bits", scratch_path(spark, "index"))
+    return rounded(similarity.neighbours(q, index, "vec_id", "bits", 3), "similarity")
+
+
 _SIGNS = "list_transform(embedding, lambda x: x > 0)"
 
 
@@ -77,11 +86,11 @@ def _scaled(spark, d):
 
 @query(f"WITH {_KNN.format(on=_CROSS)} SELECT vec_id, round(avg(distance), 5) AS knn_distance FROM d GROUP BY vec_id")
 def knn_distance(spark, d):
-    return rounded(similarity.nearest_distance(*_scaled(spark, d), "vec_id", "scaled", WIDTH), "knn_distance", digits=5)
+    return rounded(similarity.nearest_distance(*_scaled(spark, d), "vec_id", "scaled"), "knn_distance", digits=5)
 
 
 def _limit(r: DataFrame) -> DataFrame:
-    near = similarity.nearest_distance(r, r, "vec_id", "scaled", WIDTH, exclude_self=True)
+    near = similarity.nearest_distance(r, r, "vec_id", "scaled", exclude_self=True)
     p95 = metrics.quantiles(near, "knn_distance", [0.95])[0]
     return r.sparkSession.createDataFrame([(p95,)], "p95 double")
 
@@ -106,8 +115,8 @@ _TWO = _VERDICT.format(n="((s < 0.6)::INT + (dist > p95)::INT)")
 
 def signals(spark, d: str) -> DataFrame:
     q, r = _scaled(spark, d)
-    best = similarity.max_similarity(q, r, "vec_id", "bits", WIDTH)
-    near = similarity.nearest_distance(q, r, "vec_id", "scaled", WIDTH)
+    best = similarity.max_similarity(q, r, "vec_id", "bits")
+    near = similarity.nearest_distance(q, r, "vec_id", "scaled")
     seen = r.where("label < 7").select("label").distinct().withColumn("seen", F.lit(True))
     return q.select("vec_id", "label").join(best, "vec_id").join(near, "vec_id").join(seen, "label", "left").join(F.broadcast(_limit(r)))
 

@@ -1,22 +1,27 @@
 """Tanimoto and nearest-neighbour joins over array columns.
 
-Bit vectors are arrays of the positions of their set bits. The thresholded join goes through an inverted
-index on the rarest bits of each vector: as many as two vectors of that similarity must share one of. A stated
-query set meets all references in blocks: both sides are dealt into parts, each pair of parts meets in
-one task, and only a query's best of a part goes on.
+Bit vectors are arrays of the positions of their set bits. References lie in cells: bands of their number of
+bits, or those nearest to a pivot. A query is sent to the cells that a bound can't rule out, as far as its
+best so far tells; a cell of many rows, or of many queries, is met in blocks, and only a query's best
+of a block goes on. Sparse wide vectors have a join through their rarest bits instead.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: About so many numbers of a side's vectors meet in a task.
-BLOCK_VALUES = 4_000_000
+from lodestone.session import scratch_path, stored
+
+#: About so many rows of a side meet in a task, and make a band or a pivot's cell.
+BLOCK_ROWS = 20_000
+#: At most so many pivots, which are broadcast.
+PIVOTS = 512
 
 
 def on_bits(values: Column) -> Column:
@@ -43,8 +48,161 @@ def exact_collisions(queries: DataFrame, references: DataFrame, bits: str) -> Da
     return q.join(r, "_key", "left").agg(F.count(F.lit(1)).alias("queries"), F.count_if(F.coalesce("_hit", F.lit(False))).alias("collisions"))
 
 
+def in_cells(asking: DataFrame, answering: DataFrame, meet: Callable, schema: str) -> DataFrame:
+    """meet(rows of asking, rows of answering) -> frame, for both sides' rows of a cell, in blocks.
+
+    asking and answering have _id and _cell. A cell's sides are dealt into parts of about BLOCK_ROWS, and
+    each pair of parts meets once.
+    """
+    count = lambda df, name: df.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias(name))
+    parts = count(asking, "_asks").join(count(answering, "_answers"), "_cell")  # a row for each cell
+    own = lambda n: F.pmod(F.xxhash64("_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    q = asking.join(F.broadcast(parts), "_cell").withColumn("_q", own("_asks")).withColumn("_r", every("_answers")).drop("_asks", "_answers")
+    r = answering.join(F.broadcast(parts), "_cell").withColumn("_r", own("_answers")).withColumn("_q", every("_asks")).drop("_asks", "_answers")
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def both(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(columns=names) if a.empty or b.empty else meet(a, b)
+
+    return q.groupBy("_cell", "_q", "_r").cogroup(r.groupBy("_cell", "_q", "_r")).applyInPandas(both, schema)
+
+
+def _similarities(a: pd.DataFrame, b: pd.DataFrame, rows: int = 512):
+    """(start, matrix) of the similarities of some rows of a to all of b, from products of 0/1 matrices over the
+    positions that occur."""
+    held = [np.concatenate([np.asarray(x, np.int64) for x in df["_bits"]]) for df in (a, b)]
+    places = np.unique(np.concatenate(held))
+
+    def dense(df: pd.DataFrame, flat: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(df), len(places)), np.float32)
+        out[np.repeat(np.arange(len(df)), [len(x) for x in df["_bits"]]), np.searchsorted(places, flat)] = 1
+        return out
+
+    q, r = dense(a, held[0]), dense(b, held[1])
+    n_q, n_r = q.sum(1), r.sum(1)
+    for i in range(0, len(q), rows):
+        both = (q[i : i + rows] @ r.T).astype(np.float64)
+        union = n_q[i : i + rows, None] + n_r[None, :] - both
+        yield i, np.where(union > 0, both / np.maximum(union, 1), 0.0)
+
+
+def _bit_rows(df: DataFrame, key: str, bits: str) -> DataFrame:
+    return df.where(F.col(bits).isNotNull()).select(F.col(key).alias("_id"), F.array_distinct(bits).alias("_bits")).withColumn("_n", F.size("_bits"))
+
+
+def bands(rows: DataFrame) -> list[tuple[int, int]]:
+    """Ranges of numbers of bits, ascending, that hold about BLOCK_ROWS rows each; a single number may hold more.
+    What reaches the driver is a row for each number of bits, as many as vectors have positions."""
+    out: list[list[int]] = []
+    for n, count in sorted((r["_n"], r["count"]) for r in rows.groupBy("_n").count().collect()):
+        if out and out[-1][2] + count <= BLOCK_ROWS:
+            out[-1][1:] = [n, out[-1][2] + count]
+        else:
+            out.append([n, n, count])
+    return [(low, high) for low, high, _ in out]
+
+
+def _band_of(n: Column, found: list[tuple[int, int]]) -> Column:
+    """The band that holds n bits, else the one whose members can be most alike."""
+    return F.coalesce(*[F.when(n <= high, i) for i, (_, high) in enumerate(found[:-1])], F.lit(max(0, len(found) - 1)))
+
+
+def _bound(n: Column, band: Column, found: list[tuple[int, int]]) -> Column:
+    """The largest similarity of a vector of n bits to one of the band: smaller number over larger."""
+    low, high = (F.element_at(F.array(*[F.lit(x[k]) for x in found]), band + 1) for k in (0, 1))
+    return F.when(n < low, n / low).when(n > high, high / n).otherwise(1.0)
+
+
 def tanimoto_join(a: DataFrame, b: DataFrame, a_id: str, b_id: str, bits: str, threshold: float = 0.5) -> DataFrame:
-    """Pairs (a_id, b_id, similarity) that reach the threshold, which is above 0.
+    """Pairs (a_id, b_id, similarity) that reach the threshold, which is above 0; identifiers are longs.
+
+    Partners' numbers of bits lie within a factor of the threshold: a vector is sent to the bands there, and
+    meets each block of them once. Null vectors and those without a bit have no partner.
+    """
+    if threshold <= 0:
+        raise ValueError("a join needs a threshold above 0")
+    q, r = (_bit_rows(df, key, bits).where("_n > 0") for df, key in ((a, a_id), (b, b_id)))
+    found = bands(r) or [(1, 1)]
+    cells = F.filter(F.sequence(F.lit(0), F.lit(len(found) - 1)), lambda i: _bound(F.col("_n"), i, found) >= threshold - 1e-9)
+
+    def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        parts, x_ids, y_ids = [], x["_id"].to_numpy(), y["_id"].to_numpy()
+        for i, alike in _similarities(x, y):
+            at, to = np.nonzero(alike >= threshold)
+            parts.append(pd.DataFrame({"a_id": x_ids[i + at], "b_id": y_ids[to], "similarity": alike[at, to]}))
+        return pd.concat(parts, ignore_index=True)
+
+    return in_cells(q.withColumn("_cell", F.explode(cells)), r.withColumn("_cell", _band_of(F.col("_n"), found)), meet, "a_id long, b_id long, similarity double")
+
+
+class BitIndex(NamedTuple):
+    """References' bit vectors as a table in folders by band, and the bands."""
+
+    path: str
+    bands: list[tuple[int, int]]
+
+
+def index_bits(references: DataFrame, key: str, bits: str, path: str) -> BitIndex:
+    """Writes the index; null vectors aren't in it."""
+    rows = _bit_rows(references, key, bits)
+    found = bands(rows)
+    rows.withColumn("_cell", _band_of(F.col("_n"), found)).repartition("_cell", F.pmod(F.xxhash64("_id"), F.lit(8))).write.partitionBy("_cell").parquet(path)
+    return BitIndex(path, found)
+
+
+def neighbours(queries: DataFrame, index: BitIndex, key: str, bits: str, k: int, asked: list[DataFrame] | None = None) -> DataFrame:
+    """Per query and rank 1 to k: neighbour_id and similarity, by falling similarity, then by identifier.
+
+    A query asks the band of its own number of bits, then bands at distances of 1, 2 to 3, 4 to 7 and so on; of
+    those it asks only where the bound reaches its k-th best so far. Identifiers are longs; null vectors have no
+    neighbours. asked collects each round's (query, band) rows.
+    """
+    spark, found = queries.sparkSession, index.bands
+    q = stored(_bit_rows(queries, key, bits), "queries")
+    empty = "_id long, best array<struct<similarity:double,neighbour_id:long>>"
+    if not found:
+        return spark.createDataFrame([], f"{key} long, rank int, neighbour_id long, similarity double")
+
+    def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        ids, best = y["_id"].to_numpy(), []
+        by_id = np.argsort(ids, kind="stable")
+        for _, alike in _similarities(x, y):
+            order = by_id[np.argsort(-alike[:, by_id], axis=1, kind="stable")[:, :k]]
+            best += [[{"similarity": float(alike[i, j]), "neighbour_id": int(ids[j])} for j in row] for i, row in enumerate(order)]
+        return pd.DataFrame({"_id": x["_id"].to_numpy(), "best": best})
+
+    first = lambda c: F.slice(F.transform(F.array_sort(F.transform(c, lambda x: F.struct((-x["similarity"]).alias("s"), x["neighbour_id"].alias("i")))), lambda x: F.struct((-x["s"]).alias("similarity"), x["i"].alias("neighbour_id"))), 1, k)
+    state = spark.createDataFrame([], empty)
+    near, far = 0, 1
+    while near < len(found):
+        own = _band_of(F.col("_n"), found)
+        at = F.array_union(F.sequence(own - (far - 1), own - near), F.sequence(own + near, own + (far - 1)))
+        least = F.when(F.size("best") >= k, F.element_at("best", -1)["similarity"]).otherwise(-1.0)
+        cells = F.filter(at, lambda i: (i >= 0) & (i < len(found)) & (_bound(F.col("_n"), F.greatest(F.lit(0), F.least(i, F.lit(len(found) - 1))), found) >= F.col("_least")))
+        asking = q.join(state, "_id", "left").withColumn("_least", F.coalesce(least, F.lit(-1.0))).withColumn("_cell", F.explode(cells)).select("_id", "_bits", "_cell")
+        asking = stored(asking, "asking")
+        if asked is not None:
+            asked.append(asking.select("_id", "_cell"))
+        wanted = [r[0] for r in asking.select("_cell").distinct().collect()]  # at most the bands
+        if wanted:
+            answers = spark.read.parquet(index.path).where(F.col("_cell").isin(wanted)).select("_id", "_bits", "_cell")
+            more = in_cells(asking, answers, meet, empty).unionByName(state)
+            state = stored(more.groupBy("_id").agg(first(F.flatten(F.collect_list("best"))).alias("best")), "best")  # k from each block
+        near, far = far, 2 * far
+    return state.select(F.col("_id").alias(key), F.posexplode("best").alias("_at", "_b")).select(key, (F.col("_at") + 1).alias("rank"), "_b.neighbour_id", "_b.similarity")
+
+
+def max_similarity(queries: DataFrame, references: DataFrame, query_id: str, bits: str) -> DataFrame:
+    """Per query its largest similarity to a reference; 0 where no bit is shared. Both sides' identifiers have the
+    name query_id. A null vector has similarity 0."""
+    index = index_bits(references, query_id, bits, scratch_path(references.sparkSession, "bits"))
+    best = neighbours(queries, index, query_id, bits, 1).select(F.col(query_id).alias("_id"), "similarity")
+    return queries.select(query_id).join(best, F.col(query_id) == F.col("_id"), "left").select(query_id, F.coalesce("similarity", F.lit(0.0)).alias("max_similarity"))
+
+
+def tanimoto_join_by_prefix(a: DataFrame, b: DataFrame, a_id: str, b_id: str, bits: str, threshold: float = 0.5) -> DataFrame:
+    """As tanimoto_join, for sparse vectors over many positions, none of which many vectors hold.
 
     Vectors of n bits that reach it share one of their n - ceil(threshold n) + 1 rarest bits. The pair comes
     from the rarest of those alone, so no pair comes twice and none is grouped. Null vectors and those
@@ -71,48 +229,6 @@ def tanimoto_join(a: DataFrame, b: DataFrame, a_id: str, b_id: str, bits: str, t
     return pairs.select("a_id", "b_id", (shared / (F.col("na") + F.col("nb") - shared)).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
-def in_blocks(queries: DataFrame, references: DataFrame, id_col: str, values: str, width: int, best: Callable, schema: str) -> DataFrame:
-    """best(query ids, query vectors, reference ids, reference vectors) -> frame, over all pairs of parts.
-
-    Parts hold about BLOCK_VALUES numbers. Every query is sent to each part of the references and every
-    reference to each part of the queries; rows with a null vector take no part.
-    """
-    sides = [df.where(F.col(values).isNotNull()).select(F.col(id_col).alias("_id"), F.col(values).alias("_v")) for df in (queries, references)]
-    parts = [max(1, -(-df.count() * width // BLOCK_VALUES)) for df in sides]
-    own = lambda n: F.pmod(F.xxhash64("_id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asking = sides[0].select(own(parts[0]).alias("_q"), every(parts[1]).alias("_r"), "_id", "_v")
-    answers = sides[1].select(every(parts[0]).alias("_q"), own(parts[1]).alias("_r"), "_id", "_v")
-
-    def both(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or r.empty:
-            return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
-        return best(q["_id"].to_numpy(), np.stack(q["_v"].to_numpy()), r["_id"].to_numpy(), np.stack(r["_v"].to_numpy()))
-
-    return asking.groupBy("_q", "_r").cogroup(answers.groupBy("_q", "_r")).applyInPandas(both, schema)
-
-
-def _most_similar(q_ids, q, r_ids, r) -> pd.DataFrame:
-    """Per query the largest Tanimoto similarity, from products of 0/1 matrices."""
-    best = np.zeros(len(q))
-    n_r = r.sum(1)
-    for i in range(0, len(q), 512):
-        part = q[i : i + 512]
-        both = part @ r.T
-        union = part.sum(1)[:, None] + n_r[None, :] - both
-        best[i : i + 512] = np.where(union > 0, both / np.maximum(union, 1), 0).max(1)
-    return pd.DataFrame({"_id": q_ids, "_best": best})
-
-
-def max_similarity(queries: DataFrame, references: DataFrame, query_id: str, bits: str, width: int) -> DataFrame:
-    """Per query its largest similarity to a reference; 0 where no bit is shared. width is the vectors' number
-    of positions; both sides' identifiers have the name query_id. A null vector has similarity 0."""
-    dense = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.array_contains(bits, i).cast("float"))
-    sides = [df.select(query_id, F.when(F.col(bits).isNotNull(), dense).alias("_dense")) for df in (queries, references)]
-    found = in_blocks(*sides, query_id, "_dense", width, _most_similar, "_id long, _best double").groupBy("_id").agg(F.max("_best").alias("_best"))
-    return queries.join(found, queries[query_id] == found._id, "left").select(query_id, F.coalesce("_best", F.lit(0.0)).alias("max_similarity"))
-
-
 #: Tiers of the largest similarity to a reference, with their lower and upper bounds.
 SIMILARITY_TIERS = (("highly_similar", 0.7, 1.01), ("moderately_similar", 0.4, 0.7), ("chemically_novel", 0.2, 0.4), ("out_of_domain", -0.01, 0.2))
 
@@ -139,24 +255,71 @@ def scaled(df: DataFrame, values: str, stats: DataFrame, out: str = "scaled") ->
     return df.join(F.broadcast(one)).withColumn(out, F.zip_with(values, "_s", unit)).drop("_s")
 
 
-def nearest_distance(queries: DataFrame, references: DataFrame, id_col: str, values: str, width: int, k: int = 5, exclude_self: bool = False) -> DataFrame:
-    """Per query the mean Euclidean distance to its k nearest references; queries without a vector, or
-    without a reference, have no row."""
-    near = in_blocks(queries, references, id_col, values, width, lambda q_ids, q, r_ids, r: _nearest(q_ids, q, r_ids, r, k, exclude_self), "_id long, distances array<double>")
-    nearest = F.slice(F.array_sort(F.flatten(F.collect_list("distances"))), 1, k)  # k numbers from each part
-    return near.groupBy(F.col("_id").alias(id_col)).agg(nearest.alias("_near")).where(F.size("_near") > 0).select(
-        id_col, (F.aggregate("_near", F.lit(0.0), lambda s, d: s + d) / F.size("_near")).alias("knn_distance")
-    )
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * a @ b.T, 0))
 
 
-def _nearest(q_ids, q, r_ids, r, k: int, exclude_self: bool) -> pd.DataFrame:
-    q, r = q.astype(np.float64), r.astype(np.float64)
-    out = []
-    for i in range(0, len(q), 512):
-        part = q[i : i + 512]
-        d = np.sqrt(np.maximum((part**2).sum(1)[:, None] + (r**2).sum(1)[None, :] - 2 * part @ r.T, 0))
-        if exclude_self:
-            d[q_ids[i : i + 512][:, None] == r_ids[None, :]] = np.inf
-        near = np.sort(np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k], axis=1)
-        out += [row[np.isfinite(row)] for row in near]
-    return pd.DataFrame({"_id": q_ids, "distances": out})
+def nearest_distance(queries: DataFrame, references: DataFrame, id_col: str, values: str, k: int = 5, exclude_self: bool = False) -> DataFrame:
+    """Per query the mean Euclidean distance to its k nearest references; queries without a vector, or
+    without a reference, have no row. Identifiers are longs.
+
+    A bounded sample of references are pivots, and a reference's cell is that of its nearest pivot. A query
+    first asks its nearest cells until they hold k rows, which bounds its k-th distance; then all cells that
+    neither their ring around the pivot nor the half-space between pivots puts beyond that.
+    """
+    spark = references.sparkSession
+    sides = [df.where(F.col(values).isNotNull()).select(F.col(id_col).alias("_id"), F.col(values).cast("array<double>").alias("_v")) for df in (queries, references)]
+    r, q = stored(sides[1], "references"), stored(sides[0], "queries")
+    n = r.count()
+    many = min(PIVOTS, max(1, n // BLOCK_ROWS))
+    chosen = r.orderBy(F.xxhash64(F.lit(11), "_id"), "_id").limit(many).collect()  # PIVOTS at most
+    if not chosen:
+        return spark.createDataFrame([], f"{id_col} long, knn_distance double")
+    pivots = np.array([x["_v"] for x in chosen])
+
+    def placed(frames):
+        for f in frames:
+            if len(f):
+                d = _distances(np.stack(f["_v"].to_numpy()), pivots)
+                yield f.assign(_cell=d.argmin(1).astype("int32"), _d=d.min(1))
+
+    r = stored(r.mapInPandas(placed, "_id long, _v array<double>, _cell int, _d double"), "cells")
+    cells = {x["_cell"]: x for x in r.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.min("_d").alias("low"), F.max("_d").alias("high")).collect()}  # PIVOTS rows at most
+    rows, low, high = (np.array([float(cells[i][c]) if i in cells else e for i in range(many)]) for c, e in (("n", 0), ("low", np.inf), ("high", -np.inf)))
+    least = k + exclude_self
+
+    def asks(frames, second: bool):
+        for f in frames:
+            if not len(f):
+                continue
+            d = _distances(np.stack(f["_v"].to_numpy()), pivots)
+            order = np.argsort(d, axis=1, kind="stable")
+            before = np.cumsum(rows[order], axis=1) - rows[order]
+            first = np.zeros(d.shape, bool)
+            np.put_along_axis(first, order, before < least, axis=1)
+            ask = first & (rows > 0)
+            if second:
+                beyond = np.maximum(np.maximum(d - high, low - d), (d - d.min(1)[:, None]) / 2)
+                ask = ~first & (rows > 0) & (beyond <= f["_kth"].to_numpy()[:, None] * (1 + 1e-9) + 1e-9)
+            at, to = np.nonzero(ask)
+            yield pd.DataFrame({"_id": f["_id"].to_numpy()[at], "_v": f["_v"].to_numpy()[at], "_cell": to.astype("int32")})
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        x, y = np.stack(a["_v"].to_numpy()), np.stack(b["_v"].to_numpy())
+        ids, others, out = a["_id"].to_numpy(), b["_id"].to_numpy(), []
+        for i in range(0, len(x), 512):
+            d = _distances(x[i : i + 512], y)
+            if exclude_self:
+                d[ids[i : i + 512][:, None] == others[None, :]] = np.inf
+            best = np.sort(np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k], axis=1)
+            out += [row[np.isfinite(row)] for row in best]
+        return pd.DataFrame({"_id": ids, "_near": out})
+
+    schema, kinds = "_id long, _near array<double>", "_id long, _v array<double>, _cell int"
+    best = lambda df: df.groupBy("_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("_near"))), 1, k).alias("_near"))  # noqa: E731  k from each block
+    near = stored(best(in_cells(stored(q.mapInPandas(lambda f: asks(f, False), kinds), "asking"), r, meet, schema)), "near")
+    if many > 1:
+        kth = F.when(F.size("_near") >= k, F.element_at("_near", -1)).otherwise(float("inf"))
+        again = q.join(near.select("_id", kth.alias("_kth")), "_id").mapInPandas(lambda f: asks(f, True), kinds)
+        near = best(in_cells(stored(again, "asking"), r, meet, schema).unionByName(near))
+    return near.where(F.size("_near") > 0).select(F.col("_id").alias(id_col), (F.aggregate("_near", F.lit(0.0), lambda s, d: s + d) / F.size("_near")).alias("knn_distance"))

@@ -79,10 +79,11 @@ def test_nearest_distance_in_blocks(spark, monkeypatch):
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
     np.fill_diagonal(d, np.inf)
     want = {i: np.sort(d[i])[:5].mean() for i in range(60)}
-    for block in (4_000_000, 60):
-        monkeypatch.setattr(similarity, "BLOCK_VALUES", block)
+    for block, pivots in ((20_000, 512), (7, 512), (9, 3)):
+        monkeypatch.setattr(similarity, "BLOCK_ROWS", block)
+        monkeypatch.setattr(similarity, "PIVOTS", pivots)
         holes = df.unionByName(spark.createDataFrame([(99, None)], "id long, v array<double>"))
-        got = {r.id: r.knn_distance for r in similarity.nearest_distance(holes, holes, "id", "v", 4, exclude_self=True).collect()}
+        got = {r.id: r.knn_distance for r in similarity.nearest_distance(holes, holes, "id", "v", exclude_self=True).collect()}
         assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-6) for i in want)
 
 
@@ -90,7 +91,7 @@ def test_nearest_distance_in_blocks(spark, monkeypatch):
 def test_tanimoto_against_all_pairs(spark, threshold, monkeypatch):
     import random
 
-    monkeypatch.setattr(similarity, "BLOCK_VALUES", 1_000)
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 4)
     rng = random.Random(3)
     base = [sorted(rng.sample(range(130), rng.randint(0, 40))) for _ in range(25)]
     sets = base + [sorted({b for b in x if rng.random() > 0.1} | {rng.randrange(130)}) for x in base] + [[], [129]]
@@ -100,7 +101,8 @@ def test_tanimoto_against_all_pairs(spark, threshold, monkeypatch):
     want = {(i, j): similar(sets[i], sets[j]) for i in range(0, len(sets), 2) for j in range(1, len(sets), 2)}
     got = [(r.a_id, r.b_id, r.similarity) for r in similarity.tanimoto_join(a, b, "id", "id", "bits", threshold).collect()]
     assert sorted(got) == sorted((*k, v) for k, v in want.items() if v >= threshold and v > 0)
-    best = {r.id: r.max_similarity for r in similarity.max_similarity(a, b, "id", "bits", 130).collect()}
+    assert sorted(tuple(r) for r in similarity.tanimoto_join_by_prefix(a, b, "id", "id", "bits", threshold).collect()) == sorted(got)
+    best = {r.id: r.max_similarity for r in similarity.max_similarity(a, b, "id", "bits").collect()}
     assert best == pytest.approx({i: max(v for (x, _), v in want.items() if x == i) for i in range(0, len(sets), 2)} | {900: 0.0})
 
 
