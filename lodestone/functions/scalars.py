@@ -225,3 +225,14 @@ def quality_score(parts: dict[str, tuple[Column, float]]) -> Column:
 
 def filled(value: Column) -> Column:
     return F.coalesce(value.cast("double"), F.lit(0.0))
+
+
+#: The components of a measurement's quality and their weights, version 1.
+QUALITY_WEIGHTS = {"curation": 0.25, "assay_confidence": 0.20, "replication": 0.15, "concordance": 0.15, "guideline": 0.15, "provenance": 0.10}
+
+
+def quality_score(parts: dict[str, Column]) -> Column:
+    """The weighted sum of six components between 0 and 1; one that is null counts as 0."""
+    if set(parts) != set(QUALITY_WEIGHTS):
+        raise ValueError(f"the components are {', '.join(QUALITY_WEIGHTS)}")
+    return sum((F.coalesce(parts[k].cast("double"), F.lit(0.0)) * w for k, w in QUALITY_WEIGHTS.items()), F.lit(0.0))

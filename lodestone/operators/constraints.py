@@ -48,37 +48,89 @@ def tier_rules(tier: Column, commercial_ok: Column, sharealike: Column) -> dict[
     return {"black_is_not_commercial": (tier == "black") == ~commercial_ok, "red_is_sharealike": (tier == "red") == sharealike}
 
 
-def compound_rules(key27: Column, key14: Column, deleted: Column, reason: Column, mixture: Column, parent: Column) -> dict[str, Column]:
+#: The closed or open ranges of descriptors and of likeness scores; (low, low is in, high, high is in).
+DESCRIPTOR_RANGES = {
+    "mw_g_mol": (0, False, 10_000, False), "mw_parent_g_mol": (0, False, None, False), "exact_mass_g_mol": (0, False, None, False), "molar_refractivity": (0, True, None, False),
+    "tpsa_a2": (0, True, 1_000, False), "rotatable_bonds": (0, True, 200, True), "aromatic_rings": (0, True, None, False), "ring_count": (0, True, None, False),
+    "heavy_atom_count": (0, False, None, False), "formal_charge": (-20, True, 20, True), "hbd_lipinski": (0, True, None, False), "hba_lipinski": (0, True, None, False),
+    "hbd_strict": (0, True, None, False), "hba_strict": (0, True, None, False), "heteroatom_count": (0, True, None, False), "fraction_csp3": (0, True, 1, True),
+    "num_stereocentres": (0, True, None, False), "largest_ring_size": (0, True, None, False),
+}
+LIKENESS_RANGES = {
+    "lipinski_violations": (0, True, 4, True), "qed_score": (0, True, 1, True), "sa_score": (1, True, 10, True), "pains_alerts": (0, True, None, False),
+    "brenk_alerts": (0, True, None, False), "cns_mpo_score": (0, True, 6, True),
+}
+MEASUREMENT_RANGES = {
+    "ph_reference": (0, True, 14, True), "temperature_c": (-80, True, 200, True), "n_replicates": (0, False, None, False), "std_error": (0, True, None, False), "confidence_score": (0, True, 1, True),
+}
+#: The sets that columns are of.
+BIOAVAILABILITY = (0.11, 0.17, 0.55, 0.56, 0.85)
+UNIT_METHODS = ("documented", "range_assertion", "cross_source", "unverified")
+TIERS = ("green", "amber", "red", "black")
+WITHOUT_VALUE = ("not_measured", "inconclusive", "withdrawn_by_source")
+
+
+def within(ranges: dict[str, tuple]) -> dict[str, Column]:
+    """A rule `<column>_in_range` for each column."""
+
+    def one(c: Column, low, low_in: bool, high, high_in: bool) -> Column:
+        above = c >= low if low_in else c > low
+        return above if high is None else above & (c <= high if high_in else c < high)
+
+    return {f"{name}_in_range": one(F.col(name), *bounds) for name, bounds in ranges.items()}
+
+
+def present(*names: str) -> dict[str, Column]:
+    """A rule `<column>_present` for each column."""
+    return {f"{name}_present": F.col(name).isNotNull() for name in names}
+
+
+def compound_rules() -> dict[str, Column]:
+    """Of rows with inchikey_full, inchikey_skeleton, is_deleted, deleted_reason, is_mixture, parent_inchikey."""
     return {
-        "skeleton_is_prefix": F.left(key27, F.lit(14)) == key14, "deleted_has_reason": ~deleted | reason.isNotNull(),
-        "mixture_has_no_parent": ~mixture | parent.isNull(),
+        "skeleton_is_prefix": F.left("inchikey_full", F.lit(14)) == F.col("inchikey_skeleton"), "deleted_has_reason": ~F.col("is_deleted") | F.col("deleted_reason").isNotNull(),
+        "mixture_has_no_parent": ~F.col("is_mixture") | F.col("parent_inchikey").isNull(),
     }
 
 
-def descriptor_rules(exact: Column, average: Column, tpsa: Column, fsp3: Column) -> dict[str, Column]:
-    return {"masses_agree": F.abs(exact - average) < 0.5, "tpsa_not_negative": tpsa >= 0, "fsp3_is_fraction": fsp3.between(0, 1)}
+def descriptor_rules(columns: list[str]) -> dict[str, Column]:
+    """Ranges of the descriptors that the table has, and masses that agree to half a dalton."""
+    rules = within({k: v for k, v in DESCRIPTOR_RANGES.items() if k in columns})
+    return rules | ({"masses_agree": F.abs(F.col("exact_mass_g_mol") - F.col("mw_g_mol")) < 0.5} if {"exact_mass_g_mol", "mw_g_mol"} <= set(columns) else {})
 
 
-def likeness_rules(score: Column, violations_: Column, passed: Column) -> dict[str, Column]:
-    return {"score_in_set": score.isin(0.11, 0.17, 0.55, 0.56, 0.85), "pass_follows_violations": passed == (violations_ <= 1)}
+def likeness_rules() -> dict[str, Column]:
+    return within(LIKENESS_RANGES) | {
+        "bioavailability_in_set": F.col("bioavailability_score").isin(*BIOAVAILABILITY), "pass_follows_violations": F.col("lipinski_pass") == (F.col("lipinski_violations") <= 1),
+    }
 
 
-def measurement_rules(evidence: Column, status: Column, value: Column, loq: Column, endpoint: Column, ph: Column) -> dict[str, Column]:
-    return {
-        "never_predicted": evidence != "predicted", "measured_has_value": (status != "measured") | value.isNotNull(),
-        "below_loq_has_loq": (status != "below_loq") | loq.isNotNull(), "logd_has_ph": (endpoint != "logD") | ph.isNotNull(),
+def measurement_rules() -> dict[str, Column]:
+    """A predicted value is no measurement; what a status needs is there; the tier is one with a partition."""
+    status = F.col("measurement_status")
+    backed = F.when(status == "measured", F.col("canonical_value").isNotNull()).when(status.isin("below_loq", "above_loq"), F.col("loq_value").isNotNull()).otherwise(status.isin(*WITHOUT_VALUE))
+    return within(MEASUREMENT_RANGES) | {
+        "never_predicted": F.col("evidence_type") != "predicted", "status_is_backed": backed, "logd_has_ph": (F.col("endpoint_id") != "logd_74") | F.col("ph_reference").isNotNull(),
+        "deleted_has_reason": ~F.col("is_deleted") | F.col("deleted_reason").isNotNull(), "tier_has_partition": F.coalesce(F.col("license_tier").isin(*TIERS), F.lit(False)),
+        "unit_method_known": F.col("unit_verified_method").isin(*UNIT_METHODS),
     }
 
 
-def endpoint_rules(low: Column, high: Column, kind: Column, direction: Column, unit_state: Column) -> dict[str, Column]:
+def endpoint_rules() -> dict[str, Column]:
+    categorical = F.col("is_categorical")
     return {
-        "bounds_in_order": low <= high, "direction_where_needed": kind.isin("categorical", "physchem") | direction.isNotNull(),
-        "unit_state_known": unit_state.isin("unverified", "verified", "failed"),
+        "continuous_has_bounds": categorical | (F.col("expected_min").isNotNull() & F.col("expected_max").isNotNull()),
+        "direction_is_decided": categorical | F.col("higher_is_worse").isNotNull() | (F.col("endpoint_class") == "physicochemical"),
+        "unit_method_known": F.col("unit_verified_method").isin(*UNIT_METHODS),
     }
 
 
-def model_rules(commercial: Column, tiers: Column, regulatory: Column, validated: Column) -> dict[str, Column]:
-    return {"commercial_has_no_black": ~commercial | ~F.array_contains(tiers, "black"), "regulatory_is_validated": ~regulatory | validated}
+def model_rules() -> dict[str, Column]:
+    """Commercial use follows from the training tiers; a regulatory model is a validated one; its domain is defined."""
+    return {
+        "commercial_follows_tiers": F.col("is_commercial_ok") == ~F.array_contains("training_license_tiers", "black"),
+        "regulatory_is_validated": ~F.col("is_regulatory_ready") | F.col("is_validated"),
+    } | present("ad_definition", "artifact_sha256")
 
 
 def prediction_rules(low: Column, value: Column, high: Column) -> dict[str, Column]:

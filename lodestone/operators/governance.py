@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -192,3 +194,33 @@ def closure(edges: DataFrame, parent: str, child: str) -> DataFrame:
         if not further.limit(1).count():
             return paths
         paths, length = paths.unionByName(further).distinct(), 2 * length
+
+
+def shortest_paths(edges: DataFrame, source: str, target: str, kind: str, starts: DataFrame, hops: int | None = None) -> DataFrame:
+    """(start, node, hops, path, kinds) of every node that a start reaches over directed, typed edges, by a shortest
+    path: node identifiers and edge kinds as strings, from the start. hops bounds the paths' length.
+
+    starts: one column of identifiers. A frontier goes out one edge at a time; nodes that a start has reached
+    already aren't reached again, so cycles end by themselves and a start isn't its own node. Of equally short paths
+    the one whose nodes, then kinds, sort first is kept. Edges with a null end lead nowhere; a null kind is "".
+    """
+    e = edges.where(F.col(source).isNotNull() & F.col(target).isNotNull()).select(
+        F.col(source).cast("string").alias("_from"), F.col(target).cast("string").alias("_to"), F.coalesce(F.col(kind).cast("string"), F.lit("")).alias("_kind")
+    )
+    e = stored(e.groupBy("_from", "_to").agg(F.min("_kind").alias("_kind")))  # between two nodes the first kind
+    first = starts.select(F.col(starts.columns[0]).cast("string").alias("start")).where("start is not null").distinct()
+    none = F.array().cast("array<string>")
+    frontier = stored(first.select("start", F.col("start").alias("node"), F.lit(0).alias("hops"), F.array("start").alias("path"), none.alias("kinds")))
+    levels, at = [frontier], 0
+    while hops is None or at < hops:
+        at += 1
+        seen = reduce(DataFrame.unionByName, [x.select("start", "node") for x in levels])
+        step = frontier.join(e, F.col("node") == F.col("_from")).select(
+            "start", F.col("_to").alias("node"), F.lit(at).alias("hops"), F.concat("path", F.array("_to")).alias("path"), F.concat("kinds", F.array("_kind")).alias("kinds")
+        )
+        best = step.groupBy("start", "node", "hops").agg(F.min(F.struct("path", "kinds")).alias("_b")).select("start", "node", "hops", "_b.path", "_b.kinds")
+        frontier = stored(best.join(seen, ["start", "node"], "left_anti"), "frontier")
+        if not frontier.limit(1).count():
+            break
+        levels.append(frontier)
+    return reduce(DataFrame.unionByName, levels).where("hops > 0")
