@@ -236,3 +236,21 @@ def quality_score(parts: dict[str, Column]) -> Column:
     if set(parts) != set(QUALITY_WEIGHTS):
         raise ValueError(f"the components are {', '.join(QUALITY_WEIGHTS)}")
     return sum((F.coalesce(parts[k].cast("double"), F.lit(0.0)) * w for k, w in QUALITY_WEIGHTS.items()), F.lit(0.0))
+
+
+_ATOM = r"([A-Z][a-z]?)([0-9]*)"
+
+
+def elements(formula: Column) -> Column:
+    """map<element, atoms> of a molecular formula, a charge aside; an element that comes twice is summed. Empty for what
+    holds no element, null for null."""
+    plain = without_charge(formula)
+    names, numbers = F.regexp_extract_all(plain, F.lit(_ATOM), F.lit(1)), F.regexp_extract_all(plain, F.lit(_ATOM), F.lit(2))
+    atoms = F.zip_with(names, numbers, lambda e, n: F.struct(e.alias("e"), F.coalesce(F.when(n == "", 1).otherwise(n.try_cast("int")), F.lit(0)).alias("n")))
+    count = lambda e: F.aggregate(F.filter(atoms, lambda a: a["e"] == e), F.lit(0), lambda s, a: s + a["n"])
+    return F.map_from_entries(F.transform(F.array_distinct(names), lambda e: F.struct(e, count(e))))
+
+
+def unseen_elements(formula: Column, known: Column) -> Column:
+    """Elements of a formula that aren't among the known ones, sorted."""
+    return F.array_sort(F.array_except(F.map_keys(elements(formula)), known))

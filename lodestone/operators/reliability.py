@@ -32,6 +32,11 @@ def ad_verdict_without_scaffold(similarity: Column, distance: Column, distance_l
     return _verdict(similarity, signals, similarity.isNotNull() & distance.isNotNull() & distance_limit.isNotNull())
 
 
+def verdict_with_elements(verdict: Column, unseen: Column) -> Column:
+    """An element that the training rows never had forces a row out of the domain, whatever its signals."""
+    return F.when(F.size(F.coalesce(unseen, F.array().cast("array<string>"))) > 0, OUT).otherwise(verdict)
+
+
 def ad_rationale(similarity: Column, distance: Column, distance_limit: Column, scaffold_seen: Column) -> Column:
     """The signals that count against the row, in words."""
     return F.array_join(

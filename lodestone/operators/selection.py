@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators.metrics import running_sums
@@ -18,6 +18,14 @@ def must_match(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(right, keys)
 
 
+def looked_up(left: DataFrame, right: DataFrame, keys: list[str], defaults: dict) -> DataFrame:
+    """left with right's columns; where no row of right has the keys, and where its value is null, the default. Of
+    right's rows of a key, which is an error elsewhere, the one whose values sort first counts: left keeps its rows."""
+    values = [c for c in right.columns if c not in keys]
+    one = right.groupBy(*keys).agg(F.min(F.struct(*values)).alias("_one")).select(*keys, *[F.col("_one")[c].alias(c) for c in values])
+    return left.join(one, keys, "left").withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
+
+
 def without_mixtures(df: DataFrame, structure: str, mark: str = ".") -> tuple[DataFrame, DataFrame]:
     """Rows whose structure is one component, and one row with the number of the others."""
     mixture = F.coalesce(F.contains(F.col(structure), F.lit(mark)), F.lit(False))
@@ -85,3 +93,15 @@ def substructure_candidates(df: DataFrame, bits: str, query: Column, matches: Co
 def row_of(df: DataFrame, key: str, value) -> DataFrame:
     """The rows with a key: a filter that reaches the scan."""
     return df.where(F.col(key) == F.lit(value))
+
+
+def bit_examples(rows: DataFrame, key: str, bits: str, top: DataFrame, k: int = 2, seed: int = 42) -> DataFrame:
+    """top (bit, ...) with example (1 to k) and key: k rows that set the bit, the first in a hash order of the seed.
+
+    The map from bits to rows is made for top's bits alone, which are few; before anything is shuffled each task
+    keeps its own first k of a bit.
+    """
+    held = rows.select(key, F.explode(F.array_distinct(bits)).alias("bit")).join(F.broadcast(top.select("bit")), "bit")  # top is a report's rows
+    order = Window.partitionBy("bit").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key)
+    first = held.withColumn("example", F.row_number().over(order)).where(F.col("example") <= k)
+    return top.join(first, "bit", "left")

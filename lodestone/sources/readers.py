@@ -78,8 +78,10 @@ def read_model_registry(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def landed_digests(spark: SparkSession, path: str) -> DataFrame:
-    """path, length and SHA-256 of each file under a path."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    """path, length and SHA-256 of each file under a path; files of any size, read chunk by chunk."""
+    from lodestone.sources.landing import file_digests
+
+    return file_digests(spark, path)
 
 
 def digest_mismatches(spark: SparkSession, path: str, expected: DataFrame) -> DataFrame:

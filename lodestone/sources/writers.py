@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, MapType, StructType
 
 from lodestone.operators.governance import insert_absent
+from lodestone.session import stored
 from lodestone.sources.readers import landed_digests
 
 
@@ -41,6 +44,57 @@ def back_up(spark: SparkSession, source: str, target: str) -> bool:
     return content_digest(df).first() == content_digest(spark.read.parquet(target)).first()
 
 
+class RestoreRefused(ValueError):
+    """A copy that isn't what was recorded, or a target that is there already."""
+
+
+def _moved(spark: SparkSession, source: str, target: str) -> bool:
+    """Renames a folder, where it is there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    store = path(source).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(path(source)):
+        return False
+    if not store.rename(path(source), path(target)):
+        raise OSError(f"{source} can't be moved to {target}")
+    return True
+
+
+def restore(spark: SparkSession, copy: str, recorded: tuple[int, str], target: str, force: bool = False) -> int:
+    """Puts a copy back, if its rows and digest are the recorded ones (as content_digest gives them), and says how
+    many rows there are. A target that is there is an error; with force it is kept as `<target>.pre-restore`.
+    """
+    df = spark.read.parquet(copy)
+    if tuple(content_digest(df).first()) != tuple(recorded):
+        raise RestoreRefused(f"{copy} isn't what was recorded")
+    fresh = f"{target}.{uuid.uuid4().hex}"
+    write_once(df, fresh)
+    if tuple(content_digest(spark.read.parquet(fresh)).first()) != tuple(recorded):
+        raise RestoreRefused("what was written differs from the copy")
+    _swapped(spark, fresh, target, f"{target}.pre-restore", force)
+    return recorded[0]
+
+
+def _swapped(spark: SparkSession, fresh: str, target: str, earlier: str, force: bool) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    store = path(target).getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.exists(path(target)):
+        if not force:
+            store.delete(path(fresh), True)
+            raise RestoreRefused(f"{target} is there already")
+        store.delete(path(earlier), True)
+        _moved(spark, target, earlier)
+    _moved(spark, fresh, target)
+
+
+def replace(df: DataFrame, path: str) -> DataFrame:
+    """Writes df beside the table at path and puts it in the table's place, so df may be made from that table; the
+    table before stays as `<path>.before`. Returns the table as it is then."""
+    spark, fresh = df.sparkSession, f"{path}.{uuid.uuid4().hex}"
+    write_once(df, fresh)
+    _swapped(spark, fresh, path, f"{path}.before", True)
+    return spark.read.parquet(path)
+
+
 def append_absent(df: DataFrame, path: str, keys: list[str]) -> int:
     """Appends the rows whose keys the table lacks; repeated runs add nothing. Returns how many were added."""
     spark = df.sparkSession
@@ -76,8 +130,9 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 def fan_out(df: DataFrame, base: str, targets: dict[str, list[str]], required: dict[str, str], tier: str) -> dict[str, int]:
     """One processed table into several: target -> columns; rows with a null required column only go
-    to the targets that don't require it. Partitioned by licence tier; returns the rows written."""
-    counts = {}
+    to the targets that don't require it. Partitioned by licence tier; returns the rows written. The input is evaluated
+    once, into a table that the targets are read from."""
+    counts, df = {}, stored(df, "fan-out")
     for name, columns in targets.items():
         part = df.where(F.col(required[name]).isNotNull()) if name in required else df
         seen = Observation()

@@ -167,7 +167,8 @@ def test_units(spark):
     assert not units.verify_skewness(skewed, ["k"], "v").first().passed and units.verify_skewness(skewed, ["k"], "v", log_scale=False).first().passed
     assert units.verify_skewness(skewed.limit(2), ["k"], "v").first().error
     refs = spark.createDataFrame([("good", 10.0, 50.0), ("flipped", 5.0, -5.0)], "n string, e double, o double")
-    assert tuple(units.verify_references(refs, "n", "e", "o").first()) == (2, False, "flipped")
+    assert tuple(units.verify_references(refs, "e", "o").first()) == (2, False, 1)
+    assert [r.n for r in units.failed_references(refs, "n", "e", "o").collect()] == ["flipped"]
 
 
 def test_likeness_boundaries(spark):
