@@ -199,4 +199,4 @@ def weighted_quality(spark, d):
         "curation": (c("l_linenumber") % 5) / 4, "assay_confidence": (c("l_partkey") % 10) / 9, "replication": c("l_quantity") / 50,
         "concordance": F.when(c("l_suppkey") % 2 == 0, 0.5).otherwise(1.0), "guideline": c("l_discount") * 10, "provenance": c("l_tax") * 12,
     }
-    return table(spark, d, "lineitem").select((c("l_orderkey") * 10 + c("l_linenumber")).alias("id"), F.round(scalars.quality_score(parts), 6).alias("quality_score"))
+    return table(spark, d, "lineitem").select((c("l_orderkey") * 10 + c("l_linenumber")).alias("id"), F.round(scalars.composite_quality(parts), 6).alias("quality_score"))

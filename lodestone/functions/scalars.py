@@ -231,7 +231,7 @@ def filled(value: Column) -> Column:
 QUALITY_WEIGHTS = {"curation": 0.25, "assay_confidence": 0.20, "replication": 0.15, "concordance": 0.15, "guideline": 0.15, "provenance": 0.10}
 
 
-def quality_score(parts: dict[str, Column]) -> Column:
+def composite_quality(parts: dict[str, Column]) -> Column:
     """The weighted sum of six components between 0 and 1; one that is null counts as 0."""
     if set(parts) != set(QUALITY_WEIGHTS):
         raise ValueError(f"the components are {', '.join(QUALITY_WEIGHTS)}")

@@ -86,6 +86,14 @@ class Outcome(NamedTuple):
     balanced_accuracy: float
 
 
+def slim(model):
+    """The model without its training summary. The summary holds the session, and a session in which anything was
+    observed can't be serialised, so that a model with one could no longer score: tasks get the whole model."""
+    if getattr(model, "hasSummary", False):
+        model._java_obj.setSummary(SparkSession.active()._jvm.scala.Option.apply(None))
+    return model
+
+
 def probability(model, df: DataFrame, out: str = "p") -> DataFrame:
     return model.transform(df).withColumn(out, vector_to_array("probability")[1])
 
@@ -97,4 +105,4 @@ def judged(model, df: DataFrame, label: str) -> Outcome:
 
 def outcomes(spark: SparkSession, fits: dict[str, Fit], at_once: int = AT_ONCE) -> dict[str, Outcome]:
     """Each fit's model and its measures on its test rows."""
-    return side_by_side(spark, {k: lambda f=f: judged(f.estimator.fit(f.train), f.test, f.label) for k, f in fits.items()}, at_once)
+    return side_by_side(spark, {k: lambda f=f: judged(slim(f.estimator.fit(f.train)), f.test, f.label) for k, f in fits.items()}, at_once)

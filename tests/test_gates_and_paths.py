@@ -93,7 +93,7 @@ def test_shortest_paths_with_cycles(spark, hops):
 def test_quality_weights_sum_to_one(spark):
     assert sum(scalars.QUALITY_WEIGHTS.values()) == pytest.approx(1)
     parts = {k: F.lit(1.0) for k in scalars.QUALITY_WEIGHTS}
-    assert spark.range(1).select(scalars.quality_score(parts)).first()[0] == pytest.approx(1)
-    assert spark.range(1).select(scalars.quality_score(parts | {"curation": F.lit(None)})).first()[0] == pytest.approx(0.75)
+    assert spark.range(1).select(scalars.composite_quality(parts)).first()[0] == pytest.approx(1)
+    assert spark.range(1).select(scalars.composite_quality(parts | {"curation": F.lit(None)})).first()[0] == pytest.approx(0.75)
     with pytest.raises(ValueError):
-        scalars.quality_score({"curation": F.lit(1)})
+        scalars.composite_quality({"curation": F.lit(1)})

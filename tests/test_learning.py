@@ -6,6 +6,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from lodestone.operators import fits, metrics, ml
@@ -64,6 +65,16 @@ def test_balanced_weights(rows):
     assert sums[0][1] == pytest.approx(140) and sums[1][1] == pytest.approx(140)
 
 
+def test_models_score_after_an_observation(spark, rows):
+    """A session in which something was observed can't be serialised; models mustn't hold it."""
+    seen = Observation()
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).write.format("noop").mode("overwrite").save()
+    assert seen.get["n"] == 3
+    lr = ml.candidates("y", "weight")["lr"]
+    found = fits.outcomes(spark, {"forest": fits.Fit(small(), weighed(rows, TRAIN), rows.where(TEST), "y"), "lr": fits.Fit(lr, weighed(rows, TRAIN), rows.where(TEST), "y")})
+    assert all(o.auc > 0.85 for o in found.values())
+
+
 def test_champion_and_its_scrambling(spark, rows):
     models = ml.candidates("y", "weight", trees=(5, 8), depths=(4,), rounds=5)
     name, found = ml.select_champion(weighed(rows, TRAIN), rows.where(VALID), "y", models)
