@@ -145,7 +145,12 @@ def secret_spans(
 
 
 def secret_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner=None, repository=None) -> DataFrame:
-    """Per row of df: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example."""
+    """Per row of df: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example.
+
+    Rows that repeat an identifier, or are alike throughout, are rows of their own. Spans that start together are in
+    the order of their kinds. A null owner, or repository, is one of its own. Columns other than those named aren't
+    read, so theirs can't clash. An empty table gives no rows.
+    """
     rows, spans = secret_spans(df, id_col, text_col, owner, repository)
     item = F.struct("start", "rank", F.concat_ws(":", "kind", F.col("start").cast("string"), F.col("end").cast("string")).alias("at"))
     joined = lambda items: F.array_join(F.transform(F.array_sort(items), lambda x: x["at"]), ",")

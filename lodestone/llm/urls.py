@@ -96,7 +96,9 @@ def judged(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=R
 
     A null URL counts as empty; its host and path are empty. Where no rule fits, the trees' score
     (probability of block) decides at 0.5. With no labelled URL at all the verdict is allow and the
-    score 0; with labels of one kind that kind is the verdict. An empty table gives no rows.
+    score 0; with labels of one kind that kind is the verdict. An empty table gives no rows. Repeated identifiers
+    and URLs are rows of their own, and URLs alike have one verdict. Other columns aren't read, so theirs can't
+    clash.
     """
     url = F.coalesce(F.col(url_col), F.lit(""))
     rows = df.select(F.col(id_col).alias("page_id"), url.alias("_url"), host_of(url).alias("host"), path_of(url).alias("path"))
