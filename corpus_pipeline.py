@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir), reads all that its predecessor kept and returns the columns
 of documents; the last returns the pieces of packed sequences. A table of the shared folder lies
 between two stages.
+
+Null texts count as empty and are rejected by the first stage. Null identifiers come first where the smallest stays;
+rows that repeat one are told apart by their texts, and of rows alike throughout one stays in exact_duplicates.
+Columns of any name travel along. Empty tables, of documents or after a stage, give no rows.
 """
 
 from __future__ import annotations
