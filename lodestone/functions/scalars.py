@@ -176,13 +176,15 @@ def looks_like_structure(word: Column) -> Column:
     )
 
 
+#: The codes of the acceptance rules, in the order in which they are asked.
+REJECTIONS = ("EMPTY_INPUT", "INPUT_TOO_LONG", "WILDCARD_ATOM", "MIXTURE", "NO_DESCRIPTORS", "TOO_HEAVY")
+
+
 def rejection_reason(structure: Column, is_mixture: Column, has_descriptors: Column, weight: Column, longest: int = 5000, heaviest: float = 2000.0) -> Column:
     """The first acceptance rule that fails, else null."""
     blank = structure.isNull() | (F.trim(structure) == "")
-    return (
-        F.when(blank, "EMPTY_INPUT").when(F.length(structure) > longest, "INPUT_TOO_LONG").when(F.contains(structure, F.lit("*")), "WILDCARD_ATOM")
-        .when(is_mixture, "MIXTURE").when(~has_descriptors, "NO_DESCRIPTORS").when(weight > heaviest, "TOO_HEAVY")
-    )
+    fails = (blank, F.length(structure) > longest, F.contains(structure, F.lit("*")), is_mixture, ~has_descriptors, weight > heaviest)
+    return F.coalesce(*[F.when(failed, code) for failed, code in zip(fails, REJECTIONS)])
 
 
 #: Keywords by assay paradigm, tried in order.

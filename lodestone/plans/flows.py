@@ -34,6 +34,10 @@ def exclusion_report(df: DataFrame, usable: Column, keys: list[str], value: str)
     )
 
 
+#: The warnings of a prediction, in the order in which they are given.
+WARNINGS = ("undefined_stereochemistry", "out_of_domain", "borderline_domain", "applicability_domain_undeterminable", "conformal_set_ambiguous", "small_training_set")
+
+
 def envelope(scored: DataFrame, p: str, p_one: str, p_zero: str, verdict: str, status: str, stereo: Column | None = None) -> DataFrame:
     """Predictions with their set, label and warnings; rows of models that may not be served go.
 
@@ -43,14 +47,9 @@ def envelope(scored: DataFrame, p: str, p_one: str, p_zero: str, verdict: str, s
     chosen = prediction_set(F.col(p_one), F.col(p_zero))
     out = scored.where(F.col(status).isin(*SERVABLE)).withColumn("prediction_set", chosen)
     stereo = F.lit("defined") if stereo is None else stereo
-    warnings = F.array_compact(
-        F.array(
-            F.when(stereo.isin("undefined", "partially_defined"), "undefined_stereochemistry"),
-            F.when(F.col(verdict) == OUT, "out_of_domain"), F.when(F.col(verdict) == BORDER, "borderline_domain"),
-            F.when(F.col(verdict) == UNKNOWN, "applicability_domain_undeterminable"),
-            F.when(F.size("prediction_set") != 1, "conformal_set_ambiguous"), F.lit("small_training_set"),
-        )
-    )
+    v = F.col(verdict)
+    given = (stereo.isin("undefined", "partially_defined"), v == OUT, v == BORDER, v == UNKNOWN, F.size("prediction_set") != 1, F.lit(True))
+    warnings = F.array_compact(F.array(*[F.when(condition, code) for condition, code in zip(given, WARNINGS)]))
     return out.withColumn("predicted", (F.col(p) >= 0.5).cast("int")).withColumn("warnings", warnings)
 
 
