@@ -21,6 +21,6 @@ def query(sql: str | None = None):
 
 
 def load() -> tuple[dict[str, Callable], dict[str, str]]:
-    from lodestone.catalog import checks, data, flows, models, records, rules  # noqa: F401
+    from lodestone.catalog import checks, data, flows, intake, models, records, rules  # noqa: F401
 
     return dict(QUERIES), dict(SQL)

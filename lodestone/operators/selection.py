@@ -69,6 +69,12 @@ def pool_union(**pools: DataFrame) -> DataFrame:
     return out
 
 
+def paired(left: Column, right: Column) -> Column:
+    """Two arrays as one of struct<left, right> by position; arrays of unequal length, or null ones, are an error."""
+    both = F.zip_with(left, right, lambda a, b: F.struct(a.alias("left"), b.alias("right")))
+    return F.when(F.size(left) == F.size(right), both).otherwise(F.raise_error(F.lit("arrays of unequal length can't be paired")))
+
+
 def month_bounds(day: Column) -> Column:
     """struct<first, next>: the first day of the day's month and of the month after."""
     first = F.trunc(day, "month")

@@ -67,9 +67,21 @@ def cross_species(organism: Column, cell_type: Column, confidence: Column, flagg
 
 
 def started_run(run: Column, at: Column) -> Column:
-    return F.struct(run.alias("run_id"), F.lit("started").alias("state"), at.alias("at"))
+    return F.struct(run.alias("run_id"), F.lit("started").alias("state"), at.alias("at"), F.lit(None).cast("long").alias("parsed"), F.lit(None).cast("long").alias("imported"))
 
 
 def completed_run(run: Column, at: Column, parsed: Column, imported: Column) -> Column:
     """An event of its own: the latest event of a run is its state."""
-    return F.struct(run.alias("run_id"), F.lit("completed").alias("state"), at.alias("at"), parsed.alias("parsed"), imported.alias("imported"))
+    return F.struct(run.alias("run_id"), F.lit("completed").alias("state"), at.alias("at"), parsed.cast("long").alias("parsed"), imported.cast("long").alias("imported"))
+
+
+def run_status(events: DataFrame) -> DataFrame:
+    """Per run of started_run's and completed_run's events, and of others in their form: started_at, completed_at,
+    state (the latest event's; of several at one time the one that comes last by name), parsed and imported of the
+    latest completion. Partial aggregates only."""
+    done = F.col("state") == "completed"
+    latest = lambda c: F.max(F.when(done, F.struct("at", "parsed", "imported")))[c]
+    return events.groupBy("run_id").agg(
+        F.min(F.when(F.col("state") == "started", F.col("at"))).alias("started_at"), latest("at").alias("completed_at"),
+        F.max(F.struct("at", "state"))["state"].alias("state"), latest("parsed").alias("parsed"), latest("imported").alias("imported"),
+    )

@@ -13,6 +13,7 @@ import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -30,9 +31,11 @@ class LandingRefused(Exception):
 
 
 def place(uri: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a URI as Spark writes it, and the path there."""
+    """The file system of a URI as Spark writes it, with no escapes in its path, and the path there."""
     head, sep, tail = uri.partition(":/")
-    return fs.FileSystem.from_uri(f"{head}:///{tail.lstrip('/')}" if sep and head == "file" else uri)
+    if not sep:
+        return fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri(f"file:///{quote(tail.lstrip('/'))}" if head == "file" else f"{head}:/{quote(tail, safe='/:@')}")
 
 
 def _checked(key: str) -> str:
@@ -169,3 +172,15 @@ def file_digests(spark: SparkSession, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(lengths, pa.int64()), pa.array(digests)], names=["path", "length", "sha256"])
 
     return files.mapInArrow(run, "path string, length long, sha256 string")
+
+
+def audited(spark: SparkSession, folder: str, expected: DataFrame) -> DataFrame:
+    """(key, sha256, found, fault) of objects that aren't as recorded: missing, changed, or unrecorded.
+
+    expected: key and sha256, in letters of either case; a recorded object without a digest has to be there, no more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    root = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    found = file_digests(spark, folder).select(F.substr("path", F.lit(len(root) + 2)).alias("key"), F.col("sha256").alias("found"))
+    both = expected.select("key", F.lower("sha256").alias("sha256"), F.lit(True).alias("_recorded")).join(found, "key", "full")
+    fault = F.when(F.col("_recorded").isNull(), "unrecorded").when(F.col("found").isNull(), "missing").when(F.col("sha256") != F.col("found"), "changed")
+    return both.select("key", "sha256", "found", fault.alias("fault")).where("fault is not null")

@@ -32,16 +32,26 @@ def read_screening_csv(spark: SparkSession, path: str, columns: list[str], tag:
     return raw.where(F.expr(f"try_cast(`{tag}` as bigint)").isNotNull()).withColumn(number, F.expr(f"try_cast(`{number}` as double)"))
 
 
-def usable_activities(raw: DataFrame, flags: tuple[str, ...]) -> DataFrame:
-    """Rows with an identifier, a structure, an exact relation and a value, whose validity comment
-    isn't one of the flags; a missing comment is fine."""
-    some = lambda c: F.col(c).isNotNull() & (F.col(c) != "")
-    return raw.where(
-        some("molecule_id") & some("structure") & some("standard_value") & (F.col("standard_relation") == "=")
-        & ~F.coalesce("validity_comment", F.lit("")).isin(*flags)
+def activity_fault(flags: tuple[str, ...]) -> Column:
+    """Why a raw activity can't be used, the first reason that holds, or null: no identifier, no structure, no value, a
+    relation other than "=", a validity comment that is one of the flags. A missing comment is fine."""
+    none = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    return (
+        F.when(none("molecule_id"), "no_molecule").when(none("structure"), "no_structure").when(none("standard_value"), "no_value")
+        .when(~F.col("standard_relation").eqNullSafe("="), "censored").when(F.coalesce("validity_comment", F.lit("")).isin(*flags), "flagged")
     )
 
 
+def usable_activities(raw: DataFrame, flags: tuple[str, ...]) -> DataFrame:
+    """Rows that nothing is held against."""
+    return raw.where(activity_fault(flags).isNull())
+
+
+def activity_drops(raw: DataFrame, flags: tuple[str, ...]) -> DataFrame:
+    """(fault, n) of the rows that usable_activities leaves out."""
+    return raw.select(activity_fault(flags).alias("fault")).where("fault is not null").groupBy("fault").agg(F.count(F.lit(1)).alias("n"))
+
+
 def external_label(outcome: Column, potency: Column, threshold: float) -> Column:
     """Null (dropped) if inconclusive or unknown; inactive without potency is 0; else by threshold."""
     return (
@@ -50,12 +60,22 @@ def external_label(outcome: Column, potency: Column, threshold: float) -> Column
     )
 
 
-def load_registry(spark: SparkSession, path: str) -> DataFrame:
-    """A YAML registry of sources as rows: source_id and its licence. Read where the driver is."""
+def external_rows(df: DataFrame, outcome: str, potency: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Rows with their label, and (outcome, n) of those that have none."""
+    labelled = df.withColumn("label", external_label(F.col(outcome), F.col(potency), threshold))
+    return labelled.where("label is not null"), labelled.where("label is null").groupBy(outcome).agg(F.count(F.lit(1)).alias("n"))
+
+
+def read_yaml(spark: SparkSession, path: str):
+    """A YAML document of any file system that Spark reads; a registry written by hand fits the driver."""
     import yaml
 
-    with open(path, encoding="utf-8") as f:
-        doc = yaml.safe_load(f)
+    return yaml.safe_load(spark.read.text(path, wholetext=True).first()[0])
+
+
+def load_registry(spark: SparkSession, path: str) -> DataFrame:
+    """A YAML registry of sources as rows: source_id and its licence."""
+    doc = read_yaml(spark, path)
     if not isinstance(doc, dict) or "sources" not in doc:
         raise ValueError("a registry is a mapping with the key sources")
     rows = []
@@ -160,10 +180,7 @@ def read_split(spark: SparkSession, path: str, group: str, groups: list[int], co
 
 def load_license_blocks(spark: SparkSession, path: str) -> DataFrame:
     """A YAML registry's licence blocks of every kind, one row each, as license_audit() takes them."""
-    import yaml
-
-    with open(path, encoding="utf-8") as f:
-        doc = yaml.safe_load(f)
+    doc = read_yaml(spark, path)
     rows = []
 
     def add(source, context, kind, lic, *, entry=None):
