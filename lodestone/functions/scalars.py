@@ -62,10 +62,20 @@ def parse_public_id(value: Column) -> Column:
     return F.when(value.rlike(form), parts)
 
 
-def snapshot_id(version: Column, day: Column, sha: Column) -> Column:
-    """version__YYYY-MM-DD__first 12 of the digest; null where version holds "__" or the digest is short."""
-    ok = ~F.contains(version, F.lit("__")) & (F.length(sha) >= 12)
-    return F.when(ok, F.concat_ws("__", version, F.date_format(day, "yyyy-MM-dd"), F.substr(sha, F.lit(1), F.lit(12))))
+def _demanded(ok: Column, value: Column, strict: bool, message: str, *shown: Column) -> Column:
+    """value where ok holds; else null, or with strict an error that shows what was given."""
+    if not strict:
+        return F.when(ok, value)
+    given = F.concat_ws(", ", *[F.coalesce(c.cast("string"), F.lit("null")) for c in shown])
+    return F.when(ok, value).otherwise(F.raise_error(F.concat(F.lit(message + ": "), given)))
+
+
+def snapshot_id(version: Column, day: Column, sha: Column, strict: bool = False) -> Column:
+    """version__YYYY-MM-DD__first 12 of the digest; where version holds "__", the digest is short or a part is null:
+    null, or with strict an error."""
+    ok = ~F.contains(version, F.lit("__")) & (F.length(sha) >= 12) & day.isNotNull()
+    value = F.concat_ws("__", version, F.date_format(day, "yyyy-MM-dd"), F.substr(sha, F.lit(1), F.lit(12)))
+    return _demanded(ok, value, strict, "not the parts of a snapshot's identifier", version, day, sha)
 
 
 def parse_snapshot_id(value: Column) -> Column:
@@ -74,13 +84,13 @@ def parse_snapshot_id(value: Column) -> Column:
     return F.when(value.rlike(form), F.struct(*[F.regexp_extract(value, form, i + 1).alias(n) for i, n in enumerate(names)]))
 
 
-def landing_key(tier: Column, source: Column, snapshot: Column, file: Column) -> Column:
-    """tier/source/snapshot/file; null where a part holds a slash or is empty."""
+def landing_key(tier: Column, source: Column, snapshot: Column, file: Column, strict: bool = False) -> Column:
+    """tier/source/snapshot/file; where a part holds a slash, is empty or null: null, or with strict an error."""
     parts = [tier, source, snapshot, file]
     ok = F.lit(True)
     for p in parts:
         ok = ok & (p != "") & ~F.contains(p, F.lit("/"))
-    return F.when(ok, F.concat_ws("/", *parts))
+    return _demanded(ok, F.concat_ws("/", *parts), strict, "not the parts of a landing key", *parts)
 
 
 def feature_set_id(version: Column, toolchain: Column, names: Column) -> Column:

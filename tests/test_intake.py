@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.catalog import load
+from lodestone.functions import scalars
 from lodestone.operators import constraints, profile, selection
 from lodestone.plans import flows
 from lodestone.sources import landing, readers
@@ -71,6 +72,20 @@ def test_pairs_need_equal_lengths(spark):
             spark.createDataFrame([bad], "x array<int>, y array<string>").select(selection.paired(F.col("x"), F.col("y"))).collect()
 
 
+def test_identifiers_are_null_or_an_error_where_a_part_is_wrong(spark):
+    sha, day = "0123456789abcdef", dt.date(2024, 2, 29)
+    c = F.col
+    made = lambda rows, strict: [tuple(r) for r in spark.createDataFrame(rows, "v string, d date, s string, f string").select(
+        scalars.snapshot_id(c("v"), c("d"), c("s"), strict), scalars.landing_key(F.lit("green"), c("v"), c("s"), c("f"), strict)).collect()]
+    good = ("r_1", day, sha, "a.csv")
+    assert made([good], True) == made([good], False) == [("r_1__2024-02-29__0123456789ab", f"green/r_1/{sha}/a.csv")]
+    wrong = [("r__1", day, sha, "a"), ("r", day, "0123", "a"), ("r", None, sha, "a"), (None, day, sha, "a"), ("r", day, sha, "a/b"), ("r", day, sha, ""), ("r", day, sha, None)]
+    assert all(None in r for r in made(wrong, False))
+    for row in wrong:
+        with pytest.raises(Exception, match="not the parts of a"):
+            made([row], True)
+
+
 def test_report_has_a_line_for_each_row_set_aside(spark):
     rows = [(1, None, ["salt"], 1.25, "g"), (2, None, [], 2.5, "g"), (3, "bad", ["salt"], 99.0, "g"), (4, None, None, None, None), (5, None, ["salt", "mix"], 3.0, "h"), (None, "worse", [], 1.0, "h")]
     df = spark.createDataFrame(rows, "id int, error string, flags array<string>, mass double, key string")
