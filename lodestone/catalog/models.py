@@ -54,13 +54,14 @@ def evidence_neighbours(spark, d):
     return rounded(similarity.neighbours(q, index, "vec_id", "bits", 3), "similarity")
 
 
-_SIGNS = "list_transform(embedding, lambda x: x > 0)"
-
-
-@query(f"""SELECT count(*) AS queries, count(*) FILTER ({_SIGNS} IN (SELECT {_SIGNS} FROM embeddings WHERE vec_id % 3 <> 0)) AS collisions FROM embeddings WHERE vec_id % 3 = 0""")
+@query("""WITH v AS (SELECT vec_id, embedding, list_transform(embedding, lambda x: x > 0) AS signs FROM embeddings),
+e AS (SELECT embedding, count(*) AS n FROM v WHERE vec_id % 3 <> 0 GROUP BY 1), b AS (SELECT signs, count(*) AS n FROM v WHERE vec_id % 3 <> 0 GROUP BY 1)
+SELECT vec_id, coalesce(e.n, 0) AS same_vector, coalesce(b.n, 0) AS same_bits
+FROM v LEFT JOIN e ON v.embedding = e.embedding LEFT JOIN b ON v.signs = b.signs WHERE vec_id % 3 = 0""")
 def exact_vector_collisions(spark, d):
-    """Queries whose whole bit vector a reference has too."""
-    return similarity.exact_collisions(*vectors(spark, d), "bits")
+    """Each query, and how many references have all its numbers, and all their signs."""
+    q, r = (df.withColumn("signs", F.transform("embedding", lambda x: x > 0)) for df in vectors(spark, d))
+    return similarity.same_keys(q, r, "vec_id", {"same_vector": "embedding", "same_bits": "signs"})
 
 
 _STATS = "s AS (SELECT i, avg(x) AS mean, CASE WHEN stddev_pop(x) = 0 THEN 1 ELSE stddev_pop(x) END AS sd FROM (SELECT generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE vec_id % 3 <> 0) GROUP BY i)"

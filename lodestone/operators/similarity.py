@@ -48,6 +48,25 @@ def exact_collisions(queries: DataFrame, references: DataFrame, bits: str) -> Da
     return q.join(r, "_key", "left").agg(F.count(F.lit(1)).alias("queries"), F.count_if(F.coalesce("_hit", F.lit(False))).alias("collisions"))
 
 
+def same_keys(queries: DataFrame, references: DataFrame, query_id: str, keys: dict[str, str]) -> DataFrame:
+    """Each row of queries by its id, and by the names in keys how many references have an equal value of that column.
+
+    Values are compared whole. A null is equal to none; nulls within an array are alike. References are counted
+    before they meet the queries, and a value of many queries is met in parts of about BLOCK_ROWS of them.
+    """
+    own = F.pmod(F.xxhash64(query_id), F.coalesce("_parts", F.lit(1))).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
+    q = queries.select(query_id, *keys.values())
+    for name, key in keys.items():
+        hashed = F.xxhash64(key).alias("_hash")
+        parts = queries.groupBy(hashed).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("_parts")).where("_parts > 1")
+        counts = references.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(name))
+        placed = counts.withColumn("_hash", hashed).join(F.broadcast(parts), "_hash", "left").select(key, name, every.alias("_part"))
+        dealt = q.withColumn("_hash", hashed).join(F.broadcast(parts), "_hash", "left").withColumn("_part", own).drop("_hash", "_parts")
+        q = dealt.join(placed, [key, "_part"], "left").drop(key, "_part").withColumn(name, F.coalesce(name, F.lit(0)))
+    return q
+
+
 def in_cells(asking: DataFrame, answering: DataFrame, meet: Callable, schema: str) -> DataFrame:
     """meet(rows of asking, rows of answering) -> frame, for both sides' rows of a cell, in blocks.
 

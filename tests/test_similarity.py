@@ -86,3 +86,24 @@ def test_collisions_are_of_whole_vectors(spark):
     q = spark.createDataFrame([(1, [0, 3, 99]), (2, [0, 3]), (3, []), (4, [0, 3, 99])], "id long, bits array<int>")
     r = spark.createDataFrame([(9, [0, 3, 99]), (8, [0, 3, 98]), (7, [0, 3, 99])], "id long, bits array<int>")
     assert tuple(similarity.exact_collisions(q, r, "bits").first()) == (4, 2)
+
+
+def test_collisions_name_each_query_and_compare_whole_numbers(spark, folder, monkeypatch):
+    import duckdb
+
+    from lodestone import catalog
+
+    rows = {1: [1.0, -2.0], 2: [3.0, -4.0], 3: [1.0, -2.0], 4: [3.0, -4.0], 6: [9.0, -9.0], 9: [-1.0, 2.0], 7: [0.0, 1.0], 12: [-0.0, 1.0], 15: None, 16: None, 18: [None, 1.0], 19: [None, 1.0], 21: [], 22: [1.0]}
+    rows |= {300 + 3 * i: [3.0, -4.0] for i in range(40)} | {600 + 3 * i: [0.0 if i % 2 else -0.0, 1.0] for i in range(20)}  # common vectors
+    spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{folder}/embeddings.parquet")
+    found, sql = catalog.load()
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 7)
+    got = {r.vec_id: (r.same_vector, r.same_bits) for r in found["exact_vector_collisions"](spark, folder).collect()}
+    want = {3: (1, 3), 6: (0, 3), 9: (0, 1), 12: (1, 1), 15: (0, 0), 18: (1, 1), 21: (0, 0)}
+    want |= {300 + 3 * i: (2, 3) for i in range(40)} | {600 + 3 * i: (1, 1) for i in range(20)}
+    assert got == want
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet/*.parquet'")
+    assert {i: (v, b) for i, v, b in db.execute(sql["exact_vector_collisions"]).fetchall()} == want
+    colliding = db.execute("SELECT vec_id FROM embeddings WHERE vec_id % 3 = 0 AND embedding IN (SELECT embedding FROM embeddings WHERE vec_id % 3 <> 0)")
+    assert {i for (i,) in colliding.fetchall()} == {i for i, (n, _) in got.items() if n}
