@@ -41,3 +41,9 @@ def failed_references(df: DataFrame, name: str, expected: str, observed: str, to
     """A row for each reference that isn't near its expected value."""
     gap = reference_gap(F.col(expected), F.col(observed))
     return df.where(gap > tolerance).select(name, F.col(expected).cast("double").alias("expected"), F.col(observed).cast("double").alias("observed"), gap.alias("gap"))
+
+
+def reference_report(df: DataFrame, name: str, expected: str, observed: str, tolerance: float = 1.0) -> DataFrame:
+    """The totals of verify_references beside each reference that failed; if none did, one row of totals alone."""
+    totals = F.broadcast(verify_references(df, expected, observed, tolerance))
+    return totals.join(failed_references(df, name, expected, observed, tolerance), F.lit(True), "left")

@@ -171,6 +171,25 @@ def test_units(spark):
     assert [r.n for r in units.failed_references(refs, "n", "e", "o").collect()] == ["flipped"]
 
 
+def test_reference_verdict_names_its_failures(spark, folder):
+    import duckdb
+
+    from lodestone import catalog
+
+    found, sql = catalog.load()
+    accounts = {"some": [("a", 5000.0), ("c", 400.0), ("b", -5.0), ("d", None), (None, 0.0), ("c", 499.0), ("e", 500.0), ("f", 50000.0)], "none": [("a", 5000.0), ("b", 501.0)], "empty": []}
+    want = {"some": (8, False, 4, ["b", "c", "c", None]), "none": (2, True, 0, [None]), "empty": (0, None, 0, [None])}
+    for case, rows in accounts.items():
+        spark.createDataFrame(rows, "s_name string, s_acctbal double").coalesce(1).write.parquet(f"{folder}/{case}/supplier.parquet")
+        got = found["unit_reference"](spark, f"{folder}/{case}")
+        assert got.columns == ["n", "passed", "failures", "s_name", "expected", "observed", "gap"]
+        got = sorted(map(tuple, got.collect()), key=repr)
+        assert {r[:3] for r in got} == {want[case][:3]} and sorted((r[3] for r in got), key=lambda n: (n is None, n)) == want[case][3]
+        db = duckdb.connect()
+        db.execute(f"CREATE VIEW supplier AS SELECT * FROM '{folder}/{case}/supplier.parquet/*.parquet'")
+        assert sorted(db.execute(sql["unit_reference"]).fetchall(), key=repr) == got
+
+
 def test_likeness_boundaries(spark):
     row = {"mw": 500.0, "logp": 5.0, "tpsa": 140.0, "mr": 40.0, "hbd": 5, "hba": 10, "rotb": 10, "heavy_atoms": 20, "ring_count": 7, "heteroatoms": 2, "carbons": 5, "logd": None}
     df = spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} {'int' if isinstance(v, int) else 'double'}" for k, v in row.items()))
