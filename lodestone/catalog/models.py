@@ -326,9 +326,9 @@ def weighed(rows: DataFrame, part) -> DataFrame:
     return learn.withColumn("weight", fits.balanced(learn, "y"))
 
 
-def best_forest(rows: DataFrame) -> tuple[int, int, object]:
-    """Trees and depth of the forest with the largest validation area, and its model."""
-    name, found = ml.select_champion(weighed(rows, TRAIN), rows.where(VALID), "y", ml.forests("y", "weight"))
+def best_forest(rows: DataFrame, also: DataFrame | None = None) -> tuple[int, int, object]:
+    """Trees and depth of the forest with the largest validation area, and its model, which can score the rows of also."""
+    name, found = ml.select_champion(weighed(rows, TRAIN), rows.where(VALID), "y", ml.forests("y", "weight"), also)
     return (*map(int, name.split("_")[1:]), found[name].model)
 
 
@@ -336,7 +336,7 @@ def best_forest(rows: DataFrame) -> tuple[int, int, object]:
 def train_champion(spark, d):
     """Every candidate's validation area, and the champion's on the test rows."""
     rows = learning(spark, d)
-    name, found = ml.select_champion(weighed(rows, TRAIN), rows.where(VALID), "y", ml.candidates("y", "weight"))
+    name, found = ml.select_champion(weighed(rows, TRAIN), rows.where(VALID), "y", ml.candidates("y", "weight"), rows.where(TEST))
     test = fits.judged(found[name].model, rows.where(TEST), "y").auc
     table_of = [(k, float(o.auc), k == name, float(test) if k == name else None) for k, o in found.items()]
     return spark.createDataFrame(table_of, "candidate string, valid_auc double, champion boolean, test_auc double")
@@ -345,7 +345,7 @@ def train_champion(spark, d):
 @query()
 def recalibration(spark, d):
     rows = learning(spark, d)
-    model = best_forest(rows)[2]
+    model = best_forest(rows, rows.where(f"{CALIBRATE} or {TEST}"))[2]
     cal, out = (fits.probability(model, rows.where(part)).select("vec_id", "y", "p") for part in (CALIBRATE, TEST))
     return ml.isotonic(cal, "p", "y")(ml.platt(cal, "p", "y")(out)).select("vec_id", "p", "platt", "isotonic")
 

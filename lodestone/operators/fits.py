@@ -2,7 +2,7 @@
 
 The matrix is written once, as vectors, and every fit and every score reads that table: nothing joined or
 computed is done again for each fit. Fits are jobs of their own and go out side by side, a bounded number at a
-time, each in a scheduler pool of its own.
+time, each in a scheduler pool of its own; forests that share trees are one job.
 """
 
 from __future__ import annotations
@@ -12,12 +12,14 @@ from concurrent.futures import ThreadPoolExecutor
 from typing import NamedTuple
 
 from pyspark import inheritable_thread_target
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from lodestone.operators import forests
 from lodestone.operators.metrics import area_and_balance, score_counts
 from lodestone.session import scratch_path
 
@@ -72,12 +74,14 @@ def side_by_side(spark: SparkSession, jobs: dict[str, Callable], at_once: int =
 
 
 class Fit(NamedTuple):
-    """An estimator, the rows it learns from and those it is judged on, and the label of the latter."""
+    """An estimator, the rows it learns from and those it is judged on, and the label of the latter; also: more
+    rows that its model is to score later."""
 
     estimator: object
     train: DataFrame
     test: DataFrame
     label: str
+    also: DataFrame | None = None
 
 
 class Outcome(NamedTuple):
@@ -95,6 +99,8 @@ def slim(model):
 
 
 def probability(model, df: DataFrame, out: str = "p") -> DataFrame:
+    if isinstance(model, forests.Grown):
+        return model.probability(df, out)
     return model.transform(df).withColumn(out, vector_to_array("probability")[1])
 
 
@@ -103,6 +109,27 @@ def judged(model, df: DataFrame, label: str) -> Outcome:
     return Outcome(model, row["auc"], row["balanced_accuracy"])
 
 
+def together(fits: dict[str, Fit]) -> list[list[str]]:
+    """Names of the forests that learn alike but for their trees, depth and seed: they are grown at once."""
+    alike: dict[tuple, list[str]] = {}
+    for name, f in fits.items():
+        if isinstance(e := f.estimator, RandomForestClassifier):
+            alike.setdefault((id(f.train), id(f.test), id(f.also), e.getLabelCol(), e.getFeaturesCol(), e.getWeightCol(), e.getMaxBins()), []).append(name)
+    return list(alike.values())
+
+
+def grown(fits: list[Fit]) -> list[forests.Grown]:
+    f, e = fits[0], fits[0].estimator
+    judged = f.test if f.also is None else f.test.unionByName(f.also)
+    kinds = [forests.Kind(x.estimator.getNumTrees(), x.estimator.getMaxDepth(), x.estimator.getSeed()) for x in fits]
+    return forests.grow(f.train, judged, e.getFeaturesCol(), e.getLabelCol(), e.getWeightCol(), kinds, e.getMaxBins())
+
+
 def outcomes(spark: SparkSession, fits: dict[str, Fit], at_once: int = AT_ONCE) -> dict[str, Outcome]:
-    """Each fit's model and its measures on its test rows."""
-    return side_by_side(spark, {k: lambda f=f: judged(slim(f.estimator.fit(f.train)), f.test, f.label) for k, f in fits.items()}, at_once)
+    """Each fit's model and its measures on its test rows. Random forests are grown by tasks, the others by their estimators."""
+    trees = together(fits)
+    rest = [k for k in fits if not any(k in names for names in trees)]
+    jobs = {"+".join(names): lambda names=names: dict(zip(names, grown([fits[k] for k in names]))) for names in trees}
+    jobs |= {k: lambda k=k: {k: slim(fits[k].estimator.fit(fits[k].train))} for k in rest}
+    models = {k: m for found in side_by_side(spark, jobs, at_once).values() for k, m in found.items()}
+    return side_by_side(spark, {k: lambda k=k: judged(models[k], fits[k].test, fits[k].label) for k in fits}, at_once)

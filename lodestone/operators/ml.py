@@ -19,7 +19,8 @@ def with_features(df: DataFrame, arrays: list[str], out: str = "features") -> Da
 
 
 def forest(label: str, weight: str, trees: int, depth: int, seed: int = 42, features: str = "features") -> RandomForestClassifier:
-    """30 is the largest depth of Spark's trees and stands for no limit."""
+    """30 is the largest depth of Spark's trees and stands for no limit. `fits.outcomes` grows forests by `forests.grow`: Spark's
+    own fit gathers all trees in the driver."""
     return RandomForestClassifier(numTrees=trees, maxDepth=min(depth, 30), seed=seed, featuresCol=features, labelCol=label, weightCol=weight, cacheNodeIds=True)
 
 
@@ -35,10 +36,11 @@ def candidates(label: str, weight: str, seed: int = 42, trees: tuple[int, ...] =
     return forests(label, weight, trees, depths, seed) | {"gbm": boosted, "lr": linear}
 
 
-def select_champion(train: DataFrame, valid: DataFrame, label: str, models: dict) -> tuple[str, dict[str, Outcome]]:
+def select_champion(train: DataFrame, valid: DataFrame, label: str, models: dict, also: DataFrame | None = None) -> tuple[str, dict[str, Outcome]]:
     """The candidate with the largest validation area, the first among equals, and what each came to.
-    train has a weight where the models use one; both are read once for every model."""
-    found = outcomes(train.sparkSession, {k: Fit(m, train, valid, label) for k, m in models.items()})
+    train has a weight where the models use one; both are read once for every model. also: more rows that the
+    models are to score."""
+    found = outcomes(train.sparkSession, {k: Fit(m, train, valid, label, also) for k, m in models.items()})
     return max(found, key=lambda k: found[k].auc), found
 
 
