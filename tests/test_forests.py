@@ -110,6 +110,7 @@ def folder(spark, tmp_path_factory):
 
 CHECKS = {
     "model_baselines": lambda r: {x.name for x in r} == {f"{a}_{b}" for a in ("descriptors", "three") for b in ("logistic", "forest")} | {"stratified"},
+    "recalibration": lambda r: len(r) == len({x.vec_id for x in r}) > 10 and all(0 <= x.p <= 1 and 0 < x.platt < 1 and 0 <= x.isotonic <= 1 for x in r),
 }
 
 
