@@ -113,6 +113,7 @@ CHECKS = {
     "recalibration": lambda r: len(r) == len({x.vec_id for x in r}) > 10 and all(0 <= x.p <= 1 and 0 < x.platt < 1 and 0 <= x.isotonic <= 1 for x in r),
     "model_stability": lambda r: len(r) == 20 and len({x.auc for x in r}) > 5 and all(x.auc > 0.4 for x in r),
     "split_gap": lambda r: {x.name for x in r} == {"given", "random"},
+    "feature_ablation": lambda r: {x.name for x in r} == {"descriptors", "fingerprint", "features"},
 }
 
 
