@@ -114,6 +114,7 @@ CHECKS = {
     "model_stability": lambda r: len(r) == 20 and len({x.auc for x in r}) > 5 and all(x.auc > 0.4 for x in r),
     "split_gap": lambda r: {x.name for x in r} == {"given", "random"},
     "feature_ablation": lambda r: {x.name for x in r} == {"descriptors", "fingerprint", "features"},
+    "feature_importance": lambda r: len(r) == 10 and r[0].feature == "x3" and r[0].importance > r[9].importance > 0,
 }
 
 
