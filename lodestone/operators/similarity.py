@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from lodestone.session import scratch_path, stored
 
 #: About so many rows of a side meet in a task, and make a band or a pivot's cell.
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 40_000
 #: At most so many pivots, which are broadcast.
 PIVOTS = 512
 
@@ -106,6 +106,49 @@ def _similarities(a: pd.DataFrame, b: pd.DataFrame, rows: int = 512):
         yield i, np.where(union > 0, both / np.maximum(union, 1), 0.0)
 
 
+def _most_similar(a: pd.DataFrame, b: pd.DataFrame, k: int, rows: int = 256, columns: int = 2_048) -> list[list[dict]]:
+    """For each row of a its k most similar rows of b, by falling similarity, then by identifier. Only the k of a row are
+    put in order. Numbers of bits up to 1,000 are divided as floats: unequal quotients differ there, equal ones don't."""
+    b = b.sort_values("_id", kind="stable")
+    held = [np.concatenate([np.asarray(x, np.int64) for x in df["_bits"]]) for df in (a, b)]
+    places = np.unique(np.concatenate(held))
+
+    def dense(df: pd.DataFrame, flat: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(df), len(places)), np.float32)
+        out[np.repeat(np.arange(len(df)), [len(x) for x in df["_bits"]]), np.searchsorted(places, flat)] = 1
+        return out
+
+    q, r = dense(a, held[0]), dense(b, held[1])
+    n_q, n_r, ids, out, k = q.sum(1), r.sum(1), b["_id"].to_numpy(), [], min(k, len(b))
+    kind = np.float32 if len(places) <= 1_000 else np.float64
+    step = columns if k == 1 else len(r)
+    for i in range(0, len(q), rows):
+        top, at, shared = np.full(len(q[i : i + rows]), -1, kind), None, None
+        for j in range(0, len(r), step):
+            both = q[i : i + rows] @ r[j : j + step].T
+            alike = np.add(n_q[i : i + rows, None], n_r[j : j + step], dtype=kind)
+            alike -= both
+            np.maximum(alike, 1, out=alike)
+            np.divide(both, alike, out=alike)
+            if k == 1:
+                to = alike.argmax(1)[:, None]  # the first of equals has the smallest identifier
+            else:
+                least = np.partition(alike, len(ids) - k, axis=1)[:, len(ids) - k]
+                on, to = np.divmod(np.flatnonzero((alike >= least[:, None]).reshape(-1)), alike.shape[1])
+                order = np.lexsort((to, -alike[on, to], on))
+                on, to = on[order], to[order]
+                to = to[np.arange(len(on)) - np.searchsorted(on, on) < k].reshape(-1, k)
+            found = np.take_along_axis(alike, to[:, :1], 1)[:, 0]
+            more, held_here = found > top, np.take_along_axis(both, to, 1)
+            at, shared = (to + j, held_here) if at is None else (np.where(more[:, None], to + j, at), np.where(more[:, None], held_here, shared))
+            top = np.maximum(top, found)
+        shared = shared.astype(np.float64)
+        union = n_q[i : i + rows, None].astype(np.float64) + n_r[at] - shared
+        best = np.where(union > 0, shared / np.maximum(union, 1), 0.0)
+        out += [[{"similarity": s, "neighbour_id": j} for s, j in zip(*x)] for x in zip(best.tolist(), ids[at].tolist())]
+    return out
+
+
 def _bit_rows(df: DataFrame, key: str, bits: str) -> DataFrame:
     return df.where(F.col(bits).isNotNull()).select(F.col(key).alias("_id"), F.array_distinct(bits).alias("_bits")).withColumn("_n", F.size("_bits"))
 
@@ -184,12 +227,7 @@ def neighbours(queries: DataFrame, index: BitIndex, key: str, bits: str, k: int,
         return spark.createDataFrame([], f"{key} long, rank int, neighbour_id long, similarity double")
 
     def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        ids, best = y["_id"].to_numpy(), []
-        by_id = np.argsort(ids, kind="stable")
-        for _, alike in _similarities(x, y):
-            order = by_id[np.argsort(-alike[:, by_id], axis=1, kind="stable")[:, :k]]
-            best += [[{"similarity": float(alike[i, j]), "neighbour_id": int(ids[j])} for j in row] for i, row in enumerate(order)]
-        return pd.DataFrame({"_id": x["_id"].to_numpy(), "best": best})
+        return pd.DataFrame({"_id": x["_id"].to_numpy(), "best": _most_similar(x, y, k)})
 
     first = lambda c: F.slice(F.transform(F.array_sort(F.transform(c, lambda x: F.struct((-x["similarity"]).alias("s"), x["neighbour_id"].alias("i")))), lambda x: F.struct((-x["s"]).alias("similarity"), x["i"].alias("neighbour_id"))), 1, k)
     state = spark.createDataFrame([], empty)
@@ -278,13 +316,64 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * a @ b.T, 0))
 
 
+def _nearest(x: np.ndarray, y: np.ndarray, k: int, limit: np.ndarray, ids: np.ndarray | None = None, others: np.ndarray | None = None, rows: int = 256, columns: int = 4_096) -> list[np.ndarray]:
+    """For each row of x its up to k smallest distances to rows of y that are within its limit, ascending; a row whose id is
+    among others doesn't meet that one.
+
+    Products of floats, whose error is below margin, tell which pairs can be among them; those are computed again from
+    the doubles' differences. Rows with a number that isn't finite have none.
+    """
+    fine = np.isfinite(y).all(1)
+    y, others = y[fine], None if others is None else others[fine]
+    out = [np.empty(0)] * len(x)
+    if not len(y):
+        return out
+    middle = y.mean(0)
+    x, y = x - middle, y - middle
+    n_x, n_y = (x**2).sum(1), (y**2).sum(1)
+    most = np.max(n_x[np.isfinite(n_x)], initial=0) + n_y.max()
+    kind = np.float32 if 1e-30 < most < 1e30 else np.float64
+    margin = (x.shape[1] + 8) * 2.4e-7 * most
+    with np.errstate(all="ignore"):
+        a = np.concatenate([-2 * x, np.ones((len(x), 1)), n_x[:, None]], axis=1).astype(kind)
+    b = np.concatenate([y, n_y[:, None], np.ones((len(y), 1))], axis=1).astype(kind)
+    least = k + (others is not None)
+    for i in range(0, len(x), rows):
+        own = a[i : i + rows]
+        m = len(own)
+        best, within = np.full((m, k), np.inf), limit[i : i + rows] ** 2 * (1 + 1e-9) + 1e-12
+        for j in range(0, len(y), columns):
+            with np.errstate(invalid="ignore"):
+                d = own @ b[j : j + columns].T
+            if j == 0 and least <= d.shape[1]:
+                within = np.fmin(within, np.partition(d, least - 1, axis=1)[:, least - 1] + 2 * margin)
+            on, to = np.divmod(np.flatnonzero((d <= (within + margin)[:, None].astype(kind)).reshape(-1)), d.shape[1])
+            if others is not None:
+                apart = ids[i + on] != others[j + to]
+                on, to = on[apart], to[apart]
+            if not len(on):
+                continue
+            exact = np.concatenate([((x[i + on[c : c + 65_536]] - y[j + to[c : c + 65_536]]) ** 2).sum(1) for c in range(0, len(on), 65_536)])
+            order = np.lexsort((exact, on))
+            on, exact = on[order], exact[order]
+            place = np.arange(len(on)) - np.searchsorted(on, on)
+            more = np.full((m, k), np.inf)
+            more[on[place < k], place[place < k]] = exact[place < k]
+            best = np.sort(np.concatenate([best, more], axis=1), axis=1)[:, :k]
+            within = np.fmin(within, best[:, -1])
+        best = np.sqrt(np.where(best <= (limit[i : i + rows] ** 2 * (1 + 1e-9) + 1e-12)[:, None], best, np.inf))
+        out[i : i + m] = [row[np.isfinite(row)] for row in best]
+    return out
+
+
 def nearest_distance(queries: DataFrame, references: DataFrame, id_col: str, values: str, k: int = 5, exclude_self: bool = False) -> DataFrame:
     """Per query the mean Euclidean distance to its k nearest references; queries without a vector, or
     without a reference, have no row. Identifiers are longs.
 
     A bounded sample of references are pivots, and a reference's cell is that of its nearest pivot. A query
     first asks its nearest cells until they hold k rows, which bounds its k-th distance; then all cells that
-    neither their ring around the pivot nor the half-space between pivots puts beyond that.
+    neither their ring around the pivot nor the half-space between pivots puts beyond that. There only pairs
+    within the bound are computed exactly. Without structure the work is that of all pairs.
     """
     spark = references.sparkSession
     sides = [df.where(F.col(values).isNotNull()).select(F.col(id_col).alias("_id"), F.col(values).cast("array<double>").alias("_v")) for df in (queries, references)]
@@ -321,24 +410,20 @@ def nearest_distance(queries: DataFrame, references: DataFrame, id_col: str, val
                 beyond = np.maximum(np.maximum(d - high, low - d), (d - d.min(1)[:, None]) / 2)
                 ask = ~first & (rows > 0) & (beyond <= f["_kth"].to_numpy()[:, None] * (1 + 1e-9) + 1e-9)
             at, to = np.nonzero(ask)
-            yield pd.DataFrame({"_id": f["_id"].to_numpy()[at], "_v": f["_v"].to_numpy()[at], "_cell": to.astype("int32")})
+            limit = f["_kth"].to_numpy() if second else np.full(len(f), np.inf)
+            yield pd.DataFrame({"_id": f["_id"].to_numpy()[at], "_v": f["_v"].to_numpy()[at], "_cell": to.astype("int32"), "_limit": limit[at]})
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        x, y = np.stack(a["_v"].to_numpy()), np.stack(b["_v"].to_numpy())
-        ids, others, out = a["_id"].to_numpy(), b["_id"].to_numpy(), []
-        for i in range(0, len(x), 512):
-            d = _distances(x[i : i + 512], y)
-            if exclude_self:
-                d[ids[i : i + 512][:, None] == others[None, :]] = np.inf
-            best = np.sort(np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k], axis=1)
-            out += [row[np.isfinite(row)] for row in best]
-        return pd.DataFrame({"_id": ids, "_near": out})
-
-    schema, kinds = "_id long, _near array<double>", "_id long, _v array<double>, _cell int"
+        x, y, ids = np.stack(a["_v"].to_numpy()), np.stack(b["_v"].to_numpy()), a["_id"].to_numpy()
+        near = _nearest(x, y, k, a["_limit"].to_numpy(), *((ids, b["_id"].to_numpy()) if exclude_self else ()))
+        some = [i for i, row in enumerate(near) if len(row)]
+        return pd.DataFrame({"_id": ids[some], "_near": pd.Series([near[i] for i in some], dtype=object)})
+
+    schema, kinds = "_id long, _near array<double>", "_id long, _v array<double>, _cell int, _limit double"
     best = lambda df: df.groupBy("_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("_near"))), 1, k).alias("_near"))  # noqa: E731  k from each block
     near = stored(best(in_cells(stored(q.mapInPandas(lambda f: asks(f, False), kinds), "asking"), r, meet, schema)), "near")
     if many > 1:
         kth = F.when(F.size("_near") >= k, F.element_at("_near", -1)).otherwise(float("inf"))
         again = q.join(near.select("_id", kth.alias("_kth")), "_id").mapInPandas(lambda f: asks(f, True), kinds)
-        near = best(in_cells(stored(again, "asking"), r, meet, schema).unionByName(near))
+        near = best(in_cells(again, r, meet, schema).unionByName(near))
     return near.where(F.size("_near") > 0).select(F.col("_id").alias(id_col), (F.aggregate("_near", F.lit(0.0), lambda s, d: s + d) / F.size("_near")).alias("knn_distance"))

@@ -107,3 +107,62 @@ def test_collisions_name_each_query_and_compare_whole_numbers(spark, folder, mon
     assert {i: (v, b) for i, v, b in db.execute(sql["exact_vector_collisions"]).fetchall()} == want
     colliding = db.execute("SELECT vec_id FROM embeddings WHERE vec_id % 3 = 0 AND embedding IN (SELECT embedding FROM embeddings WHERE vec_id % 3 <> 0)")
     assert {i for (i,) in colliding.fetchall()} == {i for i, (n, _) in got.items() if n}
+
+
+def test_best_of_a_block_without_putting_all_in_order(monkeypatch):
+    """Ties go to the smallest identifier, and the full order of a block is never made."""
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    held = lambda n, o: pd.DataFrame({"_id": rng.permutation(n) + o, "_bits": [np.flatnonzero(x) for x in rng.random((n, 9)) < 0.3]})
+    a, b = held(60, 0), held(90, 1_000)
+    alike = lambda x, y: len(set(x) & set(y)) / len(set(x) | set(y)) if len(x) or len(y) else 0.0
+    want = {i: sorted((-alike(x, y), j) for j, y in zip(b["_id"], b["_bits"])) for i, x in zip(a["_id"], a["_bits"])}
+    monkeypatch.setattr(np, "argsort", None)
+    for k, rows, columns in ((1, 7, 4), (1, 256, 2_048), (4, 7, 4), (200, 7, 4)):
+        got = similarity._most_similar(a, b, k, rows, columns)
+        assert all([(-x["similarity"], x["neighbour_id"]) for x in row] == want[i][:k] for i, row in zip(a["_id"], got))
+    wide = pd.DataFrame({"_id": [1, 2], "_bits": [list(range(1_500)), list(range(1_499))]})  # quotients a float can't tell from each other
+    assert similarity._most_similar(wide.tail(1), wide, 1)[0][0]["neighbour_id"] == 2
+
+
+@pytest.mark.parametrize("scale, middle", [(1.0, 0.0), (1.0, 1e4), (1e20, 0.0), (1e-20, 0.0)])
+def test_nearest_is_exact_where_floats_are_not(scale, middle):
+    """Nearest distances as from all differences, with ties, few rows, limits, and numbers that aren't finite."""
+    rng = np.random.default_rng(9)
+    x, y = ((rng.normal(size=(n, 5)) + middle) * scale for n in (40, 70))
+    y[:40] = x + rng.normal(size=(40, 5)) * 1e-6 * scale  # much nearer than a product of floats tells
+    y[60], y[61], x[3] = y[20], np.nan, np.inf
+    d = np.sqrt(((x[:, None] - y[None]) ** 2).sum(-1))
+    ids, others = np.arange(40), np.arange(70)
+    for apart in (False, True):
+        free = np.where(apart & (ids[:, None] == others), np.inf, d)
+        for k, limit in ((3, np.full(40, np.inf)), (3, np.nanmedian(d, axis=1)), (100, np.full(40, np.inf))):
+            got = similarity._nearest(x, y, k, limit, *((ids, others) if apart else ()), rows=7, columns=9)
+            for i in range(40):
+                want = [] if i == 3 else sorted(v for v in free[i] if np.isfinite(v) and v <= limit[i])[:k]
+                assert got[i].tolist() == pytest.approx(want, rel=1e-7)
+    assert [len(r) for r in similarity._nearest(x, y[61:62], 2, np.full(40, np.inf))] == [0] * 40
+
+
+SIGNALS = [
+    "reliability_rating",
+]
+
+
+@pytest.mark.parametrize("name", SIGNALS)
+def test_signals_met_in_blocks_equal_their_sql(spark, monkeypatch, name):
+    import os
+
+    import duckdb
+
+    from lodestone import catalog
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no common tables")
+    monkeypatch.setattr(similarity, "BLOCK_ROWS", 120)
+    found, sql = catalog.load()
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet'")
+    assert sorted(map(str, map(tuple, found[name](spark, folder).collect()))) == sorted(map(str, db.execute(sql[name]).fetchall()))
