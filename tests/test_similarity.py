@@ -148,6 +148,7 @@ def test_nearest_is_exact_where_floats_are_not(scale, middle):
 SIGNALS = [
     "reliability_rating",
     "ad_verdict",
+    "ad_verdict_2signal",
 ]
 
 
