@@ -149,6 +149,7 @@ SIGNALS = [
     "reliability_rating",
     "ad_verdict",
     "ad_verdict_2signal",
+    "pearson_similarity_correct",
 ]
 
 
