@@ -150,6 +150,7 @@ SIGNALS = [
     "ad_verdict",
     "ad_verdict_2signal",
     "pearson_similarity_correct",
+    "ad_accuracy",
 ]
 
 
