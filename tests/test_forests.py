@@ -115,6 +115,7 @@ CHECKS = {
     "split_gap": lambda r: {x.name for x in r} == {"given", "random"},
     "feature_ablation": lambda r: {x.name for x in r} == {"descriptors", "fingerprint", "features"},
     "feature_importance": lambda r: len(r) == 10 and r[0].feature == "x3" and r[0].importance > r[9].importance > 0,
+    "y_scramble": lambda r: len(r) == 1 and r[0].champion.startswith(("rf_", "lr")) and r[0].least <= r[0].mean <= r[0].most,
     "train_champion": lambda r: len(r) == 5 and sum(x.champion for x in r) == 1 and all((x.test_auc is not None) == x.champion for x in r),
 }
 
